@@ -1,0 +1 @@
+"""No stream operators: the workload is bounded batch work end to end (see README)."""
