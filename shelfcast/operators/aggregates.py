@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.constants import DEFAULT_FAMILY_RMSLE, SHARE_LOOKBACK_DAYS
-from shelfcast.functions.expr import clipped
+from shelfcast.functions.expr import clipped, grade
 from shelfcast.functions.running import exact_median, running_total
 from shelfcast.operators.enrich import join_prices
 
@@ -18,7 +18,7 @@ def item_store_sales(sales: DataFrame) -> DataFrame:
 def forecast_by_family(forecasts: DataFrame, items: DataFrame) -> DataFrame:
     joined = forecasts.join(items.select("item_nbr", "family"), "item_nbr")
     return joined.groupBy("store_nbr", "date", "family").agg(
-        F.sum("predicted_sales").alias("predicted_sales")
+        grade(F.sum("predicted_sales")).alias("predicted_sales")
     )
 
 

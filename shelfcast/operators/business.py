@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.expr import clamp, month_key, pct_change, ratio
+from shelfcast.functions.expr import clamp, grade, month_key, pct_change, ratio
 from shelfcast.functions.ranking import top_k, top_overall
 from shelfcast.operators.aggregates import latest_months
 from shelfcast.operators.enrich import join_prices
@@ -327,7 +327,7 @@ def store_profile(
 
 def store_top_families(family_forecast: DataFrame, k: int = 3) -> DataFrame:
     totals = family_forecast.groupBy("store_nbr", "family").agg(
-        F.sum("predicted_sales").alias("forecast")
+        grade(F.sum("predicted_sales")).alias("forecast")
     )
     return top_k(totals, ["store_nbr"], [F.desc("forecast"), F.col("family")], k)
 

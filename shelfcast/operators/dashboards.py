@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.constants import DEFAULT_FAMILY_RMSLE, HORIZON_DAYS, LOW_STOCK_PER_STORE
-from shelfcast.functions.expr import clamp
+from shelfcast.functions.expr import clamp, grade
 from shelfcast.functions.ranking import top_k, top_overall
 
 
@@ -188,7 +188,7 @@ def first_days(family_forecast: DataFrame, days: int) -> DataFrame:
 def family_trend(family_forecast: DataFrame, days: int = HORIZON_DAYS, top: int = 6) -> DataFrame:
     """Daily forecast of the largest families, long form (date, family, units)."""
     window = first_days(family_forecast, clamp(days, 1, 31))
-    totals = window.groupBy("family").agg(F.sum("predicted_sales").alias("_total"))
+    totals = window.groupBy("family").agg(grade(F.sum("predicted_sales")).alias("_total"))
     leaders = top_overall(totals, [F.desc("_total"), F.col("family")], clamp(top, 1, 10), "family_rank")
     return (
         window.groupBy("date", "family")
@@ -240,7 +240,7 @@ def sales_summary(forecasts: DataFrame, items: DataFrame, days: int = 7, k: int
     """Per store: forecast of the first `days` days, items in it, real window, top items."""
     window = first_days(forecasts, days)
     per_item = window.groupBy("store_nbr", "item_nbr").agg(
-        F.sum("predicted_sales").alias("item_forecast"),
+        grade(F.sum("predicted_sales")).alias("item_forecast"),
         F.min("date").alias("_from"),
         F.max("date").alias("_to"),
     )

@@ -17,7 +17,7 @@ from shelfcast.constants import (
     SERVICE_Z,
     STOCKOUT_UNIT_LOSS_USD,
 )
-from shelfcast.functions.expr import check_number, clamp, ratio
+from shelfcast.functions.expr import check_number, clamp, grade, ratio
 from shelfcast.functions.ranking import top_k
 from shelfcast.operators.aggregates import abc_classes
 from shelfcast.operators.enrich import join_prices
@@ -26,9 +26,11 @@ PAIR = ["store_nbr", "item_nbr"]
 
 
 def demand(forecasts: DataFrame) -> DataFrame:
-    """Total and mean daily forecast per (store, item)."""
+    """Total and mean daily forecast per (store, item), graded so that comparisons with stock
+    and rankings do not hang on the last bits of a sum."""
     return forecasts.groupBy(*PAIR).agg(
-        F.sum("predicted_sales").alias("forecast"), F.avg("predicted_sales").alias("daily_demand")
+        grade(F.sum("predicted_sales")).alias("forecast"),
+        grade(F.avg("predicted_sales")).alias("daily_demand"),
     )
 
 
@@ -45,9 +47,8 @@ def derive_inventory(forecasts: DataFrame, policy: DataFrame) -> DataFrame:
     Stock is whole units; the small offset keeps exact halves rounding up whatever the
     order the mean was summed in.
     """
-    speed = forecasts.groupBy(*PAIR).agg(F.avg("predicted_sales").alias("_speed"))
-    units = F.floor(F.coalesce("_speed", F.lit(0.0)) * F.col("coverage_days") + 0.5 + 1e-9)
-    return speed.join(policy, PAIR).select(
+    units = F.floor(F.coalesce("daily_demand", F.lit(0.0)) * F.col("coverage_days") + 0.5 + 1e-9)
+    return demand(forecasts).join(policy, PAIR).select(
         *PAIR,
         F.greatest(units.cast("double"), F.lit(0.0)).alias("current_stock"),
         "lead_time_days",

@@ -73,8 +73,10 @@ def future_skeleton(
     )
 
 
-def _first_known(panel: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    return panel.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(f"_{c}") for c in columns])
+def _known(panel: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Known value of each column per key; the largest if a key has several, which unlike
+    the first row's does not depend on row order."""
+    return panel.groupBy(*keys).agg(*[F.max(c).alias(f"_{c}") for c in columns])
 
 
 def complete_panel(panel: DataFrame, check: bool = True) -> DataFrame:
@@ -100,7 +102,7 @@ def complete_panel(panel: DataFrame, check: bool = True) -> DataFrame:
     filled = {"observed": F.coalesce("observed", F.lit(False))}
     for keys, columns in lookups:
         if columns:
-            out = out.join(_first_known(panel, keys, columns), keys, "left")
+            out = out.join(_known(panel, keys, columns), keys, "left")
             filled |= {c: F.coalesce(c, f"_{c}") for c in columns}
     day_rows = []
     if "oil_price" in by_date:

@@ -1,3 +1,10 @@
 """Importing this package registers every query."""
 
-from shelfcast.plans.queries import sources  # noqa: F401
+from shelfcast.plans.queries import (  # noqa: F401
+    aggregates,
+    features,
+    inventory,
+    scoring,
+    sources,
+    stores,
+)

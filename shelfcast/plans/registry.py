@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfcast.functions.expr import grade
 from shelfcast.plans.serving import RetailTables, tables
 from shelfcast.plans.views import VIEWS
 
@@ -42,19 +43,12 @@ def query(name: str, covers: str, sql: str | None = None, digits: int = 6):
 
 
 def settle(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Report form of a result: doubles on a decimal grid, days as ISO text.
-
-    Two engines add the same numbers in different orders, so the last bits of a sum differ;
-    the grid hides them.  The offset lies off the decimal ties, where sums of money often
-    end.  Values beyond 1e9 keep their bits.
-    """
-    scale = float(10**digits)
+    """Report form of a result: doubles on a decimal grid (see `grade`), days as ISO text."""
 
     def form(field: T.StructField):
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            snapped = F.floor(c * scale + 0.50003).cast("double") / scale
-            return F.when(F.abs(c) < 1e9, snapped).otherwise(c).alias(field.name)
+            return grade(c, digits).alias(field.name)
         if isinstance(field.dataType, T.DateType):
             return F.date_format(c, "yyyy-MM-dd").alias(field.name)
         return c

@@ -141,10 +141,10 @@ VIEWS = {
         FROM v_grid g
         LEFT JOIN v_family_panel p ON p.store_nbr = g.store_nbr AND p.family = g.family AND p.date = g.date
         JOIN v_stores st ON st.store_nbr = g.store_nbr
-        LEFT JOIN (SELECT store_nbr, family, first(perishable) AS perishable FROM v_family_panel GROUP BY ALL) sf
+        LEFT JOIN (SELECT store_nbr, family, max(perishable) AS perishable FROM v_family_panel GROUP BY ALL) sf
                ON sf.store_nbr = g.store_nbr AND sf.family = g.family
-        LEFT JOIN (SELECT store_nbr, date, first(holiday_type) AS holiday_type,
-                          first(transactions_lag1) AS transactions_lag1 FROM v_family_panel GROUP BY ALL) sd
+        LEFT JOIN (SELECT store_nbr, date, max(holiday_type) AS holiday_type,
+                          max(transactions_lag1) AS transactions_lag1 FROM v_family_panel GROUP BY ALL) sd
                ON sd.store_nbr = g.store_nbr AND sd.date = g.date
         LEFT JOIN (SELECT date, max(oil_price) AS oil_price, bool_or(is_earthquake_period) AS quake,
                           min(CASE WHEN holiday_type <> 'Normal Day' THEN holiday_type END) AS day_holiday
@@ -183,10 +183,11 @@ VIEWS = {
         LEFT JOIN v_family_prediction f ON f.store_nbr = p.store_nbr AND f.family = i.family AND f.date = p.date
         LEFT JOIN v_shares s ON s.store_nbr = p.store_nbr AND s.item_nbr = p.item_nbr""",
     "v_family_forecast": """
-        SELECT store_nbr, date, family, sum(predicted_sales) AS predicted_sales
+        SELECT store_nbr, date, family, floor(sum(predicted_sales) * 1e6 + 0.50003) / 1e6 AS predicted_sales
         FROM v_forecasts JOIN v_items USING (item_nbr) GROUP BY ALL""",
     "v_demand": """
-        SELECT store_nbr, item_nbr, sum(predicted_sales) AS forecast, avg(predicted_sales) AS daily_demand
+        SELECT store_nbr, item_nbr, floor(sum(predicted_sales) * 1e6 + 0.50003) / 1e6 AS forecast,
+               floor(avg(predicted_sales) * 1e6 + 0.50003) / 1e6 AS daily_demand
         FROM v_forecasts GROUP BY ALL""",
     "v_policy": """
         SELECT store_nbr, item_nbr, lead_time_days,
