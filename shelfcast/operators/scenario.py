@@ -11,9 +11,10 @@ from shelfcast.constants import (
     HORIZON_DAYS,
     NORMAL_DAY,
     OVERSTOCK_DAYS,
+    QUAKE_WORD,
     SCENARIO_DEFAULT_PRICE,
 )
-from shelfcast.functions.expr import clipped, finite, ratio
+from shelfcast.functions.expr import clipped, finite, grade, ratio
 from shelfcast.functions.ranking import top_k
 from shelfcast.functions.series import SERIES_KEYS
 from shelfcast.operators.aggregates import promotion_days, shares_from_forecasts
@@ -141,7 +142,7 @@ def future_drivers(
     ).join(last_traffic, "store_nbr", "left")
     i = F.col("day_index")
     in_event = i < F.col("event_days")
-    quake = F.coalesce(F.lower("holiday_description").contains("terremoto"), F.lit(False))
+    quake = F.coalesce(F.lower("holiday_description").contains(QUAKE_WORD), F.lit(False))
     factor = F.greatest(F.lit(0.0), 1 + F.col("traffic_change_pct") / 100.0)
     return base.select(
         "scenario_id",
@@ -169,8 +170,9 @@ def future_drivers(
 
 
 def latest_traffic(history_rows: DataFrame) -> DataFrame:
-    """Traffic of the day before the last day of history, per store."""
-    return history_rows.groupBy("store_nbr").agg(
+    """Last known traffic lag of each store's history."""
+    known = history_rows.filter("transactions_lag1 IS NOT NULL")
+    return known.groupBy("store_nbr").agg(
         F.max_by("transactions_lag1", "date").cast("double").alias("last_traffic")
     )
 
@@ -265,7 +267,8 @@ def sku_movements(
         ratio((new - base) * 100.0, base).alias("item_delta_pct"),
         F.greatest(F.lit(0.0), new - F.coalesce("item_stock", F.lit(0.0))).alias("item_shortfall"),
     )
-    return top_k(moved, ["scenario_id"], [F.desc(F.abs("item_delta")), F.col("item_nbr")], k)
+    # graded, so that items of equal share rank by number and not by the last bits
+    return top_k(moved, ["scenario_id"], [F.desc(grade(F.abs("item_delta"))), F.col("item_nbr")], k)
 
 
 def scenario_totals(

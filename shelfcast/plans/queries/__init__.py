@@ -3,8 +3,11 @@
 from shelfcast.plans.queries import (  # noqa: F401
     aggregates,
     features,
+    forecasting,
     inventory,
+    scenarios,
     scoring,
     sources,
     stores,
+    text,
 )
