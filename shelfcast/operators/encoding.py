@@ -21,11 +21,12 @@ class ClusterEncoding:
     overall: DataFrame
 
     @staticmethod
-    def fit(train: DataFrame, smoothing: float = TARGET_SMOOTHING, distributed_median: bool = False):
+    def fit(train: DataFrame, smoothing: float = TARGET_SMOOTHING, distributed_median: bool = True):
         """Means pulled towards the overall mean by `smoothing` pseudo-rows.
 
-        `distributed_median` computes the median with range-partitioned running counts, for
-        panels whose largest cluster does not fit one task; the result is the same.
+        The median comes from range-partitioned running counts, since the built-in one keeps
+        all distinct values of a cluster in one task; `distributed_median=False` uses the
+        built-in for panels known to be small.  The result is the same.
         """
         train = train.withColumn("onpromotion", F.coalesce(F.col("onpromotion").cast("int"), F.lit(0)))
         overall = train.agg(F.avg("target").alias("overall_mean"))

@@ -88,11 +88,17 @@ def unpivot_models(df: DataFrame, models: list[str]) -> DataFrame:
 def score_models(
     df: DataFrame, models: list[str], y: str = "target", fold: str = "fold", perishable: str | None = None
 ) -> DataFrame:
-    """Scores per (model, fold) and pooled over folds (fold 0), from one pass with rollup."""
+    """Scores per (model, fold) and pooled over folds (fold 0).
+
+    Rows are summed per (model, fold) first; the rollup then works on those few sums.
+    """
     long = unpivot_models(df, models)
     flag = F.col(perishable) if perishable else None
-    level = F.grouping_id().alias("_level")
-    rolled = long.rollup("model", fold).agg(level, *_score_sums(F.col(y), F.col("prediction"), flag))
+    sums = long.groupBy("model", fold).agg(*_score_sums(F.col(y), F.col("prediction"), flag))
+    names = [c for c in sums.columns if c not in ("model", fold)]
+    rolled = sums.rollup("model", fold).agg(
+        F.grouping_id().alias("_level"), *[F.sum(c).alias(c) for c in names]
+    )
     scored = rolled.filter("_level < 2 AND n > 0").withColumns(_from_sums())
     fold_id = F.when(F.col("_level") == 0, F.col(fold)).otherwise(F.lit(0))
     return scored.select("model", fold_id.alias("fold"), F.col("n").cast("long").alias("n"), *METRICS)
@@ -239,9 +245,13 @@ def weight_choices(weights: DataFrame, fold_sums: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- audits
 
 
-def _stack_features(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    numeric = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in features])
-    return numeric.unpivot(keys, features, "feature", "value")
+def _side_by_side(a: DataFrame, b: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """Both builds joined once by key: columns `<feature>_a` and `<feature>_b`."""
+
+    def tagged(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(*keys, *[F.col(c).cast("double").alias(f"{c}_{tag}") for c in features])
+
+    return tagged(a, "a").join(tagged(b, "b"), keys)
 
 
 def leak_audit(full: DataFrame, masked: DataFrame, anchor: Column, features: list[str], keys: list[str]) -> DataFrame:
@@ -251,12 +261,11 @@ def leak_audit(full: DataFrame, masked: DataFrame, anchor: Column, features: lis
     """
     features = [c for c in features if c not in keys]
     later = F.col("date") > anchor
-    a = _stack_features(full.filter(later), keys, features)
-    b = _stack_features(masked.filter(later), keys, features).withColumnRenamed("value", "masked_value")
-    changed = ~F.col("value").eqNullSafe(F.col("masked_value"))
-    shares = a.join(b, [*keys, "feature"]).groupBy("feature").agg(
-        F.avg(changed.cast("double")).alias("share_changed")
-    )
+    both = _side_by_side(full.filter(later), masked.filter(later), keys, features)
+    changed = [
+        F.avg((~F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))).cast("double")).alias(c) for c in features
+    ]
+    shares = both.agg(*changed).unpivot([], features, "feature", "share_changed")
     return shares.filter(F.col("share_changed") > 0)
 
 
@@ -264,15 +273,19 @@ def parity_report(
     build: DataFrame, other: DataFrame, features: list[str], keys: list[str], tolerance: float = 0.01
 ) -> DataFrame:
     """Per feature: mean difference relative to the other build, null rates, flag."""
-    a = _stack_features(build, keys, features)
-    b = _stack_features(other, keys, features).withColumnRenamed("value", "other_value")
-    joined = a.join(b, [*keys, "feature"])
-    size = F.coalesce(F.nullif(F.avg(F.abs("other_value")), F.lit(0.0)), F.lit(1.0))
-    report = joined.groupBy("feature").agg(
-        (F.avg(F.abs(F.col("value") - F.col("other_value"))) / size).alias("rel_diff"),
-        F.avg(F.col("value").isNull().cast("double")).alias("null_rate"),
-        F.avg(F.col("other_value").isNull().cast("double")).alias("null_rate_other"),
-    )
+    both = _side_by_side(build, other, keys, features)
+
+    def entry(c: str) -> Column:
+        a, b = F.col(f"{c}_a"), F.col(f"{c}_b")
+        size = F.coalesce(F.nullif(F.avg(F.abs(b)), F.lit(0.0)), F.lit(1.0))
+        return F.struct(
+            F.lit(c).alias("feature"),
+            (F.avg(F.abs(a - b)) / size).alias("rel_diff"),
+            F.avg(a.isNull().cast("double")).alias("null_rate"),
+            F.avg(b.isNull().cast("double")).alias("null_rate_other"),
+        )
+
+    report = both.agg(F.array(*[entry(c) for c in features]).alias("r")).select(F.inline("r"))
     apart = (F.coalesce("rel_diff", F.lit(0.0)) > tolerance) | (
         F.abs(F.col("null_rate") - F.col("null_rate_other")) > tolerance
     )

@@ -265,7 +265,7 @@ ENCODING_SQL = """
     """,
 )
 def cluster_encoding(t: RetailTables):
-    return ClusterEncoding.fit(t.panel).by_cluster
+    return ClusterEncoding.fit(t.panel, distributed_median=False).by_cluster
 
 
 @query(
@@ -282,7 +282,7 @@ def cluster_encoding(t: RetailTables):
 )
 def cluster_encoding_range_median(t: RetailTables):
     """The same table with the median found by range-partitioned running counts."""
-    return ClusterEncoding.fit(t.panel, distributed_median=True).by_cluster
+    return ClusterEncoding.fit(t.panel).by_cluster
 
 
 @query(

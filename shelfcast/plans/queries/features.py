@@ -187,7 +187,7 @@ for _lag in (1, 16):
 
     @query(
         f"extended_features_lag{_lag}",
-        "M2 W7 W8 W9 W10 W11 W12 W13",
+        "M2 P13 W7 W8 W9 W10 W11 W12 W13",
         f"WITH e AS ({_extended_sql(_lag)}) {profile_sql('e', _extended_columns(_lag))}",
     )
     def extended_features(t: RetailTables, lag=_lag):

@@ -111,7 +111,7 @@ def _history(t: RetailTables):
     return t._table(
         "scenario_history",
         lambda: scenario.history(
-            t.sales, t.stores, t.items, t.oil, t.holidays, t.transactions, t.origin
+            t.recent_sales(scenario.HISTORY_DAYS), t.stores, t.items, t.oil, t.holidays, t.transactions, t.origin
         ),
     )
 

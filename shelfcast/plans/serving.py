@@ -15,11 +15,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.constants import HORIZON_DAYS
+from shelfcast.constants import HORIZON_DAYS, SHARE_LOOKBACK_DAYS
 from shelfcast.functions.durable import shared_dir
 from shelfcast.operators import aggregates, clean, forecast, inventory, panel
-from shelfcast.sources.raw import ingest_sales
-from shelfcast.sources.tables import family_history, materialize
+from shelfcast.sources.raw import between, ingest_sales, store_by_month
+from shelfcast.sources.tables import family_history, materialize, path_exists
 from shelfcast.sources.testdata import OrderTables
 
 ASSORTMENT_DAYS = 90
@@ -69,23 +69,39 @@ class RetailTables:
     def origin(self) -> Column:
         return F.lit(self.origin_date)
 
+    @cached_property
+    def _sales_by_month(self) -> DataFrame:
+        """All sales, joined to their store once and laid out by month."""
+        path = f"{self.root}/sales_by_month"
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            store_by_month(self.source.raw_sales, path)
+        # the month stays text: inferring it from folder names would make it a date
+        schema = self.source.raw_sales.schema.add("month", "string")
+        return self.spark.read.schema(schema).parquet(path)
+
     @property
     def raw_sales(self) -> DataFrame:
-        return self.source.raw_sales
+        return self._sales_by_month.drop("month")
 
     @property
     def raw_history(self) -> DataFrame:
-        return self.raw_sales.filter(F.col("date") <= self.origin)
+        return between(self._sales_by_month, None, self.origin_date).drop("month")
 
     @property
     def sales(self) -> DataFrame:
         """Cleaned sales history up to the forecast origin."""
         return ingest_sales(self.raw_history)
 
+    def recent_sales(self, days: int) -> DataFrame:
+        """Cleaned sales of the origin and the `days` days before it."""
+        first = self.origin_date - timedelta(days=days)
+        return ingest_sales(between(self._sales_by_month, first, self.origin_date))
+
     @property
     def later_sales(self) -> DataFrame:
         """What was really sold over the horizon."""
-        return self.raw_sales.filter(F.col("date") > self.origin)
+        first = self.origin_date + timedelta(days=1)
+        return between(self._sales_by_month, first, None).drop("month")
 
     @cached_property
     def transactions(self) -> DataFrame:
@@ -143,7 +159,7 @@ class RetailTables:
             "plan",
             lambda: forecast.number_rows(
                 forecast.assortment_plan(
-                    self.sales, self.later_sales, self.origin, ASSORTMENT_DAYS, self.horizon
+                    self.recent_sales(ASSORTMENT_DAYS), self.later_sales, self.origin, ASSORTMENT_DAYS, self.horizon
                 ),
                 self.origin,
             ),
@@ -151,7 +167,12 @@ class RetailTables:
 
     @cached_property
     def shares(self) -> DataFrame:
-        return self._table("item_shares", lambda: aggregates.item_shares(self.sales, self.items, self.origin))
+        return self._table(
+            "item_shares",
+            lambda: aggregates.item_shares(
+                self.recent_sales(SHARE_LOOKBACK_DAYS), self.items, self.origin
+            ),
+        )
 
     @cached_property
     def family_prediction(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +86,29 @@ def ingest_sales(sales: DataFrame, start: str | None = None) -> DataFrame:
     )
 
 
+def store_by_month(sales: DataFrame, path: str) -> None:
+    """Write sales once in the layout every later pass reads: compact columns, one folder per
+    month.
+
+    The rebalance hint lets adaptive execution cut a hot month into several files and merge
+    thin months, whatever their sizes.
+    """
+    month = F.date_format("date", "yyyy-MM")
+    rows = sales.withColumn("month", month).hint("rebalance", "month")
+    rows.write.mode("overwrite").partitionBy("month").parquet(path)
+
+
+def between(sales: DataFrame, first: date | None, last: date | None) -> DataFrame:
+    """Rows of a day range (inclusive); whole months outside it are never opened."""
+    for day, on_day, on_month in (
+        (first, F.col("date") >= F.lit(first), F.col("month") >= F.lit(f"{first:%Y-%m}" if first else None)),
+        (last, F.col("date") <= F.lit(last), F.col("month") <= F.lit(f"{last:%Y-%m}" if last else None)),
+    ):
+        if day is not None:
+            sales = sales.filter(on_day & on_month)
+    return sales
+
+
 def load_catalog(items: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Item catalogue; product names attached when a name table exists."""
     if names is None:
