@@ -56,6 +56,7 @@ SERVING = [
     "transactions",
     "oil",
     "sold",
+    "cube",
     "business",
     "promo_stats",
     "history",
@@ -106,8 +107,8 @@ def main() -> None:
     times["build_serving_tables"] = round(time.perf_counter() - start, 3)
 
     scans = {
-        "daily_business_scan": lambda: aggregates.daily_business(t.sales, t.items, t.prices),
-        "promotion_stats_scan": lambda: aggregates.promo_family_stats(t.sales, t.items),
+        "daily_business_scan": lambda: aggregates.daily_business(t.family_sales, t.items, t.prices),
+        "promotion_stats_scan": lambda: aggregates.promo_family_stats(t.family_sales, t.items),
     }
     for name in HEADLINE:
         start = time.perf_counter()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfcast.constants import DEFAULT_FAMILY_RMSLE, SHARE_LOOKBACK_DAYS
 from shelfcast.functions.expr import clipped, grade
 from shelfcast.functions.running import exact_median, running_total
-from shelfcast.operators.enrich import join_prices
+from shelfcast.operators.enrich import join_prices, with_item_columns
 
 
 def item_store_sales(sales: DataFrame) -> DataFrame:
@@ -22,17 +22,21 @@ def forecast_by_family(forecasts: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def daily_business(sales: DataFrame, items: DataFrame, prices: DataFrame) -> DataFrame:
-    """Revenue, returns and cost of goods by day and store.
+def daily_cube(sales: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows and units per (day, store, family, perishable, promotion flag).
 
-    Units are summed by (day, store, family) first, so prices join a small table; cost
-    counts net units only.
+    One pass over the facts feeds business figures, promotion statistics and history.
     """
-    by_family = (
-        sales.join(items.select("item_nbr", "family"), "item_nbr", "left")
-        .groupBy("date", "store_nbr", "family")
-        .agg(F.sum("unit_sales").alias("_units"))
+    return (
+        with_item_columns(sales, items, "family", "perishable")
+        .groupBy("date", "store_nbr", "family", "perishable", "onpromotion")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("unit_sales").alias("units"))
     )
+
+
+def business_of(cube: DataFrame, prices: DataFrame) -> DataFrame:
+    """Revenue, returns and cost of goods by day and store; cost counts net units only."""
+    by_family = cube.groupBy("date", "store_nbr", "family").agg(F.sum("units").alias("_units"))
     priced = join_prices(by_family, prices)
     gross = F.col("_units") * F.col("unit_price")
     returned = gross * F.col("return_rate")
@@ -42,17 +46,18 @@ def daily_business(sales: DataFrame, items: DataFrame, prices: DataFrame) -> Dat
     )
 
 
-def promo_family_stats(sales: DataFrame, items: DataFrame) -> DataFrame:
+def daily_business(sales: DataFrame, items: DataFrame, prices: DataFrame) -> DataFrame:
+    return business_of(daily_cube(sales, items), prices)
+
+
+def promotions_of(cube: DataFrame) -> DataFrame:
     """Item-day rows, units and distinct days per (store, family, promotion flag).
 
     Rows are first reduced to days, which makes the distinct count a plain count.
     """
     keys = ["store_nbr", "family", "onpromotion"]
-    by_day = (
-        sales.join(items.select("item_nbr", "family"), "item_nbr")
-        .groupBy(*keys, "date")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.sum("unit_sales").alias("_units"))
-    )
+    known = cube.filter(F.col("family").isNotNull())
+    by_day = known.groupBy(*keys, "date").agg(F.sum("n_rows").alias("_rows"), F.sum("units").alias("_units"))
     return by_day.groupBy(*keys).agg(
         F.sum("_rows").alias("item_day_rows"),
         F.sum("_units").alias("total_units"),
@@ -60,6 +65,16 @@ def promo_family_stats(sales: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def promo_family_stats(sales: DataFrame, items: DataFrame) -> DataFrame:
+    return promotions_of(daily_cube(sales, items))
+
+
+def history_of(cube: DataFrame) -> DataFrame:
+    """Units by day, family and perishable flag."""
+    known = cube.filter(F.col("family").isNotNull())
+    return known.groupBy("date", "family", "perishable").agg(F.sum("units").alias("unit_sales"))
+
+
 def item_windows(sales: DataFrame, year: int, last_day: Column, days: int = SHARE_LOOKBACK_DAYS) -> DataFrame:
     """Four sums per item in one pass: one year, all time, the last window, the one before."""
     units, day = F.col("unit_sales"), F.col("date")

@@ -122,7 +122,8 @@ def promotion_impact(stats: DataFrame, per_family: bool = True) -> DataFrame:
 
 
 def promotion_days_all_families(sales: DataFrame) -> DataFrame:
-    """Days with any promoted sale per store (a day counts once, however many families)."""
+    """Days with any promoted sale per store (a day counts once, however many families);
+    works on sales or on the daily cube."""
     return sales.filter("onpromotion = 1").groupBy("store_nbr").agg(
         F.count_distinct("date").alias("promo_days")
     )

@@ -30,6 +30,15 @@ def star(sales: DataFrame, stores: DataFrame, items: DataFrame, oil: DataFrame)
     )
 
 
+def with_item_columns(sales: DataFrame, items: DataFrame, *columns: str) -> DataFrame:
+    """Sales with item attributes; no join when the sales already carry them.
+
+    Items outside the catalogue keep their rows, with nulls.
+    """
+    missing = [c for c in columns if c not in sales.columns]
+    return sales.join(items.select("item_nbr", *missing), "item_nbr", "left") if missing else sales
+
+
 def join_holidays(df: DataFrame, holidays: DataFrame) -> DataFrame:
     """National, then regional (by state), then local (by city) holiday of each row.
 

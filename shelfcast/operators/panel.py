@@ -15,7 +15,7 @@ from shelfcast.operators.clean import (
     with_quake_flag,
     with_target,
 )
-from shelfcast.operators.enrich import join_holidays, transactions_lag
+from shelfcast.operators.enrich import join_holidays, transactions_lag, with_item_columns
 
 PANEL_KEYS = [*SERIES_KEYS, "date"]
 
@@ -24,7 +24,7 @@ def to_family(sales: DataFrame, items: DataFrame) -> DataFrame:
     """Roll items up to families before any other join, so the dimension joins that
     follow touch panel rows instead of fact rows."""
     return (
-        sales.join(items.select("item_nbr", "family", "perishable"), "item_nbr", "left")
+        with_item_columns(sales, items, "family", "perishable")
         .groupBy(*PANEL_KEYS)
         .agg(
             F.sum("unit_sales").alias("unit_sales"),
@@ -75,51 +75,60 @@ def future_skeleton(
 
 def _known(panel: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Known value of each column per key; the largest if a key has several, which unlike
-    the first row's does not depend on row order."""
-    return panel.groupBy(*keys).agg(*[F.max(c).alias(f"_{c}") for c in columns])
+    the first row's does not depend on row order.
+
+    Distinct first: that is a hash aggregation, while a maximum of text would sort the panel.
+    """
+    values = panel.select(*keys, *columns).distinct()
+    return values.groupBy(*keys).agg(*[F.max(c).alias(f"_{c}") for c in columns])
 
 
 def complete_panel(panel: DataFrame, check: bool = True) -> DataFrame:
     """Add the missing days of each series as zero sales, from its first day to the last
     day of the panel, and mark real days with `observed`.
 
-    Columns of an added day come from the same store, series, date or store-day.
+    Columns of an added day come from the same store, series, store-day or date.  Store and
+    series values are attached to the list of series, before it is spread over the days.
     """
     if check:
         assert_unique(panel, PANEL_KEYS, "complete_panel")
-    last_day = panel.agg(F.max("date")).scalar()
-    starts = panel.groupBy(*SERIES_KEYS).agg(F.min("date").alias("_start"))
-    grid = daily_spine(starts, SERIES_KEYS, F.col("_start"), last_day)
-    out = grid.join(panel.withColumn("observed", F.lit(True)), PANEL_KEYS, "left")
-
     have = set(panel.columns)
     by_store = [c for c in ("city", "state", "type", "cluster") if c in have]
     by_series = [c for c in ("perishable",) if c in have]
-    by_date = [c for c in ("oil_price", "is_earthquake_period") if c in have]
     by_store_day = [c for c in ("holiday_type", "transactions", "transactions_lag1") if c in have]
 
-    lookups = [(["store_nbr"], by_store), (SERIES_KEYS, by_series), (["store_nbr", "date"], by_store_day)]
+    last_day = panel.agg(F.max("date")).scalar()
+    spans = [F.min("date").alias("_start"), *[F.max(c).alias(f"_{c}") for c in by_series]]
+    names = panel.groupBy(*SERIES_KEYS).agg(*spans)
+    if by_store:
+        names = names.join(_known(panel, ["store_nbr"], by_store), "store_nbr", "left")
+    statics = [f"_{c}" for c in [*by_series, *by_store]]
+    grid = daily_spine(names, [*SERIES_KEYS, *statics], F.col("_start"), last_day)
+    out = grid.join(panel.withColumn("observed", F.lit(True)), PANEL_KEYS, "left")
     filled = {"observed": F.coalesce("observed", F.lit(False))}
-    for keys, columns in lookups:
-        if columns:
-            out = out.join(_known(panel, keys, columns), keys, "left")
-            filled |= {c: F.coalesce(c, f"_{c}") for c in columns}
-    day_rows = []
-    if "oil_price" in by_date:
-        day_rows.append(F.max("oil_price").alias("_oil_price"))
-        filled["oil_price"] = F.coalesce("oil_price", "_oil_price")
-    if "is_earthquake_period" in by_date:
-        day_rows.append(F.bool_or("is_earthquake_period").alias("_is_earthquake_period"))
-        filled["is_earthquake_period"] = F.coalesce("is_earthquake_period", "_is_earthquake_period", F.lit(False))
-    if "holiday_type" in by_store_day:
-        # a day some other store marks as a holiday is one here too
-        marked = F.when(F.col("holiday_type") != NORMAL_DAY, F.col("holiday_type"))
-        day_rows.append(F.min(marked).alias("_day_holiday"))
-        filled["holiday_type"] = F.coalesce(
-            "holiday_type", "_holiday_type", "_day_holiday", F.lit(NORMAL_DAY)
-        )
-    if day_rows:
-        out = out.join(panel.groupBy("date").agg(*day_rows), "date", "left")
+    filled |= {c: F.coalesce(c, f"_{c}") for c in [*by_series, *by_store]}
+
+    if by_store_day:
+        out = out.join(_known(panel, ["store_nbr", "date"], by_store_day), ["store_nbr", "date"], "left")
+        filled |= {c: F.coalesce(c, f"_{c}") for c in by_store_day}
+    day_columns = [c for c in ("oil_price", "is_earthquake_period", "holiday_type") if c in have]
+    if day_columns:
+        day_rows = []
+        if "oil_price" in have:
+            day_rows.append(F.max("oil_price").alias("_oil_price"))
+            filled["oil_price"] = F.coalesce("oil_price", "_oil_price")
+        if "is_earthquake_period" in have:
+            day_rows.append(F.bool_or("is_earthquake_period").alias("_quake"))
+            filled["is_earthquake_period"] = F.coalesce("is_earthquake_period", "_quake", F.lit(False))
+        if "holiday_type" in have:
+            # a day some other store marks as a holiday is one here too
+            marked = F.when(F.col("holiday_type") != NORMAL_DAY, F.col("holiday_type"))
+            day_rows.append(F.min(marked).alias("_day_holiday"))
+            filled["holiday_type"] = F.coalesce(
+                "holiday_type", "_holiday_type", "_day_holiday", F.lit(NORMAL_DAY)
+            )
+        by_day = panel.select("date", *day_columns).distinct().groupBy("date").agg(*day_rows)
+        out = out.join(by_day, "date", "left")
     filled["target"] = clipped(F.coalesce("target", F.lit(0.0)))
     if "unit_sales" in have:
         filled["unit_sales"] = F.coalesce("unit_sales", F.lit(0.0))

@@ -199,7 +199,7 @@ def family_history_export(t: RetailTables):
     """,
 )
 def family_history_export_compact(t: RetailTables):
-    return tables.family_history(t.sales, t.items, perishable="max")
+    return tables.family_history(t.family_sales, t.items, perishable="max")
 
 
 @query(

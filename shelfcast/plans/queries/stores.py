@@ -107,7 +107,7 @@ def promotion_impact_store(t: RetailTables):
     "SELECT store_nbr, count(DISTINCT date) AS promo_days FROM v_sales WHERE onpromotion = 1 GROUP BY store_nbr",
 )
 def promotion_days(t: RetailTables):
-    return business.promotion_days_all_families(t.sales)
+    return business.promotion_days_all_families(t.cube)
 
 
 @query(

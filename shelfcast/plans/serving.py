@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from shelfcast.constants import HORIZON_DAYS, SHARE_LOOKBACK_DAYS
 from shelfcast.functions.durable import shared_dir
 from shelfcast.operators import aggregates, clean, forecast, inventory, panel
+from shelfcast.operators.enrich import with_item_columns
 from shelfcast.sources.raw import between, ingest_sales, store_by_month
-from shelfcast.sources.tables import family_history, materialize, path_exists
+from shelfcast.sources.tables import materialize, path_exists
 from shelfcast.sources.testdata import OrderTables
 
 ASSORTMENT_DAYS = 90
+SALES_COLUMNS = ["date", "store_nbr", "item_nbr", "unit_sales", "onpromotion"]
 
 
 class RetailTables:
@@ -71,37 +73,45 @@ class RetailTables:
 
     @cached_property
     def _sales_by_month(self) -> DataFrame:
-        """All sales, joined to their store once and laid out by month."""
+        """All sales with store, family and perishable flag, joined once, laid out by month."""
+        rows = with_item_columns(self.source.raw_sales, self.items, "family", "perishable")
         path = f"{self.root}/sales_by_month"
         if not path_exists(self.spark, f"{path}/_SUCCESS"):
-            store_by_month(self.source.raw_sales, path)
+            store_by_month(rows, path)
         # the month stays text: inferring it from folder names would make it a date
-        schema = self.source.raw_sales.schema.add("month", "string")
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(rows.schema.add("month", "string")).parquet(path)
 
     @property
     def raw_sales(self) -> DataFrame:
-        return self._sales_by_month.drop("month")
+        return self._sales_by_month.select(*SALES_COLUMNS)
 
     @property
-    def raw_history(self) -> DataFrame:
+    def raw_family_history(self) -> DataFrame:
         return between(self._sales_by_month, None, self.origin_date).drop("month")
 
+    @property
+    def raw_history(self) -> DataFrame:
+        return self.raw_family_history.select(*SALES_COLUMNS)
+
+    @property
+    def family_sales(self) -> DataFrame:
+        """Cleaned sales history up to the forecast origin, with family and perishable flag."""
+        return ingest_sales(self.raw_family_history)
+
     @property
     def sales(self) -> DataFrame:
-        """Cleaned sales history up to the forecast origin."""
-        return ingest_sales(self.raw_history)
+        return self.family_sales.select(*SALES_COLUMNS)
 
     def recent_sales(self, days: int) -> DataFrame:
-        """Cleaned sales of the origin and the `days` days before it."""
+        """Cleaned sales of the origin and the `days` days before it, with family columns."""
         first = self.origin_date - timedelta(days=days)
-        return ingest_sales(between(self._sales_by_month, first, self.origin_date))
+        return ingest_sales(between(self._sales_by_month, first, self.origin_date)).drop("month")
 
     @property
     def later_sales(self) -> DataFrame:
         """What was really sold over the horizon."""
         first = self.origin_date + timedelta(days=1)
-        return between(self._sales_by_month, first, None).drop("month")
+        return between(self._sales_by_month, first, None).select(*SALES_COLUMNS)
 
     @cached_property
     def transactions(self) -> DataFrame:
@@ -123,20 +133,25 @@ class RetailTables:
     def sold(self) -> DataFrame:
         return self._table("item_store_sales", lambda: aggregates.item_store_sales(self.sales))
 
+    @cached_property
+    def cube(self) -> DataFrame:
+        """Rows and units per day, store, family, perishable and promotion flag."""
+        return self._table("daily_cube", lambda: aggregates.daily_cube(self.family_sales, self.items))
+
     @cached_property
     def business(self) -> DataFrame:
         return self._table(
-            "daily_business", lambda: aggregates.daily_business(self.sales, self.items, self.prices)
+            "daily_business", lambda: aggregates.business_of(self.cube, self.prices)
         )
 
     @cached_property
     def promo_stats(self) -> DataFrame:
-        return self._table("promo_family_stats", lambda: aggregates.promo_family_stats(self.sales, self.items))
+        return self._table("promo_family_stats", lambda: aggregates.promotions_of(self.cube))
 
     @cached_property
     def history(self) -> DataFrame:
         """Units by day, family and perishable flag."""
-        return self._table("family_history", lambda: family_history(self.sales, self.items))
+        return self._table("family_history", lambda: aggregates.history_of(self.cube))
 
     # ---- panel and forecasts
 
@@ -145,7 +160,7 @@ class RetailTables:
         return self._table(
             "family_panel",
             lambda: panel.build_family_panel(
-                self.raw_history, self.stores, self.items, self.oil, self.holidays, self.transactions
+                self.raw_family_history, self.stores, self.items, self.oil, self.holidays, self.transactions
             ),
         )
 

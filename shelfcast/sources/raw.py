@@ -74,15 +74,17 @@ def read_raw(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ingest_sales(sales: DataFrame, start: str | None = None) -> DataFrame:
-    """Sales history for serving: from `start`, promotion 0/1, negative units to 0."""
+    """Sales history for serving: from `start`, promotion 0/1, negative units to 0.
+
+    Other columns pass through.
+    """
     if start:
         sales = sales.filter(F.col("date") >= F.lit(start).cast("date"))
-    return sales.select(
-        "date",
-        "store_nbr",
-        "item_nbr",
-        clipped(F.coalesce("unit_sales", F.lit(0.0))).alias("unit_sales"),
-        F.coalesce(F.col("onpromotion").cast("int"), F.lit(0)).alias("onpromotion"),
+    return sales.withColumns(
+        {
+            "unit_sales": clipped(F.coalesce("unit_sales", F.lit(0.0))),
+            "onpromotion": F.coalesce(F.col("onpromotion").cast("int"), F.lit(0)),
+        }
     )
 
 

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.operators.enrich import with_item_columns
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -48,7 +50,7 @@ def publish(df: DataFrame, name: str, root: str) -> str:
 
 def family_history(sales: DataFrame, items: DataFrame, perishable: str = "group") -> DataFrame:
     """Units by day and family: perishable as a grouping key, or its maximum."""
-    joined = sales.join(items.select("item_nbr", "family", "perishable"), "item_nbr")
+    joined = with_item_columns(sales, items, "family", "perishable").filter(F.col("family").isNotNull())
     if perishable == "group":
         return joined.groupBy("date", "family", "perishable").agg(F.sum("unit_sales").alias("unit_sales"))
     return joined.groupBy("date", "family").agg(
