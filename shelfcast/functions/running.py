@@ -26,12 +26,10 @@ def running_total(
     `order` must be unique inside a group.  Runs one job: the range cut is written to the
     checkpoint folder so that both uses below see the same partitions.
     """
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g) for g in group]
-    cut_rows = cut(
-        df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id())
-    )
+    by = [*[F.col(g) for g in group], *order]
+    # without a number, adaptive execution merges small neighbouring ranges
+    ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
+    cut_rows = cut(ranged.withColumn("_slice", F.spark_partition_id()))
     per_slice = cut_rows.groupBy(*group, "_slice").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = per_slice.select(

@@ -292,7 +292,7 @@ def family_mix_gap(sold: DataFrame, items: DataFrame, prices: DataFrame) -> Data
     by_family = value.groupBy("family").agg(F.sum("_value").alias("_family"))
     chain = value.agg(F.sum("_value")).scalar()
     store_share = F.col("_value") / F.col("_store") * 100.0
-    chain_share = F.col("_family") / chain * 100.0
+    chain_share = F.col("_family") / F.nullif(chain, F.lit(0.0)) * 100.0
     joined = value.join(by_store.filter("_store > 0"), "store_nbr").join(by_family, "family")
     return joined.select(
         "store_nbr",

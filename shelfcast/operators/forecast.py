@@ -133,19 +133,29 @@ def add_sums(sums: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _solve(rows: pd.DataFrame) -> pd.DataFrame:
+def _solver():
+    """Batch solver of small ridge systems.
+
+    A nested function travels to the workers by value, so they need numpy and pandas but
+    not this package.
+    """
     p = len(LOCAL_FEATURES)
-    upper = np.triu_indices(p)
-    out = []
-    for r in rows.itertuples(index=False):
-        gram = np.zeros((p, p))
-        gram[upper] = r.gram
-        gram = gram + gram.T - np.diag(np.diag(gram))
-        shrink = np.full(p, r.ridge)
-        shrink[0] = 1e-9  # the intercept is not shrunk
-        coef = np.linalg.solve(gram + np.diag(shrink), np.asarray(r.cross, dtype=float))
-        out.append((r.family, int(r.n_rows), float(r.ridge), coef.tolist()))
-    return pd.DataFrame(out, columns=["family", "n_rows", "ridge", "coef"])
+
+    def solve(batches):
+        upper = np.triu_indices(p)
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                gram = np.zeros((p, p))
+                gram[upper] = r.gram
+                gram = gram + gram.T - np.diag(np.diag(gram))
+                shrink = np.full(p, r.ridge)
+                shrink[0] = 1e-9  # the intercept is not shrunk
+                coef = np.linalg.solve(gram + np.diag(shrink), np.asarray(r.cross, dtype=float))
+                out.append((r.family, int(r.n_rows), float(r.ridge), coef.tolist()))
+            yield pd.DataFrame(out, columns=["family", "n_rows", "ridge", "coef"])
+
+    return solve
 
 
 def solve_families(sums: DataFrame, ridge: Column | None = None) -> DataFrame:
@@ -158,9 +168,7 @@ def solve_families(sums: DataFrame, ridge: Column | None = None) -> DataFrame:
         "ridge", default if ridge is None else ridge
     )
     schema = "family string, n_rows long, ridge double, coef array<double>"
-    return ready.select("family", "n_rows", "ridge", "gram", "cross").mapInPandas(
-        lambda batches: (_solve(b) for b in batches), schema
-    )
+    return ready.select("family", "n_rows", "ridge", "gram", "cross").mapInPandas(_solver(), schema)
 
 
 def linear_score(coef: str = "coef") -> Column:
@@ -209,7 +217,7 @@ def search_ridge(panel: DataFrame, grid: list[float], gain: float = 0.01) -> Dat
         F.max(F.when(F.col("trial") == "default", F.col("ridge"))).alias("default_ridge"),
         F.min(F.struct("rmsle", "ridge")).alias("_best"),
     )
-    better = (F.col("default_rmsle") - F.col("_best.rmsle")) / F.col("default_rmsle")
+    better = (F.col("default_rmsle") - F.col("_best.rmsle")) / F.nullif("default_rmsle", F.lit(0.0))
     accepted = F.coalesce(better >= gain, F.lit(False))
     return best.select(
         "family",

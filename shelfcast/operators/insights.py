@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.expr import pct_change
+from shelfcast.functions.expr import pct_change, ratio
 from shelfcast.functions.ranking import top_k
 from shelfcast.operators.aggregates import period_family_units, period_units
 
@@ -66,11 +66,11 @@ def insights(history: DataFrame, grain: str = "month") -> DataFrame:
     worst = change.agg(F.min(F.struct("change_pct", "family")).alias("b")).select("b.*")
     daily = history.groupBy("date").agg(F.sum("unit_sales").alias("units"))
     peak = daily.agg(F.max_by("date", F.struct("units", -F.unix_date("date"))).alias("d"), F.max("units").alias("v"))
-    share = periods.agg((F.sum("perishable_units") / F.sum("total") * 100.0).alias("v"))
+    share = periods.agg(ratio(F.sum("perishable_units") * 100.0, F.sum("total")).alias("v"))
     families = history.groupBy("family").agg(F.sum("unit_sales").alias("units"))
     leader = families.agg(
         F.max(F.struct("units", "family")).alias("b"), F.sum("units").alias("all")
-    ).select("b.family", (F.col("b.units") / F.col("all") * 100.0).alias("v"))
+    ).select("b.family", ratio(F.col("b.units") * 100.0, F.col("all")).alias("v"))
     growth = top_k(
         period_growth(periods).withColumn("_all", F.lit(1)), ["_all"], [F.desc("period")], 1
     )

@@ -86,7 +86,7 @@ def perishable_risk(position_rows: DataFrame, k: int = 10) -> DataFrame:
     """`stockout_risk` for perishable items, with days of cover."""
     fresh = position_rows.filter(F.col("perishable") == 1)
     return stockout_risk(fresh, k).withColumn(
-        "days_of_cover", F.col("current_stock") / (F.col("forecast") / HORIZON_DAYS)
+        "days_of_cover", ratio(F.col("current_stock"), F.col("forecast") / HORIZON_DAYS)
     )
 
 
@@ -241,7 +241,7 @@ def inventory_health(
 def overstock(position_rows: DataFrame) -> DataFrame:
     """Items whose stock covers more than 30 days of their own demand."""
     held = position_rows.filter((F.col("current_stock") > 0) & (F.col("forecast") > 0))
-    cover = F.col("current_stock") / (F.col("forecast") / HORIZON_DAYS)
+    cover = ratio(F.col("current_stock"), F.col("forecast") / HORIZON_DAYS)
     return held.withColumn("cover_days", cover).filter(F.col("cover_days") > OVERSTOCK_DAYS)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,24 +72,29 @@ def with_defaults(overrides: DataFrame) -> DataFrame:
     return out
 
 
-def check_overrides(overrides: DataFrame) -> DataFrame:
-    """Add `rejected`: the names of parameters outside their range, empty when valid."""
+def _problems() -> dict[str, Column]:
+    """Per parameter: is its value outside the allowed range?"""
 
-    def problem(name: str, low, high, nullable: bool) -> Column:
+    def outside(name: str, low, high, nullable: bool) -> Column:
         value = F.col(name).cast("double")
         bad = F.isnan(value) | (F.abs(value) == float("inf")) | (value < low)
         if high is not None:
             bad = bad | (value > high)
-        bad = F.coalesce(bad, F.lit(not nullable))
-        return F.when(bad, F.lit(name))
+        return F.coalesce(bad, F.lit(not nullable))
+
+    found = {r[0]: outside(*r) for r in PARAMETER_RANGES}
+    found["event_type"] = ~F.coalesce(F.col("event_type").isin(EVENTS), F.lit(False))
+    return found
 
-    checks = [problem(*r) for r in PARAMETER_RANGES]
-    checks.append(F.when(~F.coalesce(F.col("event_type").isin(EVENTS), F.lit(False)), F.lit("event_type")))
-    return overrides.withColumn("rejected", F.array_compact(F.array(*checks)))
+
+def check_overrides(overrides: DataFrame) -> DataFrame:
+    """Add `rejected`: the names of parameters outside their range, empty when valid."""
+    named = [F.when(bad, F.lit(name)) for name, bad in _problems().items()]
+    return overrides.withColumn("rejected", F.array_compact(F.array(*named)))
 
 
 def valid_overrides(overrides: DataFrame) -> DataFrame:
-    return check_overrides(overrides).filter(F.size("rejected") == 0).drop("rejected")
+    return overrides.filter(~reduce(lambda a, b: a | b, _problems().values()))
 
 
 def rejected_overrides(overrides: DataFrame) -> DataFrame:

@@ -79,13 +79,15 @@ def complete_panel(t: RetailTables):
 
 
 CALENDAR_SQL = """
-    SELECT date, isodow(date) - 1 AS dayofweek, month(date) AS month,
+    SELECT date, CAST(isodow(date) - 1 AS INTEGER) AS dayofweek, CAST(month(date) AS INTEGER) AS month,
            CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
-           day(date) AS dayofmonth, (day(date) - 1) // 7 + 1 AS weekofmonth, dayofyear(date) AS dayofyear,
+           CAST(day(date) AS INTEGER) AS dayofmonth, CAST((day(date) - 1) // 7 + 1 AS INTEGER) AS weekofmonth,
+           CAST(dayofyear(date) AS INTEGER) AS dayofyear,
            CASE WHEN day(date) = 15 OR date = last_day(date) THEN 1 ELSE 0 END AS is_payday,
            CASE WHEN day(date) IN (1, 16) THEN 1 ELSE 0 END AS is_day_after_payday,
-           day(date) - CASE WHEN day(date) >= 15 THEN 15 ELSE 0 END AS days_from_payday,
-           CASE WHEN day(date) < 15 THEN 15 ELSE day(last_day(date)) END - day(date) AS days_to_payday,
+           CAST(day(date) - CASE WHEN day(date) >= 15 THEN 15 ELSE 0 END AS INTEGER) AS days_from_payday,
+           CAST(CASE WHEN day(date) < 15 THEN 15 ELSE day(last_day(date)) END - day(date) AS INTEGER)
+               AS days_to_payday,
            CASE WHEN day(date) <= 3 THEN 1 ELSE 0 END AS is_month_start,
            CASE WHEN day(last_day(date)) - day(date) <= 2 THEN 1 ELSE 0 END AS is_month_end
     FROM (SELECT DISTINCT date FROM v_panel)
@@ -102,7 +104,7 @@ def calendar_features(t: RetailTables):
     "back_to_school",
     "P10",
     """
-    SELECT store_nbr, month(date) AS month,
+    SELECT store_nbr, CAST(month(date) AS INTEGER) AS month,
            max(CASE WHEN (state IN ('AMERICA', 'ASIA') AND month(date) IN (4, 5))
                       OR (state NOT IN ('AMERICA', 'ASIA') AND month(date) IN (8, 9)) THEN 1 ELSE 0 END)
                AS is_back_to_school, count(*) AS n_rows

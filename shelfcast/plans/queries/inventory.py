@@ -557,7 +557,7 @@ def daily_forecast(t: RetailTables):
     "A13",
     f"""
     SELECT {d("min(date)")} AS date_from, {d("max(date)")} AS date_to,
-           greatest(DATE '2001-11-10' - max(date), 0) AS days_behind,
+           CAST(greatest(DATE '2001-11-10' - max(date), 0) AS INTEGER) AS days_behind,
            greatest(DATE '2001-11-10' - max(date), 0) > 0 AS is_stale FROM v_forecasts
     """,
 )

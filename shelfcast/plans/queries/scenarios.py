@@ -42,7 +42,7 @@ OVERRIDES_SQL = """
 
 def _overrides(t: RetailTables):
     s = F.col("store_nbr")
-    raw = t.panel.select(*SERIES_KEYS).distinct().select(
+    raw = t.family_prediction.select(*SERIES_KEYS).distinct().select(
         (s * 100 + F.ascii("family") + F.length("family")).cast("long").alias("scenario_id"),
         "store_nbr",
         "family",

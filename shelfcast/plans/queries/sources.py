@@ -366,7 +366,7 @@ def holidays_observed(t: RetailTables):
     "panel_gaps",
     "P25 P24",
     """
-    SELECT store_nbr, family, count(*) AS n_days, max(date) - min(date) + 1 AS span_days,
+    SELECT store_nbr, family, count(*) AS n_days, CAST(max(date) - min(date) + 1 AS INTEGER) AS span_days,
            count(*) < (max(date) - min(date) + 1) * 0.95 AS has_gaps
     FROM v_family_panel GROUP BY store_nbr, family
     """,

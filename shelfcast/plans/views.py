@@ -107,7 +107,7 @@ VIEWS = {
         WHERE NOT (r.unit_sales < 0 AND abs(r.unit_sales) > item_max)""",
     "v_traffic_lag": """
         SELECT store_nbr, date,
-               lag(n_invoices) OVER (PARTITION BY store_nbr ORDER BY date) AS transactions_lag1
+               CAST(lag(n_invoices) OVER (PARTITION BY store_nbr ORDER BY date) AS INTEGER) AS transactions_lag1
         FROM v_transactions""",
     "v_family_panel": """
         SELECT p.store_nbr, p.family, p.date, p.unit_sales, p.onpromotion, p.perishable,
@@ -198,7 +198,7 @@ VIEWS = {
     "v_inventory": """
         SELECT store_nbr, item_nbr,
                greatest(floor(daily_demand * coverage_days + 0.5 + 1e-9), 0) AS current_stock,
-               lead_time_days
+               CAST(lead_time_days AS INTEGER) AS lead_time_days
         FROM v_demand JOIN v_policy USING (store_nbr, item_nbr)""",
     "v_position": """
         SELECT d.store_nbr, d.item_nbr, d.forecast, d.daily_demand, v.current_stock, v.lead_time_days,

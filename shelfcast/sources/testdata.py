@@ -40,6 +40,18 @@ HOLIDAYS = [
 COAST = ["AMERICA", "ASIA"]
 
 
+def fixed_rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A short fixed list as a local relation, whose size the planner knows."""
+
+    def literal(v) -> str:
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return f"{v}D" if isinstance(v, float) else str(v)
+
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 class OrderTables:
     """Retail views over one folder of order tables; every property is a lazy plan."""
 
@@ -113,16 +125,12 @@ class OrderTables:
 
     @property
     def prices(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            TYPE_PRICES, "family string, unit_price double, cost_ratio double, return_rate double"
-        )
+        return fixed_rows(self.spark, TYPE_PRICES, "family, unit_price, cost_ratio, return_rate")
 
     @property
     def holidays(self) -> DataFrame:
-        rows = self.spark.createDataFrame(
-            HOLIDAYS,
-            "date string, type string, locale string, locale_name string, description string, transferred boolean",
-        )
+        columns = "date, type, locale, locale_name, description, transferred"
+        rows = fixed_rows(self.spark, HOLIDAYS, columns)
         return rows.withColumn("date", F.to_date("date"))
 
     @property
