@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from shelfcast.constants import FEATURE_SPEC_VERSION
 from shelfcast.functions.expr import log_target, unlog_target
 from shelfcast.operators.features import extended_features, impute
-from shelfcast.operators.metrics import best_weight, blend_sums, sample_weight
+from shelfcast.operators.metrics import best_weight, blend_rmsle, blend_sums, sample_weight
 
 NUMERIC = [
     "slog_roll_mean7",
@@ -135,6 +136,40 @@ def fit_ensemble(rows: DataFrame, last_day: Column, iterations: int = 10, seeds:
     return Ensemble(trees, fit_linear(full), float(weight))
 
 
+def search_trees(
+    rows: DataFrame,
+    train_end: Column,
+    val_end: Column,
+    grid: list[dict[str, int]],
+    default: dict[str, int],
+    gain: float = 0.01,
+    parallelism: int = 2,
+) -> tuple[dict[str, int], DataFrame]:
+    """Try tree settings on one time split; a setting replaces the default only if its blend
+    with the linear member is at least `gain` better.
+
+    Each trial is a distributed fit; a few run at once, as in Spark's own tuning.
+    """
+    train = rows.filter(F.col("date") <= train_end).withColumn("weight", sample_weight(train_end))
+    val = rows.filter((F.col("date") > train_end) & (F.col("date") <= val_end))
+    linear = fit_linear(train)
+
+    def trial(number: int, params: dict[str, int]) -> tuple:
+        scored = score(score(val, [fit_trees(train, 7, **params)], "tree_log"), [linear], "linear_log")
+        sums = blend_sums(scored, [], "target", "tree_log", "linear_log")
+        fitted = sums.withColumn("w", best_weight()).select("w", blend_rmsle(F.col("w")).alias("e")).first()
+        return number, str(params), float(fitted["w"]), float(fitted["e"])
+
+    settings = [default, *grid]
+    with ThreadPoolExecutor(parallelism) as pool:
+        results = list(pool.map(trial, range(len(settings)), settings))
+    base = results[0][3]
+    best = min(results, key=lambda r: (r[3], r[0]))
+    accepted = base > 0 and (base - best[3]) / base >= gain
+    report = rows.sparkSession.createDataFrame(results, "trial int, params string, weight double, rmsle double")
+    return (settings[best[0]] if accepted else default), report
+
+
 def forecast_direct(history: DataFrame, future: DataFrame, ensemble: Ensemble, min_lag: int) -> DataFrame:
     """One-shot forecast: features that look back at least `min_lag` days exist for every
     future day, so one transform scores them all."""

@@ -318,7 +318,7 @@ def _global_rows(t: RetailTables, min_lag: int = 28):
         rows = ensemble.model_rows(featured.withColumn("dayofweek", F.weekday("date")), min_lag)
         return rows.select(*KEYS, "target", "perishable", "label", *ensemble.NUMERIC, "type")
 
-    return t._table(f"global_rows_{min_lag}", build)
+    return t.stored(f"global_rows_{min_lag}", build)
 
 
 @query("ensemble_fold_scores", "M4 M5")
@@ -327,7 +327,7 @@ def ensemble_fold_scores(t: RetailTables):
     rows = _global_rows(t)
     end = t.origin
     fold = ensemble.fit_fold(rows, F.date_sub(end, 28), F.date_sub(end, 27), end, seeds=(7, 11), iterations=4)
-    scored = t._table("ensemble_fold", lambda: fold.select(*KEYS, "target", "perishable", "tree_log", "linear_log"))
+    scored = t.stored("ensemble_fold", lambda: fold.select(*KEYS, "target", "perishable", "tree_log", "linear_log"))
     weight = metrics.blend_sums(scored, [], "target", "tree_log", "linear_log").select(metrics.best_weight())
     blended = ensemble.blend(scored, weight.scalar()).withColumnRenamed("prediction", "blend")
     named = blended.select(

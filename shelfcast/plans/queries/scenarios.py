@@ -108,7 +108,7 @@ HISTORY_SQL = """
 
 
 def _history(t: RetailTables):
-    return t._table(
+    return t.stored(
         "scenario_history",
         lambda: scenario.history(
             t.recent_sales(scenario.HISTORY_DAYS), t.stores, t.items, t.oil, t.holidays, t.transactions, t.origin

@@ -111,7 +111,7 @@ def fold_predictions(t: RetailTables):
 
 
 def _stored_folds(t: RetailTables):
-    return t._table("fold_predictions", lambda: fold_predictions(t))
+    return t.stored("fold_predictions", lambda: fold_predictions(t))
 
 
 @query(

@@ -171,7 +171,7 @@ def forecast_load(t: RetailTables):
 def transactions_upsert(t: RetailTables):
     """Two load batches per store-day; the later batch replaces the earlier one."""
     batches = (
-        t.source._lines("l_orderkey", "l_linestatus")
+        t.source.lines("l_orderkey", "l_linestatus")
         .groupBy("date", "store_nbr", F.col("l_linestatus").alias("batch"))
         .agg(F.count_distinct("l_orderkey").alias("n_invoices"))
     )

@@ -28,15 +28,25 @@ SALES_COLUMNS = ["date", "store_nbr", "item_nbr", "unit_sales", "onpromotion"]
 
 
 class RetailTables:
-    def __init__(self, spark: SparkSession, folder: str, root: str | None = None, horizon: int = HORIZON_DAYS):
+    """Lazily built tables over one input folder; `force` rebuilds each on first use."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        root: str | None = None,
+        horizon: int = HORIZON_DAYS,
+        force: bool = False,
+    ):
         self.spark = spark
         self.source = OrderTables(spark, folder)
         self.horizon = horizon
+        self.force = force
         tag = hashlib.sha256(folder.encode()).hexdigest()[:12]
         self.root = root or f"{shared_dir(spark)}/shelfcast-{spark.sparkContext.applicationId}/{tag}"
 
-    def _table(self, name: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-        return materialize(self.spark, build, f"{self.root}/{name}", force)
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return materialize(self.spark, build, f"{self.root}/{name}", self.force)
 
     # ---- dimensions and raw facts (lazy)
 
@@ -76,7 +86,7 @@ class RetailTables:
         """All sales with store, family and perishable flag, joined once, laid out by month."""
         rows = with_item_columns(self.source.raw_sales, self.items, "family", "perishable")
         path = f"{self.root}/sales_by_month"
-        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+        if self.force or not path_exists(self.spark, f"{path}/_SUCCESS"):
             store_by_month(rows, path)
         # the month stays text: inferring it from folder names would make it a date
         return self.spark.read.schema(rows.schema.add("month", "string")).parquet(path)
@@ -115,7 +125,7 @@ class RetailTables:
 
     @cached_property
     def transactions(self) -> DataFrame:
-        return self._table(
+        return self.stored(
             "transactions", lambda: self.source.transactions.filter(F.col("date") <= self.origin)
         )
 
@@ -125,39 +135,39 @@ class RetailTables:
         raw = self.source.oil
         low = raw.agg(F.min("date")).scalar()
         high = F.date_add(self.origin, self.horizon)
-        return self._table("oil", lambda: clean.fill_daily(raw, "dcoilwtico", "oil_price", low, high))
+        return self.stored("oil", lambda: clean.fill_daily(raw, "dcoilwtico", "oil_price", low, high))
 
     # ---- small aggregates
 
     @cached_property
     def sold(self) -> DataFrame:
-        return self._table("item_store_sales", lambda: aggregates.item_store_sales(self.sales))
+        return self.stored("item_store_sales", lambda: aggregates.item_store_sales(self.sales))
 
     @cached_property
     def cube(self) -> DataFrame:
         """Rows and units per day, store, family, perishable and promotion flag."""
-        return self._table("daily_cube", lambda: aggregates.daily_cube(self.family_sales, self.items))
+        return self.stored("daily_cube", lambda: aggregates.daily_cube(self.family_sales, self.items))
 
     @cached_property
     def business(self) -> DataFrame:
-        return self._table(
+        return self.stored(
             "daily_business", lambda: aggregates.business_of(self.cube, self.prices)
         )
 
     @cached_property
     def promo_stats(self) -> DataFrame:
-        return self._table("promo_family_stats", lambda: aggregates.promotions_of(self.cube))
+        return self.stored("promo_family_stats", lambda: aggregates.promotions_of(self.cube))
 
     @cached_property
     def history(self) -> DataFrame:
         """Units by day, family and perishable flag."""
-        return self._table("family_history", lambda: aggregates.history_of(self.cube))
+        return self.stored("family_history", lambda: aggregates.history_of(self.cube))
 
     # ---- panel and forecasts
 
     @cached_property
     def family_panel(self) -> DataFrame:
-        return self._table(
+        return self.stored(
             "family_panel",
             lambda: panel.build_family_panel(
                 self.raw_family_history, self.stores, self.items, self.oil, self.holidays, self.transactions
@@ -166,11 +176,11 @@ class RetailTables:
 
     @cached_property
     def panel(self) -> DataFrame:
-        return self._table("panel", lambda: panel.complete_panel(self.family_panel, check=False))
+        return self.stored("panel", lambda: panel.complete_panel(self.family_panel, check=False))
 
     @cached_property
     def plan(self) -> DataFrame:
-        return self._table(
+        return self.stored(
             "plan",
             lambda: forecast.number_rows(
                 forecast.assortment_plan(
@@ -182,7 +192,7 @@ class RetailTables:
 
     @cached_property
     def shares(self) -> DataFrame:
-        return self._table(
+        return self.stored(
             "item_shares",
             lambda: aggregates.item_shares(
                 self.recent_sales(SHARE_LOOKBACK_DAYS), self.items, self.origin
@@ -192,40 +202,40 @@ class RetailTables:
     @cached_property
     def family_prediction(self) -> DataFrame:
         """Seasonal naive forecast per series, the baseline every question runs on."""
-        return self._table(
+        return self.stored(
             "family_prediction",
             lambda: forecast.seasonal_naive(self.panel, forecast.future_series(self.panel, self.horizon)),
         )
 
     @cached_property
     def forecasts(self) -> DataFrame:
-        return self._table(
+        return self.stored(
             "forecasts",
             lambda: forecast.split_to_items(self.plan, self.items, self.family_prediction, self.shares),
         )
 
     @cached_property
     def family_forecast(self) -> DataFrame:
-        return self._table(
+        return self.stored(
             "forecast_by_family", lambda: aggregates.forecast_by_family(self.forecasts, self.items)
         )
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return self._table(
+        return self.stored(
             "inventory",
             lambda: inventory.derive_inventory(self.forecasts, inventory.default_policy(self.forecasts)),
         )
 
     @cached_property
     def position(self) -> DataFrame:
-        return self._table(
+        return self.stored(
             "position", lambda: inventory.position(self.forecasts, self.inventory, self.items)
         )
 
     @cached_property
     def sku_stats(self) -> DataFrame:
-        return self._table(
+        return self.stored(
             "sku_stats",
             lambda: aggregates.sku_stats(
                 self.sales, self.items, self.forecasts, self.origin_date.year - 1, self.origin
@@ -234,7 +244,7 @@ class RetailTables:
 
     @cached_property
     def planned_promotions(self) -> DataFrame:
-        return self._table(
+        return self.stored(
             "planned_promotions", lambda: aggregates.future_promotions(self.plan, self.items)
         )
 
@@ -244,16 +254,16 @@ class RetailTables:
 
     @cached_property
     def local_models(self) -> DataFrame:
-        return self._table("local_models", lambda: self._local[0])
+        return self.stored("local_models", lambda: self._local[0])
 
     @cached_property
     def local_scores(self) -> DataFrame:
-        return self._table("local_scores", lambda: self._local[1])
+        return self.stored("local_scores", lambda: self._local[1])
 
     @cached_property
     def future(self) -> DataFrame:
         """Future panel rows with drivers, from the plan."""
-        return self._table(
+        return self.stored(
             "future",
             lambda: panel.future_skeleton(self.plan, self.stores, self.items, self.oil, self.holidays),
         )

@@ -85,7 +85,7 @@ class OrderTables:
             F.col("p_name").alias("name"),
         )
 
-    def _lines(self, *columns: str) -> DataFrame:
+    def lines(self, *columns: str) -> DataFrame:
         suppliers = self.read("supplier").select("s_suppkey", "s_nationkey")
         lines = self.read("lineitem").select("l_suppkey", "l_shipdate", *columns)
         return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
@@ -98,7 +98,7 @@ class OrderTables:
         factor = F.when(F.col("l_linenumber") == 7, 10).otherwise(1)
         returned = (F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.085)
         promo = F.when(F.col("l_discount") < 0.005, None).when(F.col("l_discount") > 0.065, 1).otherwise(0)
-        lines = self._lines("l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_linenumber")
+        lines = self.lines("l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_linenumber")
         return lines.select(
             "date",
             "store_nbr",
@@ -110,7 +110,7 @@ class OrderTables:
     @property
     def transactions(self) -> DataFrame:
         """Distinct orders per store and day."""
-        counted = self._lines("l_orderkey").groupBy("date", "store_nbr").agg(
+        counted = self.lines("l_orderkey").groupBy("date", "store_nbr").agg(
             F.count_distinct("l_orderkey").cast("int").alias("n_invoices")
         )
         return counted.withColumn("transactions", F.col("n_invoices"))

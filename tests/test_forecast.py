@@ -128,3 +128,24 @@ def test_tweedie_member_fits(spark, tables):
     rows = ensemble.model_rows(featured, 16).filter(F.col("date") > F.date_sub(tables.origin, 60))
     model = ensemble.fit_linear(rows.withColumn("weight", F.lit(1.0)), tweedie=True)
     assert ensemble.score(rows, [model], "p").filter("p IS NULL").isEmpty()
+
+
+@pytest.fixture(scope="module")
+def recent_rows(tables):
+    featured = features.extended_features(tables.panel.drop("transactions_lag1"), 16).withColumn("dayofweek", F.weekday("date"))
+    return ensemble.model_rows(featured, 16).filter(F.col("date") > F.date_sub(tables.origin, 120))
+
+
+def test_early_stopping_uses_marked_rows(tables, recent_rows):
+    marked = recent_rows.withColumn("weight", F.lit(1.0)).withColumn("held", F.col("date") > F.date_sub(tables.origin, 28))
+    model = ensemble.fit_trees(marked, 1, iterations=5, depth=2, early_stop="held")
+    assert 1 <= model.stages[-1].getNumTrees <= 5
+
+
+def test_tree_search_has_an_acceptance_gate(tables, recent_rows):
+    default, other = {"iterations": 2, "depth": 2}, {"iterations": 3, "depth": 3}
+    split = (F.date_sub(tables.origin, 28), tables.origin)
+    chosen, report = ensemble.search_trees(recent_rows, *split, [other], default, gain=0.9)
+    assert chosen == default and report.count() == 2
+    chosen, _ = ensemble.search_trees(recent_rows, *split, [], default)
+    assert chosen == default

@@ -106,3 +106,19 @@ def test_series_features_share_one_exchange(tables):
 def test_no_cross_join_in_any_plan(spark, tables, name):
     plan = plan_of(QUERIES[name].build(tables))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["chat_history", "first_sale_of_day", "top_items_per_store", "stockout_risk"])
+def test_group_limits_run_before_the_shuffle(tables, name):
+    assert "WindowGroupLimit" in plan_of(QUERIES[name].build(tables))
+
+
+def test_recent_scans_open_only_recent_months(tables):
+    plan = plan_of(tables.recent_sales(45).groupBy("store_nbr").count())
+    assert "PartitionFilters: [isnotnull(month" in plan and "(month" in plan
+
+
+def test_python_runs_only_in_the_ridge_solver(tables):
+    users = {n for n in set(QUERIES) - FITS_MODELS - {"retrained_tables"}
+             if "InPandas" in plan_of(QUERIES[n].build(tables)) or "PythonUDF" in plan_of(QUERIES[n].build(tables))}
+    assert users <= {"ridge_search"}

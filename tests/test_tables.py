@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfcast.constants import FAMILY_PRICES
+from shelfcast.functions.durable import shared_dir
 from shelfcast.functions.expr import check_number, finite, grade
 from shelfcast.operators import business, dashboards, enrich, inventory, scope
+from shelfcast.plans.serving import RetailTables
 from shelfcast.sources import raw, tables as store
 
 
@@ -82,6 +84,36 @@ def test_metadata_round_trip(spark):
     assert back.collect() == df.collect()
 
 
+class _Session:
+    """The two things `shared_dir` asks a session for."""
+
+    def __init__(self, master, named=None):
+        self.conf = self
+        self.named = named
+        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})()
+
+    def get(self, key, default):
+        assert key == "spark.checkpoint.dir"
+        return self.named or default
+
+
+def test_shared_folder_comes_from_the_session():
+    assert shared_dir(_Session("spark://host:7077", "hdfs:///ckpt")) == "hdfs:///ckpt"
+    with pytest.raises(RuntimeError):
+        shared_dir(_Session("spark://host:7077"))
+    assert shared_dir(_Session("local[2]")) == shared_dir(_Session("local[2]"))
+
+
+def test_forced_tables_are_rebuilt(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    first = RetailTables(spark, folder, root=str(tmp_path))
+    n = first.stored("numbers", lambda: spark.range(3)).count()
+    again = RetailTables(spark, folder, root=str(tmp_path))
+    forced = RetailTables(spark, folder, root=str(tmp_path), force=True)
+    assert n == again.stored("numbers", lambda: spark.range(9)).count() == 3
+    assert forced.stored("numbers", lambda: spark.range(9)).count() == 9
+
+
 # ---------------------------------------------------------------- access
 
 
