@@ -1,6 +1,6 @@
 """Run registered queries against their SQL in DuckDB and report differences.
 
-    python tools/check.py [--sf /root/testdata/sf0.01] [name ...]
+    python tools/check.py [--sf /root/testdata/sf0.01] [--partitions 8] [--cores 8] [name ...]
 """
 
 from __future__ import annotations
@@ -42,11 +42,13 @@ def rows_of(columns, rows):
 def main() -> int:
     args = argparse.ArgumentParser()
     args.add_argument("--sf", default="/root/testdata/sf0.01")
+    args.add_argument("--partitions", default="8")
+    args.add_argument("--cores", default="8")
     args.add_argument("names", nargs="*")
     opts = args.parse_args()
     spark = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master(f"local[{opts.cores}]")
+        .config("spark.sql.shuffle.partitions", opts.partitions)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
