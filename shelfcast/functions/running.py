@@ -19,33 +19,41 @@ def running_total(
     order: list[Column],
     value: str,
     out: str,
+    total: str | None = None,
     slices: int | None = None,
 ) -> DataFrame:
-    """Add `out`: the sum of `value` up to and including the row, in `order`, per group.
+    """Add `out`: the sum of `value` up to and including the row, in `order`, per group, and
+    `total`, if named: the sum over the group.
 
-    `order` must be unique inside a group.  Runs one job: the range cut is written to the
-    checkpoint folder so that both uses below see the same partitions.
+    `order` must be unique inside a group; a null group is a group.  Runs one job: the range
+    cut is written to the checkpoint folder so that both uses below see the same partitions.
     """
     by = [*[F.col(g) for g in group], *order]
     # without a number, adaptive execution merges small neighbouring ranges
     ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
-    cut_rows = cut(ranged.withColumn("_slice", F.spark_partition_id()))
-    per_slice = cut_rows.groupBy(*group, "_slice").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut(ranged.withColumn("_slice", F.spark_partition_id()))
+    per_slice = rows.groupBy(*group, "_slice").agg(F.sum(value).alias("_sum"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     shift = per_slice.select(
-        *group, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_shift")
+        *[F.col(g).alias(f"_group_{g}") for g in group],
+        F.col("_slice").alias("_slice_of"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_shift"),
+        F.sum("_sum").over(whole).alias("_total"),
     )
+    same = F.col("_slice") == F.col("_slice_of")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_group_{g}"))
     inside = (
         Window.partitionBy(*group, "_slice")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return (
-        cut_rows.withColumn("_inside", F.sum(value).over(inside))
-        .join(shift, [*group, "_slice"])
-        .withColumn(out, F.col("_inside") + F.col("_shift"))
-        .drop("_slice", "_inside", "_shift")
-    )
+    summed = rows.withColumn("_inside", F.sum(value).over(inside)).join(shift, same)
+    made = {out: F.col("_inside") + F.col("_shift")}
+    if total:
+        made[total] = F.col("_total")
+    return summed.withColumns(made).select(*df.columns, *made)
 
 
 def exact_median(df: DataFrame, group: list[str], value: str, out: str, upper: bool = False) -> DataFrame:
@@ -58,17 +66,15 @@ def exact_median(df: DataFrame, group: list[str], value: str, out: str, upper: b
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).cast("double").alias("_n"))
     )
-    ranked = running_total(hist, group, [F.col(value)], "_n", "_upto")
-    total = ranked.groupBy(*group).agg(F.sum("_n").alias("_total"))
+    ranked = running_total(hist, group, [F.col(value)], "_n", "_upto", "_all")
     # ranks are 1-based: the middle ones are floor((n+1)/2) and floor(n/2)+1
-    low = F.floor((F.col("_total") + 1) / 2)
-    high = F.floor(F.col("_total") / 2) + 1
+    low = F.floor((F.col("_all") + 1) / 2)
+    high = F.floor(F.col("_all") / 2) + 1
     from_rank, to_rank = F.col("_upto") - F.col("_n") + 1, F.col("_upto")
 
     def at(rank):
         return F.max(F.when((from_rank <= rank) & (rank <= to_rank), F.col(value)))
 
-    joined = ranked.join(total, group) if group else ranked.withColumn("_total", total.scalar())
-    picked = joined.groupBy(*group).agg(at(low).alias("_low"), at(high).alias("_high"))
+    picked = ranked.groupBy(*group).agg(at(low).alias("_low"), at(high).alias("_high"))
     middle = F.col("_high") if upper else (F.col("_low") + F.col("_high")) / 2
     return picked.select(*group, middle.alias(out))

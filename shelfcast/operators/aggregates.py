@@ -104,12 +104,10 @@ def abc_classes(
 
     Works chain-wide (no group) and per store on catalogues of any size.
     """
-    group = group or []
-    ranked = running_total(totals, group, [F.col(value).desc(), F.col(key)], value, "cum_value")
-    total = totals.groupBy(*group).agg(F.sum(value).alias("total_value"))
-    joined = ranked.join(total, group) if group else ranked.withColumn("total_value", total.scalar())
+    order = [F.col(value).desc(), F.col(key)]
+    ranked = running_total(totals, group or [], order, value, "cum_value", "total_value")
     cum, whole = F.col("cum_value"), F.col("total_value")
-    return joined.withColumn(
+    return ranked.withColumn(
         "abc_class", F.when(cum <= a * whole, "A").when(cum <= b * whole, "B").otherwise("C")
     )
 

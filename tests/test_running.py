@@ -63,6 +63,12 @@ def test_hot_group_is_spread_over_slices(spark):
     assert got.count() == 20000
 
 
+def test_null_group_is_kept_and_totals_are_whole(spark):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 3.0), (1, 3, 4.0)], "g int, k int, v double")
+    got = {r["k"]: (r["cum"], r["all"]) for r in running_total(df, ["g"], [F.col("k")], "v", "cum", "all").collect()}
+    assert got == {1: (2.0, 5.0), 2: (5.0, 5.0), 3: (4.0, 4.0)}
+
+
 def test_abc_covers_every_item(spark):
     values = {i: float((i * 37) % 50 + 1) for i in range(200)}
     df = spark.createDataFrame(list(values.items()), "item_nbr int, units double")
