@@ -52,6 +52,8 @@ HEADLINE = [
     "recursive_forecast",
     "scenario_runs",
 ]
+# asked again and again by a dashboard: also timed warm, as the 95th percentile of ten calls
+DASHBOARD = HEADLINE[:8]
 SERVING = [
     "transactions",
     "oil",
@@ -114,6 +116,14 @@ def main() -> None:
         start = time.perf_counter()
         drain(scans[name]() if name in scans else QUERIES[name].run(spark, folder))
         times[name] = round(time.perf_counter() - start, 3)
+    warm: dict[str, float] = {}
+    for name in DASHBOARD:
+        calls = []
+        for _ in range(10):
+            start = time.perf_counter()
+            drain(QUERIES[name].run(spark, folder))
+            calls.append(time.perf_counter() - start)
+        warm[name] = round(sorted(calls)[8], 3)
     print(
         json.dumps(
             {
@@ -121,6 +131,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "warm_p95": warm,
                 "sf": Path(folder).name.removeprefix("sf"),
             }
         ),

@@ -20,7 +20,7 @@ from shelfcast.functions.durable import shared_dir
 from shelfcast.operators import aggregates, clean, forecast, inventory, panel
 from shelfcast.operators.enrich import with_item_columns
 from shelfcast.sources.raw import between, ingest_sales, store_by_month
-from shelfcast.sources.tables import materialize, path_exists
+from shelfcast.sources.tables import materialize, newest_partition, path_exists
 from shelfcast.sources.testdata import OrderTables
 
 ASSORTMENT_DAYS = 90
@@ -70,12 +70,21 @@ class RetailTables:
     def access(self) -> DataFrame:
         return self.source.access
 
+    @property
+    def _sales_path(self) -> str:
+        return f"{self.root}/sales_by_month"
+
     @cached_property
     def origin_date(self) -> date:
-        """Last day of history: the horizon before the newest sale (one value to the driver,
-        so that scans get a literal they can prune with)."""
-        newest = self.source.read("lineitem").agg(F.max(F.to_date("l_shipdate"))).first()[0]
-        return newest - timedelta(days=self.horizon)
+        """Last day of history: the horizon before the newest sale.
+
+        One value to the driver, so that scans get a literal they can prune with; it is read
+        from the newest month alone.
+        """
+        sales = self._sales_by_month
+        month = newest_partition(self.spark, self._sales_path, "month")
+        rows = sales.filter(F.col("month") == month)
+        return rows.agg(F.max("date")).first()[0] - timedelta(days=self.horizon)
 
     @property
     def origin(self) -> Column:
@@ -85,7 +94,7 @@ class RetailTables:
     def _sales_by_month(self) -> DataFrame:
         """All sales with store, family and perishable flag, joined once, laid out by month."""
         rows = with_item_columns(self.source.raw_sales, self.items, "family", "perishable")
-        path = f"{self.root}/sales_by_month"
+        path = self._sales_path
         if self.force or not path_exists(self.spark, f"{path}/_SUCCESS"):
             store_by_month(rows, path)
         # the month stays text: inferring it from folder names would make it a date

@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 from shelfcast.operators.enrich import with_item_columns
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop_path, fs = _file_system(spark, path)
     return fs.exists(hadoop_path)
 
 
+def newest_partition(spark: SparkSession, path: str, key: str) -> str:
+    """Largest value of a partition folder, from one listing and no data."""
+    hadoop_path, fs = _file_system(spark, path)
+    names = [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
+    return max(n.split("=", 1)[1] for n in names if n.startswith(f"{key}=") and "__HIVE" not in n)
+
+
 def materialize(
     spark: SparkSession,
     build: Callable[[], DataFrame],

@@ -149,3 +149,24 @@ def test_tree_search_has_an_acceptance_gate(tables, recent_rows):
     assert chosen == default and report.count() == 2
     chosen, _ = ensemble.search_trees(recent_rows, *split, [], default)
     assert chosen == default
+
+
+def test_retrain_publishes_nothing_when_the_forecast_is_empty(spark, tables, tmp_path):
+    from shelfcast.plans.retrain import retrain
+    from shelfcast.plans.serving import RetailTables
+
+    t = RetailTables(spark, "/root/testdata/sf0.001", root=tables.root)
+    t.__dict__["plan"] = tables.plan.limit(0)
+    with pytest.raises(RuntimeError, match="empty"):
+        retrain(t, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_retrain_publishes_three_tables(spark, tables, tmp_path):
+    from shelfcast.plans.retrain import retrain
+
+    done = retrain(tables, str(tmp_path))
+    forecasts = spark.read.parquet(done.forecasts)
+    assert forecasts.count() == tables.plan.count() and forecasts.filter("predicted_sales < 0").isEmpty()
+    assert spark.read.parquet(done.inventory).count() == tables.plan.select("store_nbr", "item_nbr").distinct().count()
+    assert spark.read.parquet(done.sku_stats).count() == tables.items.count()
