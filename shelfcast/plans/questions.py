@@ -9,6 +9,7 @@ store the answer covers every store the user may see.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from shelfcast.operators import aggregates, business, dashboards, inventory, scenario, scope
 from shelfcast.operators.forecast import forecast_recursive
 from shelfcast.plans.serving import RetailTables
+from shelfcast.sources.tables import apply_restock, publish, unknown_restocks
 
 PAIR = ["store_nbr", "item_nbr"]
 # tables with one row per store and something: these are cut to the user's scope
@@ -82,6 +84,20 @@ def ask(
     return QUESTIONS[name](VisibleTables(tables, user, admin, store_nbr), **params)
 
 
+def restock(
+    tables: RetailTables, restocks: DataFrame, user: str, at: str, root: str, admin: bool = False
+) -> str:
+    """Publish the inventory with `restocks` (store_nbr, item_nbr, quantity) added.
+
+    Refused when a store is outside the user's scope or an item is not managed there;
+    returns the path of the new version.
+    """
+    scope.check_stores(restocks, tables.access, user, admin)
+    if not unknown_restocks(tables.inventory, restocks).isEmpty():
+        raise KeyError("a restock names an item its store does not manage")
+    return publish(apply_restock(tables.inventory, restocks, at), "inventory", root)
+
+
 def _of_item(df: DataFrame, item_nbr: int | None) -> DataFrame:
     return df if item_nbr is None else df.filter(F.col("item_nbr") == item_nbr)
 
@@ -317,8 +333,43 @@ def family_mix_gap(t: VisibleTables) -> DataFrame:
 
 
 @question
-def kpi(t: VisibleTables) -> DataFrame:
-    return dashboards.kpi(t.forecasts)
+def kpi(t: VisibleTables, family: str | None = None, low: str | None = None, high: str | None = None) -> DataFrame:
+    return dashboards.kpi(dashboards.forecast_filter(t.forecasts, t.items, None, family, low, high))
+
+
+@question
+def forecast_window(t: VisibleTables, as_of: date | None = None, family: str | None = None) -> DataFrame:
+    """`as_of` is today unless given."""
+    rows = dashboards.forecast_filter(t.forecasts, t.items, None, family)
+    return dashboards.forecast_window(rows, as_of or F.current_date())
+
+
+@question
+def forecast_stores(t: VisibleTables) -> DataFrame:
+    return dashboards.forecast_stores(t.forecasts)
+
+
+@question
+def families(t: VisibleTables) -> DataFrame:
+    return dashboards.product_families(t.items)
+
+
+@question
+def stock(t: VisibleTables, item_nbr: int | None = None) -> DataFrame:
+    return _of_item(t.inventory, item_nbr)
+
+
+@question
+def scenario_defaults(t: VisibleTables) -> DataFrame:
+    """Values a scenario form starts from, per visible series."""
+    whole = t.all
+    past = scenario.history(
+        whole.recent_sales(scenario.HISTORY_DAYS), t.stores, whole.items, whole.oil, whole.holidays,
+        t.transactions, whole.origin,
+    )
+    return scenario.form_defaults(
+        t.inventory, whole.items, whole.prices, t.planned_promotions, whole.oil, past, F.date_add(whole.origin, 1)
+    )
 
 
 @question

@@ -76,6 +76,37 @@ def test_one_store_equals_its_part_of_the_whole(tables, name):
     assert a == b
 
 
+def test_restock_is_checked_and_published(spark, tables, tmp_path):
+    from shelfcast.plans.questions import restock
+
+    one = tables.inventory.filter("store_nbr = 3").limit(1).select("store_nbr", "item_nbr", "current_stock").first()
+    schema = "store_nbr int, item_nbr long, quantity double"
+    add = spark.createDataFrame([(3, one["item_nbr"], 4.0), (3, one["item_nbr"], 1.0)], schema)
+    path = restock(tables, add, "manager3", "2001-10-20 08:00:00", str(tmp_path))
+    after = spark.read.parquet(path).filter((F.col("store_nbr") == 3) & (F.col("item_nbr") == one["item_nbr"])).first()
+    assert after["current_stock"] == one["current_stock"] + 5.0 and after["last_updated"] is not None
+    assert spark.read.parquet(path).count() == tables.inventory.count()
+    with pytest.raises(AccessDenied):
+        restock(tables, add, "manager4", "2001-10-20", str(tmp_path))
+    with pytest.raises(KeyError):
+        restock(tables, spark.createDataFrame([(3, -1, 4.0)], schema), "boss", "2001-10-20", str(tmp_path), admin=True)
+
+
+def test_forecast_window_goes_stale(tables):
+    from datetime import timedelta
+
+    last = tables.forecasts.agg(F.max("date")).first()[0]
+    fresh = ask(tables, "forecast_window", "boss", admin=True, as_of=last).first()
+    old = ask(tables, "forecast_window", "boss", admin=True, as_of=last + timedelta(days=3)).first()
+    assert not fresh["is_stale"] and old["is_stale"] and old["days_behind"] == 3
+
+
+def test_kpi_filters(tables):
+    whole = ask(tables, "kpi", "boss", admin=True).first()["total_forecast"]
+    parts = [ask(tables, "kpi", "boss", admin=True, family=f[0]).first()["total_forecast"] for f in ask(tables, "families", "boss", admin=True).collect()]
+    assert sum(parts) == pytest.approx(whole)
+
+
 def test_peers_come_from_the_scope(tables):
     got = {r["store_nbr"]: r["peer_count"] for r in ask(tables, "peer_benchmark", "region_asia").collect()}
     want = {r["store_nbr"]: r["peer_count"] for r in QUERIES["peer_benchmark_scoped"].build(tables).collect()}
