@@ -273,7 +273,9 @@ def _next_log(logs: Column, day: Column, coef: Column) -> Column:
     return F.greatest(reduce(lambda a, b: a + b, [coef[i] * v for i, v in enumerate(values)]), F.lit(0.0))
 
 
-def forecast_recursive(panel: DataFrame, future: DataFrame, models: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def forecast_recursive(
+    panel: DataFrame, future: DataFrame, models: DataFrame, keys: list[str] | None = None
+) -> DataFrame:
     """Forecast day by day, each prediction becoming history for the next.
 
     `future` has one row per series and day with `onpromotion`; extra `keys` (for example
@@ -319,7 +321,9 @@ def backtest_recursive(panel: DataFrame, models: DataFrame, origin: Column, days
 # ---------------------------------------------------------------- routing and split
 
 
-def choose_routes(families: DataFrame, scores: DataFrame, reference: DataFrame, tolerance: float = ROUTE_TOLERANCE) -> DataFrame:
+def choose_routes(
+    families: DataFrame, scores: DataFrame, reference: DataFrame, tolerance: float = ROUTE_TOLERANCE
+) -> DataFrame:
     """Model per family: local while its error is within tolerance, else global, else none.
 
     `scores` and `reference` carry family and rmsle; a family missing from both gets none.
@@ -378,7 +382,13 @@ def number_rows(plan: DataFrame, last_day: Column) -> DataFrame:
     return plan.withColumn("id", key)
 
 
-def assortment_plan(sales: DataFrame, actual_promotions: DataFrame, last_day: Column, lookback: int, horizon: int = HORIZON_DAYS) -> DataFrame:
+def assortment_plan(
+    sales: DataFrame,
+    actual_promotions: DataFrame,
+    last_day: Column,
+    lookback: int,
+    horizon: int = HORIZON_DAYS,
+) -> DataFrame:
     """Future plan: every (store, item) sold in the look-back, for each day of the horizon,
     with the promotion already planned for that day."""
     active = sales.filter(F.col("date") > F.date_sub(last_day, lookback)).select("store_nbr", "item_nbr").distinct()

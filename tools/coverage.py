@@ -21,7 +21,8 @@ def main() -> None:
     lines = [
         "# Coverage",
         "",
-        f"{len(QUERIES)} registered queries, {sum(bool(q.sql) for q in QUERIES.values())} of them with an equivalent SQL text.",
+        f"{len(QUERIES)} registered queries, "
+        f"{sum(bool(q.sql) for q in QUERIES.values())} of them with an equivalent SQL text.",
         "Written by `python tools/coverage.py`.",
         "",
         "| id | queries |",
