@@ -41,7 +41,7 @@ def fingerprints(ws: Column, window: int = WINDOW, k: int = K) -> Column:
         return F.struct(
             p.alias("pos"),
             F.xxhash64(*[w[p + j] for j in range(k)]).alias("hash"),
-            F.slice(w, start + 1, p - start).alias("left"),
+            F.reverse(F.slice(w, start + 1, p - start)).alias("left"),
             F.slice(w, p + 1, F.lit(k)).alias("mid"),
             F.slice(w, p + k + 1, F.lit(reach)).alias("right"),
         )
