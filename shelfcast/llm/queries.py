@@ -14,6 +14,8 @@ from shelfcast.llm.chat import format_conversations, turns_of, unescape
 from shelfcast.llm.common import table
 from shelfcast.llm.exact_dedup import exact_duplicates
 from shelfcast.llm.mixing import mix
+from shelfcast.llm.near_dup import near_duplicates
+from shelfcast.llm.secrets import BASE, KINDS, scan, written
 from shelfcast.llm.warc import read_archives, write_archives
 from shelfcast.llm.winnowing import contamination
 
@@ -145,6 +147,17 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs, SHARE, mixing_weights(), max_epochs=MAX_EPOCHS, seed=MIX_SEED)
 
 
+# ------------------------------------------------------------------ 6 secrets
+
+
+@query()
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 # ------------------------------------------------------------------ 7 decontamination
 
 DECONTAMINATION_SQL = r"""
@@ -169,6 +182,26 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+# ------------------------------------------------------------------ 8 near duplicates
+
+NEAR_SQL = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i : i + least(len(w), 5) - 1], ' ') FOR i IN range(1, len(w) - least(len(w), 5) + 2)]) AS g FROM w WHERE len(w) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+    reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+    low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+    SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(b, w.doc_id)) AS component_id
+    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = w.doc_id
+"""
+
+
+@query(NEAR_SQL)
+def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 # ------------------------------------------------------------------ 9 WARC
 
 WARC_SQL = """
