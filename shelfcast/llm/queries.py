@@ -154,7 +154,11 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = scan(table(spark, folder, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}") for k in BASE]
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in BASE]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 

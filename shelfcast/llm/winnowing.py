@@ -99,14 +99,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
             wanted = F.broadcast(wanted)
 
         def grams(w: Column) -> Column:
-            each = [
-                F.when(
-                    F.size(w) >= n,
-                    F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.struct(i.alias("start"), F.slice(w, i + 1, F.lit(n)).alias("w"))),
-                ).otherwise(F.array().cast("array<struct<start:int,w:array<string>>>"))
-                for n in lengths
-            ]
-            return F.concat(*each)
+            def of(n: int) -> Column:
+                each = F.transform(
+                    F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("start"), F.slice(w, i + 1, F.lit(n)).alias("w"))
+                )
+                return F.when(F.size(w) >= n, each).otherwise(F.array().cast("array<struct<start:int,w:array<string>>>"))
+
+            return F.concat(*[of(n) for n in lengths])
 
         pieces = docs.select("doc_id", F.explode(let(words(F.col("_text")), grams)).alias("g")).select("doc_id", "g.*")
         found = pieces.join(wanted, "w").select("doc_id", "start", (F.col("start") + F.size("w")).alias("stop"), "ids")
