@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.common import stored
@@ -91,19 +91,20 @@ def chained(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------ chunks
 
-CHUNK = "chunk long, n_tokens long, ids array<long>, lens binary, codes binary, hashes binary"
+CHUNK = "chunk long, n_tokens long, ids array<long>, flags binary, lens binary, codes binary, hashes binary"
 
 
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def chunked(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """Chunk rows of `docs` (doc_id, text): A-Z in lower case, words between ASCII white space; a
-    null text has no words."""
+def chunked(docs: DataFrame, flag: Column | None = None, tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Chunk rows of `docs` (doc_id, text) with a `flag` for each document: A-Z in lower case,
+    words between ASCII white space; a null text has no words, a null flag is false."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
+        flags = bytearray()
         lens: list[int] = []
         parts: list[np.ndarray] = []
         held = 0
@@ -117,6 +118,7 @@ def chunked(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
                     "chunk": pa.array([uuid.uuid4().int >> 65], pa.int64()),
                     "n_tokens": pa.array([held], pa.int64()),
                     "ids": pa.array([ids], pa.list_(pa.int64())),
+                    "flags": pa.array([bytes(flags)], pa.binary()),
                     "lens": [planes(np.asarray(lens, np.uint64))],
                     "codes": [planes(codes)],
                     "hashes": pa.array([hashes.tobytes()], pa.binary()),
@@ -125,21 +127,24 @@ def chunked(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
 
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
+            marks = batch.column("flag").to_pylist()
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
                 text = texts[k].as_py()
                 words = text.lower().split() if text else []
                 ids.append(doc)
+                flags.append(bool(marks[k]))
                 lens.append(len(words))
                 parts.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
                 held += len(words)
                 if held >= tokens or len(ids) >= tokens:
                     yield done()
-                    ids, lens, parts, held = [], [], [], 0
+                    ids, flags, lens, parts, held = [], bytearray(), [], [], 0
                     known = defaultdict(count().__next__)
         if ids:
             yield done()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHUNK)
+    flag = F.lit(False) if flag is None else flag
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flag.alias("flag")).mapInArrow(run, CHUNK)
 
 
 class Chunk:
@@ -147,6 +152,7 @@ class Chunk:
 
     def __init__(self, row: dict):
         self.ids = row["ids"]
+        self.flags = np.frombuffer(row["flags"], np.uint8).astype(bool)
         self.lens = unplanes(row["lens"]).astype(np.int64)
         self.hashes = np.frombuffer(row["hashes"], np.uint64)
         self.codes = unplanes(row["codes"]).astype(np.int64)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shelfcast.llm.chat import format_conversations, turns_of, unescape
 from shelfcast.llm.common import table
 from shelfcast.llm.exact_dedup import exact_duplicates
+from shelfcast.llm.katz import scores
 from shelfcast.llm.mixing import mix
 from shelfcast.llm.near_dup import near_duplicates
 from shelfcast.llm.secrets import BASE, KINDS, scan, written
@@ -147,6 +148,18 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix(docs, SHARE, mixing_weights(), max_epochs=MAX_EPOCHS, seed=MIX_SEED)
 
 
+# ------------------------------------------------------------------ 5 language-model scores
+
+
+@query()
+def op5_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    scored, tokens = scores(table(spark, folder, "documents"), F.coalesce(~held_out, F.lit(False)))
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 # ------------------------------------------------------------------ 6 secrets
 
 
