@@ -17,6 +17,7 @@ from shelfcast.llm.katz import scores
 from shelfcast.llm.mixing import mix
 from shelfcast.llm.near_dup import near_duplicates
 from shelfcast.llm.secrets import BASE, KINDS, scan, written
+from shelfcast.llm.toxicity import toxicity
 from shelfcast.llm.warc import read_archives, write_archives
 from shelfcast.llm.winnowing import contamination
 
@@ -236,3 +237,17 @@ WARC_SQL = """
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     files = write_archives(table(spark, folder, "pages"))
     return read_archives(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# ------------------------------------------------------------------ 10 toxicity
+
+TOXIC_FROM = 0.3
+
+
+@query()
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    scored = toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out)
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "evidence", "cosines"
+    )
