@@ -16,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import stored
+from shelfcast.llm.common import stored, without
 
 # letters and characters of several scripts, about one in seven of running text
 EDGE = r"aAhHmMéäаеноاما-ヲ一-七0-1"
 SHORTEST, LONGEST = 512, 4096
+SALTS = 32
 
 
 def chunked(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
@@ -66,12 +67,19 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row of `docs` (doc_id, text)."""
     listed = stored(recipes(docs, bits), "recipes")
     groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return listed.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    # texts that occur once need no partner; groups of copies are spread over salts
+    copies = groups.filter("group_size > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = listed.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return salted.join(copies, ["recipe", "_salt"], "left").select(
+        "doc_id",
+        keep.alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        "text_sha256",
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay: of equal texts the one with the largest id."""
-    gone = exact_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, exact_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")))

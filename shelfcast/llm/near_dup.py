@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.chunks import Chunk, ascending, chained, chunked, exchange, planes, ranges_for, rows_of, scrambled, sent, unascending, unplanes
-from shelfcast.llm.common import stored
+from shelfcast.llm.common import stored, without
 from shelfcast.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -324,5 +324,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that have the smallest id of their component."""
-    gone = near_duplicates(docs, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    found = near_duplicates(docs, percent)
+    return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")))

@@ -14,6 +14,7 @@ from shelfcast.llm.chat import format_conversations, turns_of, unescape
 from shelfcast.llm.common import table
 from shelfcast.llm.exact_dedup import exact_duplicates
 from shelfcast.llm.katz import scores
+from shelfcast.llm.language_id import document_rows, fit, identify, page_rows
 from shelfcast.llm.mixing import mix
 from shelfcast.llm.near_dup import near_duplicates
 from shelfcast.llm.secrets import BASE, KINDS, scan, written
@@ -69,6 +70,19 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(probe)))
 
 
+# ------------------------------------------------------------------ 2 language ID
+
+
+@query()
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and pages; the text model is learned from the languages given for documents."""
+    docs = table(spark, folder, "documents")
+    model = fit(docs)
+    of_docs = identify(document_rows(docs), model).select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), "*")
+    of_pages = identify(page_rows(table(spark, folder, "pages")), model).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("page_id"), "*")
+    return of_docs.unionByName(of_pages).drop("id")
+
+
 # ------------------------------------------------------------------ 3 exact dedup
 
 

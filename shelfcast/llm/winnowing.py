@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import ascii_lower, let
+from shelfcast.llm.common import ascii_lower, let, without
 
 WINDOW, K = 10, 5
 # benchmark fingerprints are broadcast up to this number (about 300 bytes each), joined by shuffle beyond
@@ -134,5 +134,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` in which no window of an item occurs."""
-    bad = contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    return without(docs, contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_gone")))
