@@ -46,7 +46,10 @@ def joined_small(big: DataFrame, small: DataFrame, on: list[str], how: str, rows
 def without(docs: DataFrame, gone: DataFrame, rows: int = 200_000) -> DataFrame:
     """Rows of `docs` whose id isn't among `gone` (_gone), null equal to null;
     ids are broadcast only after they were counted."""
-    gone = stored(gone.distinct(), "gone")
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    gone = stored(gone.select(F.col("_gone").alias(name)).distinct(), "gone")
     if gone.limit(rows + 1).count() <= rows:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)

@@ -161,7 +161,8 @@ def mix(docs: DataFrame, share: float, weights: dict[str, Column], tree: tuple[s
 
 
 def mixed_documents(docs: DataFrame, share: float, weights: dict[str, Column], tree: tuple[str, ...] = TREE, max_epochs: int = 4, seed: int = 0) -> DataFrame:
-    """All columns of `docs` with epoch and taken; texts aren't shuffled."""
+    """All columns of `docs` with epoch and taken, which replace such columns; texts aren't shuffled."""
     _, leaves = cuts(docs, share, weights, tree, max_epochs, seed)
-    counted = docs.withColumn("tokens", tokens_of(F.col("text"))).filter("tokens > 0")
-    return taken(counted, leaves, tree, seed).drop("tokens")
+    kept = F.struct(*[F.col(c) for c in docs.columns if c not in ("epoch", "taken")]).alias("_doc")
+    counted = docs.select(*tree, "doc_id", tokens_of(F.col("text")).alias("tokens"), kept).filter("tokens > 0")
+    return taken(counted, leaves, tree, seed).select("_doc.*", "epoch", "taken")
