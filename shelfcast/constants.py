@@ -90,8 +90,6 @@ SCENARIO_DEFAULT_PRICE = 5.0
 
 # --- fixed values: conversation limits ---
 CHAT_ROLES = ["user", "assistant"]
-CHAT_MAX_CHARS = 4000
-CHAT_MAX_MESSAGES = 40
 CHAT_TOKEN_BUDGET = 1200
 CHARS_PER_TOKEN = 2.5
 NUMBER_PATTERN = r"(-?\d[\d.,]*)"

@@ -56,8 +56,12 @@ def check_number(value: float, name: str, low: float = 0.0) -> float:
     return number
 
 
-def clamp(value: int, low: int, high: int) -> int:
-    return max(low, min(int(value), high))
+def check_count(value: int, name: str, low: int = 1) -> int:
+    """A whole number of at least `low`; nothing is cut to an upper bound."""
+    number = int(value)
+    if number != value or number < low:
+        raise ValueError(f"{name} must be a whole number >= {low}, got {value!r}")
+    return number
 
 
 def grade(col: Column | str, digits: int = 6) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.expr import clamp, grade, month_key, pct_change, ratio
+from shelfcast.functions.expr import check_count, grade, month_key, pct_change, ratio
 from shelfcast.functions.ranking import top_k, top_overall
 from shelfcast.operators.aggregates import latest_months
 from shelfcast.operators.enrich import join_prices
@@ -27,7 +27,7 @@ def monthly_business(business: DataFrame, keys: list[str]) -> DataFrame:
 
 def monthly_revenue(business: DataFrame, months: int = 12) -> DataFrame:
     """The newest months of every store, with the period its data covers."""
-    newest = latest_months(monthly_business(business, ["store_nbr"]), clamp(months, 1, 12), ["store_nbr"])
+    newest = latest_months(monthly_business(business, ["store_nbr"]), check_count(months, "months"), ["store_nbr"])
     period = business.groupBy("store_nbr").agg(
         F.min("date").alias("data_from"), F.max("date").alias("data_to")
     )
@@ -38,7 +38,7 @@ def compare_stores(business: DataFrame, pairs: DataFrame, months: int = 3) -> Da
     """Revenue of store pairs over the newest months of each; `pairs` has store_1, store_2."""
     monthly = monthly_business(business, ["store_nbr"])
     totals = (
-        latest_months(monthly, clamp(months, 1, 12), ["store_nbr"])
+        latest_months(monthly, check_count(months, "months"), ["store_nbr"])
         .groupBy("store_nbr")
         .agg(F.sum("revenue").alias("_revenue"))
     )
@@ -64,7 +64,7 @@ def store_traffic(transactions: DataFrame, days: int = 30) -> DataFrame:
     Both windows have the same length; when the table is shorter than two windows they
     are halved.
     """
-    days = clamp(days, 1, 180)
+    days = check_count(days, "days")
     bounds = transactions.agg(F.max("date").alias("hi"), F.min("date").alias("lo"))
     length = F.when(
         F.col("lo") > F.date_sub("hi", 2 * days - 1), F.greatest(F.lit(days // 2), F.lit(1))
@@ -132,7 +132,7 @@ def promotion_days_all_families(sales: DataFrame) -> DataFrame:
 def gross_margin(business: DataFrame, months: int = 3) -> DataFrame:
     """Monthly margin of every store, oldest first, and its change in points."""
     newest = latest_months(
-        monthly_business(business, ["store_nbr"]), clamp(months, 1, 12), ["store_nbr"]
+        monthly_business(business, ["store_nbr"]), check_count(months, "months"), ["store_nbr"]
     )
     margin = ratio(F.col("gross_profit") * 100.0, F.col("revenue"))
     over = Window.partitionBy("store_nbr").orderBy("month")
@@ -147,7 +147,7 @@ def _since(business: DataFrame, months: int) -> Column:
 
 def margin_ranking(business: DataFrame, months: int = 3, k: int = 10) -> DataFrame:
     """Stores by gross margin over the last months, best first."""
-    window = business.filter(F.col("date") >= _since(business, clamp(months, 1, 12)))
+    window = business.filter(F.col("date") >= _since(business, check_count(months, "months")))
     sums = window.groupBy("store_nbr").agg(*[F.sum(c).alias(c) for c in MONEY])
     rows = sums.withColumn("gross_profit", _gross_profit()).withColumn(
         "margin_pct", ratio(F.col("gross_profit") * 100.0, F.col("revenue"))
@@ -169,7 +169,7 @@ def monthly_traffic_value(business: DataFrame, transactions: DataFrame) -> DataF
 def revenue_bridge(business: DataFrame, transactions: DataFrame, months: int = 6) -> DataFrame:
     """Split the change between neighbouring months into traffic and ticket value."""
     newest = latest_months(
-        monthly_traffic_value(business, transactions), clamp(months, 2, 6), ["store_nbr"]
+        monthly_traffic_value(business, transactions), check_count(months, "months", 2), ["store_nbr"]
     )
     over = Window.partitionBy("store_nbr").orderBy("month")
     older = {c: F.lag(c).over(over) for c in ("month", "revenue", "invoices")}
@@ -206,7 +206,7 @@ def peer_benchmark(
 
     Peer totals are the type's totals less the store's own: no store meets another one.
     """
-    window = business.filter(F.col("date") >= _since(business, clamp(months, 1, 12)))
+    window = business.filter(F.col("date") >= _since(business, check_count(months, "months")))
     invoices = transactions.select("date", "store_nbr", "n_invoices")
     own = (
         window.join(invoices, ["date", "store_nbr"], "left")
@@ -253,7 +253,7 @@ def peer_benchmark(
 def weekly_pattern(business: DataFrame, weeks: int = 12) -> DataFrame:
     """Mean daily revenue per weekday (Sunday 0) with the store's best and worst day and
     its weekend lift."""
-    weeks = clamp(weeks, 2, 52)
+    weeks = check_count(weeks, "weeks", 2)
     since = F.date_sub(business.agg(F.max("date")).scalar(), weeks * 7)
     by_day = (
         business.filter(F.col("date") >= since)

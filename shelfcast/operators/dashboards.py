@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.constants import DEFAULT_FAMILY_RMSLE, HORIZON_DAYS, LOW_STOCK_PER_STORE
-from shelfcast.functions.expr import clamp, grade
+from shelfcast.functions.expr import check_count, grade
 from shelfcast.functions.ranking import top_k, top_overall
 
 
@@ -146,7 +146,7 @@ def top_products(sold: DataFrame, items: DataFrame, stats: DataFrame, k: int = 8
     total = sold.agg(F.sum("unit_sales")).scalar()
     units = sold.groupBy("item_nbr").agg(F.sum("unit_sales").alias("unit_sales"))
     # rank on the narrow table first; names and classes join only the winners
-    best = top_overall(units, [F.desc("unit_sales"), F.col("item_nbr")], clamp(k, 1, 25))
+    best = top_overall(units, [F.desc("unit_sales"), F.col("item_nbr")], check_count(k, "k"))
     return (
         best.join(items.select("item_nbr", "name", "family", F.col("class").alias("class_code")), "item_nbr")
         .join(stats.select("item_nbr", "abc_class"), "item_nbr", "left")
@@ -156,7 +156,7 @@ def top_products(sold: DataFrame, items: DataFrame, stats: DataFrame, k: int = 8
 
 def top_items_per_store(sold: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     """The k best selling items of every store."""
-    best = top_k(sold, ["store_nbr"], [F.desc("unit_sales"), F.col("item_nbr")], clamp(k, 1, 20))
+    best = top_k(sold, ["store_nbr"], [F.desc("unit_sales"), F.col("item_nbr")], check_count(k, "k"))
     return best.join(items.select("item_nbr", "name", "family", "perishable"), "item_nbr", "left")
 
 
@@ -170,7 +170,7 @@ def family_mix(sold: DataFrame, items: DataFrame, top: int = 4, other: str = "Ot
         .groupBy("family")
         .agg(F.sum("unit_sales").alias("_units"))
     )
-    leaders = top_overall(by_family, [F.desc("_units"), F.col("family")], clamp(top, 1, 12), "_rank")
+    leaders = top_overall(by_family, [F.desc("_units"), F.col("family")], check_count(top, "top"), "_rank")
     named = by_family.join(leaders.select("family", "_rank"), "family", "left")
     label = F.when(F.col("_rank").isNotNull(), F.col("family")).otherwise(F.lit(other))
     buckets = named.groupBy(label.alias("name"), F.coalesce("_rank", F.lit(top + 1)).alias("position")).agg(
@@ -187,9 +187,9 @@ def first_days(family_forecast: DataFrame, days: int) -> DataFrame:
 
 def family_trend(family_forecast: DataFrame, days: int = HORIZON_DAYS, top: int = 6) -> DataFrame:
     """Daily forecast of the largest families, long form (date, family, units)."""
-    window = first_days(family_forecast, clamp(days, 1, 31))
+    window = first_days(family_forecast, check_count(days, "days"))
     totals = window.groupBy("family").agg(grade(F.sum("predicted_sales")).alias("_total"))
-    leaders = top_overall(totals, [F.desc("_total"), F.col("family")], clamp(top, 1, 10), "family_rank")
+    leaders = top_overall(totals, [F.desc("_total"), F.col("family")], check_count(top, "top"), "family_rank")
     return (
         window.groupBy("date", "family")
         .agg(F.sum("predicted_sales").alias("predicted_sales"))
@@ -265,7 +265,7 @@ def family_forecast_days(family_forecast: DataFrame, days: int = 7, family: str
         rows = rows.filter(F.upper("family") == family.strip().upper())
     daily = rows.groupBy("store_nbr", "family", "date").agg(F.sum("predicted_sales").alias("predicted_sales"))
     dates = daily.select("store_nbr", "family", "date").distinct()
-    wanted = top_k(dates, ["store_nbr", "family"], [F.col("date")], clamp(days, 1, HORIZON_DAYS), "day_index")
+    wanted = top_k(dates, ["store_nbr", "family"], [F.col("date")], check_count(days, "days"), "day_index")
     kept = daily.join(wanted, ["store_nbr", "family", "date"])
     totals = kept.groupBy("store_nbr", "family").agg(F.sum("predicted_sales").alias("total_forecast"))
     return kept.join(totals, ["store_nbr", "family"])

@@ -17,7 +17,7 @@ from shelfcast.constants import (
     SERVICE_Z,
     STOCKOUT_UNIT_LOSS_USD,
 )
-from shelfcast.functions.expr import check_number, clamp, grade, ratio
+from shelfcast.functions.expr import check_number, check_count, grade, ratio
 from shelfcast.functions.ranking import top_k
 from shelfcast.operators.aggregates import abc_classes
 from shelfcast.operators.enrich import join_prices
@@ -191,7 +191,7 @@ def reorder_profit(position_rows: DataFrame, prices: DataFrame, k: int = 5) -> D
     totals = gaps.groupBy("store_nbr").agg(
         F.count(F.lit(1)).alias("items_to_reorder"), F.sum("est_profit").alias("store_profit")
     )
-    best = top_k(gaps, ["store_nbr"], [F.desc("est_profit"), F.col("item_nbr")], clamp(k, 1, 10))
+    best = top_k(gaps, ["store_nbr"], [F.desc("est_profit"), F.col("item_nbr")], check_count(k, "k"))
     return best.join(totals, "store_nbr")
 
 
@@ -212,7 +212,7 @@ def inventory_health(
     months: int = 3,
 ) -> DataFrame:
     """Stock value, days on hand, yearly turnover and number of overstocked items per store."""
-    months = clamp(months, 1, 12)
+    months = check_count(months, "months")
     families = items.select("item_nbr", "family")
     value = (
         _valued(inventory.join(families, "item_nbr", "left"), prices)
@@ -271,7 +271,7 @@ def dead_stock(dead: DataFrame, k: int = 10) -> DataFrame:
     totals = dead.groupBy("store_nbr").agg(
         F.count(F.lit(1)).alias("dead_items"), F.sum("stock_value").alias("dead_value")
     )
-    top = top_k(dead, ["store_nbr"], [F.desc("stock_value"), F.col("item_nbr")], clamp(k, 1, 15))
+    top = top_k(dead, ["store_nbr"], [F.desc("stock_value"), F.col("item_nbr")], check_count(k, "k"))
     return top.join(totals, "store_nbr")
 
 
@@ -295,7 +295,7 @@ def abc_summary(classes: DataFrame) -> DataFrame:
 def abc_top(classes: DataFrame, k: int = 5) -> DataFrame:
     """The k best items of every class and store."""
     ranked = top_k(
-        classes, ["store_nbr", "abc_class"], [F.desc("sales_value"), F.col("item_nbr")], clamp(k, 1, 10)
+        classes, ["store_nbr", "abc_class"], [F.desc("sales_value"), F.col("item_nbr")], check_count(k, "k")
     )
     return ranked.withColumn("cum_share_pct", F.col("cum_value") / F.col("total_value") * 100)
 

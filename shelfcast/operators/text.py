@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from shelfcast.constants import (
     CHARS_PER_TOKEN,
-    CHAT_MAX_CHARS,
-    CHAT_MAX_MESSAGES,
     CHAT_ROLES,
     CHAT_TOKEN_BUDGET,
     NUMBER_PATTERN,
 )
+from shelfcast.functions.expr import check_count
 from shelfcast.functions.ranking import top_k
 
 EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -28,34 +27,39 @@ def token_estimate(text: Column) -> Column:
 
 
 def sanitize_history(
-    messages: DataFrame, max_messages: int = CHAT_MAX_MESSAGES, max_chars: int = CHAT_MAX_CHARS
+    messages: DataFrame, max_messages: int | None = None, max_chars: int | None = None
 ) -> DataFrame:
-    """Usable turns of each conversation: the first 2 x `max_messages` rows are looked at,
-    other roles and empty texts go, long texts are cut, the newest `max_messages` stay.
+    """Usable turns of each conversation: other roles and empty texts go.
 
-    Both limits are pushed below the shuffle, so a huge conversation costs no more than a
-    small one.
+    With `max_chars` longer texts are cut, with `max_messages` only the newest stay; that limit is
+    pushed below the shuffle, so a huge conversation costs no more than a small one.
     """
-    looked_at = top_k(messages, ["conv_id"], [F.col("turn")], 2 * max_messages, "_first")
-    text = F.substring(stripped(F.col("text")), 1, max_chars)
+    text = stripped(F.col("text"))
+    if max_chars is not None:
+        text = F.substring(text, 1, check_count(max_chars, "max_chars"))
     kept = (
-        looked_at.filter(F.col("role").isin(CHAT_ROLES))
+        messages.filter(F.col("role").isin(CHAT_ROLES))
         .withColumn("text", text)
         .filter(F.char_length("text") > 0)
     )
-    return top_k(kept, ["conv_id"], [F.desc("turn")], max_messages, "_newest").drop("_first", "_newest")
+    if max_messages is None:
+        return kept
+    limit = check_count(max_messages, "max_messages")
+    return top_k(kept, ["conv_id"], [F.desc("turn")], limit, "_newest").drop("_newest")
 
 
 def trim_to_budget(history: DataFrame, budget: int = CHAT_TOKEN_BUDGET) -> DataFrame:
     """Newest turns whose estimates fit the budget; a single too long newest turn is cut.
 
-    Expects sanitised history, so each conversation has a bounded number of rows.
+    A turn costs a token at least, so no more than `budget` turns of a conversation can fit; the
+    rest is left out below the shuffle.
     """
     if budget <= 0:
         return history.withColumn("tokens", token_estimate(F.col("text"))).limit(0)
     newest_first = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     so_far = newest_first.rowsBetween(Window.unboundedPreceding, 0)
-    numbered = history.withColumn("_place", F.row_number().over(newest_first))
+    newest = top_k(history, ["conv_id"], [F.desc("turn")], budget, "_newest").drop("_newest")
+    numbered = newest.withColumn("_place", F.row_number().over(newest_first))
     too_long = (F.col("_place") == 1) & (token_estimate(F.col("text")) > budget)
     text = F.when(too_long, F.substring("text", 1, int(budget * CHARS_PER_TOKEN))).otherwise(F.col("text"))
     costed = numbered.withColumn("text", text).withColumn("tokens", token_estimate(F.col("text")))

@@ -9,13 +9,10 @@ from shelfcast.plans.registry import query, r
 from shelfcast.plans.serving import RetailTables
 
 CLEAN_SQL = r"""
-    raw_turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
-    kept AS (SELECT conv_id, turn, role,
-                    left(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 4000) AS text
-             FROM raw_turns WHERE rn <= 80 AND role IN ('user', 'assistant')),
-    numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM kept
-                 WHERE length(text) > 0),
-    clean AS (SELECT conv_id, turn, role, text, place FROM numbered WHERE place <= 40)
+    kept AS (SELECT conv_id, turn, role, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS text
+             FROM conversations WHERE role IN ('user', 'assistant')),
+    clean AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM kept
+              WHERE length(text) > 0)
 """
 
 

@@ -21,24 +21,10 @@ from shelfcast.plans.serving import RetailTables
 from shelfcast.sources.tables import apply_restock, publish, unknown_restocks
 
 PAIR = ["store_nbr", "item_nbr"]
-# tables with one row per store and something: these are cut to the user's scope
-PER_STORE = {
-    "business",
-    "cube",
-    "family_forecast",
-    "family_panel",
-    "family_prediction",
-    "forecasts",
-    "inventory",
-    "panel",
-    "planned_promotions",
-    "position",
-    "promo_stats",
-    "sales",
-    "sold",
-    "stores",
-    "transactions",
-}
+# tables without a store that every user may see; tables with `store_nbr` are cut to the user's
+# scope, and anything else is refused
+CHAIN_WIDE = {"holidays", "items", "local_models", "oil", "prices", "sku_stats"}
+PLAIN_VALUES = {"horizon", "origin", "origin_date"}
 
 
 class VisibleTables:
@@ -51,12 +37,20 @@ class VisibleTables:
         scope.scope(tables.stores, tables.access, user, admin, store_nbr)
 
     def __getattr__(self, name: str) -> DataFrame:
-        table = getattr(self.all, name)
-        if name not in PER_STORE:
-            return table
+        if name.startswith("_"):
+            raise AttributeError(name)
+        value = getattr(self.all, name)
+        if name in PLAIN_VALUES:
+            return value
+        if not isinstance(value, DataFrame):
+            raise scope.AccessDenied(f"{name} is not open to questions")
+        if "store_nbr" not in value.columns:
+            if name not in CHAIN_WIDE:
+                raise scope.AccessDenied(f"{name} is not open to questions")
+            return value
         if self.store_nbr is not None:  # already checked; a plain filter reaches the scan
-            return table.filter(F.col("store_nbr") == self.store_nbr)
-        return table if self.admin else table.join(self.allowed, "store_nbr", "left_semi")
+            return value.filter(F.col("store_nbr") == self.store_nbr)
+        return value if self.admin else value.join(self.allowed, "store_nbr", "left_semi")
 
     @cached_property
     def allowed(self) -> DataFrame | None:
@@ -85,17 +79,20 @@ def ask(
 
 
 def restock(
-    tables: RetailTables, restocks: DataFrame, user: str, at: str, root: str, admin: bool = False
+    tables: RetailTables, restocks: DataFrame, user: str, at: str, root: str | None = None, admin: bool = False
 ) -> str:
     """Publish the inventory with `restocks` (store_nbr, item_nbr, quantity) added.
 
-    Refused when a store is outside the user's scope or an item is not managed there;
-    returns the path of the new version.
+    Refused when a store is outside the user's scope or an item is not managed there; returns the
+    path of the new version.  Without a `root` it is published where later questions, in this and
+    in other sessions over the same tables, read it.
     """
     scope.check_stores(restocks, tables.access, user, admin)
     if not unknown_restocks(tables.inventory, restocks).isEmpty():
         raise KeyError("a restock names an item its store does not manage")
-    return publish(apply_restock(tables.inventory, restocks, at), "inventory", root)
+    path = publish(apply_restock(tables.inventory, restocks, at), "inventory", root or tables.published_root)
+    tables.refresh()
+    return path
 
 
 def _of_item(df: DataFrame, item_nbr: int | None) -> DataFrame:
@@ -210,11 +207,10 @@ def top_items(t: VisibleTables, top_n: int = 5) -> DataFrame:
 
 @question
 def family_forecast(t: VisibleTables, family: str, days: int = 7) -> DataFrame:
-    """Daily forecast of one family; a name outside the catalogue raises with valid names."""
+    """Daily forecast of one family; a name outside the catalogue raises (`families` lists them)."""
     families = dashboards.product_families(t.items)
     if families.filter(F.upper("family") == family.strip().upper()).isEmpty():
-        known = [r[0] for r in families.orderBy("family").limit(100).collect()]
-        raise ValueError(f"unknown family {family!r}; known: {known}")
+        raise ValueError(f"unknown family {family!r}")
     return dashboards.family_forecast_days(t.family_forecast, days, family)
 
 

@@ -44,21 +44,25 @@ def baseline_scores(t: RetailTables) -> DataFrame:
     return evaluate(scored, by=["family"])
 
 
-def retrain(t: RetailTables, root: str) -> Retrained:
+def retrain(t: RetailTables, root: str | None = None) -> Retrained:
     """Run the whole job and publish new versions of forecasts, inventory and SKU stats.
 
+    Without a `root` they are published where all later questions over these tables read them.
     Nothing is published when the forecast is empty, so a failed run leaves the old tables.
     """
     predicted = combined_forecast(t)
     items = forecast.split_to_items(t.plan, t.items, predicted, t.shares)
     if items.isEmpty():
         raise RuntimeError("the forecast is empty; serving tables are left as they are")
+    root = root or t.published_root
     forecasts_path = publish(items, "forecasts", root)
     fresh = t.spark.read.parquet(forecasts_path)
     inventory_path = publish(derive_inventory(fresh, default_policy(fresh)), "inventory", root)
     errors = t.local_scores.select("family", F.col("rmsle").alias("family_rmsle"))
     stats = sku_stats(t.sales, t.items, fresh, t.origin_date.year - 1, t.origin, errors)
-    return Retrained(forecasts_path, inventory_path, publish(stats, "sku_stats", root))
+    done = Retrained(forecasts_path, inventory_path, publish(stats, "sku_stats", root))
+    t.refresh()
+    return done
 
 
 def history_with_future(t: RetailTables) -> DataFrame:

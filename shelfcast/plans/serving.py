@@ -20,7 +20,7 @@ from shelfcast.functions.durable import shared_dir
 from shelfcast.operators import aggregates, clean, forecast, inventory, panel
 from shelfcast.operators.enrich import with_item_columns
 from shelfcast.sources.raw import between, ingest_sales, store_by_month
-from shelfcast.sources.tables import materialize, newest_partition, path_exists
+from shelfcast.sources.tables import materialize, newest_partition, path_exists, published
 from shelfcast.sources.testdata import OrderTables
 
 ASSORTMENT_DAYS = 90
@@ -48,6 +48,29 @@ class RetailTables:
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return materialize(self.spark, build, f"{self.root}/{name}", self.force)
 
+    # ---- published versions take the place of what is derived here
+
+    @property
+    def published_root(self) -> str:
+        return f"{self.root}/published"
+
+    @cached_property
+    def _published(self) -> dict[str, tuple[DataFrame, str]]:
+        found = {name: published(self.spark, name, self.published_root) for name in ("forecasts", "inventory", "sku_stats")}
+        return {name: v for name, v in found.items() if v}
+
+    def served(self, name: str, build: Callable[[], DataFrame], *sources: str) -> DataFrame:
+        """The published version of a table, or the stored one for the versions of its `sources`."""
+        if name in self._published:
+            return self._published[name][0]
+        made_from = [self._published[s][1] for s in sources if s in self._published]
+        return self.stored("@".join([name, *made_from]), build)
+
+    def refresh(self) -> None:
+        """Look again for published versions."""
+        for name in ("_published", "forecasts", "family_forecast", "inventory", "position", "sku_stats"):
+            self.__dict__.pop(name, None)
+
     # ---- dimensions and raw facts (lazy)
 
     @cached_property
@@ -218,37 +241,39 @@ class RetailTables:
 
     @cached_property
     def forecasts(self) -> DataFrame:
-        return self.stored(
+        return self.served(
             "forecasts",
             lambda: forecast.split_to_items(self.plan, self.items, self.family_prediction, self.shares),
         )
 
     @cached_property
     def family_forecast(self) -> DataFrame:
-        return self.stored(
-            "forecast_by_family", lambda: aggregates.forecast_by_family(self.forecasts, self.items)
+        return self.served(
+            "forecast_by_family", lambda: aggregates.forecast_by_family(self.forecasts, self.items), "forecasts"
         )
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return self.stored(
+        return self.served(
             "inventory",
             lambda: inventory.derive_inventory(self.forecasts, inventory.default_policy(self.forecasts)),
+            "forecasts",
         )
 
     @cached_property
     def position(self) -> DataFrame:
-        return self.stored(
-            "position", lambda: inventory.position(self.forecasts, self.inventory, self.items)
+        return self.served(
+            "position", lambda: inventory.position(self.forecasts, self.inventory, self.items), "forecasts", "inventory"
         )
 
     @cached_property
     def sku_stats(self) -> DataFrame:
-        return self.stored(
+        return self.served(
             "sku_stats",
             lambda: aggregates.sku_stats(
                 self.sales, self.items, self.forecasts, self.origin_date.year - 1, self.origin
             ),
+            "forecasts",
         )
 
     @cached_property

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from shelfcast.constants import DEFAULT_COST_RATIO, DEFAULT_PRICE, DEFAULT_RETURN_RATE
-from shelfcast.sources.testdata import HOLIDAYS, TYPE_PRICES
+from shelfcast.sources.testdata import HOLIDAYS, UNPRICED
 
 
 def _values(rows: list[tuple]) -> str:
@@ -65,7 +65,10 @@ VIEWS = {
                         (SELECT origin FROM v_origin) + 16, INTERVAL 1 DAY)) AS DATE) AS date) s
               LEFT JOIN v_raw_oil o USING (date))""",
     "v_prices": f"""
-        SELECT * FROM (VALUES {_values(TYPE_PRICES)}) t(family, unit_price, cost_ratio, return_rate)""",
+        SELECT CASE WHEN p_type = 'LARGE' THEN lower(p_type) ELSE p_type END AS family,
+               max(p_retailprice) / (length(p_type) * 50) AS unit_price,
+               6e-1 + count(*) % 7 * 3e-2 AS cost_ratio, 1e-2 + count(*) % 5 * 5e-3 AS return_rate
+        FROM part WHERE p_type <> '{UNPRICED}' GROUP BY p_type""",
     "v_item_prices": f"""
         SELECT f.family, coalesce(p.unit_price, CAST({DEFAULT_PRICE} AS DOUBLE)) AS unit_price,
                coalesce(p.cost_ratio, CAST({DEFAULT_COST_RATIO} AS DOUBLE)) AS cost_ratio,

@@ -1,8 +1,8 @@
 """The retail roles played by the order tables: nations are stores, parts are items,
 order lines are sales.
 
-Prices, holidays and promotions that the order tables lack are derived from them or are
-the short fixed lists below.
+Prices and promotions that the order tables lack are derived from them, holidays are the
+short fixed list below.
 """
 
 from __future__ import annotations
@@ -10,14 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# --- fixed values: reference prices by item type (one type is left to the defaults) ---
-TYPE_PRICES = [
-    ("STANDARD", 1.4, 0.80, 0.015),
-    ("large", 1.2, 0.74, 0.01),
-    ("PROMO", 3.4, 0.84, 0.02),
-    ("ECONOMY", 2.6, 0.68, 0.02),
-    ("SMALL", 5.0, 0.85, 0.04),
-]
+# the item type whose prices are left to the defaults
+UNPRICED = "MEDIUM"
 # --- fixed values: holidays (date, type, locale, locale_name, description, transferred) ---
 HOLIDAYS = [
     ("1996-01-01", "Holiday", "National", "World", "New year", False),
@@ -46,7 +40,7 @@ def fixed_rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFram
     def literal(v) -> str:
         if isinstance(v, str):
             return "'" + v.replace("'", "''") + "'"
-        return f"{v}D" if isinstance(v, float) else str(v)
+        return str(v)
 
     values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
@@ -125,7 +119,16 @@ class OrderTables:
 
     @property
     def prices(self) -> DataFrame:
-        return fixed_rows(self.spark, TYPE_PRICES, "family, unit_price, cost_ratio, return_rate")
+        """Prices by item type: a share of the dearest retail price, rates that go with the number
+        of items.  One type is written in lower case, as names in price lists may be."""
+        n = F.count(F.lit(1))
+        by_type = self.read("part").filter(F.col("p_type") != UNPRICED).groupBy("p_type").agg(
+            (F.max("p_retailprice") / (F.length("p_type") * 50)).alias("unit_price"),
+            (F.lit(0.6) + n % 7 * F.lit(0.03)).alias("cost_ratio"),
+            (F.lit(0.01) + n % 5 * F.lit(0.005)).alias("return_rate"),
+        )
+        family = F.when(F.col("p_type") == "LARGE", F.lower("p_type")).otherwise(F.col("p_type"))
+        return by_type.select(family.alias("family"), "unit_price", "cost_ratio", "return_rate")
 
     @property
     def holidays(self) -> DataFrame:

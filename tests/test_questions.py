@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import shelfcast.plans.queries  # noqa: F401  (registers the queries)
 from shelfcast.operators.scope import AccessDenied
-from shelfcast.plans.questions import QUESTIONS, ask
+from shelfcast.plans.questions import CHAIN_WIDE, PLAIN_VALUES, QUESTIONS, VisibleTables, ask
 from shelfcast.plans.registry import QUERIES
 
 PARAMS = {
@@ -57,7 +58,7 @@ def test_user_without_stores_is_refused(tables):
 def test_unknown_question_and_parameters(tables):
     with pytest.raises(KeyError):
         ask(tables, "no_such", "boss", admin=True)
-    with pytest.raises(ValueError, match="known"):
+    with pytest.raises(ValueError, match="NO SUCH"):
         ask(tables, "family_forecast", "boss", admin=True, family="NO SUCH")
     with pytest.raises(ValueError, match="out of range"):
         ask(tables, "run_scenario", "boss", admin=True, demand_multiplier=11.0)
@@ -92,6 +93,44 @@ def test_restock_is_checked_and_published(spark, tables, tmp_path):
         restock(tables, spark.createDataFrame([(3, -1, 4.0)], schema), "boss", "2001-10-20", str(tmp_path), admin=True)
 
 
+def test_restock_is_seen_by_other_sessions(spark, tables, tmp_path):
+    from shelfcast.plans.questions import restock
+    from shelfcast.plans.serving import RetailTables
+
+    t = RetailTables(spark, "/root/testdata/sf0.001", root=str(tmp_path))
+    for name in ("forecasts", "sku_stats"):
+        t.__dict__[name] = getattr(tables, name)
+    before = t.inventory.filter("store_nbr = 3").orderBy("item_nbr").first()
+    old = ask(t, "inventory_row", "manager3", item_nbr=before["item_nbr"], store_nbr=3).first() if "inventory_row" in QUESTIONS else before
+    add = spark.createDataFrame([(3, before["item_nbr"], 7.0)], "store_nbr int, item_nbr long, quantity double")
+    restock(t, add, "manager3", "2001-10-20 08:00:00")
+    other = RetailTables(spark.newSession(), "/root/testdata/sf0.001", root=str(tmp_path))
+    for seen in (t, other):
+        now = seen.inventory.filter((F.col("store_nbr") == 3) & (F.col("item_nbr") == before["item_nbr"])).first()
+        assert now["current_stock"] == old["current_stock"] + 7.0
+    restock(other, add, "manager3", "2001-10-21 08:00:00")
+    t.refresh()
+    again = t.inventory.filter((F.col("store_nbr") == 3) & (F.col("item_nbr") == before["item_nbr"])).first()
+    assert again["current_stock"] == old["current_stock"] + 14.0
+
+
+def test_every_table_is_cut_or_refused(tables):
+    """A manager sees no row of another store through any attribute."""
+    seen = VisibleTables(tables, "manager7")
+    names = [n for n in dir(type(tables)) if not n.startswith("_") and n not in ("served", "stored", "refresh")]
+    for name in [*names, "source", "spark", "root"]:
+        try:
+            value = getattr(seen, name)
+        except AccessDenied:
+            continue
+        if isinstance(value, DataFrame) and "store_nbr" in value.columns:
+            assert {r[0] for r in value.select("store_nbr").distinct().collect()} <= {7}, name
+        else:
+            assert name in CHAIN_WIDE | PLAIN_VALUES, name
+    with pytest.raises(AccessDenied):
+        _ = seen.source
+
+
 def test_forecast_window_goes_stale(tables):
     from datetime import timedelta
 

@@ -107,10 +107,12 @@ def test_one_conversation_with_most_turns(spark):
         F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
         F.concat(F.lit("m"), F.col("id").cast("string")).alias("text"),
     )
-    kept = text.sanitize_history(rows)
-    assert kept.filter("conv_id = 1").count() == 40
-    assert kept.filter("conv_id = 1").agg(F.min("turn"), F.max("turn")).first() == (40, 79)
+    assert text.sanitize_history(rows).count() == 30_000
+    kept = text.sanitize_history(rows, max_messages=40)
+    assert kept.filter("conv_id = 1").agg(F.min("turn"), F.max("turn")).first() == (24_960, 24_999)
     assert kept.filter("conv_id > 1").count() == 5000
+    fitting = text.trim_to_budget(text.sanitize_history(rows), 30).filter("conv_id = 1")
+    assert fitting.agg(F.max("turn"), F.sum("tokens")).first() == (24_999, 30)
 
 
 def test_series_completion_counts_days(spark):

@@ -27,13 +27,18 @@ def test_empty_texts_are_dropped_and_space_stripped(spark):
     assert texts(text.sanitize_history(df)) == ["hello", "x"]
 
 
-def test_long_text_is_cut(spark):
-    assert len(texts(text.sanitize_history(history(spark, ("user", "x" * 99_999))))[0]) == 4000
+def test_long_texts_and_conversations_stay_whole(spark):
+    assert len(texts(text.sanitize_history(history(spark, ("user", "x" * 99_999))))[0]) == 99_999
+    df = history(spark, *[("user", f"m{i}") for i in range(100)])
+    assert texts(text.sanitize_history(df)) == [f"m{i}" for i in range(100)]
 
 
-def test_first_80_rows_are_read_and_newest_40_kept(spark):
-    df = history(spark, *[("user", f"m{i}") for i in range(100)])
-    assert texts(text.sanitize_history(df)) == [f"m{i}" for i in range(40, 80)]
+def test_limits_are_parameters(spark):
+    df = history(spark, *[("user", f"message {i}") for i in range(100)])
+    assert texts(text.sanitize_history(df, max_messages=3, max_chars=7)) == ["message"] * 3
+    assert texts(text.sanitize_history(df, max_messages=2)) == ["message 98", "message 99"]
+    with pytest.raises(ValueError):
+        text.sanitize_history(df, max_messages=0)
 
 
 OLD = [("user", "c" * 1000), ("assistant", "a" * 1000), ("user", "recent 1"), ("assistant", "reply 1"), ("user", "recent 2")]
