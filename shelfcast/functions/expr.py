@@ -67,10 +67,10 @@ def check_count(value: int, name: str, low: int = 1) -> int:
 def grade(col: Column | str, digits: int = 6) -> Column:
     """Value on a decimal grid, so that sums added in different orders compare and rank alike.
 
-    The offset lies off the decimal ties, where sums of money and shares often end.  Values
-    from 1e9 on keep their bits.
+    The offset lies off the decimal ties, where sums of money and shares often end.  From
+    2**53 / 10**digits on, neighbouring doubles lie farther apart than the grid, so each is its own.
     """
     c = F.col(col) if isinstance(col, str) else col
     scale = float(10**digits)
     snapped = F.floor(c * scale + 0.50003).cast("double") / scale
-    return F.when(F.abs(c) < 1e9, snapped).otherwise(c)
+    return F.when(F.abs(c) < 2.0**53 / scale, snapped).otherwise(c)

@@ -21,6 +21,7 @@ from shelfcast.constants import (
     SALES_STD_WINDOWS,
 )
 from shelfcast.functions.expr import log_target, require_columns
+from shelfcast.functions.running import running_total
 from shelfcast.functions.series import SERIES_KEYS, series, trailing
 from shelfcast.operators.encoding import ClusterEncoding
 from shelfcast.operators.enrich import with_back_to_school, with_calendar, with_date_parts, with_tier_flag
@@ -211,12 +212,12 @@ def encode_ordinal(train: DataFrame, df: DataFrame, columns: list[str], unknown:
     """Alphabetical code per category seen in `train`; `unknown` for all others.
 
     Codes come from the distinct values, so the table that is ordered is a dictionary, not
-    the facts.
+    the facts; it is numbered in range partitions, whatever its length.
     """
     for c in columns:
-        # a dictionary of categories: as many rows as there are distinct values
-        codes = train.select(c).filter(F.col(c).isNotNull()).distinct()
-        codes = codes.withColumn("_code", F.row_number().over(Window.orderBy(c)) - 1)
+        values = train.select(c).filter(F.col(c).isNotNull()).distinct().withColumn("_one", F.lit(1))
+        numbered = running_total(values, [], [F.col(c)], "_one", "_upto")
+        codes = numbered.select(c, (F.col("_upto") - 1).cast("int").alias("_code"))
         df = df.join(codes, c, "left").withColumn(f"{c}_code", F.coalesce("_code", F.lit(unknown))).drop("_code")
     return df
 

@@ -376,10 +376,12 @@ def batch_score(rows: DataFrame, models: DataFrame, decimals: int = 4) -> DataFr
 
 def number_rows(plan: DataFrame, last_day: Column) -> DataFrame:
     """Row id from the key itself: day of horizon, store and item in separate bit ranges
-    (6, 20 and 37 bits), so it is unique without a sort and the same on every run."""
-    day = F.datediff("date", last_day).cast("long")
-    key = F.shiftleft(day, 57) + F.shiftleft(F.col("store_nbr").cast("long"), 37) + F.col("item_nbr")
-    return plan.withColumn("id", key)
+    (6, 20 and 37 bits), so it is unique without a sort and the same on every run.  Keys that
+    don't fit their bits raise."""
+    day, store, item = F.datediff("date", last_day).cast("long"), F.col("store_nbr").cast("long"), F.col("item_nbr").cast("long")
+    fits = day.between(0, 2**6 - 1) & store.between(0, 2**20 - 1) & item.between(0, 2**37 - 1)
+    key = F.shiftleft(day, 57) + F.shiftleft(store, 37) + item
+    return plan.withColumn("id", F.when(fits, key).otherwise(F.raise_error(F.lit("day, store or item beyond the bits of a row id"))))
 
 
 def assortment_plan(
