@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.constants import HORIZON_DAYS, ROUTE_TOLERANCE
+from shelfcast.constants import HORIZON_DAYS, NORMAL_DAY, ROUTE_TOLERANCE
 from shelfcast.functions.expr import clipped, log_target, unlog_target
 from shelfcast.functions.series import SERIES_KEYS, daily_spine, series, trailing
 from shelfcast.operators.metrics import evaluate
@@ -42,6 +42,11 @@ LOCAL_FEATURES = [
 ]
 
 
+# drivers that a what-if run may change; fitted on what the features above leave unexplained
+DRIVER_FEATURES = ["oil", "holiday", "quake", "traffic"]
+DRIVER_RIDGE = 10.0
+
+
 # ---------------------------------------------------------------- plans and baselines
 
 
@@ -108,10 +113,11 @@ def complete_rows(features: DataFrame) -> DataFrame:
     return features.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in LOCAL_FEATURES]))
 
 
-def product_sums(rows: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+def product_sums(
+    rows: DataFrame, by: list[str], weight: Column | None = None, names: list[str] = LOCAL_FEATURES
+) -> DataFrame:
     """Sums of feature products per group: all a least-squares fit needs to know."""
     w = F.lit(1.0) if weight is None else weight
-    names = LOCAL_FEATURES
     gram = [
         F.sum(w * F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]
     ]
@@ -133,13 +139,12 @@ def add_sums(sums: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _solver():
+def _solver(p: int):
     """Batch solver of small ridge systems.
 
     A nested function travels to the workers by value, so they need numpy and pandas but
     not this package.
     """
-    p = len(LOCAL_FEATURES)
 
     def solve(batches):
         upper = np.triu_indices(p)
@@ -168,7 +173,7 @@ def solve_families(sums: DataFrame, ridge: Column | None = None) -> DataFrame:
         "ridge", default if ridge is None else ridge
     )
     schema = "family string, n_rows long, ridge double, coef array<double>"
-    return ready.select("family", "n_rows", "ridge", "gram", "cross").mapInPandas(_solver(), schema)
+    return ready.select("family", "n_rows", "ridge", "gram", "cross").mapInPandas(_solver(len(LOCAL_FEATURES)), schema)
 
 
 def linear_score(coef: str = "coef") -> Column:
@@ -197,6 +202,33 @@ def train_local(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
     return final, evaluate(scored, by=["family"], perishable="perishable")
 
 
+def driver_values(oil: Column, holiday_type: Column, quake: Column, traffic: Column) -> dict[str, Column]:
+    """`DRIVER_FEATURES` of a day."""
+    quake = F.coalesce(quake, F.lit(False))
+    free = F.coalesce(holiday_type, F.lit(NORMAL_DAY)) != NORMAL_DAY
+    return {
+        "oil": F.coalesce(oil, F.lit(0.0)) / 100.0,
+        "holiday": (free & ~quake).cast("double"),
+        "quake": quake.cast("double"),
+        "traffic": F.log1p(F.greatest(F.coalesce(traffic.cast("double"), F.lit(0.0)), F.lit(0.0))),
+    }
+
+
+def train_drivers(panel: DataFrame, models: DataFrame) -> DataFrame:
+    """Effects of the drivers per family, in log units: a ridge fit of what its model leaves over.
+
+    A driver that never changes in a family's history gets no effect.
+    """
+    values = driver_values(*[F.col(c) for c in ("oil_price", "holiday_type", "is_earthquake_period", "transactions_lag1")])
+    rows = complete_rows(local_features(panel)).join(models.select("family", "coef"), "family")
+    left = rows.withColumn("y", F.col("y") - linear_score()).withColumns(values)
+    names = ["one", *DRIVER_FEATURES]
+    sums = product_sums(left, ["family"], names=names).withColumn("ridge", F.lit(DRIVER_RIDGE))
+    schema = "family string, n_rows long, ridge double, coef array<double>"
+    fitted = sums.select("family", "n_rows", "ridge", "gram", "cross").mapInPandas(_solver(len(names)), schema)
+    return fitted.select("family", F.slice("coef", 2, len(DRIVER_FEATURES)).alias("driver_coef"))
+
+
 def search_ridge(panel: DataFrame, grid: list[float], gain: float = 0.01) -> DataFrame:
     """Best ridge value per family on the hold-out, taken only if it is at least `gain`
     better than the default."""
@@ -270,7 +302,8 @@ def _next_log(logs: Column, day: Column, coef: Column) -> Column:
         day["weekend"],
         day["payday"],
     ]
-    return F.greatest(reduce(lambda a, b: a + b, [coef[i] * v for i, v in enumerate(values)]), F.lit(0.0))
+    total = reduce(lambda a, b: a + b, [coef[i] * v for i, v in enumerate(values)])
+    return F.greatest(total + day["effect"], F.lit(0.0))
 
 
 def forecast_recursive(
@@ -278,12 +311,13 @@ def forecast_recursive(
 ) -> DataFrame:
     """Forecast day by day, each prediction becoming history for the next.
 
-    `future` has one row per series and day with `onpromotion`; extra `keys` (for example
-    a scenario id) forecast several futures of one series.  Series whose family has no
-    model are left out.
+    `future` has one row per series and day with `onpromotion`, and may have `effect`, log units
+    that are added to a day's score; extra `keys` (for example a scenario id) forecast several
+    futures of one series.  Series whose family has no model are left out.
     """
     keys = keys or SERIES_KEYS
-    driver = F.struct("date", "promo", "weekend", "payday")
+    effect = F.coalesce("effect", F.lit(0.0)) if "effect" in future.columns else F.lit(0.0)
+    driver = F.struct("date", "promo", "weekend", "payday", effect.alias("effect"))
     days = (
         with_known_drivers(future)
         .groupBy(*keys)

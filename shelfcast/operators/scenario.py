@@ -21,7 +21,7 @@ from shelfcast.functions.ranking import top_k
 from shelfcast.functions.series import SERIES_KEYS
 from shelfcast.operators.aggregates import promotion_days, shares_from_forecasts
 from shelfcast.operators.enrich import join_holidays, transactions_lag
-from shelfcast.operators.forecast import forecast_recursive
+from shelfcast.operators.forecast import DRIVER_FEATURES, driver_values, forecast_recursive
 from shelfcast.operators.panel import attach_drivers, to_family
 
 HISTORY_DAYS = 90
@@ -151,6 +151,14 @@ def future_drivers(
     in_event = i < F.col("event_days")
     quake = F.coalesce(F.lower("holiday_description").contains(QUAKE_WORD), F.lit(False))
     factor = F.greatest(F.lit(0.0), 1 + F.col("traffic_change_pct") / 100.0)
+    planned_type = F.coalesce("holiday_type", F.lit(NORMAL_DAY))
+    plan = [
+        F.coalesce("_planned", F.lit(0)).alias("plan_promotion"),
+        F.col("oil_price").alias("plan_oil_price"),
+        planned_type.alias("plan_holiday_type"),
+        quake.alias("plan_earthquake"),
+        F.col("last_traffic").alias("plan_traffic"),
+    ]
     return base.select(
         "scenario_id",
         "store_nbr",
@@ -173,9 +181,24 @@ def future_drivers(
             F.col("traffic_change_pct").isNotNull(),
             F.greatest(F.lit(0.0), F.coalesce("last_traffic", F.lit(0.0)) * factor),
         ).alias("transactions_lag1"),
+        *plan,
     )
 
 
+def driver_effects(drivers: DataFrame, driver_models: DataFrame) -> DataFrame:
+    """`effect` per scenario and day: what the overridden drivers add to the plan's, in log units.
+
+    `drivers` comes from `future_drivers`, `driver_models` from `train_drivers`; traffic that isn't
+    overridden stays as planned.
+    """
+    traffic = F.coalesce("transactions_lag1", "plan_traffic")
+    new = driver_values(F.col("oil_price"), F.col("holiday_type"), F.col("is_earthquake_period"), traffic)
+    old = driver_values(F.col("plan_oil_price"), F.col("plan_holiday_type"), F.col("plan_earthquake"), F.col("plan_traffic"))
+    moved = [F.col("driver_coef")[i] * (new[c] - old[c]) for i, c in enumerate(DRIVER_FEATURES)]
+    joined = drivers.join(driver_models.select("family", "driver_coef"), "family", "left")
+    return joined.withColumn("effect", F.coalesce(reduce(lambda a, b: a + b, moved), F.lit(0.0))).drop("driver_coef")
+
+
 def latest_traffic(history_rows: DataFrame) -> DataFrame:
     """Last known traffic lag of each store's history."""
     known = history_rows.filter("transactions_lag1 IS NOT NULL")
@@ -287,14 +310,16 @@ def scenario_totals(
 ) -> DataFrame:
     """Totals per scenario.
 
-    Where the model gave a series, its days are multiplied by the demand factor; where it
-    gave none, the baseline is (`source` says which), once.
+    `predicted` has `prediction` under the scenario and `planned` under the plan, by the same model:
+    their difference is what the overrides change, and it is added to the baseline, so a neutral
+    scenario is the baseline.  Series without a model keep the baseline (`source` says which); the
+    demand factor is applied once, to the result.
     """
     keys = ["scenario_id", "store_nbr", "family"]
     base = baseline_rows.groupBy(*keys).agg(
         F.sum("baseline_sales").alias("baseline_total"), F.count(F.lit(1)).alias("_days")
     )
-    model = predicted.groupBy(*keys).agg(F.sum("prediction").alias("_model_total"))
+    model = predicted.groupBy(*keys).agg((F.sum("prediction") - F.sum("planned")).alias("_change"))
     joined = (
         overrides.join(base, keys)
         .join(model, keys, "left")
@@ -304,15 +329,15 @@ def scenario_totals(
     factor = F.col("demand_multiplier")
     return joined.withColumns(
         {
-            "source": F.when(F.col("_model_total").isNotNull(), "model").otherwise("scaled baseline"),
+            "source": F.when(F.col("_change").isNotNull(), "model").otherwise("scaled baseline"),
             "scenario_total": F.greatest(
-                F.lit(0.0), F.coalesce("_model_total", "baseline_total") * factor
-            ),
+                F.lit(0.0), F.col("baseline_total") + F.coalesce("_change", F.lit(0.0))
+            ) * factor,
             "stock": F.coalesce("stock_override", "stock", F.lit(0.0)),
             "lead_time": F.coalesce("lead_time_override", "lead_time", F.lit(float(DEFAULT_LEAD_TIME))),
             "unit_price": F.coalesce(finite("unit_price"), F.lit(SCENARIO_DEFAULT_PRICE)),
         }
-    ).drop("_days", "_model_total")
+    ).drop("_days", "_change")
 
 
 def run_scenarios(
@@ -325,13 +350,22 @@ def run_scenarios(
     inventory: DataFrame,
     items: DataFrame,
     prices: DataFrame,
+    driver_models: DataFrame,
 ) -> DataFrame:
     """All scenarios in one job: baseline, forecast under the drivers, outcome.
 
-    `drivers` comes from `future_drivers`; series without a model fall back to the baseline.
+    `drivers` comes from `future_drivers`, `driver_models` from `train_drivers`; scenario and plan
+    are two futures of one recursion.  Series without a model fall back to the baseline.
     """
     keys = ["scenario_id", *SERIES_KEYS]
-    predicted = forecast_recursive(panel, drivers.select(*keys, "date", "onpromotion"), models, keys)
+    under = driver_effects(drivers, driver_models)
+    new = under.select(*keys, "date", "onpromotion", "effect", F.lit(True).alias("changed"))
+    plan = under.select(*keys, "date", F.col("plan_promotion").alias("onpromotion"), F.lit(0.0).alias("effect"), F.lit(False).alias("changed"))
+    both = forecast_recursive(panel, new.unionByName(plan), models, [*keys, "changed"])
+    predicted = both.groupBy(*keys, "date").agg(
+        F.sum(F.when(F.col("changed"), F.col("prediction"))).alias("prediction"),
+        F.sum(F.when(~F.col("changed"), F.col("prediction"))).alias("planned"),
+    )
     totals = scenario_totals(
         overrides,
         baseline(family_forecast, overrides, days),

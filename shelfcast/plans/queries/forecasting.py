@@ -8,7 +8,7 @@ from shelfcast.functions.series import SERIES_KEYS
 from shelfcast.operators import ensemble, forecast, metrics
 from shelfcast.operators.clean import stack
 from shelfcast.operators.features import extended_features
-from shelfcast.operators.forecast import LOCAL_FEATURES
+from shelfcast.operators.forecast import DRIVER_FEATURES, LOCAL_FEATURES
 from shelfcast.plans import retrain
 from shelfcast.plans.queries.features import SERIES, rolled
 from shelfcast.plans.queries.scoring import FOLDS_SQL, _stored_folds
@@ -32,6 +32,7 @@ CHECK_COEFFICIENTS = {
     "payday": 0.02,
 }
 NO_MODEL = "LARGE"
+CHECK_DRIVERS = {"oil": -0.2, "holiday": 0.1, "quake": -0.3, "traffic": 0.15}
 
 
 def check_models(t: RetailTables):
@@ -40,9 +41,14 @@ def check_models(t: RetailTables):
     return families.withColumn("coef", F.array(*values))
 
 
-def _dot(values: dict[str, str]) -> str:
+def check_drivers(t: RetailTables):
+    values = F.array(*[F.lit(CHECK_DRIVERS[c]) for c in DRIVER_FEATURES])
+    return t.items.select("family").distinct().withColumn("driver_coef", values)
+
+
+def _dot(values: dict[str, str], more: str = "") -> str:
     terms = " + ".join(f"CAST({CHECK_COEFFICIENTS[c]} AS DOUBLE) * ({values[c]})" for c in LOCAL_FEATURES)
-    return f"greatest({terms}, 0)"
+    return f"greatest({terms}{more}, 0)"
 
 
 DRIVERS = """
@@ -51,9 +57,10 @@ DRIVERS = """
 """
 
 
-def recursive_sql(future: str, last_day: str, keys: str = "store_nbr, family", days: int = 16) -> str:
-    """CTEs that roll the check model forward over `future` (keys, date, promo); the result
-    is `rolled` with one row per key and day."""
+def recursive_sql(future: str, last_day: str, keys: str = "store_nbr, family", days: int = 16, effect: bool = False) -> str:
+    """CTEs that roll the check model forward over `future` (keys, date, promo, and effect if it has
+    one); the result is `rolled` with one row per key and day."""
+    step = "n.effect" if effect else "0"
     steps = {
         "one": "1.0",
         "lag1": "logs[-1]",
@@ -74,14 +81,14 @@ def recursive_sql(future: str, last_day: str, keys: str = "store_nbr, family", d
         FROM (SELECT store_nbr, family, list(ln(1 + greatest(target, 0)) ORDER BY date) AS l FROM v_panel
               WHERE date > {last_day} - 28 AND date <= {last_day} GROUP BY ALL)),
     ahead AS MATERIALIZED (
-        SELECT {keys}, date, promo, {DRIVERS}, row_number() OVER (PARTITION BY {keys} ORDER BY date) AS step
+        SELECT {keys}, date, promo, {"effect" if effect else "0 AS effect"}, {DRIVERS}, row_number() OVER (PARTITION BY {keys} ORDER BY date) AS step
         FROM {future} WHERE family <> '{NO_MODEL}'),
     walk AS (
         SELECT DISTINCT {", ".join(f"a.{k.strip()}" for k in keys.split(","))}, CAST(0 AS BIGINT) AS step,
                CAST(NULL AS DATE) AS date, l.logs, CAST(0 AS DOUBLE) AS pred
         FROM ahead a JOIN logs0 l ON l.store_nbr = a.store_nbr AND l.family = a.family
         UNION ALL
-        SELECT {own}, s.step + 1, n.date, list_append(s.logs, {_dot(steps)}), exp({_dot(steps)}) - 1
+        SELECT {own}, s.step + 1, n.date, list_append(s.logs, {_dot(steps, " + " + step)}), exp({_dot(steps, " + " + step)}) - 1
         FROM walk s JOIN ahead n ON {join} AND n.step = s.step + 1 WHERE s.step < {days}),
     rolled AS (SELECT * EXCLUDE (logs) FROM walk WHERE step > 0)
     """

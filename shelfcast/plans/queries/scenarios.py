@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.series import SERIES_KEYS
 from shelfcast.operators import scenario
-from shelfcast.plans.queries.forecasting import check_models, recursive_sql
+from shelfcast.plans.queries.forecasting import CHECK_DRIVERS, check_drivers, check_models, recursive_sql
 from shelfcast.plans.registry import d, query, r
 from shelfcast.plans.serving import RetailTables
 
@@ -150,7 +150,11 @@ DRIVERS_SQL = f"""
                          LIKE '%terremoto%' END AS is_earthquake_period,
                CASE WHEN traffic_change_pct IS NOT NULL
                     THEN greatest(0, coalesce(last_traffic, 0) * greatest(0, 1 + traffic_change_pct / 100)) END
-                   AS transactions_lag1
+                   AS transactions_lag1,
+               coalesce(p.onpromotion, 0) AS plan_promotion, o.oil_price AS plan_oil,
+               coalesce(n.h.holiday_type, g.h.holiday_type, l.h.holiday_type, 'Normal Day') AS plan_type,
+               lower(coalesce(n.h.holiday_description, g.h.holiday_description, l.h.holiday_description, ''))
+                   LIKE '%terremoto%' AS plan_quake, last_traffic AS plan_traffic
         FROM ov JOIN days d ON d.day_index < horizon_days
         JOIN v_stores s ON s.store_nbr = ov.store_nbr
         LEFT JOIN v_oil o ON o.date = d.date
@@ -186,7 +190,9 @@ def _drivers(t: RetailTables):
     digits=4,
 )
 def scenario_drivers(t: RetailTables):
-    return _drivers(t)
+    return _drivers(t).select(
+        "scenario_id", *SERIES_KEYS, "date", "day_index", "onpromotion", "oil_price", "holiday_type", "is_earthquake_period", "transactions_lag1"
+    )
 
 
 BASE_SQL = """
@@ -230,18 +236,36 @@ def scenario_family_stock(t: RetailTables):
     return stock.join(scenario.unit_prices(t.items, t.prices), "family")
 
 
-# The model part of a run: recursion over each scenario's own drivers.
+def _effect_sql() -> str:
+    """What the overridden drivers add to the plan's, with the check coefficients."""
+
+    def value(kind: str, quake: str) -> str:
+        return f"CASE WHEN {kind} <> 'Normal Day' AND NOT {quake} THEN 1.0 ELSE 0.0 END"
+
+    moved = {
+        "oil": "coalesce(oil_price, 0) / 100 - coalesce(plan_oil, 0) / 100",
+        "holiday": f"{value('holiday_type', 'is_earthquake_period')} - {value('plan_type', 'plan_quake')}",
+        "quake": "CAST(is_earthquake_period AS INTEGER) - CAST(plan_quake AS INTEGER)",
+        "traffic": "ln(1 + greatest(coalesce(transactions_lag1, plan_traffic, 0), 0)) - ln(1 + greatest(coalesce(plan_traffic, 0), 0))",
+    }
+    return " + ".join(f"CAST({CHECK_DRIVERS[c]} AS DOUBLE) * ({x})" for c, x in moved.items())
+
+
+# The model part of a run: one recursion over each scenario's own drivers and over the plan's.
 RUN_SQL = f"""
     {DRIVERS_SQL}, {BASE_SQL}, {STOCK_SQL},
-    fut AS (SELECT scenario_id, store_nbr, family, date, CAST(onpromotion AS DOUBLE) AS promo FROM drv),
-    {recursive_sql("fut", "(SELECT max(date) FROM v_panel)", "scenario_id, store_nbr, family")},
+    fut AS (SELECT scenario_id, TRUE AS changed, store_nbr, family, date, CAST(onpromotion AS DOUBLE) AS promo, {_effect_sql()} AS effect FROM drv
+            UNION ALL
+            SELECT scenario_id, FALSE, store_nbr, family, date, CAST(plan_promotion AS DOUBLE), 0 FROM drv),
+    {recursive_sql("fut", "(SELECT max(date) FROM v_panel)", "scenario_id, changed, store_nbr, family", effect=True)},
     tot AS (
         SELECT ov.*, b.baseline_total, coalesce(stock_override, stk.stock, 0) AS stock,
                coalesce(lead_time_override, stk.lead_time, 3) AS lead_time, coalesce(up.unit_price, 5) AS unit_price,
-               CASE WHEN m.total IS NOT NULL THEN 'model' ELSE 'scaled baseline' END AS source,
-               greatest(coalesce(m.total, b.baseline_total) * demand_multiplier, 0) AS scenario_total
+               CASE WHEN m.change IS NOT NULL THEN 'model' ELSE 'scaled baseline' END AS source,
+               greatest(b.baseline_total + coalesce(m.change, 0), 0) * demand_multiplier AS scenario_total
         FROM ov JOIN (SELECT scenario_id, sum(baseline_sales) AS baseline_total FROM base GROUP BY 1) b USING (scenario_id)
-        LEFT JOIN (SELECT scenario_id, sum(pred) AS total FROM rolled GROUP BY 1) m USING (scenario_id)
+        LEFT JOIN (SELECT scenario_id, sum(CASE WHEN changed THEN pred END) - sum(CASE WHEN NOT changed THEN pred END) AS change
+                   FROM rolled GROUP BY 1) m USING (scenario_id)
         LEFT JOIN stk ON stk.store_nbr = ov.store_nbr AND stk.family = ov.family
         LEFT JOIN up ON up.family = ov.family),
     outc AS (
@@ -262,6 +286,7 @@ def _run(t: RetailTables):
         t.inventory,
         t.items,
         t.prices,
+        check_drivers(t),
     )
 
 
@@ -366,3 +391,35 @@ def scenario_form_defaults(t: RetailTables):
         _history(t),
         F.date_add(t.origin, 1),
     )
+
+
+@query("scenario_sensitivity", "B7 Q7")
+def scenario_sensitivity(t: RetailTables):
+    """All series under the fitted models, once for each kind of override: what each one moves."""
+    series = t.panel.select(*SERIES_KEYS).distinct()
+    kinds = {
+        "neutral": {},
+        "oil": {"oil_price": F.lit(200.0)},
+        "traffic": {"traffic_change_pct": F.lit(-90.0)},
+        "holiday": {"event_type": F.lit("holiday"), "event_days": F.lit(16)},
+        "earthquake": {"event_type": F.lit("earthquake"), "event_days": F.lit(16)},
+        "promotion": {"promo_days": F.lit(16)},
+    }
+    wanted = None
+    for kind, changes in kinds.items():
+        key = F.xxhash64(F.lit(kind), *SERIES_KEYS).alias("scenario_id")
+        rows = scenario.with_defaults(series.select(key, *SERIES_KEYS, *[c.alias(n) for n, c in changes.items()]))
+        rows = rows.withColumn("kind", F.lit(kind))
+        wanted = rows if wanted is None else wanted.unionByName(rows)
+    overrides = wanted.drop("kind")
+    days = scenario.window_days(t.forecasts)
+    drivers = scenario.future_drivers(
+        overrides, days, t.stores, t.oil, t.holidays, t.planned_promotions, scenario.latest_traffic(_history(t))
+    )
+    ran = scenario.run_scenarios(
+        overrides, t.panel, t.local_models, t.family_forecast, drivers, days, t.inventory, t.items, t.prices, t.driver_models
+    )
+    return ran.join(wanted.select("scenario_id", "kind"), "scenario_id").groupBy("kind").agg(
+        F.count(F.lit(1)).alias("scenarios"), F.sum("baseline_total").alias("baseline_total"), F.sum("scenario_total").alias("scenario_total"),
+        F.sum("delta").alias("delta"),
+    )

@@ -23,7 +23,7 @@ from shelfcast.sources.tables import apply_restock, publish, unknown_restocks
 PAIR = ["store_nbr", "item_nbr"]
 # tables without a store that every user may see; tables with `store_nbr` are cut to the user's
 # scope, and anything else is refused
-CHAIN_WIDE = {"holidays", "items", "local_models", "oil", "prices", "sku_stats"}
+CHAIN_WIDE = {"driver_models", "holidays", "items", "local_models", "oil", "prices", "sku_stats"}
 PLAIN_VALUES = {"horizon", "origin", "origin_date"}
 
 
@@ -161,8 +161,9 @@ def run_scenario(t: VisibleTables, family: str | None = None, **overrides) -> Da
         wanted, days, t.stores, whole.oil, whole.holidays, t.planned_promotions, traffic
     )
     return scenario.run_scenarios(
-        wanted, t.panel, whole.local_models, t.family_forecast, drivers, days, t.inventory, whole.items, whole.prices
-    )
+        wanted, t.panel, whole.local_models, t.family_forecast, drivers, days, t.inventory, whole.items, whole.prices,
+        whole.driver_models,
+    )
 
 
 @question

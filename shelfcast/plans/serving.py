@@ -290,6 +290,10 @@ class RetailTables:
     def local_models(self) -> DataFrame:
         return self.stored("local_models", lambda: self._local[0])
 
+    @cached_property
+    def driver_models(self) -> DataFrame:
+        return self.stored("driver_models", lambda: forecast.train_drivers(self.panel, self.local_models))
+
     @cached_property
     def local_scores(self) -> DataFrame:
         return self.stored("local_scores", lambda: self._local[1])

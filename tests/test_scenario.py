@@ -84,7 +84,7 @@ def test_fallback_multiplies_once(spark):
     """A series without a model is the baseline times the factor, not its square."""
     over = _override(spark, demand_multiplier=2.0)
     base = spark.createDataFrame([(1, 1, "A", 10.0)] * 3, "scenario_id long, store_nbr int, family string, baseline_sales double")
-    none = spark.createDataFrame([], "scenario_id long, store_nbr int, family string, prediction double")
+    none = spark.createDataFrame([], "scenario_id long, store_nbr int, family string, prediction double, planned double")
     stock = spark.createDataFrame([], "store_nbr int, family string, stock double, lead_time double, sku_count long")
     price = spark.createDataFrame([], "family string, unit_price double")
     got = scenario.scenario_totals(over, base, none, stock, price).first()
@@ -108,24 +108,10 @@ def test_overrides_cover_the_first_days(spark, tables):
     assert {r["oil_price"] for r in got} == {77.0} and {r["transactions_lag1"] for r in got} == {60.0}
 
 
-def test_neutral_scenario_equals_recursive_forecast(spark, tables):
-    """Without overrides a scenario is the plain forecast over the same drivers."""
-    from shelfcast.operators.forecast import forecast_recursive
-    from shelfcast.plans.queries.forecasting import check_models
+def test_neutral_scenario_is_the_baseline_and_each_override_moves_it(spark, tables):
+    from shelfcast.plans.queries.scenarios import scenario_sensitivity
 
-    over = tables.panel.select("store_nbr", "family").distinct().withColumn("scenario_id", F.xxhash64("store_nbr", "family"))
-    over = scenario.with_defaults(over)
-    drivers = scenario.future_drivers(
-        over, scenario.window_days(tables.forecasts), tables.stores, tables.oil, tables.holidays,
-        tables.planned_promotions, spark.createDataFrame([], "store_nbr int, last_traffic double"),
-    )
-    ran = scenario.run_scenarios(
-        over, tables.panel, check_models(tables), tables.family_forecast, drivers,
-        scenario.window_days(tables.forecasts), tables.inventory, tables.items, tables.prices,
-    ).filter("source = 'model'")
-    plain = forecast_recursive(
-        tables.panel, drivers.select("store_nbr", "family", "date", "onpromotion"), check_models(tables)
-    ).groupBy("store_nbr", "family").agg(F.sum("prediction").alias("total"))
-    both = ran.join(plain, ["store_nbr", "family"])
-    assert both.count() == ran.count() > 0
-    assert both.filter(F.abs(F.col("scenario_total") - F.col("total")) > 1e-9).isEmpty()
+    got = {r["kind"]: r for r in scenario_sensitivity(tables).collect()}
+    assert set(got) == {"neutral", "oil", "traffic", "holiday", "earthquake", "promotion"}
+    assert abs(got["neutral"]["delta"]) < 1e-9 and got["neutral"]["baseline_total"] > 0
+    assert all(abs(r["delta"]) > 1e-6 for k, r in got.items() if k != "neutral"), got
