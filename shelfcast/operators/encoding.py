@@ -21,12 +21,11 @@ class ClusterEncoding:
     overall: DataFrame
 
     @staticmethod
-    def fit(train: DataFrame, smoothing: float = TARGET_SMOOTHING, distributed_median: bool = True):
+    def fit(train: DataFrame, smoothing: float = TARGET_SMOOTHING):
         """Means pulled towards the overall mean by `smoothing` pseudo-rows.
 
         The median comes from range-partitioned running counts, since the built-in one keeps
-        all distinct values of a cluster in one task; `distributed_median=False` uses the
-        built-in for panels known to be small.  The result is the same.
+        all distinct values of a cluster in one task.
         """
         train = train.withColumn("onpromotion", F.coalesce(F.col("onpromotion").cast("int"), F.lit(0)))
         overall = train.agg(F.avg("target").alias("overall_mean"))
@@ -38,17 +37,12 @@ class ClusterEncoding:
 
         mean = smooth(F.avg("target"))
         stats = [mean.alias("cluster_mean_sales"), F.stddev_samp("target").alias("cluster_std_sales")]
-        if distributed_median:
-            medians = exact_median(train.select("cluster", "target"), ["cluster"], "target", "_median")
-            counts = train.groupBy("cluster").agg(*stats, n.alias("_n")).join(medians, "cluster")
-            by_cluster = counts.withColumn(
-                "cluster_median_sales",
-                (F.col("_median") * F.col("_n") + center * smoothing) / (F.col("_n") + F.lit(smoothing)),
-            ).drop("_median", "_n")
-        else:
-            by_cluster = train.groupBy("cluster").agg(
-                *stats, smooth(F.median("target")).alias("cluster_median_sales")
-            )
+        medians = exact_median(train.select("cluster", "target"), ["cluster"], "target", "_median")
+        counts = train.groupBy("cluster").agg(*stats, n.alias("_n")).join(medians, "cluster")
+        by_cluster = counts.withColumn(
+            "cluster_median_sales",
+            (F.col("_median") * F.col("_n") + center * smoothing) / (F.col("_n") + F.lit(smoothing)),
+        ).drop("_median", "_n")
         return ClusterEncoding(
             by_cluster,
             train.groupBy("cluster", "family").agg(mean.alias("cluster_family_mean_sales")),
