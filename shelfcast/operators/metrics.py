@@ -15,7 +15,7 @@ from shelfcast.constants import (
     RECENCY_HALF_LIFE_DAYS,
     WMAPE_PERISHABLE_WEIGHT,
 )
-from shelfcast.functions.expr import clipped, require_columns
+from shelfcast.functions.expr import clipped, grade, require_columns
 
 METRICS = ["rmsle", "mae", "rmse", "mape", "wape", "wmape", "r2", "zero_rate", "nwrmsle"]
 
@@ -188,27 +188,35 @@ def sample_weight(
 # ---------------------------------------------------------------- blending
 
 
+WEIGHT_STEPS = 100  # blend weights are tried in steps of a hundredth, both ends included
+
+
 def blend_sums(df: DataFrame, by: list[str], y: str, a: str, b: str) -> DataFrame:
-    """The two sums that fix the best weight of two log-space predictions."""
-    d, r = F.col(a) - F.col(b), F.log1p(clipped(y)) - F.col(b)
-    return df.groupBy(*by).agg(
-        F.sum(d * r).alias("s_dr"),
-        F.sum(d * d).alias("s_dd"),
-        F.sum(r * r).alias("s_rr"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    """Squared log errors of all blends `w a + (1 - w) b`, clipped at zero sales, in one pass.
+
+    `losses` has an entry per weight of the grid; sums of several groups add up by entry.
+    """
+    truth = F.log1p(clipped(y))
 
+    def loss(k: int) -> Column:
+        w = k / WEIGHT_STEPS
+        off = F.greatest(F.lit(w) * F.col(a) + F.lit(1 - w) * F.col(b), F.lit(0.0)) - truth
+        return F.sum(off * off)
 
-def best_weight() -> Column:
-    """Weight of `a` that minimises the squared log error, kept inside [0, 1]."""
-    w = F.col("s_dr") / F.nullif("s_dd", F.lit(0.0))
-    return F.least(F.greatest(F.coalesce(w, F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
+    losses = F.array(*[loss(k) for k in range(WEIGHT_STEPS + 1)])
+    return df.groupBy(*by).agg(losses.alias("losses"), F.count(F.lit(1)).alias("n"))
+
+
+def best_weight(losses: Column | str = "losses") -> Column:
+    """Weight of `a` with the smallest loss, the smaller of equal ones.  The grid holds both ends, so
+    a blend is never worse than its better member."""
+    graded = F.transform(F.col(losses) if isinstance(losses, str) else losses, lambda x: grade(x))
+    return (F.array_position(graded, F.array_min(graded)) - 1) / float(WEIGHT_STEPS)
 
 
 def blend_rmsle(weight: Column) -> Column:
-    """Log error of a weight, from the same sums: exact while blends stay above zero."""
-    sq = F.col("s_rr") - 2 * weight * F.col("s_dr") + weight * weight * F.col("s_dd")
-    return F.sqrt(F.greatest(sq, F.lit(0.0)) / F.col("n"))
+    """Log error of a weight of the grid."""
+    return F.sqrt(F.get("losses", F.round(weight * WEIGHT_STEPS).cast("int")) / F.col("n"))
 
 
 def blend_weights(df: DataFrame, y: str, a: str, b: str, fold: str = "fold") -> DataFrame:
@@ -217,29 +225,28 @@ def blend_weights(df: DataFrame, y: str, a: str, b: str, fold: str = "fold") ->
     return sums.withColumn("weight", best_weight()).withColumn("rmsle", blend_rmsle(F.col("weight")))
 
 
+def _pooled_losses(fold_sums: DataFrame) -> Column:
+    return fold_sums.agg(F.array(*[F.sum(F.get("losses", F.lit(k))) for k in range(WEIGHT_STEPS + 1)]).alias("l")).scalar()
+
+
 def leave_one_fold_out(fold_sums: DataFrame, fold: str = "fold") -> DataFrame:
     """Score each fold with the weight fitted on the other folds.
 
-    `fold_sums` comes from `blend_sums`; the sums of the others are totals less own.
+    `fold_sums` comes from `blend_sums`; the losses of the others are totals less own.
     """
-    sums = ["s_dr", "s_dd", "s_rr", "n"]
-    totals = fold_sums.agg(*[F.sum(c).alias(c) for c in sums])
-    others = {c: totals.select(c).scalar() - F.col(c) for c in sums}
-    w = others["s_dr"] / F.nullif(others["s_dd"], F.lit(0.0))
-    bounded = F.least(F.greatest(F.coalesce(w, F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
-    return fold_sums.withColumn("weight_others", bounded).select(
-        fold, "weight_others", blend_rmsle(F.col("weight_others")).alias("rmsle_honest")
-    )
+    totalled = fold_sums.withColumn("_all", _pooled_losses(fold_sums))
+    others = F.zip_with("_all", "losses", lambda t, own: t - own)
+    weighed = totalled.withColumn("weight_others", best_weight(others))
+    return weighed.select(fold, "weight_others", blend_rmsle(F.col("weight_others")).alias("rmsle_honest"))
 
 
 def weight_choices(weights: DataFrame, fold_sums: DataFrame) -> DataFrame:
     """Deployable weights: mean, median and newest of the folds, and the pooled optimum."""
-    pooled = fold_sums.agg(F.sum("s_dr").alias("s_dr"), F.sum("s_dd").alias("s_dd"))
     return weights.agg(
         F.avg("weight").alias("mean"),
         F.median("weight").alias("median"),
         F.max_by("weight", "fold").alias("recent"),
-    ).withColumn("pooled", pooled.select(best_weight()).scalar())
+    ).withColumn("_all", _pooled_losses(fold_sums)).withColumn("pooled", best_weight("_all")).drop("_all")
 
 
 # ---------------------------------------------------------------- audits

@@ -240,11 +240,12 @@ def family_error_by_week(t: RetailTables):
 
 BLEND_SQL = f"""
     {FOLDS_SQL},
-    s AS (SELECT CAST(fold AS INTEGER) AS fold, sum((a - b) * (ln(1 + y) - b)) AS dr, sum((a - b) * (a - b)) AS dd,
-                 sum(pow(ln(1 + y) - b, 2)) AS rr, count(*) AS n FROM folds GROUP BY 1),
-    bw AS (SELECT *, least(greatest(coalesce(dr / nullif(dd, 0), 0.5), 0), 1) AS w FROM s)
+    s AS (SELECT CAST(fold AS INTEGER) AS fold, k / 1e2 AS w, count(*) AS n,
+                 sum(pow(greatest(k / 1e2 * a + (1 - k / 1e2) * b, 0) - ln(1 + y), 2)) AS loss
+          FROM folds, (SELECT unnest(range(0, 101)) AS k) GROUP BY ALL),
+    bw AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY fold ORDER BY {r("loss")}, w) = 1),
+    pool AS (SELECT w FROM (SELECT w, sum(loss) AS loss FROM s GROUP BY w) ORDER BY {r("loss")}, w LIMIT 1)
 """
-BLEND_ERROR = "sqrt(greatest(rr - 2 * w * dr + w * w * dd, 0) / n)"
 
 
 def _fold_sums(t: RetailTables):
@@ -254,7 +255,7 @@ def _fold_sums(t: RetailTables):
 @query(
     "blend_weights",
     "M5",
-    f"WITH {BLEND_SQL} SELECT fold, n, {r('w')} AS weight, {r(BLEND_ERROR)} AS rmsle FROM bw",
+    f"WITH {BLEND_SQL} SELECT fold, n, {r('w')} AS weight, {r('sqrt(loss / n)')} AS rmsle FROM bw",
 )
 def blend_weights(t: RetailTables):
     return metrics.blend_weights(_stored_folds(t), "target", "a", "b").select("fold", "n", "weight", "rmsle")
@@ -266,7 +267,7 @@ def blend_weights(t: RetailTables):
     f"""
     WITH {BLEND_SQL}
     SELECT {r("avg(w)")} AS mean, {r("median(w)")} AS median, {r("max_by(w, fold)")} AS recent,
-           {r("least(greatest(sum(dr) / sum(dd), 0), 1)")} AS pooled FROM bw
+           {r("(SELECT w FROM pool)")} AS pooled FROM bw
     """,
 )
 def blend_weight_choices(t: RetailTables):
@@ -279,9 +280,9 @@ def blend_weight_choices(t: RetailTables):
     "M7",
     f"""
     WITH {BLEND_SQL},
-    o AS (SELECT s.*, least(greatest((tdr - dr) / (tdd - dd), 0), 1) AS w
-          FROM s, (SELECT sum(dr) AS tdr, sum(dd) AS tdd FROM s))
-    SELECT fold, {r("w")} AS weight_others, {r(BLEND_ERROR)} AS rmsle_honest FROM o
+    o AS (SELECT s.*, sum(loss) OVER (PARTITION BY w) - loss AS others FROM s),
+    best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY fold ORDER BY {r("others")}, w) = 1)
+    SELECT fold, {r("w")} AS weight_others, {r("sqrt(loss / n)")} AS rmsle_honest FROM best
     """,
 )
 def honest_blend_scores(t: RetailTables):

@@ -109,10 +109,21 @@ def test_blend_weight_is_the_grid_optimum(spark):
     b = np.log1p(y) + rng.normal(0.1, 0.6, 400)
     df = spark.createDataFrame(list(zip([1] * 400, y.tolist(), a.tolist(), b.tolist())), "fold int, y double, a double, b double")
     got = metrics.blend_weights(df, "y", "a", "b").first()
-    grid = np.linspace(0, 1, 1001)
+    grid = np.linspace(0, 1, 101)
     losses = [np.sqrt(((w * a + (1 - w) * b - np.log1p(y)) ** 2).mean()) for w in grid]
-    assert got["weight"] == pytest.approx(grid[int(np.argmin(losses))], abs=1e-3)
-    assert got["rmsle"] == pytest.approx(min(losses), abs=1e-6)
+    assert got["weight"] == pytest.approx(grid[int(np.argmin(losses))])
+    assert got["rmsle"] == pytest.approx(min(losses))
+
+
+def test_blend_loss_is_that_of_clipped_sales(spark):
+    """Where a blend is negative the loss counts zero sales, and no member alone is better."""
+    y = [0.0, 0.0, 0.0, 5.0]
+    a, b = [-3.0, -2.0, -4.0, 1.0], [0.5, 0.1, 0.4, 1.5]
+    df = spark.createDataFrame(list(zip([1] * 4, y, a, b)), "fold int, y double, a double, b double")
+    got = metrics.blend_weights(df, "y", "a", "b").first()
+    error = lambda w: np.sqrt(((np.maximum(w * np.array(a) + (1 - w) * np.array(b), 0) - np.log1p(y)) ** 2).mean())
+    assert got["rmsle"] == pytest.approx(min(error(w) for w in np.linspace(0, 1, 101)))
+    assert got["rmsle"] <= min(error(0), error(1))
 
 
 def test_blend_weight_stays_inside_bounds(spark):
