@@ -108,7 +108,7 @@ def test_no_cross_join_in_any_plan(spark, tables, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["chat_history", "first_sale_of_day", "top_items_per_store", "stockout_risk"])
+@pytest.mark.parametrize("name", ["chat_history_within_budget", "first_sale_of_day", "top_items_per_store", "stockout_risk"])
 def test_group_limits_run_before_the_shuffle(tables, name):
     assert "WindowGroupLimit" in plan_of(QUERIES[name].build(tables))
 
