@@ -171,8 +171,8 @@ def rows_of(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
 SENT = "r int, chunk long, keys binary, vals binary"
 
 
-def ranges_for(keys: int) -> int:
-    return max(FEWEST_RANGES, -(-keys // RANGE_KEYS))
+def ranges_for(keys: int, each: int = RANGE_KEYS) -> int:
+    return max(FEWEST_RANGES, -(-keys // each))
 
 
 def cut(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:

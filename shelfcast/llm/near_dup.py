@@ -7,12 +7,15 @@ ones are split into classes, a document's prefix is extended by one token for ev
 and pairs of tokens of one class are indexed: with p_c tokens of class c in the prefix, a partner
 can miss all keys only by missing p_c - 1 tokens of each class.  The shorter document of a pair
 needs a shorter prefix than the longer one, so passages that many documents share rarely get in.
-The number of classes grows with the length of a document (in bands of 1.25, indexed one band down
-as well), which keeps its combinations in proportion to its prefix.
+Lengths are cut into bands of 1.08; a document is indexed in its own band as the shorter one, and as
+the longer one in every band of a possible partner, each with the prefix that partners of that length
+call for.  The number of classes grows with the band, which keeps combinations in proportion to
+prefixes.
 
 Documents of equal token sets are one node.  Keys of few nodes compare all of them; for a larger key
-every node is compared with a few hubs first, and then only with nodes that are not yet connected
-with it, so copies never make all pairs and no link between components is lost.  Candidates are
+every node is compared with a few hubs first (the node with the smallest share of tokens of its own,
+which a group of edited copies has at its centre, and some others), and then only with nodes that are
+not yet connected with it, so copies never make all pairs and no link between components is lost.  Candidates are
 verified by the exact size of their intersection.
 
 Tokens are 64-bit hashes; sets are equal when their sizes and two 64-bit sums agree.
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.chunks import Chunk, ascending, chained, chunked, exchange, planes, ranges_for, rows_of, scrambled, sent, unascending, unplanes
+from shelfcast.llm.chunks import SENT, Chunk, chained, chunked, exchange, planes, ranges_for, rows_of, scrambled, sent, unplanes
 from shelfcast.llm.common import stored, without
 from shelfcast.llm.components import components
 
@@ -41,6 +44,7 @@ SHINGLE, PERCENT = 5, 80
 FREQUENT = 64  # nodes; tokens of more are indexed in combinations
 PER_CLASS = 8  # prefix tokens that a class of frequent tokens gets about
 SMALL_KEY, HUBS = 8, 3
+CHUNK_TOKENS, RANGE_KEYS = 300_000, 600_000  # what a task holds at once
 KEY_BITS = 48  # of the hashes that frequencies are counted by
 SALTS = 32
 NO_ID = -(2**63)
@@ -48,7 +52,7 @@ NO_ID = -(2**63)
 # lower ends of the length bands
 BANDS = [4]
 while BANDS[-1] < 2**40:
-    BANDS.append(BANDS[-1] * 5 // 4 + 1)
+    BANDS.append(BANDS[-1] * 27 // 25 + 1)
 
 
 def tokens_of(chunk: Chunk, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -90,12 +94,10 @@ def sets(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, "chunk long, at int, doc_id long, n long, node long, check long")
 
 
-def distinct_keys(chunk: Chunk, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """Sorted distinct key hashes of the documents `own`, in how many of them each is, and tokens."""
-    tokens = {k: t for k, t in enumerate(tokens_of(chunk)) if k in own}
-    every = np.concatenate([np.zeros(0, np.uint64), *tokens.values()]) >> np.uint64(64 - KEY_BITS)
-    keys, n = np.unique(every, return_counts=True)
-    return keys, n, tokens
+def distinct_keys(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct key hashes of documents, and in how many of them each is."""
+    every = np.concatenate([np.zeros(0, np.uint64), *tokens]) >> np.uint64(64 - KEY_BITS)
+    return np.unique(every, return_counts=True)
 
 
 def frequency_code(n: np.ndarray) -> np.ndarray:
@@ -106,66 +108,82 @@ def frequency_code(n: np.ndarray) -> np.ndarray:
 FREQUENT_CODE = int(frequency_code(np.array([FREQUENT]))[0])
 
 
-def shared_tokens(chunks: DataFrame, nodes: DataFrame, total: int, percent: int) -> DataFrame:
-    """Per node that others may match: node, n, tokens that several nodes hold, and their codes."""
-    ranges = ranges_for(total)
-    own = nodes.groupBy("chunk").agg(F.collect_list(F.struct("at", "node")).alias("own"))  # bounded by a chunk
-    own = stored(own, "own")
+def frequencies(chunks: DataFrame, total: int) -> DataFrame:
+    """Answers to each chunk: the frequency codes of its distinct tokens, over all documents.
 
-    def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        mine = {x["at"] for row in rows_of(right) for x in row["own"]}
-        for row in rows_of(left) if mine else ():
-            keys, n, _ = distinct_keys(Chunk(row), mine)
-            out.append(pa.table(sent(row["chunk"], keys, lambda s, n=n: planes(n[s]), ranges, KEY_BITS)))
-        empty = pa.schema([("r", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())]).empty_table()
-        return pa.concat_tables([empty, *out])
+    Copies count as often as they occur; any frequency that is the same for all holders of a token
+    gives a valid order.
+    """
+    ranges = ranges_for(total, RANGE_KEYS)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of(batch):
+                keys, n = distinct_keys(list(tokens_of(Chunk(row))))
+                yield pa.RecordBatch.from_pydict(sent(row["chunk"], keys, lambda s, n=n: planes(n[s]), ranges, KEY_BITS))
 
     def answer(keys: list, vals: list, distinct: np.ndarray, index: np.ndarray) -> tuple[list, dict]:
-        total = np.bincount(index, np.concatenate([unplanes(v) for v in vals]).astype(np.float64), len(distinct))
-        codes = frequency_code(total)[index]
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        return [planes(c) for c in np.split(codes, ends)], {}
-
-    rows = chunks.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(send, "r int, chunk long, keys binary, vals binary")
-    answers = exchange(rows, answer)
-    side = answers.select("chunk", "r", "got", F.lit(None).cast(own.schema["own"].dataType).alias("own")).unionByName(
-        own.select("chunk", F.lit(-1).alias("r"), F.lit(None).cast("binary").alias("got"), "own")
-    )
+        counts = np.bincount(index, np.concatenate([unplanes(v) for v in vals]).astype(np.float64), len(distinct))
+        codes = frequency_code(counts)[index]
+        return [planes(c) for c in np.split(codes, np.cumsum([len(k) for k in keys])[:-1])], {}
+
+    return exchange(chunks.mapInArrow(send, SENT), answer)
+
+
+INDEXED = "node long, n long, held long, tokens array<long>, keys array<long>, roles array<tinyint>"
+
+
+def indexed(chunks: DataFrame, nodes: DataFrame, total: int, percent: int) -> DataFrame:
+    """Per node that others may match: tokens that others hold too, and its keys with their roles
+    (1: it may be the shorter one of a pair, 2: the longer one, 3: both)."""
+    own = nodes.groupBy("chunk").agg(F.collect_list(F.struct("at", "node")).alias("own"))  # bounded by a chunk
+    own = own.select("chunk", F.lit(-1).alias("r"), F.lit(None).cast("binary").alias("got"), "own")
+    answers = frequencies(chunks, total)
+    side = answers.select("chunk", "r", "got", F.lit(None).cast(own.schema["own"].dataType).alias("own")).unionByName(own)
 
     def receive(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: dict[str, list] = {"node": [], "n": [], "tokens": [], "codes": []}
+        cols: dict[str, list] = {c.split()[0]: [] for c in INDEXED.split(", ")}
         given = sorted(rows_of(right), key=lambda x: x["r"])
         mine = {x["at"]: x["node"] for row in given if row["own"] for x in row["own"]}
         for row in rows_of(left) if mine else ():
-            keys, _, tokens = distinct_keys(Chunk(row), mine)
+            every = list(tokens_of(Chunk(row)))
+            keys, _ = distinct_keys(every)
             codes = np.concatenate([np.zeros(0, np.uint64), *[unplanes(x["got"]) for x in given if x["got"] is not None]]).astype(np.uint8)
-            for k, t in tokens.items():
-                code = codes[np.searchsorted(keys, t >> np.uint64(64 - KEY_BITS))]
-                held = code > 0
-                n = len(t)
-                if n >= BANDS[0] and n - int(held.sum()) < longer_prefix(n, percent):
-                    cols["node"].append(mine[k])
-                    cols["n"].append(n)
-                    cols["tokens"].append(ascending(t[held]))
-                    cols["codes"].append(planes(code[held]))
-        return pa.table({"node": pa.array(cols["node"], pa.int64()), "n": pa.array(cols["n"], pa.int64()), "tokens": pa.array(cols["tokens"], pa.binary()), "codes": pa.array(cols["codes"], pa.binary())})
-
-    schema = "node long, n long, tokens binary, codes binary"
-    return chunks.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(receive, schema)
+            for k, node in mine.items():
+                tokens, n = every[k], len(every[k])
+                if n < BANDS[0]:
+                    continue
+                code = codes[np.searchsorted(keys, tokens >> np.uint64(64 - KEY_BITS))]
+                tokens, code = tokens[code > 0], code[code > 0]
+                order = np.lexsort((tokens, code))
+                low, up = document_keys(tokens[order], code[order], n, percent)
+                both = np.union1d(low, up)
+                if len(both):
+                    values = node, n, len(tokens), tokens.view(np.int64), both.view(np.int64), (np.isin(both, low) + 2 * np.isin(both, up)).astype(np.int8)
+                    for name, value in zip(cols, values, strict=True):
+                        cols[name].append(value)
+        kinds = {"node": pa.int64(), "n": pa.int64(), "held": pa.int64(), "tokens": pa.list_(pa.int64()), "keys": pa.list_(pa.int64()), "roles": pa.list_(pa.int8())}
+        return pa.table({name: pa.array(cols[name], kind) for name, kind in kinds.items()})
+
+    return chunks.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(receive, INDEXED)
 
 
 # ------------------------------------------------------------------ keys
 
 
-def longer_prefix(n: int, percent: int) -> int:
-    """Tokens in which a document must meet a shorter partner."""
-    return n + (-percent * n // 100) + 1
+def longer_prefix(n: int, percent: int, shortest: int = 0) -> int:
+    """Tokens in which a document must meet a partner of `shortest` .. n tokens."""
+    shortest = max(shortest, -(-percent * n // 100))
+    return n - -(-percent * (n + shortest) // (100 + percent)) + 1
 
 
 def shorter_prefix(n: int, percent: int) -> int:
     """Tokens in which a document must meet a longer partner."""
-    return n + (-2 * percent * n // (100 + percent)) + 1
+    return longer_prefix(n, percent, n)
+
+
+def band_of(n: int) -> int:
+    return bisect_right(BANDS, n) - 1
 
 
 def prefix_keys(tokens: np.ndarray, codes: np.ndarray, n: int, length: int, band: int) -> np.ndarray:
@@ -196,33 +214,21 @@ def prefix_keys(tokens: np.ndarray, codes: np.ndarray, n: int, length: int, band
     return np.unique(np.concatenate(out))
 
 
-def signatures(held: DataFrame, percent: int) -> DataFrame:
-    """key, node, n, lower (may be the shorter one of a pair), upper (may be the longer one)."""
+def document_keys(tokens: np.ndarray, codes: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a document as the shorter one of a pair, and as the longer one."""
+    low = prefix_keys(tokens, codes, n, shorter_prefix(n, percent), band_of(n))
+    bands = range(max(0, band_of(-(-percent * n // 100))), band_of(n) + 1)
+    up = [prefix_keys(tokens, codes, n, longer_prefix(n, percent, BANDS[b]), b) for b in bands]
+    return low, np.concatenate(up)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in rows_of(batch):
-                tokens, codes, n = unascending(row["tokens"]), unplanes(row["codes"]), row["n"]
-                order = np.lexsort((tokens, codes))
-                tokens, codes = tokens[order], codes[order]
-                band = bisect_right(BANDS, n) - 1
-                up = prefix_keys(tokens, codes, n, longer_prefix(n, percent), band)
-                low = prefix_keys(tokens, codes, n, shorter_prefix(n, percent), band)
-                below = prefix_keys(tokens, codes, n, longer_prefix(n, percent), band - 1) if band else up[:0]
-                own = np.union1d(up, low)
-                keys = np.concatenate([own, below])
-                if len(keys):
-                    k = len(keys)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys.view(np.int64)), pa.array(np.full(k, row["node"])), pa.array(np.full(k, n)),
-                            pa.array(np.concatenate([np.isin(own, low), np.zeros(len(below), bool)])),
-                            pa.array(np.concatenate([np.isin(own, up), np.ones(len(below), bool)])),
-                        ],
-                        names=["key", "node", "n", "lower", "upper"],
-                    )
-
-    return held.mapInArrow(run, "key long, node long, n long, lower boolean, upper boolean")
+
+def signatures(held: DataFrame) -> DataFrame:
+    """key, node, n, held, lower and upper for each key of `indexed` rows."""
+    zipped = F.explode(F.arrays_zip("keys", "roles")).alias("_k")
+    role = F.col("_k.roles")
+    return held.select(zipped, "node", "n", "held").select(
+        F.col("_k.keys").alias("key"), "node", "n", "held", (role.bitwiseAND(1) > 0).alias("lower"), (role.bitwiseAND(2) > 0).alias("upper")
+    )
 
 
 # ------------------------------------------------------------------ candidates
@@ -231,7 +237,9 @@ def signatures(held: DataFrame, percent: int) -> DataFrame:
 def fits(a: str, b: str, percent: int):
     """Whether `a` may be the shorter and `b` the longer one of a pair."""
     rank = F.struct(F.col(f"{a}.n"), F.col(f"{a}.node")) < F.struct(F.col(f"{b}.n"), F.col(f"{b}.node"))
-    return F.col(f"{a}.lower") & F.col(f"{b}.upper") & rank & (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent)
+    most = F.least(f"{a}.held", f"{b}.held")
+    enough = most * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
+    return F.col(f"{a}.lower") & F.col(f"{b}.upper") & rank & enough & (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent)
 
 
 def pair(a: str, b: str):
@@ -246,7 +254,7 @@ def small_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 def hub_pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     """Pairs of the members of larger keys with the hubs of their key."""
-    hub = hubs.select("key", F.explode(F.array(*[F.col(f"hub{j}") for j in range(HUBS)])).alias("h")).select("key", "h.n", "h.node", "h.lower", "h.upper")
+    hub = hubs.select("key", F.explode(F.array(*[F.col(f"hub{j}") for j in range(HUBS)])).alias("h")).select("key", "h.n", "h.node", "h.held", "h.lower", "h.upper").distinct()
     met = members.filter(F.col("size") > SMALL_KEY).alias("x").join(hub.alias("y"), F.col("x.key") == F.col("y.key"))
     down = met.filter(fits("x", "y", percent)).select(*pair("x", "y"))
     up = met.filter(fits("y", "x", percent)).select(*pair("y", "x"))
@@ -267,34 +275,28 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     side = held.select("node", "n", "tokens")
     one = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a")), "a")
     two = one.join(side.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for row in rows_of(batch):
-                same = len(np.intersect1d(unascending(row["t_a"]), unascending(row["t_b"]), assume_unique=True))
-                keep.append(100 * same >= percent * (row["n_a"] + row["n_b"] - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return two.mapInArrow(run, "a long, b long")
+    same = F.size(F.array_intersect("t_a", "t_b"))
+    return two.filter(same * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
 
 
 def linked_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Rows of `sets` for `docs` (doc_id, text), and (node, label) for nodes that have links."""
-    if not 50 <= percent < 100:
-        raise ValueError("percent must lie between 50 and 99")
-    chunks = stored(chunked(docs), "chunks")
+    if not 80 <= percent < 100:
+        raise ValueError("percent must lie between 80 and 99")
+    chunks = stored(chunked(docs, tokens=CHUNK_TOKENS), "chunks")
     found = stored(sets(chunks), "sets")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "chunk", "at")).alias("first")
     nodes = found.filter("n > 0").groupBy("n", "node", "check").agg(first).select("node", "first.chunk", "first.at")
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    held = stored(shared_tokens(chunks, nodes, total, percent), "shared")
-    keys = signatures(held, percent)
-    hub = lambda j: F.min_by(F.struct("n", "node", "lower", "upper"), F.xxhash64(F.lit(j), "node")).alias(f"hub{j}")
-    keys = stored(keys, "keys")
-    sizes = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *[hub(j) for j in range(HUBS)]).filter("size > 1"), "hubs")
-    members = stored(keys.join(sizes.select("key", "size"), "key"), "members")
-    pairs = small_pairs(members, percent).unionByName(hub_pairs(members, sizes.filter(F.col("size") > SMALL_KEY), percent)).distinct()
+    held = stored(indexed(chunks, nodes, total, percent), "indexed")
+    keys = signatures(held)
+    # most keys are held by one node; what follows sees only the others
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = stored(keys.join(sizes, "key"), "members")
+    lone = F.lit(1.0) - F.col("held") / F.col("n")
+    hub = lambda j: F.min_by(F.struct("n", "node", "held", "lower", "upper"), F.struct(lone if j == 0 else F.lit(0.0), F.xxhash64(F.lit(j), "node"))).alias(f"hub{j}")
+    hubs = members.filter(F.col("size") > SMALL_KEY).groupBy("key").agg(*[hub(j) for j in range(HUBS)])
+    pairs = small_pairs(members, percent).unionByName(hub_pairs(members, hubs, percent)).distinct()
     edges = stored(verified(pairs, held, percent), "edges")
     labels = components(edges)
     more = stored(crossing_pairs(members, labels, percent).distinct(), "crossing")
