@@ -85,8 +85,6 @@ def leaf_budgets(leaves: DataFrame, budget: int, weights: dict[str, Column], tre
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on `keys`, with null equal to null."""
-    if not keys:
-        return left.crossJoin(right)
     named = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     same = F.lit(True)
     for k in keys:
