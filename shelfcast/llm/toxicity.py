@@ -1,17 +1,16 @@
-"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity scores from the nearest labelled examples by TF-IDF cosine.
 
-Terms are words and their first letters.  Those whose document counts differ most between the two
-labels (chi-square over two thirds of the labelled training rows, the `TERMS` best) are indexed, with
-inverse document frequencies from all documents.  Rows of these two thirds that hold a term are
-examples; the index takes `EXAMPLES` of each label, those with the smallest text hash, and votes are
-weighted back to the number that each label has.
+Terms are words and their first letters.  Examples are rows of two thirds of the labelled training
+rows that hold a word: `EXAMPLES` of each label, those with the smallest text hash, and votes are
+weighted back to the number that each label has.  Every term of an example is indexed, with inverse
+document frequencies from all documents; how much a term's counts differ between the labels of the
+examples (chi-square) only adds to its weight.  Terms that no example holds add to no product, so
+they change no order of neighbours; they are left out of a text's length.
 
-The index is an inverted list per term, cut into blocks of `BLOCK` examples with the largest weight
-of each block.  A query bounds every block by the sum of these maxima, visits blocks from the
-highest bound down and stops when the next bound can't reach the k-th best cosine, so the k nearest
-are exact.  Cosine-weighted votes are calibrated by isotonic regression on the last third, of which
-`EXAMPLES` of each label are scored.  Texts that hold no term get the rate of label 1 among the rows
-of that third without terms.
+Cosines with all examples are computed, by a matrix for the `DENSE` most frequent terms and by lists
+for the others, so the k nearest are exact.  Cosine-weighted votes are calibrated by isotonic
+regression on the last third, of which `EXAMPLES` of each label are scored.  Texts that hold no term
+of an example get the rate of label 1 among such rows of that third.
 
 Defined results: null and empty texts hold no term; of several labels for an id the largest counts,
 null labels don't; without labels, or with one label only, every score is the rate of label 1, and
@@ -22,21 +21,20 @@ scored alike; an empty table gives an empty result; other columns are ignored, w
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import joined_small
+from shelfcast.llm.common import joined_small, stored
 
-# the limit is the 1e-6 point of chi-square: very many words are tested
-TERMS, LEAST_CHI = 512, 24.0
 FOLDS = 3
 PRIOR = 2.0  # weight of the base rate among the votes
 STEM = 5
-EXAMPLES, BLOCK, NEAREST = 4000, 64, 25
+EXAMPLES, NEAREST = 4000, 25
+DENSE, TOGETHER = 512, 64
 FLUSH_TERMS = 400_000
 BROADCAST_LABELS = 300_000
 SPACED = bytes(c if c >= 0x80 else c | 0x20 if chr(c).isalpha() else 0x20 for c in range(256))
@@ -87,56 +85,70 @@ def tally(rows: DataFrame, columns: list[str], wanted: list[bytes] | None = None
     return made.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def telling_terms(counted: DataFrame, ones: int, zeros: int, terms: int = TERMS) -> DataFrame:
-    """The terms whose counts differ most between the labels."""
-    n, a, b = float(ones + zeros), F.col("one").cast("double"), F.col("zero").cast("double")
-    cross = a * (zeros - b) - b * (ones - a)
-    chi = n * cross * cross / ((a + b) * (n - a - b) * ones * zeros)
-    enough = (F.length("term") > 0) & (a + b > 1) & (a + b < n)
-    return counted.filter(enough).withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(terms)
+def strengths(terms: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """Weight of each of `size` terms by how much its counts differ between the labels, 1 at least;
+    `terms` and `labels` have an entry per term of an example, -1 stands for the example itself."""
+    whole, one = terms < 0, labels == 1
+    n, ones = float(whole.sum()), float((whole & one).sum())
+    a = np.bincount(terms[~whole & one], minlength=size).astype(float)
+    held = np.bincount(terms[~whole], minlength=size).astype(float)
+    cross = a * n - held * ones
+    below = held * (n - held) * ones * (n - ones)
+    return np.sqrt(np.maximum(1.0, n * np.divide(cross * cross, below, out=np.zeros(size), where=below > 0)))
 
 
 class Index:
-    """Block-max inverted lists of the examples' unit vectors."""
+    """The examples' unit vectors by term."""
 
-    def __init__(self, terms: dict[bytes, int], idf: np.ndarray, vectors: list[dict[int, float]], labels: np.ndarray, weights: np.ndarray, ids: list):
+    def __init__(self, terms: dict[bytes, int], idf: np.ndarray, vectors: Iterable[dict[int, float]], labels: np.ndarray, weights: np.ndarray, ids: list):
         self.terms, self.idf, self.labels, self.weights, self.ids = terms, idf, labels, weights, ids
-        self.blocks = -(-len(vectors) // BLOCK)
-        lists: dict[tuple[int, int], list] = {}
-        self.peak = np.zeros((len(terms), self.blocks), np.float32)
-        for k, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault((t, k // BLOCK), []).append((k % BLOCK, w))
-        for (t, b), x in lists.items():
-            self.peak[t, b] = np.nextafter(np.float32(max(w for _, w in x)), np.float32(2))
-        self.lists = {key: (np.array([k for k, _ in x]), np.array([w for _, w in x])) for key, x in lists.items()}
+        of, values = [np.zeros(0, np.int32)], [np.zeros(0)]
+        for v in vectors:
+            of.append(np.fromiter(v, np.int32, len(v)))
+            values.append(np.fromiter(v.values(), float, len(v)))
+        place = np.repeat(np.arange(len(of) - 1, dtype=np.int32), [len(x) for x in of[1:]])
+        term, value = np.concatenate(of), np.concatenate(values)
+        often = np.argsort(-np.bincount(term, minlength=len(idf)), kind="stable")[:DENSE]
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        row = self.row[term]
+        self.matrix = np.zeros((len(often), len(of) - 1))
+        self.matrix[row[row >= 0], place[row >= 0]] = value[row >= 0]
+        rest = np.flatnonzero(row < 0)
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term[rest], minlength=len(idf)))])
+        self.place, self.value = place[rest], value[rest]
 
     def vector(self, text: bytes | None) -> dict[int, float]:
         return unit(term_counts(text, self.terms).items(), self.idf)
 
-    def nearest(self, query: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples, best first."""
-        q_terms, q = list(query), np.array(list(query.values()))
-        bound = q @ self.peak[q_terms] if q_terms else np.zeros(self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        places, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order:
-            # a block that can only tie may still hold the earlier example
-            if bound[b] <= 0 or (len(places) == NEAREST and bound[b] < least - 1e-9):
-                break
-            got = np.zeros(BLOCK)
-            for t, w in query.items():
-                if (x := self.lists.get((t, b))) is not None:
-                    got[x[0]] += w * x[1]
-            hit = np.flatnonzero(got > 0)
-            places, cosines = np.concatenate([places, b * BLOCK + hit]), np.concatenate([cosines, got[hit]])
-            if len(places) > NEAREST:
+    def cosines(self, queries: list[dict[int, float]]) -> np.ndarray:
+        """Cosines of each query with each example."""
+        n = self.matrix.shape[1]
+        full, rest = np.zeros((len(queries), len(self.matrix))), []
+        for k, query in enumerate(queries):
+            at, q = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
+            row = self.row[at]
+            full[k, row[row >= 0]] = q[row >= 0]
+            at, q = at[row < 0], q[row < 0]
+            size = self.start[at + 1] - self.start[at]
+            flat = np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            rest.append(np.bincount(self.place[flat], self.value[flat] * np.repeat(q, size), n))
+        return full @ self.matrix + np.array(rest).reshape(len(queries), n)
+
+    def nearest_of(self, queries: list[dict[int, float]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per query the places and cosines of the nearest examples, best first."""
+        for k in range(0, len(queries), TOGETHER):
+            for got in self.cosines(queries[k : k + TOGETHER]):
+                least = np.partition(got, -NEAREST)[-NEAREST] if len(got) > NEAREST else 0.0
+                # what can only tie may still be the earlier example
+                places = np.flatnonzero((got > 0) & (got >= least - 1e-8))
+                cosines = np.round(got[places], 12)
                 best = np.lexsort((places, -np.round(cosines, 9)))[:NEAREST]
-                places, cosines = places[best], cosines[best]
-            if len(places) == NEAREST:
-                least = float(cosines.min())
-        best = np.lexsort((places, -np.round(cosines, 9)))
-        return places[best], cosines[best]
+                yield places[best], cosines[best]
+
+    def nearest(self, query: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.nearest_of([query]))
 
     def vote(self, places: np.ndarray, cosines: np.ndarray, rate: float) -> float:
         """Share of label 1 among neighbours, by cosine and weight, and the base rate by `PRIOR`."""
@@ -157,38 +169,63 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return xs, np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
 
 
-def term_counts(text: bytes | None, places: dict[bytes, int]) -> Counter:
-    return Counter(places[t] for w in words(text) for t in terms_of(w) if t in places)
+def term_counts(text: bytes | None, places: dict[bytes, int] | None = None) -> Counter:
+    """How often a text holds each term; by place if `places` are given, which other terms lack."""
+    found: Counter = Counter()
+    for word, n in Counter(words(text)).items():
+        for t in terms_of(word):
+            if places is None:
+                found[t] += n
+            elif (at := places.get(t)) is not None:
+                found[at] += n
+    return found
 
 
 def unit(counts, idf: np.ndarray) -> dict[int, float]:
     """Unit TF-IDF vector of (term, count) pairs."""
-    made = {t: (1 + np.log(n)) * idf[t] for t, n in sorted(counts)}
-    norm = np.sqrt(sum(x * x for x in made.values()))
-    return {t: x / norm for t, x in made.items()}
+    pairs = np.array(sorted(counts), np.int64).reshape(-1, 2)
+    made = (1 + np.log(pairs[:, 1])) * idf[pairs[:, 0]]
+    return dict(zip(pairs[:, 0].tolist(), (made / np.sqrt(made @ made)).tolist(), strict=True)) if len(made) else {}
 
 
-def vectors_of(rows: DataFrame, terms: list[bytes]) -> DataFrame:
-    """doc_id, label, text hash and term counts of labelled texts that hold a term."""
+def vectors_of(rows: DataFrame) -> DataFrame:
+    """`rows` (doc_id, part, one, hash, text) with the terms of the text and their counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = {t: k for k, t in enumerate(terms)}
         for batch in batches:
-            counts = [term_counts(t, places) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            full = pa.array([bool(c) for c in counts], pa.bool_())
-            made = batch.select(["doc_id", "one", "hash"]).append_column("counts", pa.array([sorted(c.items()) for c in counts], pa.map_(pa.int32(), pa.int32())))
-            yield made.filter(full)
-
-    return rows.select("doc_id", "one", "hash", "text").mapInArrow(run, "doc_id long, one int, hash long, counts map<int,int>")
-
-
-def sampled(held: DataFrame) -> tuple[list, np.ndarray]:
-    """`EXAMPLES` rows of each label, and what each of them stands for."""
-    there = {r["one"]: r["n"] for r in held.groupBy("one").agg(F.count(F.lit(1)).alias("n")).collect()}
-    both = [held.filter(F.col("one") == y).orderBy("hash").limit(EXAMPLES) for y in (1, 0)]
-    rows = sorted(both[0].unionByName(both[1]).collect(), key=lambda r: (sorted(r["counts"].items()), r["hash"]))
-    taken = Counter(r["one"] for r in rows)
-    return rows, np.array([there[r["one"]] / taken[r["one"]] for r in rows])
+            counts = [sorted(term_counts(t).items()) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            made = batch.select(["doc_id", "part", "one", "hash"])
+            made = made.append_column("terms", pa.array([b" ".join(t for t, _ in c) for c in counts], pa.binary()))
+            yield made.append_column("counts", pa.array([np.array([n for _, n in c], "<i8").tobytes() for c in counts], pa.binary()))
+
+    kinds = "doc_id long, part int, one int, hash long, terms binary, counts binary"
+    return rows.select("doc_id", "part", "one", "hash", "text").mapInArrow(run, kinds)
+
+
+def sampled(rows: DataFrame) -> dict[int, tuple[list, np.ndarray]]:
+    """For each part `EXAMPLES` rows of each label that hold a word, and what each of them stands for."""
+    worded = rows.filter(F.col("text").rlike(r"[^\x00-@\[-`{-\x7F]"))
+    short = stored(worded.select("part", "one", "hash"), "labelled")
+    there = {(r["part"], r["one"]): r["n"] for r in short.groupBy("part", "one").agg(F.count(F.lit(1)).alias("n")).collect()}
+    group = lambda key: (F.col("part") == key[0]) & (F.col("one") == key[1])
+    chosen = F.lit(False)
+    for key in there:
+        last = short.filter(group(key)).orderBy("hash").limit(EXAMPLES).agg(F.max("hash")).first()[0]
+        chosen |= group(key) & (F.col("hash") <= last)
+    held = stored(vectors_of(worded.filter(chosen)), "examples")
+    out = {}
+    for part in (0, 1):
+        some = [r for key in there if key[0] == part for r in held.filter(group(key)).orderBy("hash", "doc_id").limit(EXAMPLES).collect()]
+        some.sort(key=lambda r: (r["terms"], r["counts"], r["hash"], r["doc_id"]))
+        taken = Counter(r["one"] for r in some)
+        out[part] = some, np.array([there[part, r["one"]] / taken[r["one"]] for r in some])
+    return out
+
+
+def counts_of(row, places: dict[bytes, int]) -> list[tuple[int, int]]:
+    """(place, count) of the terms of a row of `vectors_of` that have a place."""
+    pairs = zip(bytes(row["terms"]).split(b" "), np.frombuffer(row["counts"], "<i8").tolist(), strict=True)
+    return [(places[t], n) for t, n in pairs if t in places]
 
 
 RESULT = "doc_id long, score double, evidence array<long>, cosines array<double>"
@@ -202,47 +239,56 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     known = labels.filter("doc_id is not null and toxic is not null").filter(train)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("one"))
     rows = joined_small(docs, known, ["doc_id"], "inner", BROADCAST_LABELS)
-    rows = rows.select("doc_id", "text", "one", (1 - F.col("one")).alias("zero"), F.xxhash64("text").alias("hash"))
-    fitted, kept = rows.filter(F.pmod("hash", F.lit(FOLDS)) != 0), rows.filter(F.pmod("hash", F.lit(FOLDS)) == 0)
-
-    counted = tally(fitted, ["one", "zero"]).cache()
-    size = counted.filter(F.length("term") == 0).first()
-    ones, zeros = (size["one"], size["zero"]) if size else (0, 0)
+    rows = rows.select("doc_id", "text", "one", F.xxhash64("text").alias("hash"))
+    # part 1 is held out for calibration
+    rows = rows.withColumn("part", (F.pmod("hash", F.lit(FOLDS)) == 0).cast("int"))
+    sizes = Counter({(r["part"], r["one"]): r["n"] for r in rows.groupBy("part", "one").agg(F.count(F.lit(1)).alias("n")).collect()})
+    ones, zeros = sizes[0, 1], sizes[0, 0]
     rate = ones / (ones + zeros) if ones + zeros else 0.5
-    terms = [bytes(r["term"]) for r in telling_terms(counted, ones, zeros).collect()] if ones and zeros else []
-    counted.unpersist()
+    parts = sampled(rows) if ones and zeros else {0: ([], np.zeros(0))}
+    examples, weights = parts[0]
+    distinct: set[bytes] = set()
+    for r in examples:
+        distinct.update(bytes(r["terms"]).split(b" "))
+    terms = sorted(distinct)
+    del distinct
     if not terms:
         none = [F.array().cast(f"array<{k}>").alias(n) for n, k in (("evidence", "bigint"), ("cosines", "double"))]
         return docs.select("doc_id", F.lit(float(rate)).alias("score"), *none)
 
-    found = {bytes(r["term"]): r["held"] for r in tally(docs.withColumn("held", F.lit(1)), ["held"], terms).collect()}  # `TERMS` rows
-    total = found.pop(b"", 0)
-    idf = np.array([np.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in terms])
-    examples, weights = sampled(vectors_of(fitted, terms))
-    index = Index(
-        {t: k for k, t in enumerate(terms)},
-        idf,
-        [unit(r["counts"].items(), idf) for r in examples],
-        np.array([float(r["one"]) for r in examples]),
-        weights,
-        [r["doc_id"] for r in examples],
-    )
-
-    others, other_weights = sampled(vectors_of(kept, terms))
-    held = kept.agg(F.coalesce(F.sum("one"), F.lit(0)), F.coalesce(F.sum("zero"), F.lit(0))).first()
-    of = [sum(w for r, w in zip(others, other_weights, strict=True) if r["one"] == y) for y in (1, 0)]
-    bare = (held[0] - of[0] + rate) / (held[0] + held[1] - sum(of) + 1)
+    places = {t: k for k, t in enumerate(terms)}
+    found = tally(docs.withColumn("held", F.lit(1)), ["held"], terms).toArrow()  # as many rows as `terms`
+    held, total = np.zeros(len(terms)), 0
+    for t, n in zip(found["term"].to_pylist(), found["held"].to_pylist(), strict=True):
+        if t:
+            held[places[t]] = n
+        else:
+            total = n
+    labels = np.array([float(r["one"]) for r in examples])
+    at = [np.array([-1, *[t for t, _ in counts_of(r, places)]], np.int32) for r in examples]
+    idf = (np.log((1 + total) / (1 + held)) + 1) * strengths(np.concatenate(at), np.repeat(labels, [len(x) for x in at]), len(terms))
+    vectors = (unit(counts_of(r, places), idf) for r in examples)
+    index = Index(places, idf, vectors, labels, weights, [r["doc_id"] for r in examples])
+
+    others, other_weights = parts[1]
+    votes: list[float | None] = []
+    for k in range(0, len(others), TOGETHER):
+        queries = [unit(counts_of(r, places), idf) for r in others[k : k + TOGETHER]]
+        votes += [index.vote(*x, rate) if q else None for q, x in zip(queries, index.nearest_of(queries), strict=True)]
+    full = np.array([v is not None for v in votes], bool)
+    y, w = np.array([float(r["one"]) for r in others])[full], other_weights[full]
+    of = w[y == 1].sum(), w[y == 0].sum()
+    bare = (sizes[1, 1] - of[0] + rate) / (sizes[1, 1] + sizes[1, 0] - sum(of) + 1)
     levels = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    if len({r["one"] for r in others}) == 2:
-        votes = np.array([index.vote(*index.nearest(unit(r["counts"].items(), idf)), rate) for r in others])
-        levels = isotonic(votes, np.array([float(r["one"]) for r in others]), other_weights)
+    if len(set(y)) == 2:
+        levels = isotonic(np.array([v for v in votes if v is not None]), y, w)
+    del at, parts, examples, others
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, evidence, near = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                query = index.vector(text)
-                places, cosines = index.nearest(query) if query else (np.zeros(0, np.int64), np.zeros(0))
+            queries = [index.vector(text) for text in batch.column("text").cast(pa.binary()).to_pylist()]
+            for query, (places, cosines) in zip(queries, index.nearest_of(queries), strict=True):
                 scores.append(float(np.interp(index.vote(places, cosines, rate), *levels)) if query else float(bare))
                 evidence.append([index.ids[p] for p in places[:3]])
                 near.append([float(c) for c in cosines[:3]])

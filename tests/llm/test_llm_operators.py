@@ -436,6 +436,20 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(df.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int"), train).count() == 0
 
 
+def test_toxicity_neighbours_count_all_words(spark):
+    """Words that no label prefers decide between neighbours, and texts that hold nothing else have some."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    rows = {k: " ".join([rng.choice(plain) for _ in range(12)] + ["moron"] * (k % 3 == 0)) for k in range(300)}
+    rows |= {1000 + k: rows[k].replace("moron", "").strip() for k in range(300)}
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
+    got = toxicity.toxicity(spark.createDataFrame(list(rows.items()), DOCS), labels, F.lit(True)).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert all(len(r["evidence"]) == 3 for r in got)
+    held = {k for r in got for k in r["evidence"]}
+    assert len(held) > 100 and all(by[1000 + k]["evidence"][0] == k for k in held if k % 3)
+
+
 def test_packing():
     import numpy as np
 
