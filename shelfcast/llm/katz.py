@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from shelfcast.llm.chunks import Chunk, chained, chunked, exchange, floats, planes, ranges_for, rows_of, sent, unfloats, unplanes
 from shelfcast.llm.common import stored
 
-ORDER, LARGEST = 2, 5
+ORDER, LARGEST = 3, 5
 BITS = 56
 END, BEGIN = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 COUNTS = ", ".join(["tokens long", "types long", *[f"n{r} long" for r in range(1, LARGEST + 2)]])

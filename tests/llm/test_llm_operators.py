@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm import chat, chunks, components, exact_dedup, katz, language_id, mixing, near_dup, secrets, toxicity, warc, winnowing
 from shelfcast.llm.chat_template import TemplateError, compile_template, fold_block, parse
+from shelfcast.llm.queries import QUERIES
 from tests.llm import brute
 
 DOCS = "doc_id long, text string"
@@ -203,6 +204,13 @@ def test_katz(spark, docs, texts, order):
         assert got[d]["n_known"] == sum(model.counts[1][(w,)] > 0 for w in model.tokens(t))
 
 
+def test_katz_query_backs_off_over_orders(spark, docs, texts, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    model = brute.Katz([texts[d] for d in texts if brute.crc_of(d) % 10], 3)
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op5_katz_scores"].run(spark, str(tmp_path)).collect()}
+    assert got == {d: pytest.approx(model.score(t), rel=1e-9) for d, t in texts.items()}
+
+
 def test_katz_adds_up_to_one(texts):
     model = brute.Katz(list(texts.values()), 3)
     words = [g[0] for g in model.counts[1]]
