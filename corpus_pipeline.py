@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
 DataFrame, which is written as Parquet and read again for the next one.  All stages but the last
 return the columns of documents; the last one adds the domain, the epoch that takes a document and
-the tokens taken.  Rows that share an id share decisions.
+the tokens taken.  A row is dropped for its own text: rows that share an id, null ids too, don't share decisions.
 """
 
 from __future__ import annotations

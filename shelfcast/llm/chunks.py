@@ -91,20 +91,22 @@ def chained(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------ chunks
 
-CHUNK = "chunk long, n_tokens long, ids array<long>, flags binary, lens binary, codes binary, hashes binary"
+CHUNK = "chunk long, n_tokens long, ids array<long>, flags binary, lens binary, codes binary, hashes binary, digests array<string>"
 
 
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def chunked(docs: DataFrame, flag: Column | None = None, tokens: int = CHUNK_TOKENS) -> DataFrame:
+def chunked(docs: DataFrame, flag: Column | None = None, tokens: int = CHUNK_TOKENS, digest: Column | None = None) -> DataFrame:
     """Chunk rows of `docs` (doc_id, text) with a `flag` for each document: A-Z in lower case,
-    words between ASCII white space; a null text has no words, a null flag is false."""
+    words between ASCII white space; a null text has no words, a null flag is false.  A `digest` of
+    each text is kept if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         flags = bytearray()
+        digests: list[str] = []
         lens: list[int] = []
         parts: list[np.ndarray] = []
         held = 0
@@ -122,36 +124,41 @@ def chunked(docs: DataFrame, flag: Column | None = None, tokens: int = CHUNK_TOK
                     "lens": [planes(np.asarray(lens, np.uint64))],
                     "codes": [planes(codes)],
                     "hashes": pa.array([hashes.tobytes()], pa.binary()),
+                    "digests": pa.array([digests], pa.list_(pa.string())),
                 }
             )
 
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             marks = batch.column("flag").to_pylist()
+            named = batch.column("digest").to_pylist() if kept else None
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
                 text = texts[k].as_py()
                 words = text.lower().split() if text else []
                 ids.append(doc)
                 flags.append(bool(marks[k]))
+                if named:
+                    digests.append(named[k])
                 lens.append(len(words))
                 parts.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
                 held += len(words)
                 if held >= tokens or len(ids) >= tokens:
                     yield done()
-                    ids, flags, lens, parts, held = [], bytearray(), [], [], 0
+                    ids, flags, digests, lens, parts, held = [], bytearray(), [], [], [], 0
                     known = defaultdict(count().__next__)
         if ids:
             yield done()
 
-    flag = F.lit(False) if flag is None else flag
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flag.alias("flag")).mapInArrow(run, CHUNK)
+    flag, kept = F.lit(False) if flag is None else flag, digest is not None
+    more = [] if digest is None else [digest.alias("digest")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flag.alias("flag"), *more).mapInArrow(run, CHUNK)
 
 
 class Chunk:
     """A chunk row unpacked: word hashes of all documents in a row, and where each one starts."""
 
     def __init__(self, row: dict):
-        self.ids = row["ids"]
+        self.ids, self.digests = row["ids"], row.get("digests")
         self.flags = np.frombuffer(row["flags"], np.uint8).astype(bool)
         self.lens = unplanes(row["lens"]).astype(np.int64)
         self.hashes = np.frombuffer(row["hashes"], np.uint64)

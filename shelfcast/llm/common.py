@@ -43,13 +43,19 @@ def joined_small(big: DataFrame, small: DataFrame, on: list[str], how: str, rows
     return big.join(small, on, how)
 
 
-def without(docs: DataFrame, gone: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Rows of `docs` whose id isn't among `gone` (_gone), null equal to null;
-    ids are broadcast only after they were counted."""
+def text_key(text: Column) -> Column:
+    """What tells rows of one id apart: the digest of the text, null as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[Column], rows: int = 200_000) -> DataFrame:
+    """Rows of `docs` whose `keys` aren't a row of `gone`, which has a column for each of them in
+    order; null equals null.  Keys are broadcast only after they were counted."""
     name = "_gone"
-    while name in docs.columns:
+    while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
-    gone = stored(gone.select(F.col("_gone").alias(name)).distinct(), "gone")
+    gone = stored(gone.toDF(*[f"{name}{k}" for k in range(len(keys))]).distinct(), "gone")
     if gone.limit(rows + 1).count() <= rows:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti").select(*docs.columns)
+    same = [key.eqNullSafe(F.col(f"{name}{k}")) for k, key in enumerate(keys)]
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import stored, without
+from shelfcast.llm.common import stored, text_key, without
 
 # letters and characters of several scripts, about one in seven of running text
 EDGE = r"aAhHmMéäаеноاما-ヲ一-七0-1"
@@ -82,4 +82,5 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay: of equal texts the one with the largest id."""
-    return without(docs, exact_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")))
+    gone = exact_duplicates(docs).filter(~F.col("kept")).select("doc_id", "text_sha256")
+    return without(docs, gone, [F.col("doc_id"), text_key(F.col("text"))])

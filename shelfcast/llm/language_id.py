@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import joined_small, stored, without
+from shelfcast.llm.common import joined_small, stored, text_key, without
 
 GRAMS = 1 << 15
 EVIDENCE = 60
@@ -194,5 +194,7 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (documents' columns) whose language isn't rejected."""
-    found = identify(document_rows(docs), fit(docs))
-    return without(docs, found.filter("rejected").select(F.col("id").alias("_gone")))
+    # the evidence of a row, which may share its id with others
+    evidence = F.struct(text_key(F.col("text")).alias("text"), "declared", "host")
+    found = identify(document_rows(docs).withColumn("id", evidence), fit(docs))
+    return without(docs, found.filter("rejected").select("id.*"), [text_key(F.col("text")), F.col("lang"), F.col("source")])

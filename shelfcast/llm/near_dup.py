@@ -33,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.chunks import SENT, Chunk, chained, chunked, exchange, planes, ranges_for, rows_of, scrambled, sent, unplanes
-from shelfcast.llm.common import stored, without
+from shelfcast.llm.common import stored, text_key, without
 from shelfcast.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -76,7 +76,7 @@ def set_sums(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sets(chunks: DataFrame) -> DataFrame:
-    """chunk, at (place in it), doc_id, n (tokens), node and check (sums over the set)."""
+    """chunk, at (place in it), doc_id, digest (if kept), n (tokens), node and check (sums over the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,12 +86,12 @@ def sets(chunks: DataFrame) -> DataFrame:
                 n, node, check = zip(*found, strict=True) if found else ((), (), ())
                 k = len(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["chunk"]] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(chunk.ids, pa.int64())]
+                    [pa.array([row["chunk"]] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(chunk.ids, pa.int64()), pa.array(chunk.digests or [None] * k, pa.string())]
                     + [pa.array(x, pa.int64()) for x in (n, node, check)],
-                    names=["chunk", "at", "doc_id", "n", "node", "check"],
+                    names=["chunk", "at", "doc_id", "digest", "n", "node", "check"],
                 )
 
-    return chunks.mapInArrow(run, "chunk long, at int, doc_id long, n long, node long, check long")
+    return chunks.mapInArrow(run, "chunk long, at int, doc_id long, digest string, n long, node long, check long")
 
 
 def distinct_keys(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -279,11 +279,11 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return two.filter(same * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
 
 
-def linked_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, percent: int = PERCENT, digest: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of `sets` for `docs` (doc_id, text), and (node, label) for nodes that have links."""
     if not 80 <= percent < 100:
         raise ValueError("percent must lie between 80 and 99")
-    chunks = stored(chunked(docs, tokens=CHUNK_TOKENS), "chunks")
+    chunks = stored(chunked(docs, tokens=CHUNK_TOKENS, digest=digest), "chunks")
     found = stored(sets(chunks), "sets")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "chunk", "at")).alias("first")
     nodes = found.filter("n > 0").groupBy("n", "node", "check").agg(first).select("node", "first.chunk", "first.at")
@@ -308,9 +308,10 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Dat
     return found, labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id it reaches) for each row of `docs`."""
-    found, labels = linked_sets(docs, percent)
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, digest: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id it reaches) for each row of `docs`,
+    and its `digest` if given."""
+    found, labels = linked_sets(docs, percent, digest)
     rows = found.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
     classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("size"))
     classes = classes.join(labels, "node", "left")
@@ -321,10 +322,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("chunk", "at"), F.lit(SALTS)).cast("int"))
     out = salted.join(named, ["node", "salt"], "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
     back = F.when(F.col("component") != NO_ID, F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), back.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), back.alias("component_id"), *([] if digest is None else ["digest"]))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` that have the smallest id of their component."""
-    found = near_duplicates(docs, percent)
-    return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")))
+    key = text_key(F.col("text"))
+    found = near_duplicates(docs, percent, key)
+    return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "digest"), [F.col("doc_id").cast("long"), key])

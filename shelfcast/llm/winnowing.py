@@ -11,7 +11,7 @@ document again.
 
 Defined results: null and empty texts, and texts without words, have no words and hit nothing;
 items without words can't be found; repeated items count once; a null id is an id like others;
-rows that share an id share their hits; empty tables give an empty result, or documents
+rows that share an id and a text share their hits; empty tables give an empty result, or documents
 without hits; other columns are ignored, whatever their names.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import ascii_lower, let, without
+from shelfcast.llm.common import ascii_lower, let, text_key, without
 
 WINDOW, K = 10, 5
 # benchmark fingerprints are broadcast up to this number (about 300 bytes each), joined by shuffle beyond
@@ -70,25 +70,25 @@ def agreeing(a: Column, b: Column) -> Column:
     return F.element_at(differs, 1)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, keyed: bool = False) -> DataFrame:
     """One row per row of `docs` (doc_id, text) against `items` (item_id, text): doc_id, n_words,
-    n_hit, n_items, items (sorted array), contaminated."""
+    n_hit, n_items, items (sorted array), contaminated, and the text's digest _key if `keyed`."""
     if not 1 <= k <= window:
         raise ValueError("k must lie between 1 and window")
-    docs = docs.select("doc_id", F.col("text").alias("_text"))
+    docs = docs.select("doc_id", F.col("text").alias("_text"), text_key(F.col("text")).alias("_key"))
     items = items.select("item_id", words(F.col("text")).alias("w")).filter("size(w) > 0").distinct()
 
     whole = items.filter(F.size("w") >= window).select("item_id", F.explode(fingerprints(F.col("w"), window, k)).alias("f"))
     # equal surroundings are checked once, for all items that have them
     places = whole.groupBy("f.hash", "f.left", "f.mid", "f.right").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
     places = places.select("hash", *[F.col(c).alias(f"i_{c}") for c in ("left", "mid", "right")], "ids")
-    spans = docs.select("doc_id", F.explode(fingerprints(words(F.col("_text")), window, k)).alias("f")).select("doc_id", "f.*")
+    spans = docs.select("doc_id", "_key", F.explode(fingerprints(words(F.col("_text")), window, k)).alias("f")).select("doc_id", "_key", "f.*")
     if places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         places = F.broadcast(places)
     met = spans.join(places, "hash").filter(F.col("mid") == F.col("i_mid"))
     met = met.withColumns({"_l": agreeing(F.col("left"), F.col("i_left")), "_r": agreeing(F.col("right"), F.col("i_right"))})
     long = met.filter(F.col("_l") + F.col("_r") + k >= window).select(
-        "doc_id", (F.col("pos") - F.col("_l")).alias("start"), (F.col("pos") + k + F.col("_r")).alias("stop"), "ids"
+        "doc_id", "_key", (F.col("pos") - F.col("_l")).alias("start"), (F.col("pos") + k + F.col("_r")).alias("stop"), "ids"
     )
     hits = long
     short = items.filter(F.size("w") < window)
@@ -107,24 +107,25 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
 
             return F.concat(*[of(n) for n in lengths])
 
-        pieces = docs.select("doc_id", F.explode(let(words(F.col("_text")), grams)).alias("g")).select("doc_id", "g.*")
-        found = pieces.join(wanted, "w").select("doc_id", "start", (F.col("start") + F.size("w")).alias("stop"), "ids")
+        pieces = docs.select("doc_id", "_key", F.explode(let(words(F.col("_text")), grams)).alias("g")).select("doc_id", "_key", "g.*")
+        found = pieces.join(wanted, "w").select("doc_id", "_key", "start", (F.col("start") + F.size("w")).alias("stop"), "ids")
         hits = hits.unionByName(found)
 
     # what is gathered for a document is bounded by its own length and its own items
-    per_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"), F.collect_set("ids").alias("_ids"))
+    per_doc = hits.groupBy("doc_id", "_key").agg(F.collect_set(F.struct("start", "stop")).alias("_spans"), F.collect_set("ids").alias("_ids"))
     covered = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["stop"] - 1))))
     found = per_doc.select(
-        F.col("doc_id").alias("_doc"), F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("_ids"))).alias("items")
+        F.col("doc_id").alias("_doc"), F.col("_key").alias("_same"), F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("_ids"))).alias("items")
     )
     # counting needs no lower case
     n_words = F.size(F.regexp_extract_all("_text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0)))
-    counted = docs.select("doc_id", F.coalesce(n_words, F.lit(0)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", "_key", F.coalesce(n_words, F.lit(0)).cast("long").alias("n_words"))
     counted = counted.withColumn("n_words", F.greatest("n_words", F.lit(0).cast("long")))
-    joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_same")), "left")
     none = F.array().cast(found.schema["items"].dataType)
     return joined.select(
         "doc_id",
+        *([F.col("_key")] if keyed else []),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", none).alias("items"),
@@ -134,4 +135,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` in which no window of an item occurs."""
-    return without(docs, contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_gone")))
+    gone = contamination(docs, items, keyed=True).filter("contaminated").select("doc_id", "_key")
+    return without(docs, gone, [F.col("doc_id"), text_key(F.col("text"))])

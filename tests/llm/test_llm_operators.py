@@ -458,6 +458,24 @@ def test_toxicity_neighbours_count_all_words(spark):
     assert len(held) > 100 and all(by[1000 + k]["evidence"][0] == k for k in held if k % 3)
 
 
+def test_rows_of_one_id_are_dropped_one_by_one(spark):
+    prose = " ".join(f"word{k}" for k in range(40))
+    near = prose.replace("word39", "other")
+    rows = [(5, "first text"), (5, "second text"), (7, "first text"), (None, "third text"), (9, None), (None, None)]
+    kept = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {(5, "second text"), (7, "first text"), (None, "third text"), (9, None)}
+    rows = [(5, near), (5, "quite another text than that"), (3, prose)]
+    kept = near_dup.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {(5, rows[1][1]), (3, prose)}
+    rows = [(None, prose), (None, "clean and unique"), (1, prose), (1, "clean as well")]
+    df, items = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, prose)], "item_id long, text string")
+    assert {r["text"] for r in winnowing.drop_contaminated(df, items).collect()} == {"clean and unique", "clean as well"}
+    assert all(r["n_hit"] <= r["n_words"] and r["n_hit"] in (0, 40) for r in winnowing.contamination(df, items).collect())
+    rows = [(None, "the cat sat on the mat", "en", "a"), (None, "der hund und die katze", "de", "b"), (None, "...", "en", "a")]
+    kept = language_id.keep_identified(spark.createDataFrame(rows * 5, "doc_id long, text string, lang string, source string"))
+    assert kept.count() == 10 and kept.filter("text = '...'").count() == 0
+
+
 def test_packing():
     import numpy as np
 
