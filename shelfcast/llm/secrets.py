@@ -2,9 +2,10 @@
 
 Strong patterns (`BASE`) are reported wherever they match.  Weak ones (`WEAK`: bare secrets, other
 account identifiers, endpoints) match much harmless text, so one is reported only if the parts that
-complete it begin within `SCOPE` characters: a secret needs an identifier, an identifier a secret,
-an endpoint both.  The interval join runs inside a document as a range window over the places of
-its parts, so the number of rows never exceeds the number of matches.
+complete it are linked to it: a secret needs an identifier, an identifier a secret, an endpoint both.
+Parts are linked in chains, in which each begins at most `SCOPE` characters after the end of one
+before it.  Chains are found inside a document by windows over the places of its parts, so the
+number of rows never exceeds the number of matches.
 
 Places follow from the lengths of the pieces between matches; all counts are code points.
 
@@ -53,22 +54,22 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
 def reported(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """`parts` (_row, kind, start, stop, kept) with `report`: it is kept, and strong or complete."""
     kind = lambda *names: F.col("kept") & F.col("kind").isin([KINDS.index(n) for n in names])
-    near = Window.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
-    upto = Window.partitionBy("_row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("_row").orderBy("start", "stop").rowsBetween(0, Window.unboundedFollowing)
-    strong = kind(*BASE)
+    order = Window.partitionBy("_row").orderBy("start", "stop", "kind")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    strong, part = kind(*BASE), kind("access", "assign", "ident", "secret", "endpoint")
     seen = parts.withColumns(
         {
-            "_ids": F.max(kind("access", "ident")).over(near),
-            "_secrets": F.max(kind("assign", "secret")).over(near),
-            # what a strong match covers is reported with it
-            "_covered": (F.coalesce(F.max(F.when(strong, F.col("stop"))).over(upto), F.lit(0)) > F.col("start"))
-            | (F.coalesce(F.min(F.when(strong, F.col("start"))).over(after), F.col("stop")) < F.col("stop")),
+            "_last": F.max(F.when(part, F.col("stop"))).over(before),
+            # a weak part that one strong match covers whole is reported with it
+            "_covered": F.coalesce(F.max(F.when(strong, F.col("stop"))).over(upto) >= F.col("stop"), F.lit(False)),
         }
     )
-    complete = (
-        (kind("secret") & F.col("_ids")) | (kind("ident") & F.col("_secrets")) | (kind("endpoint") & F.col("_ids") & F.col("_secrets"))
-    )
+    first = part & (F.col("_last").isNull() | (F.col("start") > F.col("_last") + scope))
+    seen = seen.withColumn("_chain", F.sum(first.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = Window.partitionBy("_row", "_chain")
+    seen = seen.withColumns({"_ids": F.max(kind("access", "ident")).over(chain), "_secrets": F.max(kind("assign", "secret")).over(chain)})
+    complete = kind(*WEAK) & F.col("_ids") & F.col("_secrets")
     return seen.withColumn("report", strong | (complete & ~F.col("_covered")))
 
 
