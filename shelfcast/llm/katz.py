@@ -9,8 +9,9 @@ never followed by, in proportion to their probability one order down:
     alpha(u) = (1 - sum of the seen P(w | u)) / (1 - sum of the same words' P(w | shorter u))
 
 so the probabilities after a context add up to 1, one word that was never seen included.  Counts
-above `LARGEST` lose as much as `LARGEST` does, so every context has mass left.  Tables of counts
-and weights are kept by key range in the shared folder; a token takes the longest known n-gram and
+above `LARGEST` lose as much as `LARGEST` does, so every context has mass left.  What is kept in
+the shared folder are the answers to each chunk for its own keys, so other texts can't be scored from
+it, and backoff sums are made only for contexts that these documents lack; a token takes the longest known n-gram and
 walks down through the weights, all tokens of a chunk at a time.
 
 Defined results: a null text is empty, and an empty text is one end token; documents with a null id
