@@ -38,7 +38,7 @@ def running_total(
     shift = per_slice.select(
         *[F.col(g).alias(f"_group_{g}") for g in group],
         F.col("_slice").alias("_slice_of"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_shift"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"),
         F.sum("_sum").over(whole).alias("_total"),
     )
     same = F.col("_slice") == F.col("_slice_of")
