@@ -43,6 +43,17 @@ def joined_small(big: DataFrame, small: DataFrame, on: list[str], how: str, rows
     return big.join(small, on, how)
 
 
+def joined_apart(big: DataFrame, small: DataFrame, on: list[str], weight: str, heavy: int = 1000, rows: int = 200_000) -> DataFrame:
+    """Inner join of `big` with `small`, whose rows are unique by `on` and say in `weight` how many
+    partners they have.  Keys of more than `heavy` partners are broadcast, if counted as at most
+    `rows`, so their partners stay spread as they are; the rest is shuffled.  Both sides should be stored."""
+    hot = small.filter(F.col(weight) > heavy)
+    if hot.limit(rows + 1).count() > rows:
+        return big.join(small, on)
+    cold = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.filter(F.col(weight) <= heavy), on)
+    return cold.unionByName(big.join(F.broadcast(hot), on))
+
+
 def text_key(text: Column) -> Column:
     """What tells rows of one id apart: the digest of the text, null as empty."""
     return F.sha2(F.coalesce(text, F.lit("")), 256)

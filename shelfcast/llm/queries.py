@@ -17,8 +17,11 @@ from shelfcast.llm.katz import scores
 from shelfcast.llm.language_id import document_rows, fit, identify, page_rows
 from shelfcast.llm.mixing import mix
 from shelfcast.llm.near_dup import near_duplicates
+from shelfcast.llm.prefix_trie import prefix_trie
 from shelfcast.llm.secrets import BASE, KINDS, scan, written
+from shelfcast.llm.simhash import near_fingerprints
 from shelfcast.llm.toxicity import toxicity
+from shelfcast.llm.variants import spelling_variants
 from shelfcast.llm.warc import read_archives, write_archives
 from shelfcast.llm.winnowing import contamination
 
@@ -265,3 +268,77 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "evidence", "cosines"
     )
+
+
+# ------------------------------------------------------------------ 11 SimHash near duplicates
+
+
+@query()
+def op11_simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
+    return near_fingerprints(table(spark, folder, "documents"))
+
+
+# ------------------------------------------------------------------ 12 spelling variants
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a string's UTF-8 bytes."""
+    data = f"hex(encode({text}))"
+    step = "list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+    codes = f"list_transform(range(1, length({data}), 2), lambda i: CAST('0x' || substr({data}, i, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda x, b: {step}), 4294967295)"
+
+
+VARIANTS_SQL = rf"""
+    WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+    counted AS (SELECT doc_id, r, count(*) AS k FROM runs WHERE length(r) >= 7 GROUP BY ALL),
+    hashed AS (SELECT r, k, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r")} AS h FROM counted),
+    said AS (SELECT CASE WHEN h % 31 = 0 THEN r[: h % length(r)] || r[h % length(r) + 2 :] ELSE r END AS word, k FROM hashed),
+    words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM said WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+    cuts AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words),
+    less AS (SELECT word, n, p, word[: p - 1] || word[p + 1 :] AS rest FROM cuts),
+    pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM less a JOIN less b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+              UNION SELECT a.word, a.n, w.word, w.n FROM less a JOIN words w ON a.rest = w.word
+              UNION SELECT w.word, w.n, a.word, a.n FROM less a JOIN words w ON a.rest = w.word),
+    best AS (SELECT word, n, count(*) AS n_near, max(m) AS m, min(other) FILTER (m = top) AS other
+             FROM (SELECT *, max(m) OVER (PARTITION BY word) AS top FROM pairs) GROUP BY word, n),
+    forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n
+              FROM words w LEFT JOIN best USING (word)),
+    walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL),
+    roots AS (SELECT walk.word, walk.at AS root FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
+@query(VARIANTS_SQL)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# ------------------------------------------------------------------ 13 prefix trie
+
+TRIE_SQL = f"""
+    WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+                      coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT DISTINCT conv_id FROM t),
+    c AS (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h, conv_id - conv_id % 5 AS first FROM ids),
+    r AS (SELECT c.conv_id, 0 AS part, p, role, text FROM c JOIN t ON t.conv_id = c.first AND p <= h
+          UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+    o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS depth, sha256(role) || sha256(text) AS own, octet_length(encode(text)) AS bytes FROM r),
+    steps AS (SELECT conv_id, depth, string_agg(own, '') OVER (PARTITION BY conv_id ORDER BY depth) AS name, bytes FROM o UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+    node AS (SELECT depth, name, min(conv_id) AS node, count(*) AS n_convs, any_value(bytes) AS bytes FROM steps GROUP BY depth, name),
+    spot AS (SELECT s.conv_id, s.depth, n.node FROM steps s JOIN node n USING (depth, name)),
+    tree AS (SELECT n.node, n.depth, n.n_convs, a.node AS parent, (n.n_convs - 1) * n.bytes AS saved FROM node n LEFT JOIN spot a ON a.conv_id = n.node AND a.depth = n.depth - 1),
+    kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM tree WHERE parent IS NOT NULL GROUP BY ALL),
+    flat AS (SELECT tree.*, coalesce(n_children, 0) AS n_children FROM tree LEFT JOIN kids USING (node, depth)),
+    sums AS (SELECT a.node, a.depth, count(*) FILTER (f.n_children = 0) AS n_leaves, sum(f.saved) AS saved FROM flat f JOIN spot a ON a.conv_id = f.node AND a.depth <= f.depth GROUP BY ALL),
+    last AS (SELECT conv_id, max(depth) AS depth FROM steps GROUP BY conv_id),
+    ends AS (SELECT a.node, a.depth, string_agg(CAST(last.conv_id AS VARCHAR), ',' ORDER BY last.conv_id) AS ids FROM last JOIN spot a USING (conv_id, depth) GROUP BY ALL)
+    SELECT f.node AS conv_id, f.depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM flat f JOIN sums s USING (node, depth) LEFT JOIN ends USING (node, depth)
+"""
+
+
+@query(TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
