@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from shelfcast.operators import aggregates, business, dashboards, inventory, scenario, scope
 from shelfcast.operators.forecast import forecast_recursive
 from shelfcast.plans.serving import RetailTables
-from shelfcast.sources.tables import apply_restock, publish, unknown_restocks
+from shelfcast.sources.snapshots import Snapshot, Transaction
+from shelfcast.sources.tables import apply_restock, unknown_restocks
 
 PAIR = ["store_nbr", "item_nbr"]
 # tables without a store that every user may see; tables with `store_nbr` are cut to the user's
@@ -78,21 +79,24 @@ def ask(
     return QUESTIONS[name](VisibleTables(tables, user, admin, store_nbr), **params)
 
 
-def restock(
-    tables: RetailTables, restocks: DataFrame, user: str, at: str, root: str | None = None, admin: bool = False
-) -> str:
-    """Publish the inventory with `restocks` (store_nbr, item_nbr, quantity) added.
+def restock(tables: RetailTables, restocks: DataFrame, user: str, at: str, admin: bool = False, token: str | None = None) -> Snapshot:
+    """Commit the inventory with `restocks` (store_nbr, item_nbr, quantity) added.
 
-    Refused when a store is outside the user's scope or an item is not managed there; returns the
-    path of the new version.  Without a `root` it is published where later questions, in this and
-    in other sessions over the same tables, read it.
+    Refused when a store is outside the user's scope or an item is not managed there.  It is added to the
+    newest inventory of any session over the same tables, so restocks of several sessions add up.  With a
+    `token` of the caller's choice, a restock that is sent again after a failure counts once.
     """
     scope.check_stores(restocks, tables.access, user, admin)
-    if not unknown_restocks(tables.inventory, restocks).isEmpty():
-        raise KeyError("a restock names an item its store does not manage")
-    path = publish(apply_restock(tables.inventory, restocks, at), "inventory", root or tables.published_root)
-    tables.refresh()
-    return path
+
+    def add(txn: Transaction) -> None:
+        tables.refresh(txn.base)
+        if not unknown_restocks(tables.inventory, restocks).isEmpty():
+            raise KeyError("a restock names an item its store does not manage")
+        txn.write("inventory", apply_restock(tables.inventory, restocks, at))
+
+    done = tables.snapshots.commit(add, reads=("forecasts", "inventory"), token=token)
+    tables.refresh(done)
+    return done
 
 
 def _of_item(df: DataFrame, item_nbr: int | None) -> DataFrame:

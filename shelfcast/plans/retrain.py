@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +12,7 @@ from shelfcast.operators.features import extended_features
 from shelfcast.operators.inventory import default_policy, derive_inventory
 from shelfcast.operators.metrics import evaluate
 from shelfcast.plans.serving import RetailTables
-from shelfcast.sources.tables import publish
-
-
-@dataclass(frozen=True)
-class Retrained:
-    """Paths of the new table versions."""
-
-    forecasts: str
-    inventory: str
-    sku_stats: str
+from shelfcast.sources.snapshots import Snapshot, Snapshots, Transaction
 
 
 def combined_forecast(t: RetailTables) -> DataFrame:
@@ -44,23 +33,25 @@ def baseline_scores(t: RetailTables) -> DataFrame:
     return evaluate(scored, by=["family"])
 
 
-def retrain(t: RetailTables, root: str | None = None) -> Retrained:
-    """Run the whole job and publish new versions of forecasts, inventory and SKU stats.
+def retrain(t: RetailTables, snapshots: Snapshots | None = None) -> Snapshot:
+    """Run the whole job and commit forecasts, inventory and SKU stats together.
 
-    Without a `root` they are published where all later questions over these tables read them.
-    Nothing is published when the forecast is empty, so a failed run leaves the old tables.
+    Without `snapshots` they go where all later questions over these tables read them.  Nothing is
+    committed when the forecast is empty or a step fails, so a failed run leaves the old tables.  The
+    inventory starts anew from the new forecasts, also after restocks that came in meanwhile.
     """
     predicted = combined_forecast(t)
     items = forecast.split_to_items(t.plan, t.items, predicted, t.shares)
-    if items.isEmpty():
-        raise RuntimeError("the forecast is empty; serving tables are left as they are")
-    root = root or t.published_root
-    forecasts_path = publish(items, "forecasts", root)
-    fresh = t.spark.read.parquet(forecasts_path)
-    inventory_path = publish(derive_inventory(fresh, default_policy(fresh)), "inventory", root)
     errors = t.local_scores.select("family", F.col("rmsle").alias("family_rmsle"))
-    stats = sku_stats(t.sales, t.items, fresh, t.origin_date.year - 1, t.origin, errors)
-    done = Retrained(forecasts_path, inventory_path, publish(stats, "sku_stats", root))
+
+    def reload(txn: Transaction) -> None:
+        fresh = txn.write("forecasts", items)
+        if fresh.isEmpty():
+            raise RuntimeError("the forecast is empty; serving tables are left as they are")
+        txn.write("inventory", derive_inventory(fresh, default_policy(fresh)))
+        txn.write("sku_stats", sku_stats(t.sales, t.items, fresh, t.origin_date.year - 1, t.origin, errors))
+
+    done = (snapshots or t.snapshots).commit(reload)
     t.refresh()
     return done
 

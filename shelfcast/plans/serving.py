@@ -20,7 +20,8 @@ from shelfcast.functions.durable import shared_dir
 from shelfcast.operators import aggregates, clean, forecast, inventory, panel
 from shelfcast.operators.enrich import with_item_columns
 from shelfcast.sources.raw import between, ingest_sales, store_by_month
-from shelfcast.sources.tables import materialize, newest_partition, path_exists, published
+from shelfcast.sources.snapshots import Snapshot, Snapshots
+from shelfcast.sources.tables import materialize, newest_partition, path_exists
 from shelfcast.sources.testdata import OrderTables
 
 ASSORTMENT_DAYS = 90
@@ -48,28 +49,34 @@ class RetailTables:
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return materialize(self.spark, build, f"{self.root}/{name}", self.force)
 
-    # ---- published versions take the place of what is derived here
+    # ---- published states take the place of what is derived here
 
     @property
     def published_root(self) -> str:
         return f"{self.root}/published"
 
+    @property
+    def snapshots(self) -> Snapshots:
+        return Snapshots(self.spark, self.published_root)
+
     @cached_property
-    def _published(self) -> dict[str, tuple[DataFrame, str]]:
-        found = {name: published(self.spark, name, self.published_root) for name in ("forecasts", "inventory", "sku_stats")}
-        return {name: v for name, v in found.items() if v}
+    def snapshot(self) -> Snapshot:
+        """The published tables these ones read, all of one commit, until `refresh`."""
+        return self.snapshots.latest()
 
     def served(self, name: str, build: Callable[[], DataFrame], *sources: str) -> DataFrame:
-        """The published version of a table, or the stored one for the versions of its `sources`."""
-        if name in self._published:
-            return self._published[name][0]
-        made_from = [self._published[s][1] for s in sources if s in self._published]
+        """The published state of a table, or the stored one for the states of its `sources`."""
+        if name in self.snapshot:
+            return self.snapshot.read(name)
+        made_from = [self.snapshot.tables[s] for s in sources if s in self.snapshot]
         return self.stored("@".join([name, *made_from]), build)
 
-    def refresh(self) -> None:
-        """Look again for published versions."""
-        for name in ("_published", "forecasts", "family_forecast", "inventory", "position", "sku_stats"):
+    def refresh(self, snapshot: Snapshot | None = None) -> None:
+        """Read the newest published tables, or those of `snapshot`."""
+        for name in ("snapshot", "forecasts", "family_forecast", "inventory", "position", "sku_stats"):
             self.__dict__.pop(name, None)
+        if snapshot is not None:
+            self.__dict__["snapshot"] = snapshot
 
     # ---- dimensions and raw facts (lazy)
 

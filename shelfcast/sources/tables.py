@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.operators.enrich import with_item_columns
+from shelfcast.sources.snapshots import Snapshots
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -48,35 +47,14 @@ def materialize(
     return spark.read.parquet(path)
 
 
-def versions(spark: SparkSession, name: str, root: str) -> list[str]:
-    """Paths of the complete versions of a published table, oldest first."""
-    if not path_exists(spark, f"{root}/{name}"):
-        return []
-    hadoop_path, fs = _file_system(spark, f"{root}/{name}")
-    found = sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.getPath().getName().startswith("version="))
-    return [f"{root}/{name}/{v}" for v in found if path_exists(spark, f"{root}/{name}/{v}/_SUCCESS")]
+def publish(df: DataFrame, name: str, root: str) -> str:
+    """Commit a new state of a table to the log at `root`, and point the view `name` of this session at it.
 
-
-def publish(df: DataFrame, name: str, root: str, keep: int = 2) -> str:
-    """Write a new version of a table, and point the view `name` of this session at it.
-
-    Versions sort by the time they were begun.  Readers of any session see the newest complete one,
-    so they see the old version until the new one is there; all but the last `keep` are deleted.
+    Readers of any session see the old state until the commit, and the new one when they look again.
     """
-    path = f"{root}/{name}/version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    spark = df.sparkSession
-    spark.read.parquet(path).createOrReplaceTempView(name)
-    for old in versions(spark, name, root)[:-keep]:
-        hadoop_path, fs = _file_system(spark, old)
-        fs.delete(hadoop_path, True)
-    return path
-
-
-def published(spark: SparkSession, name: str, root: str) -> tuple[DataFrame, str] | None:
-    """The newest complete version of a table and its name, or None."""
-    found = versions(spark, name, root)
-    return (spark.read.parquet(found[-1]), found[-1].rsplit("=", 1)[1]) if found else None
+    done = Snapshots(df.sparkSession, root).commit(lambda txn: txn.write(name, df))
+    done.read(name).createOrReplaceTempView(name)
+    return done.path(name)
 
 
 def family_history(sales: DataFrame, items: DataFrame, perishable: str = "group") -> DataFrame:

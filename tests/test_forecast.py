@@ -154,19 +154,29 @@ def test_tree_search_has_an_acceptance_gate(tables, recent_rows):
 def test_retrain_publishes_nothing_when_the_forecast_is_empty(spark, tables, tmp_path):
     from shelfcast.plans.retrain import retrain
     from shelfcast.plans.serving import RetailTables
+    from shelfcast.sources.snapshots import Snapshots
 
     t = RetailTables(spark, "/root/testdata/sf0.001", root=tables.root)
     t.__dict__["plan"] = tables.plan.limit(0)
+    log = Snapshots(spark, str(tmp_path / "out"))
     with pytest.raises(RuntimeError, match="empty"):
-        retrain(t, str(tmp_path / "out"))
-    assert not (tmp_path / "out").exists()
-
-
-def test_retrain_publishes_three_tables(spark, tables, tmp_path):
-    from shelfcast.plans.retrain import retrain
-
-    done = retrain(tables, str(tmp_path))
-    forecasts = spark.read.parquet(done.forecasts)
+        retrain(t, log)
+    assert log.versions() == []
+
+
+def test_retrain_publishes_three_tables_or_none(spark, tables, tmp_path, monkeypatch):
+    from shelfcast.plans import retrain
+    from shelfcast.sources.snapshots import Snapshots
+
+    log = Snapshots(spark, str(tmp_path))
+    with monkeypatch.context() as patch:
+        patch.setattr(retrain, "sku_stats", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            retrain.retrain(tables, log)
+    assert log.versions() == []
+    done = retrain.retrain(tables, log)
+    assert sorted(done.tables) == ["forecasts", "inventory", "sku_stats"] and log.versions() == [1]
+    forecasts = done.read("forecasts")
     assert forecasts.count() == tables.plan.count() and forecasts.filter("predicted_sales < 0").isEmpty()
-    assert spark.read.parquet(done.inventory).count() == tables.plan.select("store_nbr", "item_nbr").distinct().count()
-    assert spark.read.parquet(done.sku_stats).count() == tables.items.count()
+    assert done.read("inventory").count() == tables.plan.select("store_nbr", "item_nbr").distinct().count()
+    assert done.read("sku_stats").count() == tables.items.count()

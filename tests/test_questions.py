@@ -77,47 +77,70 @@ def test_one_store_equals_its_part_of_the_whole(tables, name):
     assert a == b
 
 
-def test_restock_is_checked_and_published(spark, tables, tmp_path):
+@pytest.fixture
+def open_tables(spark, tables, tmp_path):
+    """Tables of a session of their own, over one root."""
+    from shelfcast.plans.serving import RetailTables
+
+    def made(session=None):
+        t = RetailTables(session or spark.newSession(), "/root/testdata/sf0.001", root=str(tmp_path))
+        for name in ("forecasts", "sku_stats"):
+            t.__dict__[name] = getattr(tables, name)
+            t.refresh = lambda snapshot=None, t=t, again=t.refresh: (again(snapshot), t.__dict__.update(forecasts=tables.forecasts, sku_stats=tables.sku_stats))[0]
+        return t
+
+    return made
+
+
+def stock_of(t, item_nbr):
+    return t.inventory.filter((F.col("store_nbr") == 3) & (F.col("item_nbr") == item_nbr)).first()
+
+
+def test_restock_is_checked_and_published(spark, open_tables):
     from shelfcast.plans.questions import restock
 
-    one = tables.inventory.filter("store_nbr = 3").limit(1).select("store_nbr", "item_nbr", "current_stock").first()
+    t = open_tables()
+    one = t.inventory.filter("store_nbr = 3").orderBy("item_nbr").first()
+    rows = t.inventory.count()
     schema = "store_nbr int, item_nbr long, quantity double"
     add = spark.createDataFrame([(3, one["item_nbr"], 4.0), (3, one["item_nbr"], 1.0)], schema)
-    path = restock(tables, add, "manager3", "2001-10-20 08:00:00", str(tmp_path))
-    after = spark.read.parquet(path).filter((F.col("store_nbr") == 3) & (F.col("item_nbr") == one["item_nbr"])).first()
+    done = restock(t, add, "manager3", "2001-10-20 08:00:00")
+    after = stock_of(t, one["item_nbr"])
     assert after["current_stock"] == one["current_stock"] + 5.0 and after["last_updated"] is not None
-    assert spark.read.parquet(path).count() == tables.inventory.count()
+    assert done.read("inventory").count() == rows
     with pytest.raises(AccessDenied):
-        restock(tables, add, "manager4", "2001-10-20", str(tmp_path))
+        restock(t, add, "manager4", "2001-10-20")
     with pytest.raises(KeyError):
-        restock(tables, spark.createDataFrame([(3, -1, 4.0)], schema), "boss", "2001-10-20", str(tmp_path), admin=True)
+        restock(t, spark.createDataFrame([(3, -1, 4.0)], schema), "boss", "2001-10-20", admin=True)
+    assert t.snapshots.versions() == [1]
 
 
-def test_restock_is_seen_by_other_sessions(spark, tables, tmp_path):
+def test_restocks_of_two_open_sessions_add_up(spark, open_tables):
+    """Both were opened, and had read the stock, before either restocked; an older reader still answers."""
     from shelfcast.plans.questions import restock
-    from shelfcast.plans.serving import RetailTables
 
-    t = RetailTables(spark, "/root/testdata/sf0.001", root=str(tmp_path))
-    for name in ("forecasts", "sku_stats"):
-        t.__dict__[name] = getattr(tables, name)
-    before = t.inventory.filter("store_nbr = 3").orderBy("item_nbr").first()
-    old = ask(t, "inventory_row", "manager3", item_nbr=before["item_nbr"], store_nbr=3).first() if "inventory_row" in QUESTIONS else before
-    add = spark.createDataFrame([(3, before["item_nbr"], 7.0)], "store_nbr int, item_nbr long, quantity double")
-    restock(t, add, "manager3", "2001-10-20 08:00:00")
-    other = RetailTables(spark.newSession(), "/root/testdata/sf0.001", root=str(tmp_path))
-    for seen in (t, other):
-        now = seen.inventory.filter((F.col("store_nbr") == 3) & (F.col("item_nbr") == before["item_nbr"])).first()
-        assert now["current_stock"] == old["current_stock"] + 7.0
-    restock(other, add, "manager3", "2001-10-21 08:00:00")
-    t.refresh()
-    again = t.inventory.filter((F.col("store_nbr") == 3) & (F.col("item_nbr") == before["item_nbr"])).first()
-    assert again["current_stock"] == old["current_stock"] + 14.0
+    a, b, reader = open_tables(), open_tables(), open_tables()
+    item = [t.inventory.filter("store_nbr = 3").orderBy("item_nbr").first() for t in (a, b, reader)][0]
+    add = spark.createDataFrame([(3, item["item_nbr"], 100.0)], "store_nbr int, item_nbr long, quantity double")
+    restock(a, add, "manager3", "2001-10-20 08:00:00")
+    reader.refresh()
+    seen = reader.inventory
+    assert stock_of(b, item["item_nbr"])["current_stock"] == item["current_stock"]
+    restock(b, add, "manager3", "2001-10-20 08:01:00")
+    restock(a, add, "manager3", "2001-10-20 08:02:00", token="delivery 4")
+    restock(b, add, "manager3", "2001-10-20 08:03:00", token="delivery 4")
+    for t in (a, b):
+        t.refresh()
+        assert stock_of(t, item["item_nbr"])["current_stock"] == item["current_stock"] + 300.0
+    for k in range(3):
+        restock(a, add, "manager3", f"2001-10-21 08:0{k}:00")
+    assert seen.filter((F.col("store_nbr") == 3) & (F.col("item_nbr") == item["item_nbr"])).first()["current_stock"] == item["current_stock"] + 100.0
 
 
 def test_every_table_is_cut_or_refused(tables):
     """A manager sees no row of another store through any attribute."""
     seen = VisibleTables(tables, "manager7")
-    names = [n for n in dir(type(tables)) if not n.startswith("_") and n not in ("served", "stored", "refresh")]
+    names = [n for n in dir(type(tables)) if not n.startswith("_") and n not in ("served", "stored", "refresh", "snapshots", "snapshot")]
     for name in [*names, "source", "spark", "root"]:
         try:
             value = getattr(seen, name)
