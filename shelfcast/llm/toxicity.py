@@ -1,159 +1,254 @@
 """Toxicity scores from the nearest labelled examples by TF-IDF cosine.
 
-Terms are words and their first letters.  Examples are rows of two thirds of the labelled training
-rows that hold a word: `EXAMPLES` of each label, those with the smallest text hash, and votes are
-weighted back to the number that each label has.  Every term of an example is indexed, with inverse
-document frequencies from all documents; how much a term's counts differ between the labels of the
-examples (chi-square) only adds to its weight.  Terms that no example holds add to no product, so
-they change no order of neighbours; they are left out of a text's length.
-
-Cosines with all examples are computed, by a matrix for the `DENSE` most frequent terms and by lists
-for the others, so the k nearest are exact.  Cosine-weighted votes are calibrated by isotonic
-regression on the last third, of which `EXAMPLES` of each label are scored.  Texts that hold no term
-of an example get the rate of label 1 among such rows of that third.
-
-Defined results: null and empty texts hold no term; of several labels for an id the largest counts,
-null labels don't; without labels, or with one label only, every score is the rate of label 1, and
-0.5 without any; ties between neighbours go by their terms, then their text hash; repeated rows are
-scored alike; an empty table gives an empty result; other columns are ignored, whatever their names.
+Terms are words and their first letters, as features: a term's hash has `BITS` bits, so document
+frequencies, taken over all documents, are one vector of a fixed size, and every word of a text, known to
+an example or not, counts in its length.  Cosines are exact over these features.
+
+Examples are rows of two thirds of the labelled training rows: `EXAMPLES` of each label, those with the
+smallest text hash, and votes are weighted back to the number that each label has.  They stand in an
+inverted index whose postings are cut into blocks of `BLOCK` neighbouring examples; examples with the same
+most frequent feature are neighbours.  The largest weight of each (feature, block) bounds what a block's
+examples can reach.  Blocks are scored from the highest bound down, in a few steps, and left out once the
+bound lies below the `NEAREST`-th best cosine, so the neighbours found are exactly those of a full search.
+
+Cosine-weighted votes are calibrated by isotonic regression on the last third, of which `EXAMPLES` of each
+label are scored.
+
+Defined results: null and empty texts, and texts that share no feature with an example, have no
+neighbours, and their vote is the rate of label 1; of several labels for an id the largest counts, null
+labels don't; without labels, or with one label only, every score is the rate of label 1, and 0.5 without
+any; ties between neighbours go by their order in the index (most frequent feature, text hash, id);
+repeated rows are scored alike; a run of letters longer than `PIECE` bytes counts as several words; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.llm.chunks import planes, scrambled, unplanes
 from shelfcast.llm.common import joined_small, stored
 
 FOLDS = 3
 PRIOR = 2.0  # weight of the base rate among the votes
 STEM = 5
+BITS = 20
 EXAMPLES, NEAREST = 4000, 25
-DENSE, TOGETHER = 512, 64
-FLUSH_TERMS = 400_000
+BLOCK, HEAD = 32, 512
+STEPS = (4, 16, 64)  # blocks scored before the bounds are looked at again
+MARGIN = 1e-8  # cosines closer than this may tie
+PIECE = 1 << 20  # bytes hashed at once
+SLICE = 1 << 12  # features that are added up in one group
 BROADCAST_LABELS = 300_000
 SPACED = bytes(c if c >= 0x80 else c | 0x20 if chr(c).isalpha() else 0x20 for c in range(256))
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Runs of ASCII letters, in lower case, and other characters."""
-    return text.translate(SPACED).split() if text else []
+# ------------------------------------------------------------------ features
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Features:
+    """Hashed terms of texts: runs of ASCII letters, in lower case, and other characters, and the first
+    `STEM` bytes of longer ones."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, bits: int = BITS):
+        self.bits = bits
+        self.power = powers(self.BASE, PIECE + 1)
+        self.back = powers(pow(self.BASE, -1, 1 << 64), PIECE + 1)
+
+    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start in at most `PIECE` bytes, and the features of words and of their stems;
+        a word without a stem has its own feature twice, the second one to be left out."""
+        held = np.concatenate([[False], data != 0x20, [False]])
+        edge = np.flatnonzero(held[1:] != held[:-1])
+        start, stop = edge[::2], edge[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)], dtype=np.uint64)])
+        shift = np.uint64(64 - self.bits)
+        whole = scrambled((sums[stop] - sums[start]) * self.back[start]) >> shift
+        long = stop - start > STEM
+        stem = scrambled((sums[start[long] + STEM] - sums[start[long]]) * self.back[start[long]] ^ np.uint64(0x5DEECE66D)) >> shift
+        return np.concatenate([start, start[long]]), np.concatenate([whole, stem])
+
+    def counted(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of texts (first, last + 1): the text, feature and count of each feature a text holds,
+        in the order of both."""
+        first = 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (size + len(texts[last] or b"") + 1 <= PIECE or last == first):
+                size += len(texts[last] or b"") + 1
+                last += 1
+            run = [t or b"" for t in texts[first:last]]
+            if size > PIECE:  # one long text
+                found = np.concatenate([self.words(p)[1] for p in pieces(run[0].translate(SPACED))])
+                owner = np.zeros(len(found), np.uint64)
+            else:
+                data = np.frombuffer(b" ".join(run).translate(SPACED), np.uint8)
+                at, found = self.words(data) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                owner = np.searchsorted(np.cumsum([len(t) + 1 for t in run]), at, "right").astype(np.uint64)
+            keys, counts = np.unique((owner << np.uint64(self.bits)) | found, return_counts=True)
+            yield first, last, (keys >> np.uint64(self.bits)).astype(np.int64), (keys & np.uint64((1 << self.bits) - 1)).astype(np.int64), counts
+            first = last
+
+
+def pieces(text: bytes) -> Iterator[np.ndarray]:
+    """A long text in pieces of at most `PIECE` bytes, cut between words where there is a gap."""
+    at = 0
+    while at < len(text):
+        stop = min(len(text), at + PIECE)
+        if stop < len(text):
+            gap = text.rfind(b" ", at, stop)
+            stop = gap if gap > at else stop
+        yield np.frombuffer(text[at:stop], np.uint8)
+        at = stop
+
+
+def document_frequencies(docs: DataFrame, bits: int = BITS) -> tuple[np.ndarray, int]:
+    """In how many texts of `docs` (text) each feature occurs, and the number of texts.
+
+    A task adds up all it reads and hands on packed slices, so what moves is a fixed amount a task."""
+    size, each = 1 << bits, min(SLICE, 1 << bits)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held, rows = Features(bits), np.zeros(size, np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for _, _, _, feature, _ in made.counted(batch.column("text").cast(pa.binary()).to_pylist()):
+                held += np.bincount(feature, minlength=size)
+        if rows:
+            parts = [*held.reshape(-1, each), np.array([rows])]
+            full = [k for k, p in enumerate(parts) if p.any()]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([planes(parts[k]) for k in full], pa.binary())], ["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(unplanes(x) for x in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([planes(total)], pa.binary())})
+
+    found = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+    out, rows = np.zeros(size, np.int64), 0
+    for r in found.collect():  # size / SLICE + 1 rows
+        if r["part"] == size // each:
+            rows = int(unplanes(r["counts"])[0])
+        else:
+            out[r["part"] * each : (r["part"] + 1) * each] = unplanes(r["counts"])
+    return out, rows
 
-def terms_of(word: bytes) -> tuple[bytes, ...]:
-    return (word, b"^" + word[:STEM]) if len(word) > STEM else (word,)
 
+def weighted(owner: np.ndarray, feature: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of unit length by owner."""
+    value = (1 + np.log(count)) * idf[feature]
+    return value / np.sqrt(np.bincount(owner, value * value))[owner]
 
-def tally(rows: DataFrame, columns: list[str], wanted: list[bytes] | None = None) -> DataFrame:
-    """term, and per 0/1 column of `rows` the number of its texts that hold the term; a row with
-    the empty term counts texts.  Counts are combined in each task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = None if wanted is None else set(wanted)
-        counts = [Counter() for _ in columns]
+# ------------------------------------------------------------------ the index
 
-        def flush() -> pa.RecordBatch:
-            terms = list(set().union(*counts))
-            made = [pa.array(terms, pa.binary()), *[pa.array([c[t] for t in terms], pa.int64()) for c in counts]]
-            for c in counts:
-                c.clear()
-            return pa.RecordBatch.from_arrays(made, names=["term", *columns])
 
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            marks = [batch.column(c).to_pylist() for c in columns]
-            for k, text in enumerate(texts):
-                held = set(words(text))
-                held |= {b"^" + w[:STEM] for w in held if len(w) > STEM}
-                if keep is not None:
-                    held &= keep
-                held.add(b"")
-                for c, mark in zip(counts, marks, strict=True):
-                    if mark[k]:
-                        c.update(held)
-            if sum(map(len, counts)) > FLUSH_TERMS:
-                yield flush()
-        if any(counts):
-            yield flush()
-
-    made = rows.select("text", *columns).mapInArrow(run, "term binary, " + ", ".join(f"{c} long" for c in columns))
-    return made.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns])
-
-
-def strengths(terms: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """Weight of each of `size` terms by how much its counts differ between the labels, 1 at least;
-    `terms` and `labels` have an entry per term of an example, -1 stands for the example itself."""
-    whole, one = terms < 0, labels == 1
-    n, ones = float(whole.sum()), float((whole & one).sum())
-    a = np.bincount(terms[~whole & one], minlength=size).astype(float)
-    held = np.bincount(terms[~whole], minlength=size).astype(float)
-    cross = a * n - held * ones
-    below = held * (n - held) * ones * (n - ones)
-    return np.sqrt(np.maximum(1.0, n * np.divide(cross * cross, below, out=np.zeros(size), where=below > 0)))
+def expanded(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[k] .. start[k] + size[k] - 1 for each k, in a row."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 class Index:
-    """The examples' unit vectors by term."""
-
-    def __init__(self, terms: dict[bytes, int], idf: np.ndarray, vectors: Iterable[dict[int, float]], labels: np.ndarray, weights: np.ndarray, ids: list):
-        self.terms, self.idf, self.labels, self.weights, self.ids = terms, idf, labels, weights, ids
-        of, values = [np.zeros(0, np.int32)], [np.zeros(0)]
-        for v in vectors:
-            of.append(np.fromiter(v, np.int32, len(v)))
-            values.append(np.fromiter(v.values(), float, len(v)))
-        place = np.repeat(np.arange(len(of) - 1, dtype=np.int32), [len(x) for x in of[1:]])
-        term, value = np.concatenate(of), np.concatenate(values)
-        often = np.argsort(-np.bincount(term, minlength=len(idf)), kind="stable")[:DENSE]
-        self.row = np.full(len(idf), -1, np.int32)
+    """Unit vectors by feature, in blocks of neighbours, with the largest weight of each block."""
+
+    def __init__(self, owner: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int, block: int = BLOCK, head: int = HEAD):
+        self.n, self.blocks = n, -(-n // block)
+        order = np.lexsort((owner, feature))
+        self.place, self.value = owner[order].astype(np.int32), value[order]
+        feature, of = feature[order], self.place // block
+        new = np.ones(len(feature), bool)
+        new[1:] = (feature[1:] != feature[:-1]) | (of[1:] != of[:-1])
+        # an entry is a feature's part in a block; its postings are start[e] .. start[e + 1] - 1
+        entry = np.flatnonzero(new)
+        self.start = np.append(entry, len(feature))
+        self.block, self.most = of[entry], np.maximum.reduceat(self.value, entry) if len(entry) else np.zeros(0)
+        self.terms, first = np.unique(feature[entry], return_index=True)
+        self.first = np.append(first, len(entry))
+        # entries of the most frequent features stand in a matrix, so their bounds are one product
+        often = np.argsort(-(self.first[1:] - self.first[:-1]), kind="stable")[:head]
+        self.row = np.full(len(self.terms), -1, np.int32)
         self.row[often] = np.arange(len(often))
+        self.entry_of = np.full((len(often), self.blocks), -1, np.int64)
+        at = expanded(self.first[often], self.first[often + 1] - self.first[often])
+        self.entry_of[np.repeat(np.arange(len(often)), self.first[often + 1] - self.first[often]), self.block[at]] = at
+        self.most_of = np.where(self.entry_of >= 0, self.most[self.entry_of] if len(entry) else 0.0, 0.0)
+        self.scored = 0  # blocks that were scored so far
+
+    def nearest(self, feature: np.ndarray, value: np.ndarray, wanted: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the nearest examples of a unit vector, best first."""
+        term = np.searchsorted(self.terms, feature)
+        known = term < len(self.terms)
+        known[known] = self.terms[term[known]] == feature[known]
+        term, value = term[known], value[known]
         row = self.row[term]
-        self.matrix = np.zeros((len(often), len(of) - 1))
-        self.matrix[row[row >= 0], place[row >= 0]] = value[row >= 0]
-        rest = np.flatnonzero(row < 0)
-        rest = rest[np.argsort(term[rest], kind="stable")]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term[rest], minlength=len(idf)))])
-        self.place, self.value = place[rest], value[rest]
-
-    def vector(self, text: bytes | None) -> dict[int, float]:
-        return unit(term_counts(text, self.terms).items(), self.idf)
-
-    def cosines(self, queries: list[dict[int, float]]) -> np.ndarray:
-        """Cosines of each query with each example."""
-        n = self.matrix.shape[1]
-        full, rest = np.zeros((len(queries), len(self.matrix))), []
-        for k, query in enumerate(queries):
-            at, q = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
-            row = self.row[at]
-            full[k, row[row >= 0]] = q[row >= 0]
-            at, q = at[row < 0], q[row < 0]
-            size = self.start[at + 1] - self.start[at]
-            flat = np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            rest.append(np.bincount(self.place[flat], self.value[flat] * np.repeat(q, size), n))
-        return full @ self.matrix + np.array(rest).reshape(len(queries), n)
-
-    def nearest_of(self, queries: list[dict[int, float]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per query the places and cosines of the nearest examples, best first."""
-        for k in range(0, len(queries), TOGETHER):
-            for got in self.cosines(queries[k : k + TOGETHER]):
-                least = np.partition(got, -NEAREST)[-NEAREST] if len(got) > NEAREST else 0.0
-                # what can only tie may still be the earlier example
-                places = np.flatnonzero((got > 0) & (got >= least - 1e-8))
-                cosines = np.round(got[places], 12)
-                best = np.lexsort((places, -np.round(cosines, 9)))[:NEAREST]
-                yield places[best], cosines[best]
-
-    def nearest(self, query: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-        return next(self.nearest_of([query]))
-
-    def vote(self, places: np.ndarray, cosines: np.ndarray, rate: float) -> float:
+        rows, row_value = row[row >= 0], value[row >= 0]
+        rare, rare_value = term[row < 0], value[row < 0]
+        size = self.first[rare + 1] - self.first[rare]
+        entry, entry_value = expanded(self.first[rare], size), np.repeat(rare_value, size)
+        bound = row_value @ self.most_of[rows] + np.bincount(self.block[entry], self.most[entry] * entry_value, self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        least, done = 0.0, 0
+        places, cosines = np.zeros(0, np.int64), np.zeros(0)
+        for stop in (*STEPS, self.blocks):
+            chosen = order[done : max(stop, done)]
+            chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - MARGIN)]
+            done = max(stop, done)
+            if not len(chosen):
+                continue
+            self.scored += len(chosen)
+            picked = np.zeros(self.blocks, bool)
+            picked[chosen] = True
+            often = self.entry_of[np.ix_(rows, chosen)]
+            there = often >= 0
+            few = picked[self.block[entry]]
+            e = np.concatenate([often[there], entry[few]])
+            v = np.concatenate([np.broadcast_to(row_value[:, None], often.shape)[there], entry_value[few]])
+            size = self.start[e + 1] - self.start[e]
+            at = expanded(self.start[e], size)
+            got = np.bincount(self.place[at], self.value[at] * np.repeat(v, size), self.n)
+            met = np.flatnonzero(got > 0)
+            places, cosines = np.concatenate([places, met]), np.concatenate([cosines, got[met]])
+            if len(cosines) >= wanted:
+                least = np.partition(cosines, -wanted)[-wanted]
+                keep = cosines >= least - MARGIN
+                places, cosines = places[keep], cosines[keep]
+        cosines = np.round(cosines, 12)
+        best = np.lexsort((places, -np.round(cosines, 9)))[:wanted]
+        return places[best], cosines[best]
+
+
+class Voter:
+    """All that scores a text before calibration."""
+
+    def __init__(self, index: Index, idf: np.ndarray, labels: np.ndarray, weights: np.ndarray, ids: list, rate: float, bits: int = BITS):
+        self.index, self.idf, self.labels, self.weights, self.ids, self.rate, self.bits = index, idf, labels, weights, ids, rate, bits
+
+    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of label 1 among neighbours, by cosine and weight, and the base rate by `PRIOR`."""
         w = cosines * self.weights[places]
-        return float((w @ self.labels[places] + PRIOR * rate) / (w.sum() + PRIOR))
+        return float((w @ self.labels[places] + PRIOR * self.rate) / (w.sum() + PRIOR))
+
+    def votes(self, texts: list[bytes | None], made: Features) -> Iterator[tuple[float, list, list]]:
+        """Vote, nearest examples and their cosines for each text."""
+        for first, last, owner, feature, count in made.counted(texts):
+            value = weighted(owner, feature, count, self.idf) if len(owner) else np.zeros(0)
+            at = np.searchsorted(owner, np.arange(last - first + 1))
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                places, cosines = self.index.nearest(feature[a:b], value[a:b])
+                yield self.vote(places, cosines), [self.ids[p] for p in places[:3]], [float(c) for c in cosines[:3]]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,41 +264,28 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return xs, np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
 
 
-def term_counts(text: bytes | None, places: dict[bytes, int] | None = None) -> Counter:
-    """How often a text holds each term; by place if `places` are given, which other terms lack."""
-    found: Counter = Counter()
-    for word, n in Counter(words(text)).items():
-        for t in terms_of(word):
-            if places is None:
-                found[t] += n
-            elif (at := places.get(t)) is not None:
-                found[at] += n
-    return found
-
+# ------------------------------------------------------------------ examples
 
-def unit(counts, idf: np.ndarray) -> dict[int, float]:
-    """Unit TF-IDF vector of (term, count) pairs."""
-    pairs = np.array(sorted(counts), np.int64).reshape(-1, 2)
-    made = (1 + np.log(pairs[:, 1])) * idf[pairs[:, 0]]
-    return dict(zip(pairs[:, 0].tolist(), (made / np.sqrt(made @ made)).tolist(), strict=True)) if len(made) else {}
 
-
-def vectors_of(rows: DataFrame) -> DataFrame:
-    """`rows` (doc_id, part, one, hash, text) with the terms of the text and their counts, packed."""
+def vectors_of(rows: DataFrame, bits: int = BITS) -> DataFrame:
+    """`rows` (doc_id, one, hash, text) with the text's features and their counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Features(bits)
         for batch in batches:
-            counts = [sorted(term_counts(t).items()) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            made = batch.select(["doc_id", "part", "one", "hash"])
-            made = made.append_column("terms", pa.array([b" ".join(t for t, _ in c) for c in counts], pa.binary()))
-            yield made.append_column("counts", pa.array([np.array([n for _, n in c], "<i8").tobytes() for c in counts], pa.binary()))
+            features, counts = [], []
+            for first, last, owner, feature, count in made.counted(batch.column("text").cast(pa.binary()).to_pylist()):
+                at = np.searchsorted(owner, np.arange(last - first + 1))
+                features += [feature[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                counts += [count[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            out = batch.select(["doc_id", "one", "hash"])
+            yield out.append_column("features", pa.array(features, pa.binary())).append_column("counts", pa.array(counts, pa.binary()))
 
-    kinds = "doc_id long, part int, one int, hash long, terms binary, counts binary"
-    return rows.select("doc_id", "part", "one", "hash", "text").mapInArrow(run, kinds)
+    return rows.select("doc_id", "one", "hash", "text").mapInArrow(run, "doc_id long, one int, hash long, features binary, counts binary")
 
 
-def sampled(rows: DataFrame) -> dict[int, tuple[list, np.ndarray]]:
-    """For each part `EXAMPLES` rows of each label that hold a word, and what each of them stands for."""
+def sampled(rows: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """`EXAMPLES` rows of each (part, label) that hold a word, by the smallest text hash, and how many there are."""
     worded = rows.filter(F.col("text").rlike(r"[^\x00-@\[-`{-\x7F]"))
     short = stored(worded.select("part", "one", "hash"), "labelled")
     there = {(r["part"], r["one"]): r["n"] for r in short.groupBy("part", "one").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -212,20 +294,36 @@ def sampled(rows: DataFrame) -> dict[int, tuple[list, np.ndarray]]:
     for key in there:
         last = short.filter(group(key)).orderBy("hash").limit(EXAMPLES).agg(F.max("hash")).first()[0]
         chosen |= group(key) & (F.col("hash") <= last)
-    held = stored(vectors_of(worded.filter(chosen)), "examples")
-    out = {}
-    for part in (0, 1):
-        some = [r for key in there if key[0] == part for r in held.filter(group(key)).orderBy("hash", "doc_id").limit(EXAMPLES).collect()]
-        some.sort(key=lambda r: (r["terms"], r["counts"], r["hash"], r["doc_id"]))
-        taken = Counter(r["one"] for r in some)
-        out[part] = some, np.array([there[part, r["one"]] / taken[r["one"]] for r in some])
+    return stored(worded.filter(chosen), "examples"), there
+
+
+def first_of(rows: DataFrame, keys: list[tuple[int, int]]) -> DataFrame:
+    """At most `EXAMPLES` rows of each key of `rows`, whose last hash may be that of several rows."""
+    parts = [rows.filter((F.col("part") == p) & (F.col("one") == o)).orderBy("hash", "doc_id").limit(EXAMPLES) for p, o in keys]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def counts_of(row, places: dict[bytes, int]) -> list[tuple[int, int]]:
-    """(place, count) of the terms of a row of `vectors_of` that have a place."""
-    pairs = zip(bytes(row["terms"]).split(b" "), np.frombuffer(row["counts"], "<i8").tolist(), strict=True)
-    return [(places[t], n) for t, n in pairs if t in places]
+def voter_of(examples: DataFrame, there: dict, idf: np.ndarray, rate: float) -> Voter:
+    """The index over the examples, built from their packed vectors."""
+    table = vectors_of(examples).toArrow()
+    features = [np.frombuffer(x, "<u4") for x in table.column("features").to_pylist()]
+    counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
+    ids, one, text = table.column("doc_id").to_pylist(), table.column("one").to_numpy(), table.column("hash").to_numpy()
+    del table
+    # neighbours share their most frequent feature, the smallest of several
+    most = np.array([int(f[np.argmax(c)]) for f, c in zip(features, counts, strict=True)])
+    order = np.lexsort((np.array([-1 if i is None else i for i in ids]), text, most))
+    owner = np.repeat(np.arange(len(order)), [len(features[k]) for k in order])
+    feature = np.concatenate([features[k] for k in order]).astype(np.int64)
+    value = weighted(owner, feature, np.concatenate([counts[k] for k in order]), idf)
+    del features, counts
+    labels = one[order].astype(float)
+    taken = {o: int((one == o).sum()) for o in (0, 1)}
+    weights = np.array([there[0, int(o)] / taken[int(o)] for o in labels])
+    return Voter(Index(owner, feature, value, len(order)), idf, labels, weights, [ids[k] for k in order], rate)
 
 
 RESULT = "doc_id long, score double, evidence array<long>, cosines array<double>"
@@ -235,6 +333,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     """doc_id, score (calibrated chance of label 1), evidence (nearest examples) and their cosines
     for each row of `docs` (doc_id, text); `labels` (doc_id, toxic) are read where `train`, a
     condition on doc_id, holds."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.filter("doc_id is not null and toxic is not null").filter(train)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("one"))
@@ -242,59 +341,40 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
     rows = rows.select("doc_id", "text", "one", F.xxhash64("text").alias("hash"))
     # part 1 is held out for calibration
     rows = rows.withColumn("part", (F.pmod("hash", F.lit(FOLDS)) == 0).cast("int"))
-    sizes = Counter({(r["part"], r["one"]): r["n"] for r in rows.groupBy("part", "one").agg(F.count(F.lit(1)).alias("n")).collect()})
-    ones, zeros = sizes[0, 1], sizes[0, 0]
+    sizes = {(r["part"], r["one"]): r["n"] for r in rows.groupBy("part", "one").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ones, zeros = sizes.get((0, 1), 0), sizes.get((0, 0), 0)
     rate = ones / (ones + zeros) if ones + zeros else 0.5
-    parts = sampled(rows) if ones and zeros else {0: ([], np.zeros(0))}
-    examples, weights = parts[0]
-    distinct: set[bytes] = set()
-    for r in examples:
-        distinct.update(bytes(r["terms"]).split(b" "))
-    terms = sorted(distinct)
-    del distinct
-    if not terms:
+    chosen, there = sampled(rows) if ones and zeros else (None, {})
+    if not there.get((0, 0)) or not there.get((0, 1)):
         none = [F.array().cast(f"array<{k}>").alias(n) for n, k in (("evidence", "bigint"), ("cosines", "double"))]
         return docs.select("doc_id", F.lit(float(rate)).alias("score"), *none)
+    held, total = document_frequencies(docs)
+    idf = np.log((1 + total) / (1 + held)) + 1
+    voter = spark.sparkContext.broadcast(voter_of(first_of(chosen, [(0, 0), (0, 1)]), there, idf, rate))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Features()
+        for batch in batches:
+            found = [v for v, _, _ in voter.value.votes(batch.column("text").cast(pa.binary()).to_pylist(), made)]
+            yield pa.RecordBatch.from_arrays([batch.column("one"), pa.array(found, pa.float64())], ["one", "vote"])
 
-    places = {t: k for k, t in enumerate(terms)}
-    found = tally(docs.withColumn("held", F.lit(1)), ["held"], terms).toArrow()  # as many rows as `terms`
-    held, total = np.zeros(len(terms)), 0
-    for t, n in zip(found["term"].to_pylist(), found["held"].to_pylist(), strict=True):
-        if t:
-            held[places[t]] = n
-        else:
-            total = n
-    labels = np.array([float(r["one"]) for r in examples])
-    at = [np.array([-1, *[t for t, _ in counts_of(r, places)]], np.int32) for r in examples]
-    idf = (np.log((1 + total) / (1 + held)) + 1) * strengths(np.concatenate(at), np.repeat(labels, [len(x) for x in at]), len(terms))
-    vectors = (unit(counts_of(r, places), idf) for r in examples)
-    index = Index(places, idf, vectors, labels, weights, [r["doc_id"] for r in examples])
-
-    others, other_weights = parts[1]
-    votes: list[float | None] = []
-    for k in range(0, len(others), TOGETHER):
-        queries = [unit(counts_of(r, places), idf) for r in others[k : k + TOGETHER]]
-        votes += [index.vote(*x, rate) if q else None for q, x in zip(queries, index.nearest_of(queries), strict=True)]
-    full = np.array([v is not None for v in votes], bool)
-    y, w = np.array([float(r["one"]) for r in others])[full], other_weights[full]
-    of = w[y == 1].sum(), w[y == 0].sum()
-    bare = (sizes[1, 1] - of[0] + rate) / (sizes[1, 1] + sizes[1, 0] - sum(of) + 1)
     levels = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    if len(set(y)) == 2:
-        levels = isotonic(np.array([v for v in votes if v is not None]), y, w)
-    del at, parts, examples, others
+    others = [key for key in ((1, 0), (1, 1)) if there.get(key)]
+    if len(others) == 2:
+        # at most `EXAMPLES` votes of each label
+        spread = first_of(chosen, others).select("one", "text").repartition(spark.sparkContext.defaultParallelism)
+        held_out = spread.mapInArrow(vote, "one int, vote double").toArrow()
+        y, x = held_out.column("one").to_numpy().astype(float), held_out.column("vote").to_numpy()
+        w = np.array([there[1, o] / (y == o).sum() for o in (0, 1)])[y.astype(int)]
+        order = np.lexsort((y, x))
+        levels = isotonic(x[order], y[order], w[order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Features()
         for batch in batches:
-            scores, evidence, near = [], [], []
-            queries = [index.vector(text) for text in batch.column("text").cast(pa.binary()).to_pylist()]
-            for query, (places, cosines) in zip(queries, index.nearest_of(queries), strict=True):
-                scores.append(float(np.interp(index.vote(places, cosines, rate), *levels)) if query else float(bare))
-                evidence.append([index.ids[p] for p in places[:3]])
-                near.append([float(c) for c in cosines[:3]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.float64()))],
-                names=["doc_id", "score", "evidence", "cosines"],
-            )
+            votes, evidence, cosines = zip(*voter.value.votes(batch.column("text").cast(pa.binary()).to_pylist(), made), strict=True) if batch.num_rows else ((), (), ())
+            scores = np.interp(np.array(votes), *levels)
+            made_of = [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(made_of, names=["doc_id", "score", "evidence", "cosines"])
 
     return docs.mapInArrow(run, RESULT)

@@ -122,3 +122,62 @@ class Katz:
 
 def crc_of(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
+
+
+M64 = (1 << 64) - 1
+
+
+def term_feature(data: bytes, mark: int = 0, bits: int = 20) -> int:
+    """A term's bytes as a polynomial, mixed."""
+    x = sum((c + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(data)) & M64 ^ mark
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return (x ^ x >> 31) >> (64 - bits)
+
+
+def toxic_features(text: bytes) -> Counter:
+    out: Counter = Counter()
+    for w in re.findall(rb"[A-Za-z\x80-\xff]+", text):
+        w = w.lower()
+        out[term_feature(w)] += 1
+        if len(w) > 5:
+            out[term_feature(w[:5], 0x5DEECE66D)] += 1
+    return out
+
+
+def toxicity(rows: list, labels: dict, nearest: int = 25) -> list:
+    """(doc_id, score, evidence, cosines) by all cosines; few enough labels that all are examples."""
+    import numpy as np
+    import xxhash
+
+    from shelfcast.llm.toxicity import isotonic
+
+    counts = [toxic_features((t or "").encode()) for _, t in rows]
+    df = Counter(f for c in counts for f in c)
+
+    def unit(c):
+        v = {f: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[f])) + 1) for f, n in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / size for f, x in v.items()}
+
+    units = [unit(c) for c in counts]
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63
+    known = [(k, labels[d], signed(t)) for k, (d, t) in enumerate(rows) if d in labels and t is not None]
+    ones, zeros = (sum(1 for _, y, h in known if h % 3 and y == o) for o in (1, 0))
+    rate = ones / (ones + zeros)
+    examples = [(k, y, h) for k, y, h in known if h % 3 and counts[k]]
+    examples.sort(key=lambda x: (min(f for f, n in counts[x[0]].items() if n == max(counts[x[0]].values())), x[2], rows[x[0]][0]))
+
+    def vote(k):
+        cos = [(round(sum(w * units[e].get(f, 0) for f, w in units[k].items()), 12), p) for p, (e, _, _) in enumerate(examples)]
+        best = sorted((c for c in cos if c[0] > 0), key=lambda c: (-round(c[0], 9), c[1]))[:nearest]
+        total = sum(c for c, _ in best)
+        got = (sum(c * examples[p][1] for c, p in best) + 2 * rate) / (total + 2)
+        return got, [rows[examples[p][0]][0] for _, p in best[:3]], [c for c, _ in best[:3]]
+
+    held = sorted((vote(k)[0], y) for k, y, h in known if not h % 3 and counts[k])
+    levels = isotonic(np.array([v for v, _ in held]), np.array([float(y) for _, y in held]), np.ones(len(held)))
+    votes = [vote(k) for k in range(len(rows))]
+    return [(d, float(np.interp(v, *levels)), e, c) for (d, _), (v, e, c) in zip(rows, votes, strict=True)]

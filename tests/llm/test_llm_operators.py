@@ -420,27 +420,85 @@ def test_page_rows(spark):
 
 
 def test_nearest_is_exact():
+    """Blocks that are left out change nothing, ties included."""
     import numpy as np
 
     rng = np.random.default_rng(3)
     vectors = []
-    for _ in range(700):
-        at = rng.choice(40, int(rng.integers(1, 6)), replace=False)
-        vectors.append(toxicity.unit([(int(t), int(rng.integers(1, 4))) for t in at], np.ones(40)))
-    index = toxicity.Index({bytes([k]): k for k in range(40)}, np.ones(40), vectors, np.zeros(700), np.ones(700), list(range(700)))
-    for q in vectors[::23]:
-        every = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9), k) for k, v in enumerate(vectors)))
-        want = [k for c, k in every if c < 0][: toxicity.NEAREST]
-        assert list(index.nearest(q)[0]) == want
+    for k in range(700):
+        topic = rng.choice(60, 25, replace=False) if k % 50 == 0 else topic
+        at = rng.choice(topic, int(rng.integers(1, 6)), replace=False)
+        v = rng.integers(1, 4, len(at)).astype(float)
+        vectors.append(dict(zip(at.tolist(), (v / np.sqrt(v @ v)).tolist(), strict=True)))
+    owner = np.repeat(np.arange(700), [len(v) for v in vectors])
+    feature, value = np.array([t for v in vectors for t in v]), np.array([x for v in vectors for x in v.values()])
+    for block, head in ((32, 512), (4, 5), (1, 1)):
+        index = toxicity.Index(owner, feature, value, 700, block, head)
+        for q in [*vectors[::23], {}, {999: 1.0}]:
+            every = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9), k) for k, v in enumerate(vectors)))
+            want = [k for c, k in every if c < 0][: toxicity.NEAREST]
+            terms = sorted(q)
+            got = index.nearest(np.array(terms, np.int64), np.array([q[t] for t in terms]))
+            assert list(got[0]) == want
+    assert index.scored < 32 * 700
+
+
+def test_features_of_words_in_any_slices(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["Ab", "cdefgh", "éàé", "x1y", "longerword", "longerother"]) for _ in range(rng.randint(0, 400))).encode() for _ in range(30)] + [None, b"", b"...", b"Ab"]
+
+    def found(piece):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        made = toxicity.Features()
+        return {(first + o, f): n for first, _, owner, feature, count in made.counted(texts) for o, f, n in zip(owner.tolist(), feature.tolist(), count.tolist(), strict=True)}
+
+    want = {(k, f): n for k, t in enumerate(texts) for f, n in brute.toxic_features(t or b"").items()}
+    assert found(1 << 20) == found(300) == want
+
+
+def test_isotonic_levels():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.random(60))
+    y, w = (rng.random(60) < x).astype(float), rng.integers(1, 4, 60).astype(float)
+    xs, level = toxicity.isotonic(x, y, w)
+    mean = lambda a, b: (y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum()
+    want = np.array([max(min(mean(a, b) for b in range(k, 60)) for a in range(k + 1)) for k in range(60)])
+    pools = np.split(np.arange(60), np.flatnonzero(np.diff(want) > 1e-12) + 1)
+    assert np.allclose(xs, [x[p[-1]] for p in pools])
+    assert np.allclose(level, [(y[p] @ w[p] + 0.5) / (w[p].sum() + 1) for p in pools])
+
+
+def test_toxicity_is_that_of_a_full_search(spark):
+    """Scores and evidence of a whole table against cosines of every text with every example."""
+    rng = random.Random(21)
+    common = [f"c{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    rare = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(400)]
+    rows, labels = [], []
+    for k in range(500):
+        y = int(rng.random() < 0.3)
+        words = [rng.choice(common) for _ in range(rng.randint(1, 30))] + [rng.choice(rare) for _ in range(rng.randint(0, 10))]
+        rows.append((k, " ".join(words + (["insulting", "insults"] if y and rng.random() < 0.8 else []))))
+        labels.append((k, y))
+    rows += [(600, rows[0][1]), (601, rows[1][1].upper()), (602, None), (603, "..."), (604, "unheard"), (None, rows[2][1]), (3, "another text of an id")]
+    train = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    got = toxicity.toxicity(spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"), train).collect()
+    want = brute.toxicity(rows, {d: y for d, y in labels if brute.crc_of(d) % 4 != 2})
+    key = lambda r: str(r[0]) + f"{r[1]:.9f}"
+    got = sorted(((r["doc_id"], r["score"], r["evidence"], r["cosines"]) for r in got), key=key)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1]) and a[2] == b[2] and a[3] == pytest.approx(b[3])
 
 
 def test_toxicity_held_out(spark):
     rng = random.Random(9)
-    bad, good = ["scumbag", "moron", "trash"], [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    # plain words are in half of the texts, so their weight is that of common words
+    bad, good = ["scumbag", "moron", "trash"], [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)]
     rows, labels = [], []
     for k in range(900):
         y = int(k % 5 == 0)
-        rows.append((k, " ".join([rng.choice(good) for _ in range(20)] + [rng.choice(bad)] * y)))
+        rows.append((k, " ".join([rng.choice(good) for _ in range(20)] + rng.choices(bad, k=3) * y)))
         labels.append((k, y))
     rows += [(2000, None), (2001, ""), (2002, "Moron!"), (2002, "Moron!")]
     labels += [(2000, None), (5000, 1), (0, 0), (None, 1)]
