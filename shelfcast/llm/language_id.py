@@ -9,6 +9,10 @@ a host's counts smoothed by those of its domain and these by the whole table.  A
 taken out of its priors.  Neighbouring trigrams depend on each other, so a text counts as
 `EVIDENCE` trigrams at most.
 
+Languages are primary subtags in lower case, so `EN`, `en-US` and `en` are one; there may be any number,
+and tags that are none count as not given.  `held_out_accuracy` measures the text model and the fusion on
+rows that it wasn't fitted on.
+
 Only narrow rows (ids, likelihoods, keys) are shuffled.  Grouped counts are combined map-side; key
 tables are broadcast after their rows were counted, and joined by shuffle beyond that.
 
@@ -36,7 +40,7 @@ SMOOTHING = 0.5
 STRENGTH = 10.0  # rows that a broader prior counts as
 LEAST = 0.5  # posterior below which a language is rejected
 KEY_ROWS = 50_000
-MOST_LANGUAGES = 64
+TOGETHER = 64  # languages whose counts reach the driver at once
 SPACED = bytes(c if c >= 0x80 else c | 0x20 if chr(c).isalpha() else 0x20 for c in range(256))
 
 
@@ -51,6 +55,11 @@ def grams(text: bytes | None) -> np.ndarray:
     return (b[:-2] * 7919 + b[1:-1] * 104_729 + b[2:] * 1_299_709) % GRAMS
 
 
+def subtag(tag: Column) -> Column:
+    """The primary subtag of a language tag, empty for what is no tag."""
+    return F.regexp_extract(F.lower(F.coalesce(tag, F.lit(""))), "^([a-z]{2,3})(?:[-_].*)?$", 1)
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
@@ -58,7 +67,9 @@ class Model:
 
 
 def fit(rows: DataFrame) -> Model:
-    """Trigram likelihoods from all `rows` (text, lang) that have a language."""
+    """Trigram likelihoods from all `rows` (text, lang) that have a language.
+
+    The model has `GRAMS` numbers a language, and primary subtags have two or three letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -71,16 +82,16 @@ def fit(rows: DataFrame) -> Model:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "gram", "n"])
 
-    known = rows.filter("lang is not null")
-    some = [r[0] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(some) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counted = known.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    languages = tuple(sorted(some))
+    known = rows.select(subtag(F.col("lang")).alias("lang"), "text").filter("lang <> ''")
+    counted = known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "trigrams")
+    # a language may have no text
+    languages = tuple(sorted(r[0] for r in known.select("lang").distinct().collect()))
     table = np.full((GRAMS, len(languages)), SMOOTHING)
-    found = counted.toArrow()  # at most `GRAMS` rows for each language
-    if found.num_rows:
-        place = {lang: k for k, lang in enumerate(languages)}
+    for k in range(0, len(languages), TOGETHER):
+        some = languages[k : k + TOGETHER]
+        found = counted.filter(F.col("lang").isin(*some)).toArrow()  # at most `GRAMS` rows for each language
+        place = {lang: k + j for j, lang in enumerate(some)}
         table[found["gram"].to_numpy(), [place[x] for x in found["lang"].to_pylist()]] += found["n"].to_numpy()
     return Model(languages, np.log(table / table.sum(axis=0)) if languages else table)
 
@@ -104,67 +115,60 @@ def text_likelihoods(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select(*keys, "text").mapInArrow(run, f"{kinds}, trigrams long, likelihoods array<double>")
 
 
-def vector(values: list[Column]) -> Column:
-    return F.array(*values)
-
-
 def identify(rows: DataFrame, model: Model) -> DataFrame:
     """id, lang, posterior, text_lang, trigrams and rejected for each of `rows` (id, text, declared,
     suffix, host, domain)."""
-    languages = range(len(model.languages))
-    if not languages:
+    size = len(model.languages)
+    if not size:
         return rows.select(
             "id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"),
             F.lit(0).cast("long").alias("trigrams"), F.lit(True).alias("rejected"),
         )
-    subtag = F.regexp_extract(F.lower(F.coalesce("declared", F.lit(""))), "^([a-z]{2,3})(?:[-_].*)?$", 1)
     clean = rows.select(
-        "id", "text", subtag.alias("declared"), *[F.coalesce(F.lower(c), F.lit("")).alias(c) for c in ("suffix", "host", "domain")]
+        "id", "text", subtag(F.col("declared")).alias("declared"), *[F.coalesce(F.lower(c), F.lit("")).alias(c) for c in ("suffix", "host", "domain")]
     )
     scored = stored(text_likelihoods(clean, model), "likelihoods")
     best = F.array_position("likelihoods", F.array_max("likelihoods")) - 1
     scored = scored.withColumn("own", F.when(F.col("trigrams") > 0, best.cast("int")))
-    one = [F.when(F.col("own") == k, 1).otherwise(0) for k in languages]
 
     def table(keys: list[str], name: str) -> DataFrame:
-        """Rows of a key by the language of their text."""
-        return scored.groupBy(*keys).agg(vector([F.sum(x).cast("double") for x in one]).alias(name))
-
-    # all counts of the table follow from those of its declarations: one small row
-    declared, suffix = stored(table(["declared"], "by_declared"), "declared"), table(["suffix"], "by_suffix")
-    sums = declared.agg(*[F.coalesce(F.sum(F.col("by_declared")[k]), F.lit(0.0)) for k in languages]).first()
-    every = [float(x) for x in sums]
+        """How many rows of a key have a text of each language: a map of at most one entry a language."""
+        each = scored.groupBy(*keys, "own").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        entry = F.when(F.col("own").isNotNull(), F.struct("own", "n"))
+        return each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
+
+    # all counts of the table follow from those of its declarations
+    declared, suffix = stored(table(["declared"], "by_declared"), "declared"), stored(table(["suffix"], "by_suffix"), "suffix")
+    sums = declared.select(F.explode("by_declared").alias("own", "n")).groupBy("own").agg(F.sum("n").alias("n"))
+    by_language = {r["own"]: r["n"] for r in sums.collect()}  # a row a language
+    every, whole = F.array(*[F.lit(by_language.get(k, 0.0)) for k in range(size)]), sum(by_language.values())
     n_declared, n_suffix = declared.count(), suffix.count()
 
-    def share(counts: Column, k: int, kinds: int) -> Column:
-        """P(key | language k), the row itself left out."""
-        return F.log((counts[k] - one[k] + 1.0) / (F.lit(every[k]) - one[k] + float(kinds)))
-
     held = joined_small(scored, declared, ["declared"], "inner", KEY_ROWS)
     held = joined_small(held, suffix, ["suffix"], "inner", KEY_ROWS)
     held = joined_small(held, table(["domain"], "by_domain"), ["domain"], "inner", KEY_ROWS)
     held = joined_small(held, table(["host", "domain"], "by_host"), ["host", "domain"], "inner", KEY_ROWS)
-
-    def rest(counts: Column, k: int) -> Column:
-        return counts[k] - one[k]
-
-    def total(counts: Column) -> Column:
-        return sum((rest(counts, k) for k in languages), F.lit(0.0))
-
-    def prior(k: int) -> Column:
-        root = (F.lit(every[k]) - one[k] + 1.0) / (F.lit(sum(every)) - sum(one, F.lit(0)) + float(len(languages)))
-        domain = (rest(F.col("by_domain"), k) + STRENGTH * root) / (total(F.col("by_domain")) + STRENGTH)
-        return F.log((rest(F.col("by_host"), k) + STRENGTH * domain) / (total(F.col("by_host")) + STRENGTH))
-
-    logs = [
-        F.col("likelihoods")[k] + share(F.col("by_declared"), k, n_declared) + share(F.col("by_suffix"), k, n_suffix) + prior(k) for k in languages
-    ]
-    fused = held.withColumn("logs", vector(logs)).withColumn("top", F.array_max("logs"))
+    mine = F.col("own").isNotNull().cast("double")
+    for name in ("by_domain", "by_host"):
+        held = held.withColumn(f"all_{name}", F.aggregate(F.map_values(name), F.lit(0.0), lambda a, x: a + x) - mine)
+
+    def fused_log(k: Column) -> Column:
+        """The evidence for language k; the row itself is left out of all counts."""
+        here = F.coalesce((F.col("own") == k).cast("double"), F.lit(0.0))
+        rest = lambda name: F.coalesce(F.element_at(F.col(name), k), F.lit(0.0)) - here
+        total = F.get(every, k) - here
+        root = (total + 1.0) / (F.lit(float(whole)) - mine + float(size))
+        domain = (rest("by_domain") + STRENGTH * root) / (F.col("all_by_domain") + STRENGTH)
+        host = (rest("by_host") + STRENGTH * domain) / (F.col("all_by_host") + STRENGTH)
+        by_declared, by_suffix = (rest("by_declared") + 1.0) / (total + float(n_declared)), (rest("by_suffix") + 1.0) / (total + float(n_suffix))
+        return F.get("likelihoods", k) + F.log(by_declared) + F.log(by_suffix) + F.log(host)
+
+    fused = held.withColumn("logs", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), fused_log)).withColumn("top", F.array_max("logs"))
     mass = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     names = F.array(*[F.lit(x) for x in model.languages])
     return fused.select(
         "id",
-        names[(F.array_position("logs", F.col("top")) - 1).cast("int")].alias("lang"),
+        F.get(names, (F.array_position("logs", F.col("top")) - 1).cast("int")).alias("lang"),
         (1.0 / mass).alias("posterior"),
         F.get(names, F.col("own")).alias("text_lang"),
         "trigrams",
@@ -172,6 +176,22 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def held_out_accuracy(docs: DataFrame, every: int = 10) -> DataFrame:
+    """On the rows of `docs` (doc_id, text, lang, source) whose crc32(doc_id) is divisible by `every`, with the
+    model fitted on the others: n (rows with a language and letters), and the shares of them whose language is found by the text
+    alone, by all evidence but the declaration, and by all evidence."""
+    out = F.crc32(F.col("doc_id").cast("string")) % every == 0
+    model = fit(docs.filter(~out))
+    rows, given = document_rows(docs), docs.select(F.col("doc_id").cast("long").alias("id"), subtag(F.col("lang")).alias("given"))
+    given = given.filter((F.crc32(F.col("id").cast("string")) % every == 0) & (F.col("given") != ""))
+    blank = rows.withColumn("declared", F.when(F.crc32(F.col("id").cast("string")) % every != 0, F.col("declared")))
+    right = lambda c: F.avg(F.coalesce((F.col(c) == F.col("given")).cast("double"), F.lit(0.0)))
+    without_it = identify(blank, model).select("id", "text_lang", F.col("lang").alias("undeclared"), "trigrams").join(given, "id").filter("trigrams > 0")
+    first = without_it.agg(F.count(F.lit(1)).alias("n"), right("text_lang").alias("by_text"), right("undeclared").alias("without_declaration"))
+    second = identify(rows, model).select("id", "lang", "trigrams").join(given, "id").filter("trigrams > 0").agg(right("lang").alias("with_declaration"))
+    return first.join(second)  # a row each
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """`pages` (page_id, url, html) as rows for `identify`: visible text, markup language, address."""
     html = F.coalesce("html", F.lit(""))
