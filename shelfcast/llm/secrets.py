@@ -2,10 +2,13 @@
 
 Strong patterns (`BASE`) are reported wherever they match.  Weak ones (`WEAK`: bare secrets, other
 account identifiers, endpoints) match much harmless text, so one is reported only if the parts that
-complete it are linked to it: a secret needs an identifier, an identifier a secret, an endpoint both.
-Parts are linked in chains, in which each begins at most `SCOPE` characters after the end of one
-before it.  Chains are found inside a document by windows over the places of its parts, so the
-number of rows never exceeds the number of matches.
+complete it co-occur with it: a secret needs an identifier, an identifier a secret, an endpoint both.
+Two parts are linked if at most `SCOPE` characters lie between them.  A part that completes another one
+must be linked to it, or to a part that is.
+
+Links come from an interval join of the parts of a document: each part goes to the bins that it covers, and,
+to look for others, to the bins that it covers with its scope on both sides.  So a document of many parts
+is many small groups, and what is made grows with the parts that lie close together.
 
 Places follow from the lengths of the pieces between matches; all counts are code points.
 
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import let
+from shelfcast.llm.common import let, stored
 
 # --- fixed values: patterns of the scan, in the order of their kinds
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -31,6 +34,7 @@ WEAK = {
     "endpoint": r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\x20\x09-\x0D\"'<>]*)?",
 }
 SCOPE = 200
+BIN = 1000
 KINDS = [*BASE, *WEAK]
 
 
@@ -51,26 +55,39 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<kind:int,nth:int,gap:bigint,size:bigint,kept:boolean>>"))
 
 
+PART = ["_row", "kind", "nth"]
+
+
+def of_kind(*names: str) -> Column:
+    return F.col("kind").isin([KINDS.index(n) for n in names])
+
+
+def near(parts: DataFrame, others: DataFrame, scope: int, found: dict[str, Column], bin_size: int = BIN) -> DataFrame:
+    """For each of `parts` that has others (_row, start, stop) within `scope`: `found`, each an aggregate over
+    the columns of the pair, those of the part under `_a`."""
+
+    def bins(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(F.floor(first / bin_size), F.floor(last / bin_size))).alias("_bin")
+
+    a = parts.select(F.struct(*parts.columns).alias("_a"), "_row", bins(F.col("start") - scope, F.col("stop") + scope))
+    b = others.select("*", bins(F.col("start"), F.col("stop")))
+    pairs = a.join(b, ["_row", "_bin"]).filter((F.col("start") <= F.col("_a.stop") + scope) & (F.col("_a.start") <= F.col("stop") + scope))
+    # a pair may meet in several bins; what is asked for is whether there is one
+    return pairs.groupBy(*[F.col(f"_a.{c}").alias(c) for c in PART]).agg(*[c.alias(n) for n, c in found.items()])
+
+
 def reported(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """`parts` (_row, kind, start, stop, kept) with `report`: it is kept, and strong or complete."""
-    kind = lambda *names: F.col("kept") & F.col("kind").isin([KINDS.index(n) for n in names])
-    order = Window.partitionBy("_row").orderBy("start", "stop", "kind")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    strong, part = kind(*BASE), kind("access", "assign", "ident", "secret", "endpoint")
-    seen = parts.withColumns(
-        {
-            "_last": F.max(F.when(part, F.col("stop"))).over(before),
-            # a weak part that one strong match covers whole is reported with it
-            "_covered": F.coalesce(F.max(F.when(strong, F.col("stop"))).over(upto) >= F.col("stop"), F.lit(False)),
-        }
-    )
-    first = part & (F.col("_last").isNull() | (F.col("start") > F.col("_last") + scope))
-    seen = seen.withColumn("_chain", F.sum(first.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chain = Window.partitionBy("_row", "_chain")
-    seen = seen.withColumns({"_ids": F.max(kind("access", "ident")).over(chain), "_secrets": F.max(kind("assign", "secret")).over(chain)})
-    complete = kind(*WEAK) & F.col("_ids") & F.col("_secrets")
-    return seen.withColumn("report", strong | (complete & ~F.col("_covered")))
+    """The weak ones of `parts` (_row, kind, nth, start, stop) that are complete and not covered whole by a
+    strong one."""
+    roles = parts.withColumns({"_id": of_kind("access", "ident"), "_secret": of_kind("assign", "secret"), "_strong": of_kind(*BASE)})
+    weak = roles.filter(of_kind(*WEAK))
+    some = weak.select("_row").distinct()
+    roles = roles.join(some, "_row", "left_semi").select(*PART, "start", "stop", "_id", "_secret", "_strong")
+    linked = near(roles, roles, scope, {"_ids": F.bool_or("_id"), "_secrets": F.bool_or("_secret")})
+    by_way = roles.join(linked, PART)
+    covered = F.bool_or(F.col("_strong") & (F.col("start") <= F.col("_a.start")) & (F.col("stop") >= F.col("_a.stop")))
+    around = near(weak.select(*PART, "start", "stop"), by_way, scope, {"_ids": F.bool_or("_ids"), "_secrets": F.bool_or("_secrets"), "_covered": covered})
+    return around.filter("_ids AND _secrets AND NOT _covered").select(*PART)
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -79,12 +96,15 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     found = F.concat(*[matches(F.col("_text"), k, p) for k, p in (BASE | WEAK).items()])
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", text.alias("_text"))
-    # rows without matches go along with nulls; one shuffle serves the windows and the groups
-    rows = rows.select("_row", "doc_id", F.explode_outer(found).alias("m")).select("_row", "doc_id", "m.*").repartition("_row")
+    # rows without matches go along with nulls
+    rows = rows.select("_row", "doc_id", F.explode_outer(found).alias("m")).select("_row", "doc_id", "m.*")
     before = Window.partitionBy("_row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(before)).withColumn("start", F.col("stop") - F.col("size"))
-    span = F.when(F.col("report"), F.struct("start", "kind", "stop"))
-    grouped = reported(placed, scope).groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    placed = stored(placed.select(*PART, "doc_id", "start", "stop", "kept"), "parts")
+    complete = reported(placed.filter("kept").select(*PART, "start", "stop"), scope).withColumn("_report", F.lit(True))
+    marked = placed.join(complete, PART, "left")
+    span = F.when(F.col("kept") & (of_kind(*BASE) | F.col("_report")), F.struct("start", "kind", "stop"))
+    grouped = marked.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     return grouped.select("doc_id", "spans")
 
 
