@@ -48,25 +48,26 @@ def planned(pages: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     size = F.octet_length("html")
     rows = rows.withColumns({"_key": F.when(size >= smallest, F.sha2("html", 256)), "_size": size})
-    keep = rows.filter(F.col("_key").isNotNull()).groupBy("_key", "_size").agg(F.max("page_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    keep = keep.filter("_n > 1").select("_key", "_size", "_keep")
+    last = F.max(F.struct("page_id", "url")).alias("_last")
+    keep = rows.filter(F.col("_key").isNotNull()).groupBy("_key", "_size").agg(last, F.count(F.lit(1)).alias("_n"))
+    keep = keep.filter("_n > 1").select("_key", "_size", F.col("_last.page_id").alias("_keep"), F.col("_last.url").alias("_url"))
     # ids meet their copies without the html, which moves once, by page id
     ids = rows.filter(F.col("_key").isNotNull()).select("page_id", "_key", "_size").join(keep, ["_key", "_size"])
     revisits = ids.filter("page_id < _keep or (page_id is null and _keep is not null)")
-    revisits = revisits.groupBy("page_id", "_key").agg(F.max("_keep").alias("refers_to"))
-    revisits = revisits.select(F.col("page_id").alias("_id"), F.col("_key").alias("_of"), "refers_to")
+    revisits = revisits.groupBy("page_id", "_key").agg(F.max(F.struct("_keep", "_url")).alias("_to"))
+    revisits = revisits.select(F.col("page_id").alias("_id"), F.col("_key").alias("_of"), F.col("_to._keep").alias("refers_to"), F.col("_to._url").alias("refers_url"))
     same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of"))
-    return rows.join(revisits, same, "left").select("page_id", "url", "html", "refers_to")
+    return rows.join(revisits, same, "left").select("page_id", "url", "html", "refers_to", "refers_url")
 
 
 def trained(pages: DataFrame, records: int = SAMPLE_RECORDS) -> bytes:
     """A dictionary from the records with the smallest hashes; empty where they are too few."""
-    sample = (
-        pages.filter(F.octet_length("html") > 0)
-        .select(F.xxhash64("page_id", "html").alias("_h"), F.left("html", F.lit(SAMPLE_BYTES)).alias("_t"))
-        .orderBy("_h", "_t")
-        .limit(records)
-    )
+    hashed = pages.filter(F.octet_length("html") > 0).withColumn("_h", F.xxhash64("page_id", "html"))
+    # first the hashes alone, in tasks; then the texts up to the last of them
+    last = hashed.select("_h").orderBy("_h").limit(records).agg(F.max("_h")).first()[0]
+    if last is None:
+        return b""
+    sample = hashed.filter(F.col("_h") <= last).select("_h", F.left("html", F.lit(SAMPLE_BYTES)).alias("_t")).orderBy("_h", "_t").limit(records)
     texts = [f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: {DATE}\r\n\r\n{r['_t']}".encode() for r in sample.collect()]
     if len(texts) < 16:
         return b""
@@ -80,12 +81,18 @@ def header(fields: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    digest = hashlib.sha1(payload)
+def target(page_id: int | None, url: str | None) -> tuple[str, str]:
+    """A page's address and record id."""
     uri = f"urn:page:{page_id}" if url is None else re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url)
+    return uri, f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{uri}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    digest = hashlib.sha1(payload)
+    uri, own = target(page_id, url)
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{uri}')}>"),
+        ("WARC-Record-ID", own),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", uri),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(digest.digest()).decode()),
@@ -94,7 +101,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("Content-Type", "application/http; msgtype=response"),
     ]
     if refers_to is not None:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("X-Refers-To-Page-ID", str(refers_to))]
+        to_uri, to_id = target(refers_to, refers_url)
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", to_id), ("WARC-Refers-To-Target-URI", to_uri), ("WARC-Refers-To-Date", DATE)]
+        fields += [("X-Refers-To-Page-ID", str(refers_to))]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = http if refers_to is not None else http + payload
     return header([*fields, ("Content-Length", str(len(body)))]) + body + b"\r\n\r\n"
@@ -118,10 +127,10 @@ def archives(pages: DataFrame, dictionary: bytes, roll: int = ROLL_BYTES) -> Dat
             return pd.DataFrame({"archive": [f"pages-{hashlib.sha1(data).hexdigest()[:16]}.warc.zst"], "n_records": [n], "data": [data]})
 
         for batch in batches:
-            empty = zip(batch["page_id"].isna(), batch["url"].isna(), batch["refers_to"].isna(), strict=True)
-            for row, (no_id, no_url, first) in zip(batch.itertuples(index=False), empty, strict=True):
+            empty = zip(batch["page_id"].isna(), batch["url"].isna(), batch["refers_to"].isna(), batch["refers_url"].isna(), strict=True)
+            for row, (no_id, no_url, first, bare) in zip(batch.itertuples(index=False), empty, strict=True):
                 made = squeeze.compress(
-                    record(None if no_id else int(row.page_id), None if no_url else row.url, row.html.encode(), None if first else int(row.refers_to))
+                    record(None if no_id else int(row.page_id), None if no_url else row.url, row.html.encode(), None if first else int(row.refers_to), None if bare else row.refers_url)
                 )
                 parts.append(made)
                 size, n = size + len(made), n + 1
