@@ -22,7 +22,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """`df` written to the shared folder and read back: lineage ends at files any executor can read."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete `stored` tables that no plan will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,3 +80,20 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[Column], rows: int = 20
         gone = F.broadcast(gone)
     same = [key.eqNullSafe(F.col(f"{name}{k}")) for k, key in enumerate(keys)]
     return docs.join(gone, same, "left_anti").select(*docs.columns)
+
+
+def once(docs: DataFrame, repeated: DataFrame, keys: list[Column], rows: int = 200_000) -> DataFrame:
+    """`docs`, but of the rows whose `keys` are a row of `repeated` (a column for each, null equals null)
+    one for each: that with the smallest hash of all columns."""
+    names = [f"_again{k}" for k in range(len(keys))]
+    repeated = stored(repeated.toDF(*names).distinct(), "again")
+    if repeated.isEmpty():
+        return docs
+    rest = without(docs, repeated, keys, rows)
+    small = F.broadcast(repeated) if repeated.limit(rows + 1).count() <= rows else repeated
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.struct(*columns).alias("_whole")
+    held = docs.select(whole, F.xxhash64(*columns).alias("_hash"), *[k.alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = [F.col(f"_key{i}").eqNullSafe(F.col(n)) for i, n in enumerate(names)]
+    kept = held.join(small, same, "left_semi").groupBy(*[f"_key{i}" for i in range(len(keys))]).agg(F.min_by("_whole", "_hash").alias("_whole"))
+    return rest.unionByName(kept.select("_whole.*"))

@@ -7,7 +7,8 @@ get a number for each of them.  Equal ordered identifier lists then mean equal t
 these short lists are grouped and joined: a document's text leaves its task once, as chunks.
 
 Defined results: a null text is empty and equals other empty texts; a null id counts in its
-group and sorts lowest; repeated ids stay repeated rows; an empty table gives an empty result;
+group and sorts lowest; repeated ids are rows of their own, of which `drop_exact_duplicates` keeps one
+for each text; an empty table gives an empty result;
 other columns are ignored, whatever their names.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import stored, text_key, without
+from shelfcast.llm.common import once, stored, text_key, without
 
 # letters and characters of several scripts, about one in seven of running text
 EDGE = r"aAhHmMéäаеноاما-ヲ一-七0-1"
@@ -81,6 +82,10 @@ def exact_duplicates(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay: of equal texts the one with the largest id."""
-    gone = exact_duplicates(docs).filter(~F.col("kept")).select("doc_id", "text_sha256")
-    return without(docs, gone, [F.col("doc_id"), text_key(F.col("text"))])
+    """The rows of `docs` that stay, one of each text: that with the largest id, and of several rows with this
+    id that with the smallest hash of all its columns."""
+    found = stored(exact_duplicates(docs).select("doc_id", "text_sha256", "kept"), "kept")
+    keys = [F.col("doc_id"), text_key(F.col("text"))]
+    gone = found.filter(~F.col("kept")).select("doc_id", "text_sha256")
+    again = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id", "text_sha256")
+    return once(without(docs, gone, keys), again, keys)

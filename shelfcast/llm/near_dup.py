@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.chunks import SENT, Chunk, chained, chunked, exchange, planes, ranges_for, rows_of, scrambled, sent, unplanes
-from shelfcast.llm.common import stored, text_key, without
+from shelfcast.llm.common import once, release, stored, text_key, without
 from shelfcast.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -289,6 +289,7 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, digest: Column | None =
     nodes = found.filter("n > 0").groupBy("n", "node", "check").agg(first).select("node", "first.chunk", "first.at")
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     held = stored(indexed(chunks, nodes, total, percent), "indexed")
+    release(chunks)
     keys = signatures(held)
     # most keys are held by one node; what follows sees only the others
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -300,17 +301,19 @@ def linked_sets(docs: DataFrame, percent: int = PERCENT, digest: Column | None =
     edges = stored(verified(pairs, held, percent), "edges")
     labels = components(edges)
     more = stored(crossing_pairs(members, labels, percent).distinct(), "crossing")
+    release(members)
     if not more.isEmpty():
         extra = stored(verified(more, held, percent), "edges")
         if not extra.isEmpty():
             # what is connected already enters as stars
             labels = components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(extra))
+    release(held)
     return found, labels
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, digest: Column | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id it reaches) for each row of `docs`,
-    and its `digest` if given."""
+    and, if a `digest` is given, this and `class`, the same for all of a component and null for rows that are alone."""
     found, labels = linked_sets(docs, percent, digest)
     rows = found.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
     classes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("size"))
@@ -318,15 +321,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, digest: Column | No
     lowest = classes.filter("label is not null").groupBy("label").agg(F.min("low").alias("least"))
     # only sets of several rows or with links are joined; large groups of copies are spread by salt
     named = classes.filter("size > 1 or label is not null").join(lowest, "label", "left")
-    named = named.select("node", F.coalesce("least", "low").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = named.select("node", F.coalesce("least", "low").alias("component"), F.coalesce("label", "node").alias("class"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("chunk", "at"), F.lit(SALTS)).cast("int"))
     out = salted.join(named, ["node", "salt"], "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
     back = F.when(F.col("component") != NO_ID, F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), back.alias("component_id"), *([] if digest is None else ["digest"]))
+    more = [] if digest is None else ["digest", F.when(F.col("class").isNotNull() & (F.col("n") > 0), F.col("class")).alias("class")]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), back.alias("component_id"), *more)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` that have the smallest id of their component."""
-    key = text_key(F.col("text"))
-    found = near_duplicates(docs, percent, key)
-    return without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "digest"), [F.col("doc_id").cast("long"), key])
+    """The rows of `docs` that stay, one of each component: that with the smallest id (null ids come last), and
+    of several with this id that with the smallest digest of its text, then the smallest hash of all its columns.
+    Rows without words stay."""
+    keys = [F.col("doc_id").cast("long"), text_key(F.col("text"))]
+    found = stored(near_duplicates(docs, percent, keys[1]).filter("class IS NOT NULL").select("doc_id", "digest", "class"), "classes")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    kept = found.groupBy("class").agg(F.min(first).alias("kept"), F.count(F.lit(1)).alias("n"))
+    one = kept.select("kept.doc_id", "kept.digest")
+    # copies that share an id and a text share their fate here; all but one of them go below
+    of_all = found.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    gone = of_all.join(one.withColumns({"_d": F.col("doc_id"), "_t": F.col("digest")}).select("_d", "_t"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_t")), "left_anti")
+    again = of_all.filter("n > 1").select("doc_id", "digest")
+    return once(without(docs, gone.select("doc_id", "digest"), keys), again, keys)
