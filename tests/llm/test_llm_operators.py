@@ -557,3 +557,86 @@ def test_packing():
         assert (chunks.unascending(chunks.ascending(keys)) == keys).all() and (chunks.unplanes(chunks.planes(keys)) == keys).all()
     x = rng.random(100)
     assert (chunks.unfloats(chunks.floats(x)) == x).all()
+
+
+# ------------------------------------------------------------------ mends of the third round
+
+
+def test_any_number_of_languages_and_one_tag_for_each(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng = random.Random(65)
+    tags = [letters[k // 26] + letters[k % 26] for k in range(70)]
+    words = {t: ["".join(rng.choice(letters) for _ in range(7)) for _ in range(4)] for t in tags}
+    rows = []
+    for k in range(420):
+        t = tags[k % 70]
+        shown = [t, t.upper(), f"{t}-XX", f"{t}_yy", t, t][k // 70]
+        rows.append((k, " ".join(rng.choices(words[t], k=30)), shown, "s"))
+    rows += [(900, " ".join(words["aa"] * 3), "12!", "s"), (901, " ".join(words["ab"] * 3), None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.fit(df)
+    assert list(model.languages) == sorted(tags)
+    got = {r["id"]: r for r in language_id.identify(language_id.document_rows(df), model).collect()}
+    assert all(got[k]["lang"] == tags[k % 70] and not got[k]["rejected"] for k in range(420))
+    assert got[900]["lang"] == "aa" and got[901]["lang"] == "ab"
+    measured = language_id.held_out_accuracy(df).first()
+    assert measured["n"] > 20 and measured["by_text"] > 0.95 and measured["with_declaration"] > 0.95
+
+
+def test_one_row_of_each_text_stays(spark):
+    """Rows that share an id are copies of each other like any rows, with other columns that differ or not."""
+    rows = [(1, "a text", "x"), (1, "a text", "x"), (1, "a text", "y"), (None, "b text", "x"), (None, "b text", "x"), (2, "c text", "x"), (3, "c text", "x"), (3, "c text", "z"), (4, None, "x"), (5, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _whole string").repartition(3)
+    kept = exact_dedup.drop_exact_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=str) == [(0, "b text"), (1, "a text"), (3, "c text"), (5, "")]
+    base = [f"w{k}" for k in range(60)]
+    near = lambda k: " ".join([*base[:59], f"other{k}"])
+    rows = [(7, near(0)), (7, near(0)), (7, near(1)), (9, near(2)), (None, near(3)), (8, "alone here"), (8, "alone here"), (10, None), (11, "...")]
+    kept = near_dup.drop_near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [7, 8, 10, 11] and {r["text"] for r in kept if r["doc_id"] == 7} <= {near(0), near(1)}
+
+
+def linked_by_hand(parts: list, scope: int) -> set:
+    """Places of the weak parts that are complete and not covered, from all pairs."""
+    near = lambda a, b: a[1] <= b[2] + scope and b[1] <= a[2] + scope
+    kinds = {k: n for n, k in enumerate(secrets.KINDS)}
+    ids, keys = {kinds["access"], kinds["ident"]}, {kinds["assign"], kinds["secret"]}
+    out = set()
+    for place, w in enumerate(parts):
+        if w[0] < len(secrets.BASE):
+            continue
+        reach = {j for i, q in enumerate(parts) if near(w, q) for j, p in enumerate(parts) if near(q, p)}
+        has = lambda group: any(parts[j][0] in group for j in reach)
+        if has(ids) and has(keys) and not any(s[0] < len(secrets.BASE) and s[1] <= w[1] and s[2] >= w[2] for s in parts):
+            out.add(place)
+    return out
+
+
+def test_links_of_random_parts(spark):
+    rng = random.Random(12)
+    lists = {}
+    for row in range(40):
+        at, parts = 0, []
+        for _ in range(rng.randint(0, 30)):
+            at += rng.choice([0, 5, 60, 150, 200, 201, 260, 900])
+            parts.append((rng.randrange(len(secrets.KINDS)), at, at + rng.choice([8, 20, 300, 2500])))
+        lists[row] = parts
+    lists[99] = [(secrets.KINDS.index("access"), 0, 20), (secrets.KINDS.index("secret"), 30, 70)] + [(secrets.KINDS.index("endpoint"), 100 + 180 * k, 130 + 180 * k) for k in range(3000)]
+    rows = [(row, k, n, a, b) for row, parts in lists.items() for n, (k, a, b) in enumerate(parts)]
+    got = secrets.reported(spark.createDataFrame(rows, "_row long, kind int, nth int, start long, stop long"), 200).collect()
+    want = {(row, n) for row, parts in lists.items() if row != 99 for n in linked_by_hand(parts, 200)}
+    assert {(r["_row"], r["nth"]) for r in got if r["_row"] != 99} == want and want
+    # a chain of endpoints carries a credential to its second neighbour at most
+    assert sorted(r["nth"] for r in got if r["_row"] == 99) == [1, 2, 3]
+
+
+def test_revisits_name_the_record_they_repeat(spark):
+    big = "<p>page</p>" * 200
+    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, big)]
+    files = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    records = [r for f in files.collect() for _, r in warc.frames(bytes(f["data"]))]
+    heads = [dict(x.split(": ", 1) for x in r.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for r in records]
+    kept = next(h for h in heads if h["WARC-Type"] == "response")
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 2 and all(h["WARC-Refers-To"] == kept["WARC-Record-ID"] and h["WARC-Refers-To-Target-URI"] == kept["WARC-Target-URI"] == "urn:page:3" for h in revisits)
