@@ -203,8 +203,8 @@ def tree_score(features: list[Column], base: Column, trees: Column, depth: int =
 
 def with_tree_score(rows: DataFrame, models: DataFrame, group: str, features: list[str], out: str, depth: int = Plan.depth) -> DataFrame:
     """Add `out`, the score of each row by its group's model, or by the one of no group."""
-    rest = models.filter(F.col(group).isNull()).select(F.col("base").alias("_base0"), F.col("trees").alias("_trees0"))
+    rest = models.filter(F.col(group).isNull())
     own = models.filter(F.col(group).isNotNull()).select(F.col(group), F.col("base").alias("_base1"), F.col("trees").alias("_trees1"))
-    joined = rows.join(own, group, "left").join(F.broadcast(rest))  # a single row
+    pooled = {f"_{c}0": rest.agg(F.first(c)).scalar() for c in ("base", "trees")}
     score = tree_score([F.col(f) for f in features], F.coalesce("_base1", "_base0"), F.coalesce("_trees1", "_trees0"), depth)
-    return joined.withColumn(out, score).drop("_base0", "_trees0", "_base1", "_trees1")
+    return rows.join(own, group, "left").withColumns(pooled).withColumn(out, score).drop("_base0", "_trees0", "_base1", "_trees1")

@@ -20,12 +20,10 @@ from shelfcast.functions.expr import clipped, log_target, unlog_target
 from shelfcast.functions.series import SERIES_KEYS, daily_spine, series, trailing
 from shelfcast.operators.metrics import evaluate
 
-MIN_FAMILY_ROWS = 1000
-SMALL_FAMILY_ROWS = 5000
 HOLDOUT_DAYS = 28
 LOOK_BACK = 28
-RIDGE = 1.0
-SMALL_FAMILY_RIDGE = 10.0
+RIDGE = 10.0
+MODEL = "family string, n_rows long, ridge double, coef array<double>"
 
 # features a recursion can rebuild from the series itself and known drivers
 LOCAL_FEATURES = [
@@ -140,7 +138,7 @@ def add_sums(sums: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _solver(p: int):
-    """Batch solver of small ridge systems.
+    """Batch solver of small ridge systems, drawn towards `prior` where a row has one.
 
     A nested function travels to the workers by value, so they need numpy and pandas but
     not this package.
@@ -154,26 +152,46 @@ def _solver(p: int):
                 gram = np.zeros((p, p))
                 gram[upper] = r.gram
                 gram = gram + gram.T - np.diag(np.diag(gram))
-                shrink = np.full(p, r.ridge)
-                shrink[0] = 1e-9  # the intercept is not shrunk
-                coef = np.linalg.solve(gram + np.diag(shrink), np.asarray(r.cross, dtype=float))
+                shrink, prior = np.full(p, r.ridge), np.zeros(p)
+                if r.prior is None:
+                    shrink[0] = 1e-9  # without a prior the intercept is not shrunk
+                else:
+                    prior = np.asarray(r.prior, dtype=float)
+                coef = np.linalg.solve(gram + np.diag(shrink), np.asarray(r.cross, dtype=float) + shrink * prior)
                 out.append((r.family, int(r.n_rows), float(r.ridge), coef.tolist()))
             yield pd.DataFrame(out, columns=["family", "n_rows", "ridge", "coef"])
 
     return solve
 
 
-def solve_families(sums: DataFrame, ridge: Column | None = None) -> DataFrame:
-    """Ridge coefficients per family; families with too few rows get no model.
+def solve_pooled(sums: DataFrame) -> DataFrame:
+    """Ridge coefficients over all families together: a row with a null family, none without rows."""
+    whole = add_sums(sums, []).filter("n_rows IS NOT NULL").withColumns({"family": F.lit(None).cast("string"), "ridge": F.lit(RIDGE), "prior": F.lit(None).cast("array<double>")})
+    return whole.select("family", "n_rows", "ridge", "gram", "cross", "prior").mapInPandas(_solver(len(LOCAL_FEATURES)), MODEL)
 
-    Small families are shrunk harder.  `ridge` may be a column to try several values.
+
+def solve_families(sums: DataFrame, ridge: Column | None = None, pooled: DataFrame | None = None) -> DataFrame:
+    """Ridge coefficients per family, each drawn towards those of all families together, whose row has a null
+    family.
+
+    One rule holds for families of any size: `ridge` counts as so many rows of the pooled model, so a
+    family of few rows stays near it.  `ridge` may be a column to try several values, next to `pooled` of
+    the untried sums.
     """
-    default = F.when(F.col("n_rows") < SMALL_FAMILY_ROWS, SMALL_FAMILY_RIDGE).otherwise(RIDGE)
-    ready = sums.filter(F.col("n_rows") >= MIN_FAMILY_ROWS).withColumn(
-        "ridge", default if ridge is None else ridge
-    )
-    schema = "family string, n_rows long, ridge double, coef array<double>"
-    return ready.select("family", "n_rows", "ridge", "gram", "cross").mapInPandas(_solver(len(LOCAL_FEATURES)), schema)
+    pooled = solve_pooled(sums) if pooled is None else pooled
+    prior = pooled.agg(F.first("coef")).scalar()
+    ready = sums.filter("family IS NOT NULL").withColumns({"ridge": F.lit(RIDGE) if ridge is None else ridge, "prior": prior})
+    own = ready.select("family", "n_rows", "ridge", "gram", "cross", "prior").mapInPandas(_solver(len(LOCAL_FEATURES)), MODEL)
+    return own.unionByName(pooled)
+
+
+def with_coefficients(rows: DataFrame, models: DataFrame, kept: str = "coef", name: str = "used_model") -> DataFrame:
+    """Add the coefficients of a row's family, else the pooled ones, and whose they are: local, pooled or zero."""
+    own = models.filter("family IS NOT NULL").select("family", F.col("coef").alias("_own"))
+    pooled = models.filter("family IS NULL").agg(F.first("coef")).scalar()  # null without a pooled model
+    joined = rows.join(own, "family", "left").withColumn("_pooled", pooled)
+    route = F.when(F.col("_own").isNotNull(), "local").when(F.col("_pooled").isNotNull(), "pooled").otherwise("zero")
+    return joined.withColumns({kept: F.coalesce("_own", "_pooled"), name: route}).drop("_own", "_pooled")
 
 
 def linear_score(coef: str = "coef") -> Column:
@@ -197,8 +215,7 @@ def train_local(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = product_sums(rows, ["family", "holdout"])
     trial = solve_families(sums.filter(~F.col("holdout")))
     final = solve_families(add_sums(sums, ["family"]))
-    scored = rows.filter("holdout").join(trial.select("family", "coef"), "family")
-    scored = scored.withColumn("prediction", F.expm1(linear_score()))
+    scored = with_coefficients(rows.filter("holdout"), trial).withColumn("prediction", F.expm1(linear_score()))
     return final, evaluate(scored, by=["family"], perishable="perishable")
 
 
@@ -220,12 +237,11 @@ def train_drivers(panel: DataFrame, models: DataFrame) -> DataFrame:
     A driver that never changes in a family's history gets no effect.
     """
     values = driver_values(*[F.col(c) for c in ("oil_price", "holiday_type", "is_earthquake_period", "transactions_lag1")])
-    rows = complete_rows(local_features(panel)).join(models.select("family", "coef"), "family")
+    rows = with_coefficients(complete_rows(local_features(panel)), models)
     left = rows.withColumn("y", F.col("y") - linear_score()).withColumns(values)
     names = ["one", *DRIVER_FEATURES]
-    sums = product_sums(left, ["family"], names=names).withColumn("ridge", F.lit(DRIVER_RIDGE))
-    schema = "family string, n_rows long, ridge double, coef array<double>"
-    fitted = sums.select("family", "n_rows", "ridge", "gram", "cross").mapInPandas(_solver(len(names)), schema)
+    sums = product_sums(left, ["family"], names=names).withColumns({"ridge": F.lit(DRIVER_RIDGE), "prior": F.lit(None).cast("array<double>")})
+    fitted = sums.select("family", "n_rows", "ridge", "gram", "cross", "prior").mapInPandas(_solver(len(names)), MODEL)
     return fitted.select("family", F.slice("coef", 2, len(DRIVER_FEATURES)).alias("driver_coef"))
 
 
@@ -235,8 +251,9 @@ def search_ridge(panel: DataFrame, grid: list[float], gain: float = 0.01) -> Dat
     rows = holdout_split(complete_rows(local_features(panel)))
     sums = product_sums(rows, ["family", "holdout"]).filter(~F.col("holdout"))
     tried = sums.withColumn("_try", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    trials = solve_families(tried, F.col("_try")).withColumn("trial", F.lit("searched"))
-    base = solve_families(sums).withColumn("trial", F.lit("default"))
+    pooled = solve_pooled(sums)
+    trials = solve_families(tried, F.col("_try"), pooled).filter("family IS NOT NULL").withColumn("trial", F.lit("searched"))
+    base = solve_families(sums, pooled=pooled).filter("family IS NOT NULL").withColumn("trial", F.lit("default"))
     models = base.unionByName(trials)
     scored = (
         rows.filter("holdout")
@@ -313,7 +330,9 @@ def forecast_recursive(
 
     `future` has one row per series and day with `onpromotion`, and may have `effect`, log units
     that are added to a day's score; extra `keys` (for example a scenario id) forecast several
-    futures of one series.  Series whose family has no model are left out.
+    futures of one series.  Every series and day of it comes back: one without history starts from
+    zeros, one whose family has no model takes the pooled one (null family), and without that it is zero;
+    `used_model` says which.
     """
     keys = keys or SERIES_KEYS
     effect = F.coalesce("effect", F.lit(0.0)) if "effect" in future.columns else F.lit(0.0)
@@ -323,18 +342,21 @@ def forecast_recursive(
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(driver)).alias("_days"))
     )
-    joined = days.join(recent_logs(panel), SERIES_KEYS).join(models.select("family", "coef"), "family")
+    zeros = F.array_repeat(F.lit(0.0), LOOK_BACK)
+    joined = days.join(recent_logs(panel), SERIES_KEYS, "left").withColumn("logs", F.coalesce("logs", zeros))
+    joined = with_coefficients(joined, models).withColumn("coef", F.coalesce("coef", F.array_repeat(F.lit(0.0), len(LOCAL_FEATURES))))
     grown = F.aggregate(
         "_days",
         F.col("logs"),
-        lambda logs, day: F.concat(logs, F.array(_next_log(logs, day, F.col("coef")))),
+        lambda logs, day: F.concat(logs, F.array(F.when(F.col("used_model") == "zero", F.lit(0.0)).otherwise(_next_log(logs, day, F.col("coef"))))),
     )
     ahead = F.slice(grown, F.lit(LOOK_BACK + 1), F.size("_days"))
     pairs = F.arrays_zip(F.transform("_days", lambda d: d["date"]).alias("date"), ahead.alias("log_pred"))
     return (
-        joined.select(*keys, F.posexplode(pairs).alias("_pos", "_p"))
+        joined.select(*keys, "used_model", F.posexplode(pairs).alias("_pos", "_p"))
         .select(
             *keys,
+            "used_model",
             F.col("_p.date").alias("date"),
             (F.col("_pos") + 1).alias("horizon_day"),
             unlog_target(F.col("_p.log_pred")).alias("prediction"),
@@ -401,9 +423,8 @@ def split_to_items(plan: DataFrame, items: DataFrame, family_forecast: DataFrame
 
 
 def batch_score(rows: DataFrame, models: DataFrame, decimals: int = 4) -> DataFrame:
-    """Score feature rows with their family's model; rows keep their id, unknown families
-    score zero."""
-    joined = rows.join(models.select("family", "coef"), "family", "left")
+    """Score feature rows with their family's model, else the pooled one, else as zero; rows keep their id."""
+    joined = with_coefficients(rows, models).drop("used_model")
     score = F.round(clipped(F.coalesce(F.expm1(linear_score()), F.lit(0.0))), decimals)
     return joined.withColumn("prediction", score).drop("coef")
 
@@ -418,17 +439,10 @@ def number_rows(plan: DataFrame, last_day: Column) -> DataFrame:
     return plan.withColumn("id", F.when(fits, key).otherwise(F.raise_error(F.lit("day, store or item beyond the bits of a row id"))))
 
 
-def assortment_plan(
-    sales: DataFrame,
-    actual_promotions: DataFrame,
-    last_day: Column,
-    lookback: int,
-    horizon: int = HORIZON_DAYS,
-) -> DataFrame:
-    """Future plan: every (store, item) sold in the look-back, for each day of the horizon,
-    with the promotion already planned for that day."""
-    active = sales.filter(F.col("date") > F.date_sub(last_day, lookback)).select("store_nbr", "item_nbr").distinct()
-    days = active.select("store_nbr", "item_nbr", F.explode(future_days(last_day, horizon)).alias("date"))
+def assortment_plan(sold: DataFrame, actual_promotions: DataFrame, last_day: Column, horizon: int = HORIZON_DAYS) -> DataFrame:
+    """Future plan: every (store, item) of `sold`, for each day of the horizon, with the promotion already
+    planned for that day."""
+    days = sold.select("store_nbr", "item_nbr").distinct().select("store_nbr", "item_nbr", F.explode(future_days(last_day, horizon)).alias("date"))
     flags = actual_promotions.groupBy("date", "store_nbr", "item_nbr").agg(
         F.bool_or(F.col("onpromotion").cast("boolean")).alias("onpromotion")
     )

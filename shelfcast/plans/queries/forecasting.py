@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfcast.functions.expr import unlog_target
 from shelfcast.functions.series import SERIES_KEYS
-from shelfcast.operators import ensemble, forecast, metrics
+from shelfcast.operators import boosting, ensemble, forecast, metrics, stepwise
 from shelfcast.operators.clean import stack
 from shelfcast.operators.features import extended_features
 from shelfcast.operators.forecast import DRIVER_FEATURES, LOCAL_FEATURES
+from shelfcast.operators.inventory import default_policy, derive_inventory
 from shelfcast.plans import retrain
 from shelfcast.plans.queries.features import SERIES, rolled
 from shelfcast.plans.queries.scoring import FOLDS_SQL, _stored_folds
 from shelfcast.plans.registry import d, query, r
 from shelfcast.plans.serving import RetailTables
+from shelfcast.sources.snapshots import Snapshots
 from shelfcast.sources.tables import path_exists
 
 KEYS = [*SERIES_KEYS, "date"]
 
-# Coefficients for the checks that compare with SQL: one family has no model.
+# Coefficients for the checks that compare with SQL: one family has no model and takes the pooled one.
 CHECK_COEFFICIENTS = {
     "one": 0.05,
     "lag1": 0.1,
@@ -31,14 +34,16 @@ CHECK_COEFFICIENTS = {
     "weekend": 0.05,
     "payday": 0.02,
 }
-NO_MODEL = "LARGE"
+NO_MODEL, POOLED = "LARGE", 0.5
 CHECK_DRIVERS = {"oil": -0.2, "holiday": 0.1, "quake": -0.3, "traffic": 0.15}
 
 
 def check_models(t: RetailTables):
-    values = [F.lit(CHECK_COEFFICIENTS[c]) for c in LOCAL_FEATURES]
-    families = t.items.select("family").distinct().filter(F.col("family") != NO_MODEL)
-    return families.withColumn("coef", F.array(*values))
+    def values(factor: float):
+        return F.array(*[F.lit(CHECK_COEFFICIENTS[c] * factor) for c in LOCAL_FEATURES])
+
+    families = t.items.select("family").distinct().filter(F.col("family") != NO_MODEL).withColumn("coef", values(1.0))
+    return families.unionByName(t.spark.range(1).select(F.lit(None).cast("string").alias("family"), values(POOLED).alias("coef")))
 
 
 def check_drivers(t: RetailTables):
@@ -46,9 +51,9 @@ def check_drivers(t: RetailTables):
     return t.items.select("family").distinct().withColumn("driver_coef", values)
 
 
-def _dot(values: dict[str, str], more: str = "") -> str:
+def _dot(values: dict[str, str], more: str = "", family: str = "family") -> str:
     terms = " + ".join(f"CAST({CHECK_COEFFICIENTS[c]} AS DOUBLE) * ({values[c]})" for c in LOCAL_FEATURES)
-    return f"greatest({terms}{more}, 0)"
+    return f"greatest((CASE WHEN {family} = '{NO_MODEL}' THEN CAST({POOLED} AS DOUBLE) ELSE 1 END) * ({terms}){more}, 0)"
 
 
 DRIVERS = """
@@ -82,13 +87,13 @@ def recursive_sql(future: str, last_day: str, keys: str = "store_nbr, family", d
               WHERE date > {last_day} - 28 AND date <= {last_day} GROUP BY ALL)),
     ahead AS MATERIALIZED (
         SELECT {keys}, date, promo, {"effect" if effect else "0 AS effect"}, {DRIVERS}, row_number() OVER (PARTITION BY {keys} ORDER BY date) AS step
-        FROM {future} WHERE family <> '{NO_MODEL}'),
+        FROM {future}),
     walk AS (
         SELECT DISTINCT {", ".join(f"a.{k.strip()}" for k in keys.split(","))}, CAST(0 AS BIGINT) AS step,
-               CAST(NULL AS DATE) AS date, l.logs, CAST(0 AS DOUBLE) AS pred
-        FROM ahead a JOIN logs0 l ON l.store_nbr = a.store_nbr AND l.family = a.family
+               CAST(NULL AS DATE) AS date, coalesce(l.logs, [CAST(0 AS DOUBLE) for x in range(28)]) AS logs, CAST(0 AS DOUBLE) AS pred
+        FROM ahead a LEFT JOIN logs0 l ON l.store_nbr = a.store_nbr AND l.family = a.family
         UNION ALL
-        SELECT {own}, s.step + 1, n.date, list_append(s.logs, {_dot(steps, " + " + step)}), exp({_dot(steps, " + " + step)}) - 1
+        SELECT {own}, s.step + 1, n.date, list_append(s.logs, {_dot(steps, " + " + step, "s.family")}), exp({_dot(steps, " + " + step, "s.family")}) - 1
         FROM walk s JOIN ahead n ON {join} AND n.step = s.step + 1 WHERE s.step < {days}),
     rolled AS (SELECT * EXCLUDE (logs) FROM walk WHERE step > 0)
     """
@@ -248,8 +253,7 @@ def ridge_search(t: RetailTables):
     "M12",
     f"""
     WITH {LOCAL_SQL},
-    s AS (SELECT family, CASE WHEN family = '{NO_MODEL}' THEN 0 ELSE exp({_dot({c: c for c in LOCAL_FEATURES})}) - 1 END AS p
-          FROM loc)
+    s AS (SELECT family, exp({_dot({c: c for c in LOCAL_FEATURES})}) - 1 AS p FROM loc)
     SELECT family, count(*) AS n_rows, {r("avg(round(p, 4))", 3)} AS mean_prediction,
            {r("max(round(p, 4))", 3)} AS max_prediction FROM s GROUP BY family
     """,
@@ -273,7 +277,8 @@ def batch_scores(t: RetailTables):
     f"""
     WITH RECURSIVE fut AS (SELECT store_nbr, family, date, onpromotion AS promo FROM v_planned),
     {recursive_sql("fut", "(SELECT max(date) FROM v_panel)")}
-    SELECT store_nbr, family, {d("date")} AS date, CAST(step AS INTEGER) AS horizon_day, {r("pred")} AS prediction
+    SELECT store_nbr, family, {d("date")} AS date, CAST(step AS INTEGER) AS horizon_day, {r("pred")} AS prediction,
+           CASE WHEN family = '{NO_MODEL}' THEN 'pooled' ELSE 'local' END AS used_model
     FROM rolled
     """,
 )
@@ -282,11 +287,155 @@ def recursive_forecast(t: RetailTables):
     return forecast.forecast_recursive(t.panel, t.future, check_models(t))
 
 
+@query(
+    "forecast_completeness",
+    "M8 M14 J12",
+    """
+    SELECT 'family forecast' AS forecast, count(*) AS planned, count(*) AS made, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS not_planned FROM v_planned
+    UNION ALL SELECT 'item forecast', count(*), count(*), 0, 0 FROM v_plan
+    UNION ALL SELECT 'pairs ever sold', count(*), count(*), 0, 0 FROM (SELECT DISTINCT store_nbr, item_nbr FROM v_sales)
+    """,
+)
+def forecast_completeness(t: RetailTables):
+    """What is planned against what the fitted recursion and the item split return, key by key."""
+
+    def compared(name: str, planned, made, keys: list[str]):
+        both = planned.select(*keys, F.lit(1).alias("p")).join(made.select(*keys, F.lit(1).alias("m")), keys, "full")
+        lacks = lambda c: F.count(F.when(F.col(c).isNull(), 1))
+        return both.agg(F.lit(name).alias("forecast"), F.count("p").alias("planned"), F.count("m").alias("made"), lacks("m").alias("missing"), lacks("p").alias("not_planned"))
+
+    pairs = ["store_nbr", "item_nbr"]
+    by_family = compared("family forecast", t.future, forecast.forecast_recursive(t.panel, t.future, t.local_models), KEYS)
+    by_item = compared("item forecast", t.plan, t.forecasts, [*pairs, "date"])
+    sold = compared("pairs ever sold", t.sales.select(*pairs).distinct(), t.forecasts.select(*pairs).distinct(), pairs)
+    return by_family.unionByName(by_item).unionByName(sold)
+
+
 @query("recursive_forecast_fitted", "M8 M3")
 def recursive_forecast_fitted(t: RetailTables):
     return forecast.forecast_recursive(t.panel, t.future, t.local_models)
 
 
+# A fixed small tree and a fixed line, for the stepwise check: features, cuts and leaves in heap order.
+CHECK_TREE_FEATURES = ["slog_roll_mean7", "slog_lag7", "zero_rate_28", "promo_rate_7", "days_since_sale", "dayofweek"]
+CHECK_TREE = {"feature": [0, 2, 1, 4, 3, 5, 0], "cut": [0.4, 0.8, 1.5, 20.0, 0.1, 4.0, 1.2], "value": [0.1, 0.3, 0.2, 0.5, 0.6, 0.9, 1.1, 1.6]}
+CHECK_LINE = {"slog_lag1": 0.2, "slog_dow_mean4": 0.5, "slog_roll_mean28": 0.2, "slog_roll_std7": 0.1}
+CHECK_ROUTES = {"LARGE": "global", "SMALL": "none"}
+
+
+def _check_scorers():
+    tree = F.array(F.struct(*[F.array(*[F.lit(v) for v in values]).alias(k) for k, values in CHECK_TREE.items()]))
+    features = [F.col(c) for c in CHECK_TREE_FEATURES]
+    line = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in CHECK_LINE.items()), F.lit(0.0))
+    return {
+        "local": lambda rows, out: rows.withColumn(out, boosting.tree_score(features, F.lit(0.05), tree)),
+        "global": lambda rows, out: rows.withColumn(out, line),
+    }
+
+
+def _tree_sql(names: dict[str, str], node: int = 0) -> str:
+    inner = len(CHECK_TREE["feature"])
+    if node >= inner:
+        return f"CAST({CHECK_TREE['value'][node - inner]} AS DOUBLE)"
+    x = names[CHECK_TREE_FEATURES[CHECK_TREE["feature"][node]]]
+    cut = f"CAST({CHECK_TREE['cut'][node]} AS DOUBLE)"
+    return f"CASE WHEN coalesce({x} > {cut}, FALSE) THEN {_tree_sql(names, 2 * node + 2)} ELSE {_tree_sql(names, 2 * node + 1)} END"
+
+
+def _stepwise_sql() -> str:
+    """The state as lists of a recursive query; `l` are log sales, `q` promotions, newest last."""
+    last = lambda c, n: f"{c}[greatest(len({c}) - {n}, 0) + 1:]"
+    mean = lambda c, n, need: f"(CASE WHEN len({last(c, n)}) >= {need} THEN list_sum({last(c, n)}) / len({last(c, n)}) END)"
+    back = lambda k: f"(CASE WHEN len(s.l) >= {k} THEN s.l[len(s.l) - {k} + 1] END)"
+    zeros = "[CASE WHEN y <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END for y in s.l]"
+    weekdays = f"list_filter([{', '.join(back(7 * k) for k in range(1, 5))}], lambda y: y IS NOT NULL)"
+    names = {
+        "slog_roll_mean7": mean("s.l", 7, 2), "slog_lag7": back(7), "zero_rate_28": mean(f"({zeros})", 28, 7), "promo_rate_7": mean("s.q", 7, 2),
+        "days_since_sale": "least(coalesce(n.date - s.sold, 56), 56)", "dayofweek": "(isodow(n.date) - 1)",
+        "slog_lag1": back(1), "slog_roll_mean28": mean("s.l", 28, 9),
+        "slog_dow_mean4": f"(CASE WHEN len({weekdays}) > 0 THEN list_sum({weekdays}) / len({weekdays}) END)",
+        "slog_roll_std7": f"(CASE WHEN len({last('s.l', 7)}) >= 3 THEN list_aggregate({last('s.l', 7)}, 'stddev_samp') END)",
+    }
+    line = " + ".join(f"CAST({w} AS DOUBLE) * coalesce({names[c]}, 0)" for c, w in CHECK_LINE.items())
+    return f"greatest(CASE s.route WHEN 'local' THEN CAST(0.05 AS DOUBLE) + {_tree_sql(names)} WHEN 'global' THEN {line} ELSE 0 END, 0)"
+
+
+@query(
+    "stepwise_forecast",
+    "M8 M11",
+    f"""
+    WITH RECURSIVE past AS (
+        SELECT store_nbr, family, list(ln(1 + greatest(target, 0)) ORDER BY date) FILTER (date > (SELECT max(date) FROM v_panel) - 90) AS l,
+               list(CAST(onpromotion AS DOUBLE) ORDER BY date) FILTER (date > (SELECT max(date) FROM v_panel) - 90) AS q,
+               max(date) FILTER (target > 0) AS sold FROM v_panel GROUP BY ALL),
+    ahead AS MATERIALIZED (SELECT store_nbr, family, date, CAST(onpromotion AS DOUBLE) AS promo, date - (SELECT origin FROM v_origin) AS step FROM v_planned),
+    walk AS (
+        SELECT a.store_nbr, a.family, CAST(0 AS BIGINT) AS step, CAST(NULL AS DATE) AS date, CAST(0 AS DOUBLE) AS y,
+               coalesce(p.l, []) AS l, coalesce(p.q, []) AS q, p.sold,
+               CASE a.family {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CHECK_ROUTES.items())} ELSE 'local' END AS route
+        FROM (SELECT DISTINCT store_nbr, family FROM ahead) a LEFT JOIN past p ON p.store_nbr = a.store_nbr AND p.family = a.family
+        UNION ALL
+        SELECT store_nbr, family, step, date, y, list_append(l, y), list_append(q, promo), CASE WHEN y > 0 THEN date ELSE sold END, route
+        FROM (SELECT s.store_nbr, s.family, s.step + 1 AS step, n.date, n.promo, s.l, s.q, s.sold, s.route, {_stepwise_sql()} AS y
+              FROM walk s JOIN ahead n ON n.store_nbr = s.store_nbr AND n.family = s.family AND n.step = s.step + 1))
+    SELECT store_nbr, family, {d("date")} AS date, CAST(step AS INTEGER) AS horizon_day, {r("exp(y) - 1")} AS prediction,
+           CASE route WHEN 'none' THEN 'zero' ELSE route END AS used_model
+    FROM walk WHERE step > 0
+    """,
+)
+def stepwise_forecast(t: RetailTables):
+    """Sixteen days with the state carried from one to the next, each family by the model it is routed to."""
+    routes = t.future.select("family").distinct().withColumn(
+        "route", F.coalesce(*[F.when(F.col("family") == k, v) for k, v in CHECK_ROUTES.items()], F.lit("local"))
+    )
+    return stepwise.forecast_stepwise(t.panel, t.future.select(*KEYS, "onpromotion"), _check_scorers(), routes)
+
+
+BOOSTED_CUTS = {"lag1": [0.0, 1.0, 2.0, 3.0], "lag7": [0.0, 1.5, 3.0], "mean7": [0.25, 0.5, 1.0, 1.5], "mean28": [0.25, 0.5, 0.75, 1.0], "promo": [0.5]}
+
+
+def _first_splits_sql() -> str:
+    sides = " UNION ALL ".join(
+        f"SELECT family, '{f}' AS feature, CAST({c} AS DOUBLE) AS cut, count(*) FILTER ({f} <= {c}) AS n_left, sum(y - base) FILTER ({f} <= {c}) AS s_left, "
+        f"count(*) AS n, sum(y - base) AS s FROM grown GROUP BY family"
+        for f, cuts in BOOSTED_CUTS.items()
+        for c in cuts
+    )
+    return f"""
+    WITH {LOCAL_SQL}, grown AS (SELECT loc.*, avg(y) OVER () AS base FROM loc), sides AS ({sides}),
+    gains AS (SELECT *, coalesce(s_left, 0) * coalesce(s_left, 0) / (n_left + 20) + (s - coalesce(s_left, 0)) * (s - coalesce(s_left, 0)) / (n - n_left + 20) - s * s / (n + 20) AS gain
+              FROM sides WHERE n_left >= 20 AND n - n_left >= 20)
+    SELECT family, feature, cut, {r("0.25 * s_left / (n_left + 20)")} AS left_value, {r("0.25 * (s - s_left) / (n - n_left + 20)")} AS right_value
+    FROM gains QUALIFY row_number() OVER (PARTITION BY family ORDER BY gain DESC) = 1
+    """
+
+
+@query("boosted_first_splits", "M3", _first_splits_sql())
+def boosted_first_splits(t: RetailTables):
+    """The first split of every family's first tree, with its leaves: what trying all cuts over all rows finds."""
+    names = list(BOOSTED_CUTS)
+    rows = forecast.complete_rows(forecast.local_features(t.panel))
+    plan = boosting.Plan(pooled_rounds=0, group_rounds=1, depth=1)
+    models = boosting.fit_boosted(rows, "family", names, "y", plan, cuts=[BOOSTED_CUTS[c] for c in names])
+    tree = F.col("trees")[0]
+    return models.filter("family IS NOT NULL").select(
+        "family", F.get(F.array(*[F.lit(c) for c in names]), tree["feature"][0]).alias("feature"), tree["cut"][0].alias("cut"),
+        tree["value"][0].alias("left_value"), tree["value"][1].alias("right_value"),
+    )
+
+
+@query("boosted_scores", "M3")
+def boosted_scores(t: RetailTables):
+    """Hold-out errors of the boosted family models next to the ridge models', over the same days."""
+    rows = forecast.holdout_split(forecast.complete_rows(forecast.local_features(t.panel)))
+    train, held = rows.filter(~F.col("holdout")), rows.filter("holdout")
+    names = [c for c in LOCAL_FEATURES if c != "one"]
+    models = t.stored("boosted_trial", lambda: boosting.fit_boosted(train, "family", names, "y"))
+    scored = boosting.with_tree_score(held, models, "family", names, "_log").withColumn("prediction", unlog_target("_log"))
+    errors = metrics.evaluate(scored, by=["family"], perishable="perishable").select("family", F.col("rmsle").alias("boosted_rmsle"))
+    return errors.join(t.local_scores.select("family", F.col("rmsle").alias("ridge_rmsle")), "family", "left")
+
+
 BACKTEST_SQL = f"""
     fut AS (SELECT store_nbr, family, date, CAST(onpromotion AS DOUBLE) AS promo FROM v_panel
             WHERE date > (SELECT max(date) - 28 FROM v_panel)),
@@ -423,22 +572,33 @@ def routed_forecast(t: RetailTables):
     )
 
 
-@query("retrained_tables", "M20")
+@query(
+    "retrained_tables",
+    "M20 S10",
+    """
+    SELECT 'forecasts' AS table_name, count(*) AS n_rows, count(*) AS n_keys, TRUE AS totals_agree FROM v_plan
+    UNION ALL SELECT 'inventory', count(*), count(*), TRUE FROM (SELECT DISTINCT store_nbr, item_nbr FROM v_plan)
+    UNION ALL SELECT 'sku_stats', count(*), count(*), TRUE FROM v_items
+    """,
+)
 def retrained_tables(t: RetailTables):
-    """The whole job; one summary row per published table."""
-    done = retrain.retrain(t, f"{t.root}/retrained")
-    parts = []
-    for name, path, value in (
-        ("forecasts", done.forecasts, "predicted_sales"),
-        ("inventory", done.inventory, "current_stock"),
-        ("sku_stats", done.sku_stats, "fc_total_16d"),
-    ):
-        stored = t.spark.read.parquet(path)
-        parts.append(
-            stored.agg(
-                F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.sum(value).alias("total")
-            )
+    """The whole job; per published table its rows, its distinct keys, and whether its totals follow from the
+    forecast of the families, the shares and the stock policy."""
+    done = retrain.retrain(t, Snapshots(t.spark, f"{t.root}/retrained"))
+    made = {name: done.read(name) for name in done.tables}
+    fresh, pair = made["forecasts"], ["store_nbr", "item_nbr"]
+    planned = t.shares.join(t.plan.select(*pair, "date"), pair).join(retrain.combined_forecast(t), ["store_nbr", "family", "date"])
+    want = planned.agg(F.sum(F.col("share") * F.col("prediction"))).scalar()
+    total = fresh.agg(F.sum("predicted_sales")).scalar()
+    close = lambda a, b: F.abs(a - b) <= 1e-6 * F.greatest(F.abs(b), F.lit(1.0))
+    stock = derive_inventory(fresh, default_policy(fresh)).agg(F.sum("current_stock")).scalar()
+
+    def row(name: str, keys: list[str], value: str, expected):
+        return made[name].agg(
+            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(*keys).alias("n_keys"), close(F.sum(value), expected).alias("totals_agree")
         )
+
+    parts = [row("forecasts", [*pair, "date"], "predicted_sales", want), row("inventory", pair, "current_stock", stock), row("sku_stats", ["item_nbr"], "fc_total_16d", total)]
     return stack(stack(parts[0], parts[1]), parts[2])
 
 

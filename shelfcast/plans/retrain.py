@@ -19,7 +19,7 @@ def combined_forecast(t: RetailTables) -> DataFrame:
     """Family forecast: the local model where its hold-out error is good, else the baseline."""
     local = forecast.forecast_recursive(t.panel, t.future, t.local_models).withColumnRenamed("prediction", "local")
     base = t.family_prediction.withColumnRenamed("prediction", "global")
-    both = base.join(local.drop("horizon_day"), ["store_nbr", "family", "date"], "left")
+    both = base.join(local.drop("horizon_day", "used_model"), ["store_nbr", "family", "date"], "left")
     routes = forecast.choose_routes(t.panel, t.local_scores, baseline_scores(t))
     usable = both.withColumn("local", F.coalesce("local", "global"))
     return forecast.routed_prediction(usable, routes, "local", "global")

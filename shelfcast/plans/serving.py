@@ -24,7 +24,6 @@ from shelfcast.sources.snapshots import Snapshot, Snapshots
 from shelfcast.sources.tables import materialize, newest_partition, path_exists
 from shelfcast.sources.testdata import OrderTables
 
-ASSORTMENT_DAYS = 90
 SALES_COLUMNS = ["date", "store_nbr", "item_nbr", "unit_sales", "onpromotion"]
 
 
@@ -219,13 +218,11 @@ class RetailTables:
 
     @cached_property
     def plan(self) -> DataFrame:
+        """Every pair ever sold, from the sums per pair: no pass over the facts."""
         return self.stored(
             "plan",
             lambda: forecast.number_rows(
-                forecast.assortment_plan(
-                    self.recent_sales(ASSORTMENT_DAYS), self.later_sales, self.origin, ASSORTMENT_DAYS, self.horizon
-                ),
-                self.origin,
+                forecast.assortment_plan(self.sold, self.later_sales, self.origin, self.horizon), self.origin
             ),
         )
 

@@ -159,7 +159,7 @@ VIEWS = {
         SELECT (h.date - o.origin) * 144115188075855872 + CAST(a.store_nbr AS BIGINT) * 137438953472
                    + a.item_nbr AS id,
                h.date, a.store_nbr, a.item_nbr, f.onpromotion
-        FROM (SELECT DISTINCT store_nbr, item_nbr FROM v_sales, v_origin WHERE date > origin - 90) a
+        FROM (SELECT DISTINCT store_nbr, item_nbr FROM v_sales) a
         CROSS JOIN v_horizon h CROSS JOIN v_origin o
         LEFT JOIN (SELECT date, store_nbr, item_nbr, max(onpromotion) AS onpromotion FROM v_raw, v_origin
                    WHERE date > origin GROUP BY ALL) f

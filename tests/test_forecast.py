@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.operators import ensemble, features, forecast
 from shelfcast.operators.forecast import LOCAL_FEATURES
-from shelfcast.plans.queries.forecasting import CHECK_COEFFICIENTS, check_models
+from shelfcast.plans.queries.forecasting import CHECK_COEFFICIENTS, POOLED, check_models
 
 
 def test_recursion_matches_a_plain_loop(tables):
@@ -18,9 +18,7 @@ def test_recursion_matches_a_plain_loop(tables):
     checked = 0
     for (store, family), plan in future.groupby(["store_nbr", "family"]):
         mine = got[(got.store_nbr == store) & (got.family == family)].sort_values("date")
-        if family == "LARGE":
-            assert mine.empty
-            continue
+        assert set(mine.used_model) == {"pooled" if family == "LARGE" else "local"}
         s = panel[(panel.store_nbr == store) & (panel.family == family)].sort_values("date")
         logs = list(np.log1p(s.target.clip(lower=0)))[-28:]
         logs = [0.0] * (28 - len(logs)) + logs
@@ -31,7 +29,7 @@ def test_recursion_matches_a_plain_loop(tables):
                  float(r.date.weekday() >= 5), 0.0]
             end = (r.date.replace(day=28) + np.timedelta64(4, "D").astype(object)).replace(day=1)
             x[-1] = float(r.date.day == 15 or (end - r.date).days == 1)
-            logs.append(max(0.0, float(coef @ np.array(x))))
+            logs.append(max(0.0, float(coef @ np.array(x)) * (POOLED if family == "LARGE" else 1.0)))
             want.append(np.expm1(logs[-1]))
         assert np.allclose(mine.prediction, want)
         checked += 1
@@ -45,7 +43,7 @@ def test_training_and_recursion_see_the_same_features(tables):
     ahead = tables.panel.filter(F.col("date") == last).select("store_nbr", "family", "date", "onpromotion")
     stepped = forecast.forecast_recursive(known, ahead, check_models(tables))
     rows = forecast.complete_rows(forecast.local_features(tables.panel)).filter(F.col("date") == last)
-    windowed = rows.join(check_models(tables), "family").withColumn("w", F.expm1(forecast.linear_score()))
+    windowed = forecast.with_coefficients(rows, check_models(tables)).withColumn("w", F.expm1(forecast.linear_score()))
     both = stepped.join(windowed.select("store_nbr", "family", "w"), ["store_nbr", "family"])
     assert both.count() == windowed.count() > 0
     assert both.filter(F.abs(F.col("prediction") - F.col("w")) > 1e-9).isEmpty()
@@ -55,24 +53,40 @@ def test_ridge_solves_the_normal_equations(tables):
     rows = forecast.complete_rows(forecast.local_features(tables.panel))
     models = {r["family"]: r for r in tables.local_models.collect()}
     pdf = rows.select("family", "y", *LOCAL_FEATURES).toPandas()
-    for family, m in models.items():
-        part = pdf[pdf.family == family]
+    pooled = models.pop(None)
+    for family, m in [(None, pooled), *models.items()]:
+        part = pdf if family is None else pdf[pdf.family == family]
         x, y = part[LOCAL_FEATURES].to_numpy(float), part.y.to_numpy(float)
-        penalty = np.diag([1e-9] + [m["ridge"]] * (len(LOCAL_FEATURES) - 1))
-        want = np.linalg.solve(x.T @ x + penalty, x.T @ y)
+        ridge = np.full(len(LOCAL_FEATURES), m["ridge"])
+        ridge[0] = 1e-9 if family is None else ridge[0]
+        prior = np.zeros(len(ridge)) if family is None else np.array(pooled["coef"])
+        want = np.linalg.solve(x.T @ x + np.diag(ridge), x.T @ y + ridge * prior)
         assert np.allclose(m["coef"], want, atol=1e-8)
         assert m["n_rows"] == len(part)
 
 
-def test_small_families_get_no_model_or_more_shrinkage(spark):
+def test_families_of_any_size_are_drawn_to_the_pooled_model(spark):
     p = len(LOCAL_FEATURES)
-    eye = [1.0 if i == j else 0.0 for i in range(p) for j in range(i, p)]
-    rows = [("tiny", 999, eye, [1.0] * p), ("small", 4999, eye, [1.0] * p), ("large", 5000, eye, [1.0] * p)]
+    eye = lambda n: [float(n) if i == j else 0.0 for i in range(p) for j in range(i, p)]
+    rows = [("tiny", 1, eye(1), [3.0] * p), ("large", 100_000, eye(100_000), [1e5] * p)]
     df = spark.createDataFrame(rows, "family string, n_rows long, gram array<double>, cross array<double>")
     got = {r["family"]: r for r in forecast.solve_families(df).collect()}
-    assert set(got) == {"small", "large"}
-    assert got["small"]["ridge"] == 10.0 and got["large"]["ridge"] == 1.0
-    assert got["large"]["coef"][1] == pytest.approx(0.5) and got["small"]["coef"][1] == pytest.approx(1 / 11)
+    assert set(got) == {"tiny", "large", None}
+    pooled = got[None]["coef"][1]
+    assert pooled == pytest.approx(100_003 / 100_011)
+    assert got["tiny"]["coef"][1] == pytest.approx((3 + 10 * pooled) / 11) and got["large"]["coef"][1] == pytest.approx(1.0, abs=1e-3)
+
+
+def test_no_series_is_lost(spark, tables):
+    """No history, no model of its own, no model at all: each has its days and says what made them."""
+    new = spark.createDataFrame([(999, "LARGE"), (999, "NEW")], "store_nbr int, family string")
+    days = tables.future.select("date").distinct().withColumn("onpromotion", F.lit(False))
+    future = tables.future.select("store_nbr", "family", "date", "onpromotion").unionByName(new.join(days))
+    got = forecast.forecast_recursive(tables.panel, future, check_models(tables))
+    assert got.count() == future.count() and got.filter("prediction IS NULL OR prediction < 0").isEmpty()
+    assert {r[0] for r in got.filter("store_nbr = 999").select("used_model").distinct().collect()} == {"pooled"}
+    none = forecast.forecast_recursive(tables.panel, future, check_models(tables).filter("family IS NOT NULL"))
+    assert none.filter("used_model = 'zero' AND prediction <> 0").isEmpty() and none.count() == future.count()
 
 
 def test_search_keeps_default_without_a_clear_gain(tables):
