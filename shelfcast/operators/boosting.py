@@ -114,8 +114,10 @@ def _sums(held: DataFrame, places: dict, width: int, size: int, stages: list[tup
     return out.reshape(2, groups, nodes, width, size)
 
 
-def best_splits(sums: np.ndarray, shrink: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per (group, node): feature (-1: none), bin, and the sums (weight, rest) of its left and right side."""
+def best_splits(sums: np.ndarray, shrink: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per (group, node): feature (-1: none), bin, and the sums (weight, rest) of its left and right side;
+    `shrink` and `least` have an entry a group."""
+    shrink, least = shrink[:, None, None, None], least[:, None, None, None]
     weight, rest = np.cumsum(sums[0], -1), np.cumsum(sums[1], -1)
     whole_w, whole_r = weight[..., :1, -1:], rest[..., :1, -1:]
     left_w, left_r = weight[..., :-1], rest[..., :-1]
@@ -133,11 +135,12 @@ def best_splits(sums: np.ndarray, shrink: float, least: float) -> tuple[np.ndarr
     return np.where(none, -1, feature), np.where(none, sums.shape[-1], place), np.where(none[..., None], whole[0], w), np.where(none[..., None], whole[1], r)
 
 
-def fit_boosted(rows: DataFrame, group: str, features: list[str], label: str, plan: Plan | None = None, weight: str | None = None, cuts: list[list[float]] | None = None) -> DataFrame:
+def fit_boosted(rows: DataFrame, group: str, features: list[str], label: str, plan: Plan | None = None, weight: str | None = None, cuts: list[list[float]] | None = None, settings: dict | None = None) -> DataFrame:
     """A model per value of `group`, a row (group, base, trees) each, and the pooled one with a null group, for
     rows without a group or of groups that training didn't hold.
 
-    Rows without a label are left out; a null feature is below every cut.  The model's numbers (groups x rounds x
+    Rows without a label are left out; a null feature is below every cut.  `settings` may give groups a plan of
+    their own, of which `rate`, `shrink` and `least_rows` hold for the group's own trees.  The model's numbers (groups x rounds x
     nodes) are held by the driver and by each task; rows never are.
     """
     plan = plan or Plan()
@@ -152,15 +155,18 @@ def fit_boosted(rows: DataFrame, group: str, features: list[str], label: str, pl
     stages: list[tuple[Trees, bool]] = []
     for rounds, pooled in ((plan.pooled_rounds, True), (plan.group_rounds, False)):
         groups = 1 if pooled else len(names)
+        plans = [plan] if pooled else [(settings or {}).get(v, plan) for v in names]
+        shrink, least, rate = (np.array([getattr(p, c) for p in plans], float) for c in ("shrink", "least_rows", "rate"))
         stages.append((Trees(), pooled))
         for _ in range(rounds if groups and totals[0] and width else 0):
             feature, place = np.full((groups, nodes), -1), np.full((groups, nodes), size)
             for level in range(plan.depth):
                 sums = _sums(held, places, width, size, stages, pooled, base, plan.depth, level, (feature, place))
-                f, b, w, s = best_splits(sums, plan.shrink, plan.least_rows)
+                f, b, w, s = best_splits(sums, shrink, least)
                 first = (1 << level) - 1
                 feature[:, first : 2 * first + 1], place[:, first : 2 * first + 1] = f, b
-            value = plan.rate * (s / (w + plan.shrink)).reshape(groups, -1)
+            # s and w are (group, node, side): the leaves in order
+            value = (rate[:, None, None] * s / (w + shrink[:, None, None])).reshape(groups, -1)
             for column, made in zip((stages[-1][0].feature, stages[-1][0].bin, stages[-1][0].value), (feature, place, value), strict=True):
                 column.append(made)
     return model_table(rows.sparkSession, rows.schema[group].dataType.simpleString(), group, names, base, stages, cuts)
@@ -185,19 +191,20 @@ def model_table(spark: SparkSession, kind: str, group: str, names: list, base: f
     return spark.createDataFrame(data, f"{group} {kind}, {MODEL}")
 
 
+def tree_score_of(values: Column, tree: Column, depth: int) -> Column:
+    """The leaf of one tree that an array of features reaches."""
+    node = F.lit(0)
+    for _ in range(depth):
+        right = F.get(values, F.get(tree["feature"], node)) > F.get(tree["cut"], node)
+        node = node * 2 + 1 + right.cast("int")
+    return F.get(tree["value"], node - ((1 << depth) - 1))
+
+
 def tree_score(features: list[Column], base: Column, trees: Column, depth: int = Plan.depth) -> Column:
     """Prediction of a model row's `base` and `trees` for a row's features; null is below every cut."""
     x = F.array(*[F.coalesce(f.cast("double"), F.lit(float("-inf"))) for f in features])
-
-    def leaf(values: Column, t: Column) -> Column:
-        node = F.lit(0)
-        for _ in range(depth):
-            right = F.get(values, F.get(t["feature"], node)) > F.get(t["cut"], node)
-            node = node * 2 + 1 + right.cast("int")
-        return F.get(t["value"], node - ((1 << depth) - 1))
-
     # the features are put together once, not once a tree
-    both = F.transform(F.array(x), lambda values: F.aggregate(trees, base, lambda s, t: s + leaf(values, t)))
+    both = F.transform(F.array(x), lambda values: F.aggregate(trees, base, lambda s, t: s + tree_score_of(values, t, depth)))
     return F.element_at(both, 1)
 
 
@@ -208,3 +215,15 @@ def with_tree_score(rows: DataFrame, models: DataFrame, group: str, features: li
     pooled = {f"_{c}0": rest.agg(F.first(c)).scalar() for c in ("base", "trees")}
     score = tree_score([F.col(f) for f in features], F.coalesce("_base1", "_base0"), F.coalesce("_trees1", "_trees0"), depth)
     return rows.join(own, group, "left").withColumns(pooled).withColumn(out, score).drop("_base0", "_trees0", "_base1", "_trees1")
+
+
+def staged_losses(rows: DataFrame, models: DataFrame, group: str, features: list[str], label: str, weight: str | None = None, depth: int = Plan.depth) -> DataFrame:
+    """group, rounds and loss (weighted mean square) after each round of a group's trees, 0 rounds first, in one pass."""
+    x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("-inf"))) for f in features])
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    joined = rows.join(models.select(group, "base", "trees"), group).withColumns({"_x": x, "_w": w, "_y": F.col(label).cast("double")})
+    one = lambda t: tree_score_of(F.col("_x"), t, depth)
+    # rest[k] is what k trees leave over
+    rest = F.aggregate(F.transform("trees", one), F.array(F.col("_y") - F.col("base")), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) - v)))
+    each = joined.select(group, "_w", F.posexplode(rest).alias("rounds", "_rest"))
+    return each.groupBy(group, "rounds").agg((F.sum(F.col("_w") * F.col("_rest") ** 2) / F.sum("_w")).alias("loss"))
