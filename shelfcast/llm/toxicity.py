@@ -7,9 +7,9 @@ an example or not, counts in its length.  Cosines are exact over these features.
 Examples are rows of two thirds of the labelled training rows: `EXAMPLES` of each label, those with the
 smallest text hash, and votes are weighted back to the number that each label has.  They stand in an
 inverted index whose postings are cut into blocks of `BLOCK` neighbouring examples; examples with the same
-most frequent feature are neighbours.  The largest weight of each (feature, block) bounds what a block's
-examples can reach.  Blocks are scored from the highest bound down, in a few steps, and left out once the
-bound lies below the `NEAREST`-th best cosine, so the neighbours found are exactly those of a full search.
+most frequent feature are neighbours.  The postings of the `HEAD` most frequent features are kept as a matrix by
+block.  The largest weight of each (feature, block) bounds what a block's examples can reach.  The `FIRST` blocks by bound are scored first, then those whose bound isn't below the
+`NEAREST`-th best cosine of these, so the neighbours found are exactly those of a full search.
 
 Cosine-weighted votes are calibrated by isotonic regression on the last third, of which `EXAMPLES` of each
 label are scored.
@@ -39,9 +39,10 @@ PRIOR = 2.0  # weight of the base rate among the votes
 STEM = 5
 BITS = 20
 EXAMPLES, NEAREST = 4000, 25
-BLOCK, HEAD = 32, 512
-STEPS = (4, 16, 64)  # blocks scored before the bounds are looked at again
-MARGIN = 1e-8  # cosines closer than this may tie
+BLOCK, HEAD = 64, 1024
+FIRST = 8  # blocks scored before the bounds are compared
+TOGETHER = 64  # texts scored at once
+MARGIN = 1e-5  # more than single precision is off by
 PIECE = 1 << 20  # bytes hashed at once
 SLICE = 1 << 12  # features that are added up in one group
 BROADCAST_LABELS = 300_000
@@ -162,72 +163,107 @@ def expanded(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Unit vectors by feature, in blocks of neighbours, with the largest weight of each block."""
+    """Unit vectors in blocks of neighbours: by block a matrix for the `head` most frequent features, postings by
+    feature for the others, and for every feature its largest weight in each block.
+
+    What travels are the vectors; the rest is made from them where it is used first.  The matrix is in single
+    precision: it finds the candidates, whose cosines are then computed from the vectors."""
 
     def __init__(self, owner: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int, block: int = BLOCK, head: int = HEAD):
-        self.n, self.blocks = n, -(-n // block)
-        order = np.lexsort((owner, feature))
-        self.place, self.value = owner[order].astype(np.int32), value[order]
-        feature, of = feature[order], self.place // block
-        new = np.ones(len(feature), bool)
-        new[1:] = (feature[1:] != feature[:-1]) | (of[1:] != of[:-1])
-        # an entry is a feature's part in a block; its postings are start[e] .. start[e + 1] - 1
-        entry = np.flatnonzero(new)
-        self.start = np.append(entry, len(feature))
-        self.block, self.most = of[entry], np.maximum.reduceat(self.value, entry) if len(entry) else np.zeros(0)
-        self.terms, first = np.unique(feature[entry], return_index=True)
-        self.first = np.append(first, len(entry))
-        # entries of the most frequent features stand in a matrix, so their bounds are one product
-        often = np.argsort(-(self.first[1:] - self.first[:-1]), kind="stable")[:head]
-        self.row = np.full(len(self.terms), -1, np.int32)
-        self.row[often] = np.arange(len(often))
-        self.entry_of = np.full((len(often), self.blocks), -1, np.int64)
-        at = expanded(self.first[often], self.first[often + 1] - self.first[often])
-        self.entry_of[np.repeat(np.arange(len(often)), self.first[often + 1] - self.first[often]), self.block[at]] = at
-        self.most_of = np.where(self.entry_of >= 0, self.most[self.entry_of] if len(entry) else 0.0, 0.0)
+        self.n, self.block, self.blocks, self.head_size = n, block, -(-n // block), head
+        order = np.argsort(owner, kind="stable")
+        self.terms, term = np.unique(feature[order], return_inverse=True)
+        self.term, self.weight = term.astype(np.int32), value[order]
+        self.vector = np.searchsorted(owner[order], np.arange(n + 1))
         self.scored = 0  # blocks that were scored so far
+        self.made = False
 
-    def nearest(self, feature: np.ndarray, value: np.ndarray, wanted: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples of a unit vector, best first."""
-        term = np.searchsorted(self.terms, feature)
-        known = term < len(self.terms)
-        known[known] = self.terms[term[known]] == feature[known]
-        term, value = term[known], value[known]
+    def make(self) -> None:
+        owner, term = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.vector)), self.term
+        often = np.argsort(-np.bincount(term, minlength=len(self.terms)), kind="stable")[: self.head_size]
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        row = self.row[term]
+        at = np.flatnonzero(row >= 0)
+        self.head = np.zeros((self.blocks, len(often), self.block), np.float32)
+        self.head[owner[at] // self.block, row[at], owner[at] % self.block] = self.weight[at]
+        self.head_most = self.head.max(axis=2).T if self.n else np.zeros((len(often), 0), np.float32)
+        self.head_row, self.head_weight, self.head_start = row[at], self.weight[at], np.searchsorted(owner[at], np.arange(self.n + 1))
+        rest = np.flatnonzero(row < 0)
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        term, self.place, self.value = term[rest], owner[rest], self.weight[rest]
+        self.start = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        # an entry is a feature's part in a block, with its largest weight there
+        of = self.place // self.block
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])
+        entry = np.flatnonzero(new)
+        self.entry_block, self.entry_most = of[entry], np.maximum.reduceat(self.value, entry) if len(entry) else np.zeros(0)
+        self.entry_start = np.searchsorted(term[entry], np.arange(len(self.terms) + 1))
+        self.made = True
+
+    def cosines(self, head: np.ndarray, rest: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Cosines with the examples at `places`, from a vector's weights by head row and its sums over the others."""
+        size = self.head_start[places + 1] - self.head_start[places]
+        at = expanded(self.head_start[places], size)
+        return rest[places] + np.bincount(np.repeat(np.arange(len(places)), size), self.head_weight[at] * head[self.head_row[at]], len(places))
+
+    def _spread(self, start: np.ndarray, term: np.ndarray, query: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = start[term + 1] - start[term]
+        return expanded(start[term], size), np.repeat(query, size), np.repeat(value, size)
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], wanted: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of the nearest examples of each unit vector (features, values), best first."""
+        if not self.made:
+            self.make()
+        m, width = len(queries), self.blocks * self.block
+        query = np.repeat(np.arange(m), [len(f) for f, _ in queries])
+        feature, value = (np.concatenate([q[j] for q in queries]) for j in (0, 1))
+        term = np.minimum(np.searchsorted(self.terms, feature), max(len(self.terms) - 1, 0))
+        known = self.terms[term] == feature if len(self.terms) else np.zeros(len(feature), bool)
+        query, term, value = query[known], term[known], value[known]
         row = self.row[term]
-        rows, row_value = row[row >= 0], value[row >= 0]
-        rare, rare_value = term[row < 0], value[row < 0]
-        size = self.first[rare + 1] - self.first[rare]
-        entry, entry_value = expanded(self.first[rare], size), np.repeat(rare_value, size)
-        bound = row_value @ self.most_of[rows] + np.bincount(self.block[entry], self.most[entry] * entry_value, self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        least, done = 0.0, 0
-        places, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for stop in (*STEPS, self.blocks):
-            chosen = order[done : max(stop, done)]
-            chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - MARGIN)]
-            done = max(stop, done)
-            if not len(chosen):
-                continue
-            self.scored += len(chosen)
-            picked = np.zeros(self.blocks, bool)
-            picked[chosen] = True
-            often = self.entry_of[np.ix_(rows, chosen)]
-            there = often >= 0
-            few = picked[self.block[entry]]
-            e = np.concatenate([often[there], entry[few]])
-            v = np.concatenate([np.broadcast_to(row_value[:, None], often.shape)[there], entry_value[few]])
-            size = self.start[e + 1] - self.start[e]
-            at = expanded(self.start[e], size)
-            got = np.bincount(self.place[at], self.value[at] * np.repeat(v, size), self.n)
-            met = np.flatnonzero(got > 0)
-            places, cosines = np.concatenate([places, met]), np.concatenate([cosines, got[met]])
-            if len(cosines) >= wanted:
-                least = np.partition(cosines, -wanted)[-wanted]
-                keep = cosines >= least - MARGIN
-                places, cosines = places[keep], cosines[keep]
-        cosines = np.round(cosines, 12)
-        best = np.lexsort((places, -np.round(cosines, 9)))[:wanted]
-        return places[best], cosines[best]
+        often, rare = row >= 0, row < 0
+        exact = np.zeros((m, self.head.shape[1]))
+        exact[query[often], row[often]] = value[often]
+        vectors = exact.astype(np.float32)
+        at, q, v = self._spread(self.entry_start, term[rare], query[rare], value[rare])
+        bound = np.bincount(q * self.blocks + self.entry_block[at], self.entry_most[at] * v, m * self.blocks).reshape(m, -1) + vectors @ self.head_most
+        at, q, v = self._spread(self.start, term[rare], query[rare], value[rare])
+        rest = np.bincount(q * width + self.place[at], self.value[at] * v, m * width).reshape(m, self.blocks, self.block)
+        found = np.zeros((m, self.blocks, self.block), np.float32)
+        few = rest.astype(np.float32)
+
+        def score(need: np.ndarray) -> None:
+            for k in np.flatnonzero(need.any(axis=0)):
+                some = np.flatnonzero(need[:, k])
+                found[some, k] = vectors[some] @ self.head[k] + few[some, k]
+            self.scored += int(need.sum())
+
+        # the blocks of the highest bounds first; then those that can still hold one of the best
+        first = min(FIRST, self.blocks)
+        top = np.argpartition(-bound, first - 1, axis=1)[:, :first] if self.blocks else np.zeros((m, 0), int)
+        need = np.zeros((m, self.blocks), bool)
+        np.put_along_axis(need, top, True, axis=1)
+        score(need & (bound > 0))
+        least = np.zeros(m)
+        if first * self.block >= wanted:
+            least = np.partition(found[np.arange(m)[:, None], top].reshape(m, -1), -wanted, axis=1)[:, -wanted]
+        score(~need & (bound > 0) & (bound >= least[:, None] - MARGIN))
+        out = []
+        for k in range(m):
+            all_of = found[k].ravel()
+            places = np.flatnonzero((all_of > 0) & (all_of >= least[k] - MARGIN))
+            if len(places) > wanted:
+                near = all_of[places]
+                places = places[near >= np.partition(near, -wanted)[-wanted] - MARGIN]
+            cosines = np.round(self.cosines(exact[k], rest[k].ravel(), places), 12)
+            best = np.lexsort((places, -np.round(cosines, 9)))[:wanted]
+            out.append((places[best], cosines[best]))
+        return out
+
+    def nearest(self, feature: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([(feature, value)])[0]
 
 
 class Voter:
@@ -246,9 +282,10 @@ class Voter:
         for first, last, owner, feature, count in made.counted(texts):
             value = weighted(owner, feature, count, self.idf) if len(owner) else np.zeros(0)
             at = np.searchsorted(owner, np.arange(last - first + 1))
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                places, cosines = self.index.nearest(feature[a:b], value[a:b])
-                yield self.vote(places, cosines), [self.ids[p] for p in places[:3]], [float(c) for c in cosines[:3]]
+            queries = [(feature[a:b], value[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            for k in range(0, len(queries), TOGETHER):
+                for places, cosines in self.index.nearest_of(queries[k : k + TOGETHER]):
+                    yield self.vote(places, cosines), [self.ids[p] for p in places[:3]], [float(c) for c in cosines[:3]]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
