@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.expr import unlog_target
 from shelfcast.functions.series import SERIES_KEYS
-from shelfcast.operators import boosting, ensemble, forecast, metrics, stepwise
+from shelfcast.operators import boosting, ensemble, forecast, metrics, stepwise, tuning
 from shelfcast.operators.clean import stack
-from shelfcast.operators.features import extended_features
+from shelfcast.operators.features import encode_ordinal, extended_features
 from shelfcast.operators.forecast import DRIVER_FEATURES, LOCAL_FEATURES
 from shelfcast.operators.inventory import default_policy, derive_inventory
+from shelfcast.operators.model_registry import load_model, save_model
 from shelfcast.plans import retrain
 from shelfcast.plans.queries.features import SERIES, rolled
 from shelfcast.plans.queries.scoring import FOLDS_SQL, _stored_folds
@@ -477,38 +478,121 @@ def _global_rows(t: RetailTables, min_lag: int = 28):
     return t.stored(f"global_rows_{min_lag}", build)
 
 
-@query("ensemble_fold_scores", "M4 M5")
+GLOBAL_FEATURES = [*ensemble.NUMERIC, "family_code"]
+SEEDS, MOST_ROUNDS = (7, 11), 8
+
+
+def _coded_rows(t: RetailTables, min_lag: int = 28):
+    """Feature rows of the global models with the family as a number."""
+    return t.stored(f"coded_rows_{min_lag}", lambda: encode_ordinal(t.items, _global_rows(t, min_lag), ["family"]))
+
+
+def _two_phase(t: RetailTables, name: str, min_lag: int, folds: int, days: int):
+    """Tree models, chosen rounds and linear models of all folds, stored."""
+    train = tuning.training_rows(_coded_rows(t, min_lag), folds, days)
+
+    def fit():
+        return tuning.fit_two_phase(train, GLOBAL_FEATURES, "label", KEYS, SEEDS, most_rounds=MOST_ROUNDS)
+
+    if not path_exists(t.spark, f"{t.root}/{name}_rounds/_SUCCESS"):
+        models, chosen = fit()
+        t.stored(f"{name}_trees", lambda: models)
+        t.stored(f"{name}_rounds", lambda: chosen)
+    read = lambda part: t.spark.read.parquet(f"{t.root}/{name}_{part}")
+    return read("trees"), read("rounds"), t.stored(f"{name}_linear", lambda: tuning.fit_linear_folds(train, GLOBAL_FEATURES, "label"))
+
+
+def _scored_by(rows, trees, linear):
+    """Feature rows with `fold`, scored by both members."""
+    both = tuning.score_runs(rows, trees, GLOBAL_FEATURES, SEEDS, "tree_log")
+    return tuning.score_linear(both, linear, GLOBAL_FEATURES, "linear_log")
+
+
+def _fold_predictions(t: RetailTables):
+    """Log predictions of both members on the validation days of three folds."""
+
+    def build():
+        trees, _, linear = _two_phase(t, "folds", 28, 3, 28)
+        held = tuning.validation_rows(_coded_rows(t), 3, 28)
+        return _scored_by(held, trees, linear).select(*KEYS, "fold", "target", "perishable", "tree_log", "linear_log")
+
+    return t.stored("fold_predictions", build)
+
+
+@query("fold_rounds", "M4")
+def fold_rounds(t: RetailTables):
+    """Rounds that the last days inside each fold's training days chose, by seed, and those of the second fit."""
+    return _two_phase(t, "folds", 28, 3, 28)[1]
+
+
+@query("ensemble_fold_scores", "M4 M5 M15")
 def ensemble_fold_scores(t: RetailTables):
-    """Boosted trees and the linear model on the newest fold, their blend and its scores."""
-    rows = _global_rows(t)
-    end = t.origin
-    fold = ensemble.fit_fold(rows, F.date_sub(end, 28), F.date_sub(end, 27), end, seeds=(7, 11), iterations=4)
-    scored = t.stored("ensemble_fold", lambda: fold.select(*KEYS, "target", "perishable", "tree_log", "linear_log"))
-    weight = metrics.blend_sums(scored, [], "target", "tree_log", "linear_log").select(metrics.best_weight())
-    blended = ensemble.blend(scored, weight.scalar()).withColumnRenamed("prediction", "blend")
-    named = blended.select(
-        F.lit(1).alias("fold"),
-        "target",
-        "perishable",
-        F.expm1("tree_log").alias("trees"),
-        F.expm1("linear_log").alias("linear"),
-        "blend",
-    )
+    """Boosted trees and the linear model on three folds, their blend at each fold's own weight, and the scores."""
+    scored = _fold_predictions(t)
+    weights = metrics.blend_weights(scored, "target", "tree_log", "linear_log").select("fold", "weight")
+    blended = ensemble.blend(scored.join(weights, "fold"), F.col("weight")).withColumnRenamed("prediction", "blend")
+    named = blended.select("fold", "target", "perishable", F.expm1("tree_log").alias("trees"), F.expm1("linear_log").alias("linear"), "blend")
     return metrics.score_models(named, ["trees", "linear", "blend"], perishable="perishable")
 
 
-@query("direct_forecast", "M9 M19")
+@query(
+    "fold_predictions",
+    "M15",
+    """
+    SELECT CAST(3 - (m.hi - date) // 28 AS INTEGER) AS fold, family, count(*) AS n_rows, count(DISTINCT date) AS n_days, CAST(0 AS BIGINT) AS unscored
+    FROM v_panel, (SELECT max(date) AS hi FROM v_panel) m WHERE m.hi - date < 84 GROUP BY ALL
+    """,
+)
+def fold_predictions(t: RetailTables):
+    """Three folds of 28 days for every series of every family."""
+    lacks = F.count(F.when(F.col("tree_log").isNull() | F.col("linear_log").isNull(), 1))
+    return _fold_predictions(t).groupBy("fold", "family").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("date").alias("n_days"), lacks.alias("unscored"))
+
+
+@query("halving_search", "M18")
+def halving_search(t: RetailTables):
+    """The trial table of a search by successive halving on the newest 28 days."""
+
+    def build():
+        rows = _coded_rows(t)
+        last = rows.agg(F.max("date")).scalar()
+        train, held = rows.filter(F.col("date") <= F.date_sub(last, 28)), rows.filter(F.col("date") > F.date_sub(last, 28))
+        _, report = tuning.search_halving(train, held, GLOBAL_FEATURES, "label", trials=4, rungs=2)
+        schema = "rung int, trial string, rounds int, rate double, shrink double, least_rows double, error double, kept boolean"
+        return t.spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in report], schema)
+
+    return t.stored("halving_search", build)
+
+
+def _direct_score(rows, tables: dict, numbers: dict):
+    """Predictions of the saved final models."""
+    scored = _scored_by(rows.withColumn("fold", F.lit(1)), tables["trees"], tables["linear"])
+    return ensemble.blend(scored, numbers["weight"]).drop("fold", "tree_log", "linear_log")
+
+
+@query(
+    "direct_forecast",
+    "M9 M19",
+    """
+    SELECT family, count(*) AS n_rows, count(DISTINCT date) AS n_days, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS negative FROM v_planned GROUP BY family
+    """,
+)
 def direct_forecast(t: RetailTables):
-    """Final models saved, reloaded and used for the one-shot forecast."""
-    path = f"{t.root}/ensemble_16"
-    if not path_exists(t.spark, f"{path}/meta/_SUCCESS"):
-        fitted = ensemble.fit_ensemble(_global_rows(t, 16), t.origin, iterations=3)
-        ensemble.save_ensemble(fitted, path, t.spark)
-    models = ensemble.load_ensemble(path, t.spark)
-    history = t.panel.drop("transactions_lag1", "unit_sales", "observed")
-    recent = history.filter(F.col("date") > F.date_sub(t.origin, 90))
-    future = t.future.drop("transactions_lag1", "unit_sales")
-    return ensemble.forecast_direct(recent, future, models, 16)
+    """Final models on all days, saved, loaded with their input and answers compared, and used for the one-shot
+    forecast; keys and signs by family."""
+    log = Snapshots(t.spark, f"{t.root}/models")
+    if "direct:meta" not in log.latest():
+        trees, _, linear = _two_phase(t, "final", 16, 1, 0)
+        pooled = metrics.blend_sums(_fold_predictions(t), [], "target", "tree_log", "linear_log").select(metrics.best_weight()).first()[0]
+        save_model(log, "direct", {"trees": trees, "linear": linear}, {"weight": float(pooled)}, _coded_rows(t, 16), GLOBAL_FEATURES, KEYS, _direct_score)
+    tables, numbers = load_model(log, "direct", GLOBAL_FEATURES, _direct_score)
+    recent = t.panel.drop("transactions_lag1", "unit_sales", "observed").filter(F.col("date") > F.date_sub(t.origin, 90))
+    both = recent.unionByName(t.future.drop("transactions_lag1", "unit_sales").withColumn("_future", F.lit(True)), allowMissingColumns=True)
+    featured = extended_features(both, 16).withColumn("dayofweek", F.weekday("date")).filter("_future")
+    ahead = encode_ordinal(t.items, ensemble.model_rows(featured, 16), ["family"])
+    made = _direct_score(ahead, tables, numbers)
+    lacks, below = F.count(F.when(F.col("prediction").isNull(), 1)), F.count(F.when(F.col("prediction") < 0, 1))
+    return made.groupBy("family").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("date").alias("n_days"), lacks.alias("missing"), below.alias("negative"))
 
 
 # ---------------------------------------------------------------- routing and retrain
