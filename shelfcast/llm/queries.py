@@ -172,7 +172,8 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op5_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
-    scored, tokens = scores(table(spark, folder, "documents"), F.coalesce(~held_out, F.lit(False)))
+    # a null id has no remainder: it isn't held out
+    scored, tokens = scores(table(spark, folder, "documents"), F.coalesce(~held_out, F.lit(True)))
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

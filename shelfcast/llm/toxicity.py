@@ -4,15 +4,15 @@ Terms are words and their first letters, as features: a term's hash has `BITS` b
 frequencies, taken over all documents, are one vector of a fixed size, and every word of a text, known to
 an example or not, counts in its length.  Cosines are exact over these features.
 
-Examples are rows of two thirds of the labelled training rows: `EXAMPLES` of each label, those with the
+Examples are rows of four fifths of the labelled training rows: `EXAMPLES` of each label, those with the
 smallest text hash, and votes are weighted back to the number that each label has.  They stand in an
 inverted index whose postings are cut into blocks of `BLOCK` neighbouring examples; examples with the same
 most frequent feature are neighbours.  The postings of the `HEAD` most frequent features are kept as a matrix by
 block.  The largest weight of each (feature, block) bounds what a block's examples can reach.  The `FIRST` blocks by bound are scored first, then those whose bound isn't below the
 `NEAREST`-th best cosine of these, so the neighbours found are exactly those of a full search.
 
-Cosine-weighted votes are calibrated by isotonic regression on the last third, of which `EXAMPLES` of each
-label are scored.
+Cosine-weighted votes are calibrated by isotonic regression on the last fifth, of which `EXAMPLES` of each
+label are scored; between its steps the score rises evenly.
 
 Defined results: null and empty texts, and texts that share no feature with an example, have no
 neighbours, and their vote is the rate of label 1; of several labels for an id the largest counts, null
@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from shelfcast.llm.chunks import planes, scrambled, unplanes
 from shelfcast.llm.common import joined_small, stored
 
-FOLDS = 3
+FOLDS = 5
 PRIOR = 2.0  # weight of the base rate among the votes
 STEM = 5
 BITS = 20
-EXAMPLES, NEAREST = 4000, 25
+EXAMPLES, NEAREST = 4000, 50
 BLOCK, HEAD = 64, 1024
 FIRST = 8  # blocks scored before the bounds are compared
 TOGETHER = 64  # texts scored at once
@@ -289,7 +289,7 @@ class Voter:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: (x, level) of a rising step function, with one pseudo-count a step."""
+    """Pooled adjacent violators: (x, level) of a rising step function."""
     order = np.argsort(x, kind="stable")
     pools: list[list[float]] = []
     for k in order:
@@ -298,7 +298,15 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
             last = pools.pop()
             pools[-1] = [last[0], pools[-1][1] + last[1], pools[-1][2] + last[2]]
     xs = np.array([p[0] for p in pools])
-    return xs, np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
+    return xs, np.array([p[1] / p[2] for p in pools])
+
+
+def calibration(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the line that turns a vote into a chance: the isotonic steps at their upper ends, a little off 0
+    and 1, between these, so that a higher vote is a higher chance."""
+    xs, levels = isotonic(x, y, w)
+    off = 0.5 / (w.sum() + 1)
+    return np.array([0.0, *xs, 1.0]), np.array([0.0, *(off + (1 - 2 * off) * levels), 1.0])
 
 
 # ------------------------------------------------------------------ examples
@@ -404,7 +412,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
         y, x = held_out.column("one").to_numpy().astype(float), held_out.column("vote").to_numpy()
         w = np.array([there[1, o] / (y == o).sum() for o in (0, 1)])[y.astype(int)]
         order = np.lexsort((y, x))
-        levels = isotonic(x[order], y[order], w[order])
+        levels = calibration(x[order], y[order], w[order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Features()

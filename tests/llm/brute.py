@@ -147,7 +147,7 @@ def toxic_features(text: bytes) -> Counter:
     return out
 
 
-def toxicity(rows: list, labels: dict, nearest: int = 25) -> list:
+def toxicity(rows: list, labels: dict, nearest: int = 50) -> list:
     """(doc_id, score, evidence, cosines) by all cosines; few enough labels that all are examples."""
     import numpy as np
     import xxhash
@@ -165,9 +165,9 @@ def toxicity(rows: list, labels: dict, nearest: int = 25) -> list:
     units = [unit(c) for c in counts]
     signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63
     known = [(k, labels[d], signed(t)) for k, (d, t) in enumerate(rows) if d in labels and t is not None]
-    ones, zeros = (sum(1 for _, y, h in known if h % 3 and y == o) for o in (1, 0))
+    ones, zeros = (sum(1 for _, y, h in known if h % 5 and y == o) for o in (1, 0))
     rate = ones / (ones + zeros)
-    examples = [(k, y, h) for k, y, h in known if h % 3 and counts[k]]
+    examples = [(k, y, h) for k, y, h in known if h % 5 and counts[k]]
     examples.sort(key=lambda x: (min(f for f, n in counts[x[0]].items() if n == max(counts[x[0]].values())), x[2], rows[x[0]][0]))
 
     def vote(k):
@@ -177,7 +177,9 @@ def toxicity(rows: list, labels: dict, nearest: int = 25) -> list:
         got = (sum(c * examples[p][1] for c, p in best) + 2 * rate) / (total + 2)
         return got, [rows[examples[p][0]][0] for _, p in best[:3]], [c for c, _ in best[:3]]
 
-    held = sorted((vote(k)[0], y) for k, y, h in known if not h % 3 and counts[k])
-    levels = isotonic(np.array([v for v, _ in held]), np.array([float(y) for _, y in held]), np.ones(len(held)))
+    held = sorted((vote(k)[0], y) for k, y, h in known if not h % 5 and counts[k])
+    steps = isotonic(np.array([v for v, _ in held]), np.array([float(y) for _, y in held]), np.ones(len(held)))
+    off = 0.5 / (len(held) + 1)
+    levels = [0.0, *steps[0], 1.0], [0.0, *[off + (1 - 2 * off) * v for v in steps[1]], 1.0]
     votes = [vote(k) for k in range(len(rows))]
     return [(d, float(np.interp(v, *levels)), e, c) for (d, _), (v, e, c) in zip(rows, votes, strict=True)]

@@ -467,7 +467,9 @@ def test_isotonic_levels():
     want = np.array([max(min(mean(a, b) for b in range(k, 60)) for a in range(k + 1)) for k in range(60)])
     pools = np.split(np.arange(60), np.flatnonzero(np.diff(want) > 1e-12) + 1)
     assert np.allclose(xs, [x[p[-1]] for p in pools])
-    assert np.allclose(level, [(y[p] @ w[p] + 0.5) / (w[p].sum() + 1) for p in pools])
+    assert np.allclose(level, [y[p] @ w[p] / w[p].sum() for p in pools])
+    at, chance = toxicity.calibration(x, y, w)
+    assert (np.diff(at) > 0).all() and (np.diff(chance) > 0).all() and (at[0], chance[0], at[-1], chance[-1]) == (0, 0, 1, 1)
 
 
 def test_toxicity_is_that_of_a_full_search(spark):
