@@ -7,8 +7,9 @@ an example or not, counts in its length.  Cosines are exact over these features.
 Examples are rows of four fifths of the labelled training rows: `EXAMPLES` of each label, those with the
 smallest text hash, and votes are weighted back to the number that each label has.  They stand in an
 inverted index whose postings are cut into blocks of `BLOCK` neighbouring examples; examples with the same
-most frequent feature are neighbours.  The postings of the `HEAD` most frequent features are kept as a matrix by
-block.  The largest weight of each (feature, block) bounds what a block's examples can reach.  The `FIRST` blocks by bound are scored first, then those whose bound isn't below the
+most frequent feature are neighbours.  The postings of the `HEAD` most frequent features, which are nearly all that a
+text meets, are kept as a matrix by block with the largest weight of each (feature, block); those of the others are
+short and added up in full.  Both together bound what a block's examples can reach.  The `FIRST` blocks by bound are scored first, then those whose bound isn't below the
 `NEAREST`-th best cosine of these, so the neighbours found are exactly those of a full search.
 
 Cosine-weighted votes are calibrated by isotonic regression on the last fifth, of which `EXAMPLES` of each
@@ -163,8 +164,8 @@ def expanded(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Unit vectors in blocks of neighbours: by block a matrix for the `head` most frequent features, postings by
-    feature for the others, and for every feature its largest weight in each block.
+    """Unit vectors in blocks of neighbours: by block a matrix for the `head` most frequent features with the largest
+    weight of each in the block, and postings by feature for the others.
 
     What travels are the vectors; the rest is made from them where it is used first.  The matrix is in single
     precision: it finds the candidates, whose cosines are then computed from the vectors."""
@@ -193,13 +194,6 @@ class Index:
         rest = rest[np.argsort(term[rest], kind="stable")]
         term, self.place, self.value = term[rest], owner[rest], self.weight[rest]
         self.start = np.searchsorted(term, np.arange(len(self.terms) + 1))
-        # an entry is a feature's part in a block, with its largest weight there
-        of = self.place // self.block
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])
-        entry = np.flatnonzero(new)
-        self.entry_block, self.entry_most = of[entry], np.maximum.reduceat(self.value, entry) if len(entry) else np.zeros(0)
-        self.entry_start = np.searchsorted(term[entry], np.arange(len(self.terms) + 1))
         self.made = True
 
     def cosines(self, head: np.ndarray, rest: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -208,15 +202,17 @@ class Index:
         at = expanded(self.head_start[places], size)
         return rest[places] + np.bincount(np.repeat(np.arange(len(places)), size), self.head_weight[at] * head[self.head_row[at]], len(places))
 
-    def _spread(self, start: np.ndarray, term: np.ndarray, query: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = start[term + 1] - start[term]
-        return expanded(start[term], size), np.repeat(query, size), np.repeat(value, size)
+    def sums(self, term: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """A vector's products with every example over features that aren't in the head."""
+        size = self.start[term + 1] - self.start[term]
+        at = expanded(self.start[term], size)
+        return np.bincount(self.place[at], self.value[at] * np.repeat(value, size), self.blocks * self.block)
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], wanted: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and cosines of the nearest examples of each unit vector (features, values), best first."""
         if not self.made:
             self.make()
-        m, width = len(queries), self.blocks * self.block
+        m = len(queries)
         query = np.repeat(np.arange(m), [len(f) for f, _ in queries])
         feature, value = (np.concatenate([q[j] for q in queries]) for j in (0, 1))
         term = np.minimum(np.searchsorted(self.terms, feature), max(len(self.terms) - 1, 0))
@@ -227,10 +223,11 @@ class Index:
         exact = np.zeros((m, self.head.shape[1]))
         exact[query[often], row[often]] = value[often]
         vectors = exact.astype(np.float32)
-        at, q, v = self._spread(self.entry_start, term[rare], query[rare], value[rare])
-        bound = np.bincount(q * self.blocks + self.entry_block[at], self.entry_most[at] * v, m * self.blocks).reshape(m, -1) + vectors @ self.head_most
-        at, q, v = self._spread(self.start, term[rare], query[rare], value[rare])
-        rest = np.bincount(q * width + self.place[at], self.value[at] * v, m * width).reshape(m, self.blocks, self.block)
+        # one vector at a time, whose postings stay in cache
+        ends = np.searchsorted(query[rare], np.arange(m + 1))
+        term, value = term[rare], value[rare]
+        rest = np.array([self.sums(term[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]).reshape(m, self.blocks, self.block)
+        bound = vectors @ self.head_most + rest.max(axis=2, initial=0.0)
         found = np.zeros((m, self.blocks, self.block), np.float32)
         few = rest.astype(np.float32)
 
