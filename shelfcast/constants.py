@@ -1,45 +1,8 @@
-"""Fixed values the results depend on: prices, thresholds, weights, calendars.
+"""Fixed values the results depend on: default prices, thresholds, weights, calendars.
 
 They are business constants, kept together and in plain order.
 """
 
-# --- fixed values: unit price, cost ratio and return rate by product family ---
-FAMILY_PRICES = [
-    ("GROCERY I", 1.4, 0.80, 0.015),
-    ("GROCERY II", 1.6, 0.78, 0.02),
-    ("BEVERAGES", 1.2, 0.74, 0.01),
-    ("CLEANING", 2.3, 0.72, 0.015),
-    ("PRODUCE", 1.0, 0.82, 0.04),
-    ("DAIRY", 1.5, 0.80, 0.03),
-    ("BREAD/BAKERY", 0.9, 0.70, 0.03),
-    ("POULTRY", 3.4, 0.84, 0.02),
-    ("MEATS", 4.2, 0.84, 0.02),
-    ("DELI", 3.6, 0.80, 0.02),
-    ("EGGS", 2.0, 0.82, 0.03),
-    ("FROZEN FOODS", 2.6, 0.76, 0.02),
-    ("PREPARED FOODS", 2.3, 0.72, 0.03),
-    ("SEAFOOD", 5.0, 0.85, 0.04),
-    ("LIQUOR,WINE,BEER", 4.5, 0.72, 0.005),
-    ("PERSONAL CARE", 2.6, 0.68, 0.02),
-    ("HOME CARE", 3.1, 0.70, 0.015),
-    ("BEAUTY", 3.4, 0.65, 0.03),
-    ("HOME AND KITCHEN I", 6.5, 0.68, 0.03),
-    ("HOME AND KITCHEN II", 5.5, 0.68, 0.03),
-    ("HOME APPLIANCES", 28.0, 0.80, 0.04),
-    ("PLAYERS AND ELECTRONICS", 35.0, 0.84, 0.05),
-    ("HARDWARE", 4.8, 0.72, 0.02),
-    ("PET SUPPLIES", 3.2, 0.72, 0.02),
-    ("SCHOOL AND OFFICE SUPPLIES", 2.4, 0.66, 0.02),
-    ("BABY CARE", 3.3, 0.72, 0.03),
-    ("CELEBRATION", 2.8, 0.62, 0.04),
-    ("LADIESWEAR", 7.5, 0.60, 0.06),
-    ("LINGERIE", 5.5, 0.58, 0.06),
-    ("LAWN AND GARDEN", 6.0, 0.66, 0.03),
-    ("BOOKS", 4.2, 0.62, 0.02),
-    ("MAGAZINES", 1.8, 0.55, 0.02),
-    ("ABRASIVES", 2.1, 0.68, 0.02),
-    ("AUTOMOTIVE", 9.5, 0.74, 0.02),
-]
 DEFAULT_PRICE, DEFAULT_COST_RATIO, DEFAULT_RETURN_RATE = 1.8, 0.78, 0.02
 
 # --- fixed values: calendar and region rules ---

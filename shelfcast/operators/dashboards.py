@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfcast.constants import DEFAULT_FAMILY_RMSLE, HORIZON_DAYS, LOW_STOCK_PER_STORE
 from shelfcast.functions.expr import check_count, grade
 from shelfcast.functions.ranking import top_k, top_overall
+from shelfcast.functions.running import running_total
 
 
 def matches(search: str) -> Column:
@@ -86,6 +87,16 @@ def catalog(
     )
 
 
+def sort_value(sort: str) -> Column:
+    """What a catalogue is ordered by; ties go by item number."""
+    return {
+        "sold": F.col("sold"),
+        "stock": F.col("stock"),
+        "name": F.coalesce("name", F.concat(F.lit("#"), F.col("item_nbr").cast("string"))),
+        "item": F.col("item_nbr"),
+    }[sort]
+
+
 def catalog_page(
     rows: DataFrame,
     page: int = 1,
@@ -96,20 +107,51 @@ def catalog_page(
     sort: str = "sold",
     descending: bool = True,
 ) -> DataFrame:
-    """One page in a stable order; a page past the end is empty."""
-    if page < 1 or not 1 <= page_size <= 100:
-        raise ValueError("page starts at 1 and page_size lies in 1..100")
-    by = {
-        "sold": F.col("sold"),
-        "stock": F.col("stock"),
-        "name": F.coalesce("name", F.concat(F.lit("#"), F.col("item_nbr").cast("string"))),
-        "item": F.col("item_nbr"),
-    }[sort]
+    """One page in a stable order; a page past the end is empty.  Costs as much as all pages up to it;
+    `page_after` costs one page."""
+    if page < 1 or page_size < 1:
+        raise ValueError("page and page_size start at 1")
+    by = sort_value(sort)
     found = catalog_filter(rows, search, family, status)
     ordered = found.orderBy(by.desc() if descending else by.asc(), F.col("item_nbr").asc())
     return ordered.offset((page - 1) * page_size).limit(page_size)
 
 
+def page_after(
+    rows: DataFrame,
+    cursor: tuple | None = None,
+    page_size: int = 20,
+    search: str | None = None,
+    family: str | None = None,
+    status: str | None = None,
+    sort: str = "sold",
+    descending: bool = True,
+) -> DataFrame:
+    """The page after `cursor`, the (sort value, item number) of the last row seen, or the first one: each
+    task keeps its best `page_size` rows, and nothing is sorted as a whole."""
+    if page_size < 1:
+        raise ValueError("page_size starts at 1")
+    by, item = sort_value(sort), F.col("item_nbr")
+    found = catalog_filter(rows, search, family, status)
+    if cursor is not None:
+        value = F.lit(cursor[0])
+        beyond = by < value if descending else by > value
+        found = found.filter(beyond | ((by == value) & (item > cursor[1])))
+    return found.orderBy(by.desc() if descending else by.asc(), item.asc()).limit(page_size)
+
+
+def page_cursors(rows: DataFrame, page_size: int = 20, sort: str = "sold", descending: bool = True) -> DataFrame:
+    """page, value and item_nbr: the cursor of every page but the first, from counts over range partitions.
+
+    With this table kept, any page is a lookup and one `page_after`."""
+    by = sort_value(sort)
+    keyed = rows.select(by.alias("value"), "item_nbr", F.lit(1).alias("_one"))
+    order = [F.col("value").desc() if descending else F.col("value").asc(), F.col("item_nbr").asc()]
+    placed = running_total(keyed, [], order, "_one", "_place", "_all")
+    last = placed.filter((F.col("_place") % page_size == 0) & (F.col("_place") < F.col("_all")))
+    return last.select((F.col("_place") / page_size + 1).cast("long").alias("page"), "value", "item_nbr")
+
+
 def catalog_filter(
     rows: DataFrame, search: str | None = None, family: str | None = None, status: str | None = None
 ) -> DataFrame:

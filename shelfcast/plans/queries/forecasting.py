@@ -516,7 +516,7 @@ def _fold_predictions(t: RetailTables):
         held = tuning.validation_rows(_coded_rows(t), 3, 28)
         return _scored_by(held, trees, linear).select(*KEYS, "fold", "target", "perishable", "tree_log", "linear_log")
 
-    return t.stored("fold_predictions", build)
+    return t.stored("ensemble_fold_predictions", build)
 
 
 @query("fold_rounds", "M4")

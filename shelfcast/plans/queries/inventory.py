@@ -394,6 +394,19 @@ def product_catalog_page(t: RetailTables):
     return dashboards.catalog_page(_catalog(t), page=2, page_size=20, search=" RI ", status="active", sort="stock")
 
 
+@query(
+    "product_catalog_cursor",
+    "K1",
+    f"WITH {CATALOG_SQL} SELECT {CATALOG_OUT} FROM (SELECT * FROM c ORDER BY stock DESC, item_nbr LIMIT 25 OFFSET 1000)",
+)
+def product_catalog_cursor(t: RetailTables):
+    """Page 41 of 25 by its cursor, which was counted once for all pages."""
+    cursors = t.stored("catalog_cursors_stock_25", lambda: dashboards.page_cursors(_catalog(t), 25, "stock"))
+    at = cursors.filter("page = 41").first()  # one row
+    rows = _catalog(t)
+    return dashboards.page_after(rows, (at["value"], at["item_nbr"]), 25, sort="stock") if at else rows.limit(0)
+
+
 @query(
     "product_search",
     "P17",

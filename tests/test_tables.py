@@ -7,7 +7,6 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.constants import FAMILY_PRICES
 from shelfcast.functions.durable import shared_dir
 from shelfcast.functions.expr import check_number, finite, grade
 from shelfcast.operators import business, dashboards, enrich, inventory, scope
@@ -189,7 +188,23 @@ def test_pages_partition_the_catalogue(spark, items):
     assert dashboards.catalog_counts(rows, 20).first().asDict() == {"total": 46, "total_pages": 3}
 
 
-@pytest.mark.parametrize("page,size", [(0, 20), (-5, 20), (1, 0), (1, 10001)])
+@pytest.mark.parametrize("sort,descending", [("stock", True), ("stock", False), ("name", False), ("item", True)])
+def test_pages_by_cursor_are_pages_by_offset(spark, sort, descending):
+    """Whole values that tie across pages, names that are missing; every page by its cursor alone."""
+    rows = spark.createDataFrame([(k, None if k % 5 == 0 else f"n{k % 7}", float(k % 4), float(k)) for k in range(57)], "item_nbr long, name string, stock double, sold double")
+    cursors = {r["page"]: (r["value"], r["item_nbr"]) for r in dashboards.page_cursors(rows, 10, sort, descending).collect()}
+    assert sorted(cursors) == [2, 3, 4, 5, 6]
+    for page in range(1, 8):
+        want = [r["item_nbr"] for r in dashboards.catalog_page(rows, page, 10, sort=sort, descending=descending).collect()]
+        if page <= 6:
+            after = dashboards.page_after(rows, cursors.get(page), 10, sort=sort, descending=descending)
+            assert [r["item_nbr"] for r in after.collect()] == want
+            plan = after._jdf.queryExecution().executedPlan().toString()
+            assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+    assert dashboards.page_cursors(rows.limit(0), 10).count() == 0 and dashboards.page_cursors(rows, 57).count() == 0
+
+
+@pytest.mark.parametrize("page,size", [(0, 20), (-5, 20), (1, 0)])
 def test_bad_pages_are_refused(items, page, size):
     with pytest.raises(ValueError):
         dashboards.catalog_page(items.withColumn("sold", F.lit(0.0)), page, size)
@@ -231,7 +246,7 @@ def test_finite_and_grade(spark):
 
 
 def test_unknown_family_gets_default_price(spark):
-    prices = spark.createDataFrame(FAMILY_PRICES, "family string, unit_price double, cost_ratio double, return_rate double")
+    prices = spark.createDataFrame([("DELI", 3.6, 0.80, 0.02), ("EGGS", 2.0, 0.82, 0.03)], "family string, unit_price double, cost_ratio double, return_rate double")
     df = spark.createDataFrame([("deli",), ("NO SUCH",), (None,)], "family string")
     got = [(r["unit_price"], r["cost_ratio"]) for r in enrich.join_prices(df, prices).orderBy("family").collect()]
     assert sorted(got) == sorted([(1.8, 0.78), (1.8, 0.78), (3.6, 0.80)])
