@@ -74,7 +74,8 @@ def fit(rows: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            texts = batch.column("text").cast(pa.binary())
+            for lang, text in zip(batch.column("lang").to_pylist(), (x.as_py() for x in texts), strict=True):
                 if lang not in counts:
                     counts[lang] = np.zeros(GRAMS, np.int64)
                 counts[lang] += np.bincount(grams(text), minlength=GRAMS)
@@ -103,8 +104,8 @@ def text_likelihoods(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, logs = [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                g = grams(text)
+            for text in batch.column("text").cast(pa.binary()):
+                g = grams(text.as_py())
                 n.append(len(g))
                 mean = model.weights[g].mean(axis=0) if len(g) else np.zeros(len(model.languages))
                 logs.append((mean - mean.max()) * min(len(g), EVIDENCE))
