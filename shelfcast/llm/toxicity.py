@@ -172,10 +172,12 @@ class Index:
 
     def __init__(self, owner: np.ndarray, feature: np.ndarray, value: np.ndarray, n: int, block: int = BLOCK, head: int = HEAD):
         self.n, self.block, self.blocks, self.head_size = n, block, -(-n // block), head
-        order = np.argsort(owner, kind="stable")
-        self.terms, term = np.unique(feature[order], return_inverse=True)
-        self.term, self.weight = term.astype(np.int32), value[order]
-        self.vector = np.searchsorted(owner[order], np.arange(n + 1))
+        if (owner[1:] < owner[:-1]).any():
+            order = np.argsort(owner, kind="stable")
+            owner, feature, value = owner[order], feature[order], value[order]
+        self.terms = np.unique(feature)
+        self.term, self.weight = np.searchsorted(self.terms, feature).astype(np.int32), value
+        self.vector = np.searchsorted(owner, np.arange(n + 1))
         self.scored = 0  # blocks that were scored so far
         self.made = False
 
@@ -358,10 +360,13 @@ def voter_of(examples: DataFrame, there: dict, idf: np.ndarray, rate: float) ->
     # neighbours share their most frequent feature, the smallest of several
     most = np.array([int(f[np.argmax(c)]) for f, c in zip(features, counts, strict=True)])
     order = np.lexsort((np.array([-1 if i is None else i for i in ids]), text, most))
-    owner = np.repeat(np.arange(len(order)), [len(features[k]) for k in order])
-    feature = np.concatenate([features[k] for k in order]).astype(np.int64)
-    value = weighted(owner, feature, np.concatenate([counts[k] for k in order]), idf)
-    del features, counts
+    owner = np.repeat(np.arange(len(order), dtype=np.int32), [len(features[k]) for k in order])
+    feature = np.concatenate([features[k] for k in order])
+    del features
+    count = np.concatenate([counts[k] for k in order])
+    del counts
+    value = weighted(owner, feature, count, idf)
+    del count
     labels = one[order].astype(float)
     taken = {o: int((one == o).sum()) for o in (0, 1)}
     weights = np.array([there[0, int(o)] / taken[int(o)] for o in labels])
