@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.functions.durable import cut
 from shelfcast.operators import forecast
 from shelfcast.operators.aggregates import sku_stats
 from shelfcast.operators.clean import forward_fill, stack
@@ -40,8 +41,11 @@ def retrain(t: RetailTables, snapshots: Snapshots | None = None) -> Snapshot:
     committed when the forecast is empty or a step fails, so a failed run leaves the old tables.  The
     inventory starts anew from the new forecasts, also after restocks that came in meanwhile.
     """
-    predicted = combined_forecast(t)
-    items = forecast.split_to_items(t.plan, t.items, predicted, t.shares)
+    if t.plan.isEmpty():
+        raise RuntimeError("the plan is empty; serving tables are left as they are")
+    # a short table of known size by the time it meets the item plan
+    predicted = cut(combined_forecast(t))
+    items = forecast.split_to_items(t.shared_plan, t.items, predicted, t.shares)
     errors = t.local_scores.select("family", F.col("rmsle").alias("family_rmsle"))
 
     def reload(txn: Transaction) -> None:

@@ -74,3 +74,16 @@ def test_item_forecast_moves_no_days(spark, tables):
     by_family = tables.forecasts.join(tables.items.select("item_nbr", "family"), "item_nbr").groupBy("store_nbr", "date", "family").agg(F.sum("predicted_sales").alias("s"))
     both = tables.family_forecast.join(by_family, ["store_nbr", "date", "family"], "full")
     assert both.filter("abs(predicted_sales - s) > 1e-5 OR s IS NULL OR predicted_sales IS NULL").isEmpty()
+
+
+def test_retrained_tables_count_days_without_moving_them(tables):
+    import re
+
+    import shelfcast.plans.queries  # noqa: F401  (registers the queries)
+    from shelfcast.plans.registry import QUERIES
+
+    made = QUERIES["retrained_tables"].build(tables)
+    assert not re.search(r"hashpartitioning\([^)]*date", made._jdf.queryExecution().executedPlan().toString())
+    rows = {r["table_name"]: r for r in made.collect()}
+    assert rows["forecasts"]["n_rows"] == rows["forecasts"]["n_keys"] == tables.plan.count()
+    assert all(r["totals_agree"] for r in rows.values())
