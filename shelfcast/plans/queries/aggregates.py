@@ -244,7 +244,7 @@ def item_shares_by_sum(t: RetailTables):
     """,
 )
 def item_shares_from_forecast(t: RetailTables):
-    return aggregates.shares_from_forecasts(t.forecasts, t.items)
+    return aggregates.shares_from_forecasts(t.forecast_totals, t.items)
 
 
 ENCODING_SQL = """

@@ -169,7 +169,7 @@ DRIVERS_SQL = f"""
 def _drivers(t: RetailTables):
     return scenario.future_drivers(
         _valid(t),
-        scenario.window_days(t.forecasts),
+        scenario.window_days(t.forecast_days),
         t.stores,
         t.oil,
         t.holidays,
@@ -211,7 +211,7 @@ BASE_SQL = """
     """,
 )
 def scenario_baseline(t: RetailTables):
-    return scenario.baseline(t.family_forecast, _valid(t), scenario.window_days(t.forecasts))
+    return scenario.baseline(t.family_forecast, _valid(t), scenario.window_days(t.forecast_days))
 
 
 STOCK_SQL = """
@@ -282,7 +282,7 @@ def _run(t: RetailTables):
         check_models(t),
         t.family_forecast,
         _drivers(t),
-        scenario.window_days(t.forecasts),
+        scenario.window_days(t.forecast_days),
         t.inventory,
         t.items,
         t.prices,
@@ -412,7 +412,7 @@ def scenario_sensitivity(t: RetailTables):
         rows = rows.withColumn("kind", F.lit(kind))
         wanted = rows if wanted is None else wanted.unionByName(rows)
     overrides = wanted.drop("kind")
-    days = scenario.window_days(t.forecasts)
+    days = scenario.window_days(t.forecast_days)
     drivers = scenario.future_drivers(
         overrides, days, t.stores, t.oil, t.holidays, t.planned_promotions, scenario.latest_traffic(_history(t))
     )

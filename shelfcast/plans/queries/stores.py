@@ -312,7 +312,7 @@ def cluster_trend(t: RetailTables):
     pairs = clusters.select(
         F.col("cluster").alias("cluster_1"), ((F.col("cluster") + 1) % 12).cast("int").alias("cluster_2")
     )
-    return business.cluster_trend(t.forecasts, t.stores, pairs)
+    return business.cluster_trend(t.forecast_days, t.stores, pairs)
 
 
 # ---------------------------------------------------------------- access
