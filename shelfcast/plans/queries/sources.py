@@ -151,7 +151,7 @@ def forecast_load(t: RetailTables):
     """No hybrid set exists, so the next candidate is used and completed from the plan."""
     local = t.forecasts.select("id", F.col("predicted_sales").alias("unit_sales"))
     ensemble = local.withColumn("unit_sales", F.lit(-1.0))
-    return raw.load_forecasts([None, local, ensemble], t.plan)
+    return raw.load_forecasts([None, local, ensemble], t.planned_pairs, t.origin, t.horizon)
 
 
 @query(
