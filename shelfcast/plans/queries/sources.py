@@ -214,7 +214,7 @@ def prediction_sink(t: RetailTables):
     """Predictions written as the submission file and reported from it."""
     path = f"{t.root}/predictions_csv"
     if not tables.path_exists(t.spark, f"{path}/_SUCCESS"):
-        tables.write_predictions(t.forecasts, path)
+        tables.write_predictions(t.forecasts_in_order, path, ordered=True)
     stored = t.spark.read.schema("id long, predicted_sales double").option("header", True).csv(path)
     return tables.prediction_report(stored)
 
