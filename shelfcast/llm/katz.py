@@ -14,6 +14,11 @@ the shared folder are the answers to each chunk for its own keys, so other texts
 it, and backoff sums are made only for contexts that these documents lack; a token takes the longest known n-gram and
 walks down through the weights, all tokens of a chunk at a time.
 
+The longest n-grams are counted first.  Chunks that hold n-grams which training lacks ask for their contexts along
+with the counts of the next shorter order, and owners learn there which contexts anybody asked for, so only sums over
+those are sent.  Shuffle files go as soon as the table they were written for is stored, and the large tables once the
+last step that reads them is.
+
 Defined results: a null text is empty, and an empty text is one end token; documents with a null id
 or flag are not trained on if the flag isn't true; repeated rows count and are scored as often as
 they occur; with nothing to train on every token has probability 1; an empty table gives an empty
@@ -22,17 +27,18 @@ result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.chunks import Chunk, chained, chunked, exchange, floats, planes, ranges_for, rows_of, sent, unfloats, unplanes
-from shelfcast.llm.common import stored
+from shelfcast.llm.chunks import SENT, Chunk, chained, chunked, exchange, floats, planes, ranges_for, rows_of, sent, unfloats, unplanes
+from shelfcast.llm.common import release, stored
 
 ORDER, LARGEST = 3, 5
+WAVES = 4
 BITS = 56
 END, BEGIN = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 COUNTS = ", ".join(["tokens long", "types long", *[f"n{r} long" for r in range(1, LARGEST + 2)]])
@@ -75,25 +81,58 @@ def counted(chunks: DataFrame, m: int, ranges: int) -> DataFrame:
                 n = np.bincount(at[text.train[text.doc]], minlength=len(keys))
                 yield pa.RecordBatch.from_pydict(sent(row["chunk"], keys, lambda s, n=n: planes(n[s]), ranges, BITS))
 
-    return chunks.mapInArrow(run, "r int, chunk long, keys binary, vals binary")
+    return chunks.mapInArrow(run, SENT)
+
+
+def asking(chunks: DataFrame, longer: DataFrame, m: int, ranges: int) -> DataFrame:
+    """Rows without values that send the m-grams before the words of which a chunk lacks the `longer` n-gram; the start
+    of a text is no n-gram."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        total = np.concatenate([unplanes(x["got"]) for x in sorted(rows_of(right), key=lambda x: x["r"])]) >> 2
+        out = []
+        for row in rows_of(left):
+            text = Text(row, m + 1)
+            lacks = (total[text.keys(m + 1)[2]] == 0) & (text.place > 0)
+            keys = np.unique(text.grams[m][np.flatnonzero(lacks) - 1] >> SHIFT)
+            out.append(pa.table(sent(row["chunk"], keys, lambda s: b"", ranges, BITS)))
+        return pa.concat_tables(out)
+
+    return chunks.groupBy("chunk").cogroup(longer.groupBy("chunk")).applyInArrow(run, SENT)
 
 
 def added(rows: DataFrame) -> DataFrame:
-    """Answers of twice the total count, plus 1 for the one chunk that owns the key."""
+    """Answers of four times the total count, plus 2 if any chunk asks for the key, plus 1 for the one chunk that owns
+    it.  Rows of `asking` get none."""
 
     def answer(keys: list, vals: list, distinct: np.ndarray, index: np.ndarray) -> tuple[list, dict]:
-        own = np.concatenate([unplanes(v) for v in vals])
-        total = np.bincount(index, own.astype(np.float64), len(distinct)).astype(np.int64)
-        _, first = np.unique(index, return_index=True)
-        got = 2 * total[index]
-        got[first] += 1
+        asks = np.repeat([not v for v in vals], [len(k) for k in keys])
+        count = np.concatenate([unplanes(v) if v else np.zeros(len(k), np.uint64) for k, v in zip(keys, vals, strict=True)])
+        total = np.bincount(index, count.astype(np.float64), len(distinct)).astype(np.int64)
+        asked = np.bincount(index[asks], minlength=len(distinct)) > 0
+        counts = np.flatnonzero(~asks)
+        _, first = np.unique(index[counts], return_index=True)
+        got = (4 * total + 2 * asked)[index]
+        got[counts[first]] += 1
         by_count = np.bincount(np.minimum(total, LARGEST + 2), minlength=LARGEST + 3)
         more = {"tokens": int(total.sum()), "types": int((total > 0).sum())} | {f"n{r}": int(by_count[r]) for r in range(1, LARGEST + 2)}
-        return [planes(g) for g in np.split(got, np.cumsum([len(k) for k in keys])[:-1])], more
+        parts = np.split(got, np.cumsum([len(k) for k in keys])[:-1])
+        return [planes(g) if v else None for g, v in zip(parts, vals, strict=True)], more
 
     return exchange(rows, answer, COUNTS)
 
 
+def in_waves(chunks: DataFrame, answers: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], tag: str) -> DataFrame:
+    """`step` of the chunks and their answers, stored a part of the chunks at a time, so no more than that is shuffled
+    at once."""
+    out = None
+    for k in range(WAVES):
+        part = F.pmod("chunk", F.lit(WAVES)) == k
+        rows = stored(step(chunks.filter(part), answers.filter(part)), tag, keep_shuffles=False)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def discounts(n: dict) -> np.ndarray:
     """d(c) c for c = 0 .. LARGEST; beyond, c less the loss at LARGEST."""
     kept = np.zeros(LARGEST + 1)
@@ -143,7 +182,7 @@ RESULT = "doc_id long, train boolean, n_tokens long, n_known long, base_score do
 
 def scored_so_far(chunks: DataFrame, answers: DataFrame, model: Model, order: int, ranges: int) -> DataFrame:
     """Per chunk a row r = -1 with what its documents score without backoff weights and which
-    weights they lack, and rows that send sums over the contexts of the n-grams it owns."""
+    weights they lack, and rows that send sums over the contexts of the n-grams it owns, if anybody asks for them."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got: dict[int, list] = {}
@@ -158,7 +197,7 @@ def scored_so_far(chunks: DataFrame, answers: DataFrame, model: Model, order: in
             for m in range(1, order + 1):
                 _, first, at = text.keys(m)
                 both = np.concatenate(got[m]).astype(np.int64)
-                count, owner = both >> 1, (both & 1).astype(bool)
+                count, owner = both >> 2, (both & 1).astype(bool)
                 c = count[at]
                 if m == 1:
                     n_known = np.bincount(text.doc[c > 0], minlength=size)
@@ -169,6 +208,8 @@ def scored_so_far(chunks: DataFrame, answers: DataFrame, model: Model, order: in
                     total = np.where(text.place == 0, model.documents, np.roll(below, 1))
                     key = text.contexts[m] >> SHIFT
                     own = first[owner & (count > 0)]
+                    # the start of a text is no n-gram, so nobody could ask for it
+                    own = own[(text.place[own] == 0) | asked_for[own - 1]]
                     mine.append(key[own])
                     lost.append(c[own] - kept_counts(c[own], model.kept[m]))
                     low.append(lower[own])
@@ -177,7 +218,7 @@ def scored_so_far(chunks: DataFrame, answers: DataFrame, model: Model, order: in
                     of.append(text.doc[lacks])
                     totals.append(total[lacks])
                     p = np.where(c > 0, kept_counts(c, model.kept[m]) / np.maximum(total, 1), lower)
-                lower, below = p, c
+                lower, below, asked_for = p, c, (both >> 1 & 1).astype(bool)[at]
             own_keys, ask_keys = np.concatenate(mine), np.concatenate(lacking)
             asked, first, which = np.unique(ask_keys, return_index=True, return_inverse=True)
             keys = np.union1d(own_keys, asked)
@@ -246,16 +287,23 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> tuple[DataFram
     chunks = stored(chunked(docs, train), "chunks")
     size = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     ranges = ranges_for(size[0] + size[1])
-    tables = [stored(added(counted(chunks, m, ranges)), f"katz-{m}") for m in range(1, order + 1)]
+    answered = lambda t: t.filter("chunk <> -1 AND got IS NOT NULL").select("r", "chunk", "got")
+    tables: list[DataFrame] = []
+    for m in range(order, 0, -1):
+        rows = counted(chunks, m, ranges)
+        if tables:
+            rows = rows.unionByName(in_waves(chunks, answered(tables[0]), lambda c, a, m=m: asking(c, a, m, ranges), f"katz-asks-{m}"))
+        tables.insert(0, stored(added(rows), f"katz-{m}", keep_shuffles=False))
     names = [c.split()[0] for c in COUNTS.split(", ")]
     stats = [t.filter("chunk = -1").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first().asDict() for t in tables]
     trained = docs.filter(train).count()
     model = Model(stats, trained)
     answers = None
     for m, t in enumerate(tables, 1):
-        rows = t.filter("chunk <> -1").select(F.lit(m).alias("m"), "r", "chunk", "got")
+        rows = answered(t).select(F.lit(m).alias("m"), "r", "chunk", "got")
         answers = rows if answers is None else answers.unionByName(rows)
-    partly = stored(scored_so_far(chunks, answers, model, order, ranges), "katz-contexts")
+    partly = in_waves(chunks, answers, lambda c, a: scored_so_far(c, a, model, order, ranges), "katz-contexts")
+    release(chunks, *tables)
     weights = context_sums(partly.filter("r >= 0").select("r", "chunk", "keys", "vals"))
     waiting = partly.filter("r = -1").select("chunk", "vals", "ids", "train", "scores")
     return finished(waiting, weights), model.tokens

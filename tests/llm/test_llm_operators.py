@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 
 import pytest
@@ -227,6 +228,30 @@ def test_katz_edges(spark):
     assert sorted(r["n_tokens"] for r in katz.scores(rows, F.lit(True))[0].collect()) == [1, 3, 3]
 
 
+def test_katz_sends_sums_over_asked_contexts_only(spark, monkeypatch):
+    """The held-out text lacks "b x" and "a b x", whose contexts training holds; the starts of texts are always sent."""
+    keys, n_chunks, paths, put = 0, 0, [], katz.stored
+
+    def keeping(df, tag, **more):
+        nonlocal keys, n_chunks
+        out = put(df, tag, **more)
+        if tag == "katz-contexts":
+            keys += sum(len(chunks.unascending(r["keys"])) for r in out.filter("r >= 0").collect())
+            n_chunks += out.filter("r = -1").count()
+        paths.append((tag, out.stored_at.removeprefix("file:")))
+        return out
+
+    monkeypatch.setattr(katz, "stored", keeping)
+    rows = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "a b c d e f g h i j k"), (3, "a b x")], DOCS)
+    scored, _ = katz.scores(rows, F.col("doc_id") < 3)
+    model = brute.Katz(["a b c d e f g h i j k"] * 2, 3)
+    assert {r["doc_id"]: r["score"] for r in scored.collect()}[3] == pytest.approx(model.score("a b x"), rel=1e-9)
+    # "b" and "a b" with their owner and their asker, and the two starts a chunk
+    assert keys <= 4 + 2 * n_chunks
+    # tables that no step reads again are gone
+    assert {tag for tag, path in paths if os.path.exists(path)} <= {"katz-contexts", "katz-asks-1", "katz-asks-2"}
+
+
 # ------------------------------------------------------------------ 6 secrets
 
 
