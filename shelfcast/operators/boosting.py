@@ -51,12 +51,14 @@ class Trees:
 
 
 def walk(bins: np.ndarray, group: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
-    """Node (in heap order, from 0) that rows reach after `levels` levels; a node without a split sends all left."""
+    """Node (in heap order, from 0) that rows reach after `levels` levels; a node without a split sends all left.
+    `bins` has a row per feature."""
     node = np.zeros(len(group), np.int64)
-    every = np.arange(len(group))
+    every, flat = np.arange(len(group)), bins.ravel()
+    first = group * feature.shape[1]
     for _ in range(levels):
-        f = feature[group, node]
-        right = (f >= 0) & (bins[every, np.maximum(f, 0)] > cut[group, node])
+        f, c = feature.ravel()[first + node], cut.ravel()[first + node]
+        right = (f >= 0) & (flat[np.maximum(f, 0) * len(group) + every] > c)
         node = 2 * node + 1 + right
     return node
 
@@ -68,18 +70,51 @@ def cut_points(rows: DataFrame, features: list[str], bins: int) -> list[list[flo
     return [sorted(set(f)) for f in found]
 
 
+BLOCK = "_g array<{}>, _c binary, _y binary, _w binary, _b binary, w double, wy double"
+
+
 def binned(rows: DataFrame, group: str, features: list[str], cuts: list[list[float]], label: str, weight: str | None) -> DataFrame:
-    """_g, _y, _w and _b (a byte per feature: how many cuts a value lies above; null is in the lowest bin)."""
-    above = [F.lit(0) if not c else F.coalesce(sum(((F.col(f) > v).cast("int") for v in c), F.lit(0)), F.lit(0)) for f, c in zip(features, cuts, strict=True)]
+    """Blocks of some thousand rows, packed, as every pass reads them again: the distinct groups, and for each row the
+    place of its group there, label, weight and, feature by feature, how many cuts a value lies above (null is in the
+    lowest bin); with the block's sums of weight and weight x label."""
+    edges = [np.array(c, float) for c in cuts]
+    kind = np.min_scalar_type(max(map(len, cuts), default=0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("_g").dictionary_encode(null_encoding="encode")
+            y, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_y", "_w"))
+            bins = [np.searchsorted(e, batch.column(f"_x{k}").to_numpy(zero_copy_only=False)).astype(kind) for k, e in enumerate(edges)]
+            given = batch.column("_w").is_valid().to_numpy(zero_copy_only=False)
+            columns = {
+                "_g": pa.array([names.dictionary.to_pylist()], pa.list_(names.dictionary.type)),
+                "_c": pa.array([names.indices.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()], pa.binary()),
+                "_y": pa.array([y.astype(float).tobytes()], pa.binary()),
+                "_w": pa.array([w.astype(float).tobytes()], pa.binary()),
+                "_b": pa.array([b"".join(b.tobytes() for b in bins)], pa.binary()),
+                "w": pa.array([float(w[given].sum())], pa.float64()),
+                "wy": pa.array([float((w * y)[given].sum())], pa.float64()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    return rows.select(F.col(group).alias("_g"), F.col(label).cast("double").alias("_y"), w.alias("_w"), F.array(*[a.cast("tinyint") for a in above]).alias("_b"))
+    values = [F.coalesce(F.col(f).cast("double"), F.lit(float("-inf"))).alias(f"_x{k}") for k, f in enumerate(features)]
+    plain = rows.select(F.col(group).alias("_g"), F.col(label).cast("double").alias("_y"), w.alias("_w"), *values)
+    return plain.mapInArrow(run, BLOCK.format(rows.schema[group].dataType.simpleString()))
 
 
-def _read(batch: pa.RecordBatch, places: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    names = batch.column("_g").dictionary_encode(null_encoding="encode")
-    code = np.array([places.get(v, 0) for v in names.dictionary.to_pylist()], np.int64)
-    bins = batch.column("_b").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-    return code[names.indices.to_numpy(zero_copy_only=False)], bins, batch.column("_y").to_numpy(), batch.column("_w").to_numpy()
+def _read(batch: pa.RecordBatch, places: dict, width: int, all_rows: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Group, bins, label and weight of each block's rows; without those of no group unless `all_rows`."""
+    for k in range(batch.num_rows):
+        names, c, y, w, b = (batch.column(n)[k].as_py() for n in ("_g", "_c", "_y", "_w", "_b"))
+        code, y, w = np.frombuffer(c, np.int32), np.frombuffer(y), np.frombuffer(w)
+        bins = np.frombuffer(b, f"u{len(b) // (width * len(code))}").reshape(width, -1)
+        if not all_rows and None in names:
+            has = code != names.index(None)
+            code, y, w, bins = code[has], y[has], w[has], np.ascontiguousarray(bins[:, has])
+        yield np.array([places.get(v, 0) for v in names], np.int64)[code], bins, y, w
 
 
 def _sums(held: DataFrame, places: dict, width: int, size: int, stages: list[tuple[Trees, bool]], pooled: bool, base: float, depth: int, level: int, grown: tuple) -> np.ndarray:
@@ -87,26 +122,27 @@ def _sums(held: DataFrame, places: dict, width: int, size: int, stages: list[tup
     groups, nodes = 1 if pooled else len(places), 1 << level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, groups * nodes * width * size))
+        total = np.zeros((2, width, groups * nodes * size))
         seen = False
         for batch in batches:
-            code, bins, y, w = _read(batch, places, width)
-            rest = y - base
-            for trees, over_all in stages:
-                own = np.zeros_like(code) if over_all else code
-                for f, c, v in zip(trees.feature, trees.bin, trees.value, strict=True):
-                    rest -= v[own, walk(bins, own, f, c, depth) - ((1 << depth) - 1)]
-            own = np.zeros_like(code) if pooled else code
-            at = walk(bins, own, *grown, level) - (nodes - 1)
-            cell = (((own * nodes + at)[:, None] * width + np.arange(width)) * size + bins).ravel()
-            total[0] += np.bincount(cell, np.repeat(w, width), total.shape[1])
-            total[1] += np.bincount(cell, np.repeat(w * rest, width), total.shape[1])
-            seen = seen or len(code) > 0
+            for code, bins, y, w in _read(batch, places, width, pooled):
+                rest = y - base
+                for trees, over_all in stages:
+                    own = np.zeros_like(code) if over_all else code
+                    for f, c, v in zip(trees.feature, trees.bin, trees.value, strict=True):
+                        rest -= v[own, walk(bins, own, f, c, depth) - ((1 << depth) - 1)]
+                own = np.zeros_like(code) if pooled else code
+                at = (own * nodes + walk(bins, own, *grown, level) - (nodes - 1)) * size
+                for k in range(width):
+                    total[0, k] += np.bincount(at + bins[k], w, total.shape[2])
+                    total[1, k] += np.bincount(at + bins[k], w * rest, total.shape[2])
+                seen = seen or len(code) > 0
         if seen:
-            full = np.flatnonzero(total[0])
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[0][full]), pa.array(total[1][full])], ["cell", "w", "s"])
+            flat = total.reshape(2, width, -1, size).swapaxes(1, 2).reshape(2, -1)
+            full = np.flatnonzero(flat[0])
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(flat[0][full]), pa.array(flat[1][full])], ["cell", "w", "s"])
 
-    parts = (held if pooled else held.filter("_g IS NOT NULL")).mapInArrow(run, "cell long, w double, s double")
+    parts = held.select("_g", "_c", "_y", "_w", "_b").mapInArrow(run, "cell long, w double, s double")
     added = parts.groupBy("cell").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).toArrow()  # a row per cell: groups x nodes x features x bins
     out = np.zeros((2, groups * nodes * width * size))
     cell = added.column("cell").to_numpy()
@@ -147,9 +183,9 @@ def fit_boosted(rows: DataFrame, group: str, features: list[str], label: str, pl
     rows = rows.filter(F.col(label).isNotNull())
     cuts = cuts or cut_points(rows, features, plan.bins)
     held = stored(binned(rows, group, features, cuts, label, weight))
-    totals = held.agg(F.sum("_w"), F.sum(F.col("_w") * F.col("_y"))).first()
+    totals = held.agg(F.sum("w"), F.sum("wy")).first()
     base = float(totals[1] / totals[0]) if totals[0] else 0.0
-    names = sorted(r[0] for r in held.select("_g").distinct().collect() if r[0] is not None)
+    names = sorted(r[0] for r in held.select(F.explode("_g")).distinct().collect() if r[0] is not None)
     places = {v: k for k, v in enumerate(names)}
     width, size, nodes = len(features), max(map(len, cuts), default=0) + 1, (1 << plan.depth) - 1
     stages: list[tuple[Trees, bool]] = []
