@@ -11,9 +11,7 @@ document, and the number of ranges follows the number of keys.
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -34,8 +32,15 @@ MASK = (1 << 64) - 1
 # ------------------------------------------------------------------ packing
 
 
+SQUEEZER, UNSQUEEZER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # a context costs more than a small piece
+
+
 def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return SQUEEZER.compress(data)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.frombuffer(UNSQUEEZER.decompress(data), np.uint8)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -47,7 +52,9 @@ def planes(values: np.ndarray) -> bytes:
 
 
 def unplanes(data: bytes) -> np.ndarray:
-    width, raw = data[0], np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
+    width, raw = data[0], unsqueezed(memoryview(data)[1:])
+    if width == 1:
+        return raw.astype("<u8")
     out = np.zeros((raw.size // width, 8), np.uint8)
     out[:, :width] = raw.reshape(width, -1).T
     return out.reshape(-1).view("<u8")
@@ -68,7 +75,7 @@ def floats(values: np.ndarray) -> bytes:
 
 
 def unfloats(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = unsqueezed(data)
     return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view("<f8")
 
 
@@ -81,6 +88,47 @@ def scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sorted_places(keys: np.ndarray) -> np.ndarray:
+    """Stable argsort of unsigned keys.  A plain sort is several times faster than an argsort, so keys are sorted with
+    their places in the low bits; where bits of the keys had to go for that and keys came out of order, argsort it is."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    least, low = keys.min(), max(1, (len(keys) - 1).bit_length())
+    gone = max(0, int(keys.max() - least).bit_length() + low - 64)
+    mixed = ((keys - least) >> np.uint64(gone)) << np.uint64(low)
+    mixed |= np.arange(len(keys), dtype=np.uint64)
+    mixed.sort()
+    order = (mixed & np.uint64((1 << low) - 1)).astype(np.int64)
+    if gone:
+        ordered = keys[order]
+        if (ordered[1:] < ordered[:-1]).any():
+            return np.argsort(keys, kind="stable")
+    return order
+
+
+def starts_of_equal(ordered: np.ndarray) -> np.ndarray:
+    """Which sorted values differ from the one before."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return new
+
+
+def distinct_of(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys."""
+    ordered = np.sort(keys)
+    return ordered[starts_of_equal(ordered)]
+
+
+def distinct_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct unsigned keys, the first place of each, and for each key its place in them."""
+    order = sorted_places(keys)
+    ordered = keys[order]
+    new = starts_of_equal(ordered)
+    index = np.empty(len(keys), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], index
+
+
 def chained(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
     """Hash of a sequence of hashes, element by element."""
     h = first.copy()
@@ -94,8 +142,7 @@ def chained(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
 CHUNK = "chunk long, n_tokens long, ids array<long>, flags binary, lens binary, codes binary, hashes binary, digests array<string>"
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+word_hash = xxhash.xxh3_64_intdigest
 
 
 def chunked(docs: DataFrame, flag: Column | None = None, tokens: int = CHUNK_TOKENS, digest: Column | None = None) -> DataFrame:
@@ -110,11 +157,14 @@ def chunked(docs: DataFrame, flag: Column | None = None, tokens: int = CHUNK_TOK
         lens: list[int] = []
         parts: list[np.ndarray] = []
         held = 0
-        known: defaultdict = defaultdict(count().__next__)
 
         def done() -> pa.RecordBatch:
-            hashes = np.fromiter(map(word_hash, known), np.uint64, len(known))
-            codes = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            # codes go by the word's first place, so frequent words have small ones
+            distinct, first, index = distinct_places(np.concatenate(parts))
+            order = sorted_places(first.astype(np.uint64))
+            code = np.empty(len(order), np.uint32)
+            code[order] = np.arange(len(order), dtype=np.uint32)
+            hashes, codes = distinct[order], code[index]
             return pa.RecordBatch.from_pydict(
                 {
                     "chunk": pa.array([uuid.uuid4().int >> 65], pa.int64()),
@@ -140,12 +190,11 @@ def chunked(docs: DataFrame, flag: Column | None = None, tokens: int = CHUNK_TOK
                 if named:
                     digests.append(named[k])
                 lens.append(len(words))
-                parts.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+                parts.append(np.fromiter(map(word_hash, words), np.uint64, len(words)))
                 held += len(words)
                 if held >= tokens or len(ids) >= tokens:
                     yield done()
                     ids, flags, digests, lens, parts, held = [], bytearray(), [], [], [], 0
-                    known = defaultdict(count().__next__)
         if ids:
             yield done()
 
@@ -212,7 +261,7 @@ def exchange(rows: DataFrame, answer: Callable[[list[np.ndarray], list[bytes], n
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         keys = [unascending(k) for k in pdf["keys"]]
-        distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
+        distinct, _, index = distinct_places(np.concatenate(keys))
         got, more = answer(keys, list(pdf["vals"]), distinct, index)
         out = pd.DataFrame({"r": pdf["r"], "chunk": pdf["chunk"], "got": got})
         for n in names:

@@ -34,7 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.chunks import SENT, Chunk, chained, chunked, exchange, floats, planes, ranges_for, rows_of, sent, unfloats, unplanes
+from shelfcast.llm.chunks import (
+    SENT, Chunk, chained, chunked, distinct_of, distinct_places, exchange, floats, planes, ranges_for, rows_of, sent, starts_of_equal, unfloats,
+    unplanes,
+)
 from shelfcast.llm.common import release, stored
 
 ORDER, LARGEST = 3, 5
@@ -67,7 +70,7 @@ class Text:
 
     def keys(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct keys of order m, the first place of each, and the key of each place."""
-        return np.unique(self.grams[m] >> SHIFT, return_index=True, return_inverse=True)
+        return distinct_places(self.grams[m] >> SHIFT)
 
 
 def counted(chunks: DataFrame, m: int, ranges: int) -> DataFrame:
@@ -94,7 +97,7 @@ def asking(chunks: DataFrame, longer: DataFrame, m: int, ranges: int) -> DataFra
         for row in rows_of(left):
             text = Text(row, m + 1)
             lacks = (total[text.keys(m + 1)[2]] == 0) & (text.place > 0)
-            keys = np.unique(text.grams[m][np.flatnonzero(lacks) - 1] >> SHIFT)
+            keys = distinct_of(text.grams[m][np.flatnonzero(lacks) - 1] >> SHIFT)
             out.append(pa.table(sent(row["chunk"], keys, lambda s: b"", ranges, BITS)))
         return pa.concat_tables(out)
 
@@ -110,10 +113,11 @@ def added(rows: DataFrame) -> DataFrame:
         count = np.concatenate([unplanes(v) if v else np.zeros(len(k), np.uint64) for k, v in zip(keys, vals, strict=True)])
         total = np.bincount(index, count.astype(np.float64), len(distinct)).astype(np.int64)
         asked = np.bincount(index[asks], minlength=len(distinct)) > 0
-        counts = np.flatnonzero(~asks)
-        _, first = np.unique(index[counts], return_index=True)
+        counts = np.flatnonzero(~asks)[::-1]
+        first = np.full(len(distinct), -1)
+        first[index[counts]] = counts  # of equal places the last one written stays
         got = (4 * total + 2 * asked)[index]
-        got[counts[first]] += 1
+        got[first[first >= 0]] += 1
         by_count = np.bincount(np.minimum(total, LARGEST + 2), minlength=LARGEST + 3)
         more = {"tokens": int(total.sum()), "types": int((total > 0).sum())} | {f"n{r}": int(by_count[r]) for r in range(1, LARGEST + 2)}
         parts = np.split(got, np.cumsum([len(k) for k in keys])[:-1])
@@ -145,7 +149,9 @@ def discounts(n: dict) -> np.ndarray:
 
 
 def kept_counts(c: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    return np.where(c <= LARGEST, kept[np.minimum(c, LARGEST)], c - (LARGEST - kept[-1]))
+    out, large = kept[np.minimum(c, LARGEST)], np.flatnonzero(c > LARGEST)
+    out[large] = c[large] - (LARGEST - kept[-1])
+    return out
 
 
 class Model:
@@ -198,39 +204,44 @@ def scored_so_far(chunks: DataFrame, answers: DataFrame, model: Model, order: in
                 _, first, at = text.keys(m)
                 both = np.concatenate(got[m]).astype(np.int64)
                 count, owner = both >> 2, (both & 1).astype(bool)
-                c = count[at]
+                c, left_over = count[at], kept_counts(count, model.kept[m])
                 if m == 1:
                     n_known = np.bincount(text.doc[c > 0], minlength=size)
-                    base = np.bincount(text.doc, np.log10((c + 0.1) / (model.tokens + 0.1 * (model.types + 1))), size)
-                    p = np.where(c > 0, kept_counts(c, model.kept[1]) / max(model.tokens, 1), model.unseen)
+                    base = np.bincount(text.doc, np.log10((count + 0.1) / (model.tokens + 0.1 * (model.types + 1)))[at], size)
+                    p = np.where(count > 0, left_over / max(model.tokens, 1), model.unseen)[at]
                 else:
                     # a context occurred as often as the shorter n-gram that it is
                     total = np.where(text.place == 0, model.documents, np.roll(below, 1))
                     key = text.contexts[m] >> SHIFT
-                    own = first[owner & (count > 0)]
+                    has = np.flatnonzero(owner & (count > 0))
+                    own = first[has]
                     # the start of a text is no n-gram, so nobody could ask for it
-                    own = own[(text.place[own] == 0) | asked_for[own - 1]]
+                    wanted = (text.place[own] == 0) | asked_for[own - 1]
+                    own, has = own[wanted], has[wanted]
                     mine.append(key[own])
-                    lost.append(c[own] - kept_counts(c[own], model.kept[m]))
+                    lost.append((count - left_over)[has])
                     low.append(lower[own])
                     lacks = (c == 0) & (total > 0)
                     lacking.append(key[lacks])
                     of.append(text.doc[lacks])
                     totals.append(total[lacks])
-                    p = np.where(c > 0, kept_counts(c, model.kept[m]) / np.maximum(total, 1), lower)
+                    p = np.where(c > 0, left_over[at] / np.maximum(total, 1), lower)
                 lower, below, asked_for = p, c, (both >> 1 & 1).astype(bool)[at]
             own_keys, ask_keys = np.concatenate(mine), np.concatenate(lacking)
-            asked, first, which = np.unique(ask_keys, return_index=True, return_inverse=True)
-            keys = np.union1d(own_keys, asked)
-            at = np.searchsorted(keys, own_keys)
-            sums = [np.bincount(at, np.concatenate(w), len(keys)) for w in (lost, low)]
-            wants = np.isin(keys, asked, assume_unique=True)
+            asked, first, which = distinct_places(ask_keys)
+            keys, _, at = distinct_places(np.concatenate([own_keys, asked]))
+            sums = [np.bincount(at[: len(own_keys)], np.concatenate(w), len(keys)) for w in (lost, low)]
+            wants = np.zeros(len(keys), bool)
+            wants[at[len(own_keys) :]] = True
             pack = lambda s, w=wants, x=sums: packed(planes(w[s].astype(np.uint64)), floats(x[0][s]), floats(x[1][s]))
             rows = sent(row["chunk"], keys, pack, ranges, BITS)
             k = len(rows["r"])
             out.append(pa.table(rows | {f: pa.nulls(k, SCORED.field(f).type) for f in ("ids", "train", "scores")}).select(SCORED.names))
-            pairs, times = np.unique(np.stack([which, np.concatenate(of)]), axis=1, return_counts=True)
-            needs = packed(planes(np.concatenate(totals)[first]), planes(pairs[0]), planes(pairs[1]), planes(times))
+            pairs = np.sort(which * size + np.concatenate(of))
+            begin = np.flatnonzero(starts_of_equal(pairs))
+            which, doc = np.divmod(pairs[begin], size)
+            times = np.diff(begin, append=len(pairs))
+            needs = packed(planes(np.concatenate(totals)[first]), planes(which), planes(doc), planes(times))
             scores = packed(*[floats(x) for x in (text.n, n_known, base, np.bincount(text.doc, np.log10(lower), size))])
             train = text.train.astype(np.uint8).tobytes()
             out.append(pa.Table.from_pylist([{"r": -1, "chunk": row["chunk"], "vals": needs, "ids": text.ids, "train": train, "scores": scores}], SCORED))

@@ -7,6 +7,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,45 @@ def test_katz_sends_sums_over_asked_contexts_only(spark, monkeypatch):
     assert {tag for tag, path in paths if os.path.exists(path)} <= {"katz-contexts", "katz-asks-1", "katz-asks-2"}
 
 
+def test_katz_chunks_and_ranges_need_no_argsort(spark, monkeypatch):
+    """Keys are sorted by themselves, with their places in the low bits; `np.unique` with places argsorts them."""
+    rows = spark.createDataFrame([(1, "b a b c b a"), (2, None), (3, "c a")], DOCS)
+    row = chunks.chunked(rows.coalesce(1), F.lit(True)).first().asDict()
+    text = katz.Text(row, 3)
+    expected = [np.unique(text.grams[m] >> katz.SHIFT, return_index=True, return_inverse=True) for m in (1, 2, 3)]
+
+    def slow(*args, **more):
+        raise AssertionError("argsort of all keys")
+
+    monkeypatch.setattr(np, "unique", slow)
+    monkeypatch.setattr(np, "argsort", slow)
+    for m in (1, 2, 3):
+        for got, want in zip(text.keys(m), expected[m - 1], strict=True):
+            assert got.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("n, span, offset", [(0, 1, 0), (1, 1, 7), (500, 40, 0), (5000, 1 << 56, 0), (5000, 1 << 20, (1 << 64) - (1 << 20)), (3000, 1 << 64, 0)])
+def test_distinct_places(n, span, offset):
+    rng = random.Random(n)
+    keys = [offset + rng.randrange(span) for _ in range(n)]
+    # equal but for the lowest bit, the larger one first
+    keys = np.array(keys + ([k ^ 1 for k in keys] if span > 1 << 40 else keys[::-1]), np.uint64)
+    keys = np.concatenate([np.maximum(keys, keys ^ np.uint64(1)), keys])
+    distinct, first, index = np.unique(keys, return_index=True, return_inverse=True)
+    got = chunks.distinct_places(keys)
+    assert [x.tolist() for x in got] == [distinct.tolist(), first.tolist(), index.tolist()]
+    assert chunks.distinct_of(keys).tolist() == distinct.tolist()
+    assert chunks.sorted_places(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+
+
+def test_chunk_codes_go_by_first_place(spark):
+    rows = spark.createDataFrame([(1, "B a b\tc b"), (2, None), (3, "c \u00c4 A")], DOCS)
+    chunk = chunks.Chunk(chunks.chunked(rows.coalesce(1)).first().asDict())
+    assert chunk.codes.tolist() == [0, 1, 0, 2, 0, 2, 3, 1]
+    assert chunk.hashes.tolist() == [chunks.word_hash(w.encode()) for w in ("b", "a", "c", "\u00c4")]
+    assert chunk.lens.tolist() == [5, 0, 3]
+
+
 # ------------------------------------------------------------------ 6 secrets
 
 
