@@ -173,6 +173,11 @@ def fuzzy_keys(nodes: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ links
 
 
+def sized(table: DataFrame, rows: int = 200_000) -> DataFrame:
+    """`table`, read from storage, for a join: broadcast if counted as at most `rows`, else neither side is."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
+
+
 def close(most_bits: int):
     return F.expr(f"a.near + b.near >= 2 AND bit_count(a.fp ^ b.fp) <= {most_bits}")
 
@@ -185,28 +190,25 @@ def links(nodes: DataFrame, most_bits: int = MOST_BITS, crowd: int = CROWD) -> D
     keys = fuzzy_keys(nodes)
     crowded = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd), "crowded")
     none = crowded.isEmpty()
-    sparse = keys if none else keys.join(crowded.select("key"), "key", "left_anti")
-    pairs = sparse.alias("a").join(sparse.alias("b"), "key").filter("a.fp < b.fp").filter(close(most_bits))
+    sparse = keys if none else keys.join(sized(crowded.select("key")), "key", "left_anti")
+    # Spark takes the keys to be as many as `nodes`, of which each has some 85, and would broadcast them
+    pairs = sparse.alias("a").join(sparse.alias("b").hint("merge"), "key").filter("a.fp < b.fp").filter(close(most_bits))
     edges = stored(pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct(), "near")
     if none:
         return edges
-    dense = stored(keys.join(crowded, "key"), "dense")
+    dense = stored(keys.join(sized(crowded), "key"), "dense")
     hubs = dense.groupBy("key").agg(F.min("fp").alias("h0"), F.min_by("fp", F.xxhash64("fp")).alias("h1"), F.max_by("fp", F.xxhash64("fp")).alias("h2"))
     hubs = stored(hubs.select("key", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("hub")), "hubs")
-    if hubs.limit(200_001).count() <= 200_000:
-        hubs = F.broadcast(hubs)
-    near_hub = dense.join(hubs, "key").filter(f"fp <> hub AND bit_count(fp ^ hub) <= {most_bits}")
+    near_hub = dense.join(sized(hubs), "key").filter(f"fp <> hub AND bit_count(fp ^ hub) <= {most_bits}")
     edges = stored(edges.unionByName(near_hub.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()), "near")
     label = components(edges).withColumnRenamed("node", "fp")
-    known = stored(dense.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+    known = stored(dense.join(sized(label), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
     # in a key, what isn't of its largest component is compared with all, block by block
     shares = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     largest = shares.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count(F.lit(1)).alias("k"))
     open_keys = stored(largest.filter("k > 1").select("key", "largest"), "open")
-    if open_keys.limit(200_001).count() <= 200_000:
-        open_keys = F.broadcast(open_keys)
     blocks = F.ceil(F.col("n") / crowd).cast("int")
-    left = known.join(open_keys, "key")
+    left = known.join(sized(open_keys), "key")
     all_of = left.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
     few = left.filter("label <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     across = few.alias("a").join(all_of.alias("b"), ["key", "block"]).filter("a.label <> b.label").filter(close(most_bits))
@@ -220,7 +222,7 @@ def near_fingerprints(docs: DataFrame, most_bits: int = MOST_BITS, words: int =
     rows = stored(fingerprints(docs, words, seed), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     label = components(links(nodes, most_bits, crowd)).withColumnRenamed("node", "fp")
-    labelled = stored(nodes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = stored(labelled.join(least, "label").select("fp", "n", "component_id"), "of-fp")
-    return joined_apart(rows, of_fp, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = stored(nodes.join(sized(label), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+    least = stored(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "least")
+    of_fp = stored(labelled.join(sized(least), "label").select("fp", "n", "component_id"), "of-fp")
+    return joined_apart(rows, sized(of_fp), ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
